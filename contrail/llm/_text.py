@@ -41,7 +41,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def mix_one(x: int) -> int:
-    return int(mix(np.array([x & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
+    return int(mix(np.array([int(x) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

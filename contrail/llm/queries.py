@@ -1,9 +1,11 @@
 """The registered queries of this subpackage and their SQL twins, where SQL can express them."""
 
-from contrail.llm import decontaminate, exact_dedup, shard
+from contrail.llm import decontaminate, exact_dedup, language_id, ngram_join, shard
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.query,
     "op2_decontamination": decontaminate.query,
+    "op3_language_id": language_id.query,
     "op4_sharding": shard.query,
     "op8_exact_dedup": exact_dedup.query,
 }
