@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and their SQL twins, where SQL can express them."""
 
-from contrail.llm import decontaminate, exact_dedup, language_id, license_scan, ngram_join, secret_scan, shard
+from contrail.llm import decontaminate, exact_dedup, language_id, license_scan, ngram_join, quality, secret_scan, shard
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op2_decontamination": decontaminate.query,
     "op3_language_id": language_id.query,
     "op4_sharding": shard.query,
+    "op6_quality": quality.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_secret_scan": secret_scan.query,
     "op10_license_scan": license_scan.query,
