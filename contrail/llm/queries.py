@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL twins, where SQL can express them."""
 
-from contrail.llm import decontaminate, exact_dedup, language_id, license_scan, ngram_join, quality, secret_scan, shard
+from contrail.llm import decontaminate, exact_dedup, language_id, license_scan, mixing, ngram_join, quality, secret_scan, shard
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_language_id": language_id.query,
     "op4_sharding": shard.query,
     "op6_quality": quality.query,
+    "op7_mixing": mixing.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_secret_scan": secret_scan.query,
     "op10_license_scan": license_scan.query,
