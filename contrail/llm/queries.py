@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and their SQL twins, where SQL can express them."""
 
-from contrail.llm import decontaminate, exact_dedup, language_id, license_scan, mixing, ngram_join, quality, secret_scan, shard
+from contrail.llm import decontaminate, exact_dedup, language_id, license_scan, mixing, ngram_join, quality, secret_scan, shard, suffix_dedup
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op2_decontamination": decontaminate.query,
     "op3_language_id": language_id.query,
     "op4_sharding": shard.query,
+    "op5_suffix_array_dedup": suffix_dedup.query,
     "op6_quality": quality.query,
     "op7_mixing": mixing.query,
     "op8_exact_dedup": exact_dedup.query,
