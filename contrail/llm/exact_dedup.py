@@ -31,7 +31,8 @@ def name_values(values: DataFrame, rows: DataFrame, cols: list[str]) -> DataFram
     values that rows have. Values are counted with map-side combining, sorted and numbered; the names of the most frequent
     ones, a bounded number, are broadcast, so no task gathers the rows of a frequent value."""
     counted = values.groupBy(*cols).agg(F.count(F.lit(1)).alias("copies"))
-    numbered = counted.sortWithinPartitions(*cols).withColumn("number", F.monotonically_increasing_id())
+    # The filter keeps the counts in this branch too, so both branches read one shuffle of the values.
+    numbered = counted.filter("copies > 0").sortWithinPartitions(*cols).withColumn("number", F.monotonically_increasing_id())
     hot = counted.filter(F.col("copies") >= HOT_COPIES).orderBy(F.desc("copies"), *cols).limit(HOT_VALUES)
     hot = hot.withColumn("hot_number", F.monotonically_increasing_id()).select(*cols, "hot_number")
     # Two name spaces: even names are of frequent values, odd ones of the rest.
