@@ -34,6 +34,12 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def packed(df: DataFrame, **named: str) -> DataFrame:
+    """Each row of df whole, as struct `row`, with some of its columns under the given names beside it; so operators may
+    add columns of any name without meeting those of df. `row.*` brings the columns back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[F.col(f"`{c}`").alias(n) for n, c in named.items()])
+
+
 def crc_fold(doc_id: str = "doc_id"):
     """crc32(doc_id as text) mod 5: 0 marks a held-out document."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5

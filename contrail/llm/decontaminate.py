@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm._spark import documents, settle
+from contrail.llm._spark import documents, packed, settle
 
 #: Each starts with two checked words, which serve as a first filter. A run of ten agreeing words, or an item in which at
 #: most every fifth word is substituted, holds a seed of either mask with near certainty.
@@ -94,7 +94,7 @@ def contamination(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that contain no benchmark passage, with all their columns."""
     bad = contamination(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[options.get("id_col", "doc_id")] == bad["_bad"], "left_anti")
+    return packed(docs, _id=options.get("id_col", "doc_id")).join(bad, F.col("_id").eqNullSafe(F.col("_bad")), "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

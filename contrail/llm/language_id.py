@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contrail.llm._spark import crc_fold, documents
+from contrail.llm._spark import crc_fold, documents, packed
 from contrail.llm._text import LOWER, utf8
 
 UNKNOWN = "und"
@@ -119,13 +119,15 @@ class Model:
             c = code[first[:k] + t][:, None]
             s = self.table[state[:k] + c]
             miss = s == 0
-            # A phrase ends before this byte; the next begins with it. A byte unknown to the language is a phrase itself.
+            # Where the match cannot go on, a phrase ends before this byte and the next begins with it; a byte that the
+            # language lacks is a phrase by itself, after which none is open (the state is the start).
+            begins = miss | (state[:k] == start[:k])
             again = self.table[start[:k] + c]
             np.copyto(s, np.where(again == 0, start[:k], again), where=miss)
-            count[:k] += miss
+            count[:k] += begins
             state[:k] = s
         out = np.zeros((n, m), np.int64)
-        out[order] = count + (size > 0)[:, None]
+        out[order] = count
         return out
 
 
@@ -188,8 +190,8 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
 def keep_identified(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """docs whose language is found, with all their columns. Rejected are texts without a letter; text of any language,
     however noisy, stays."""
-    out = identify(docs, labelled, carry=tuple(docs.columns))
-    return out.filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    rows = packed(docs, text="text")
+    return identify(rows, labelled, carry=("row",)).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

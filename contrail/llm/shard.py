@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contrail.llm._spark import documents
+from contrail.llm._spark import documents, packed
 
 SHARDS, SEED, ROUNDS = 8, 20, 6
 #: Prime modulus of the round function; squares of values below it fit in a long.
@@ -89,7 +89,7 @@ def with_row_number(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with law, shard (0 to shards - 1) and slot (gapless from 0 in each shard)."""
-    rows, n = with_row_number(docs.drop("law", "shard", "slot"), id_col, text_col)
+    rows, n = with_row_number(packed(docs.drop("law", "shard", "slot"), _id=id_col, _text=text_col), "_id", "_text")
 
     @F.pandas_udf("long")
     def shuffled(row: pd.Series) -> pd.Series:
@@ -97,7 +97,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_
 
     p = rows.withColumn("_place", shuffled("_row"))
     shard, slot = F.pmod("_place", F.lit(shards)).cast("int"), F.floor(F.col("_place") / shards).cast("long")
-    return p.select(*[c for c in rows.columns if c != "_row"], F.lit("rows").alias("law"), shard.alias("shard"), slot.alias("slot"))
+    return p.select("row.*", F.lit("rows").alias("law"), shard.alias("shard"), slot.alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
