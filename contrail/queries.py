@@ -192,13 +192,13 @@ def _(t):
 
 
 
-@query("p10_targets", f"select {ID}, epoch_us(timestamp) as timestamp, round(h_sel * 0.3048, 6) as fdm_alt_target_m, round(TAS * 0.514444, 6) as fdm_tas_target_ms, case when TAS is null then 0.0 else 1.0 end as fdm_tas_target_known, 0.0 as fdm_gamma_target_known, 0.0 as fdm_heading_known from track")
+@query("p10_targets", f"select {ID}, epoch_us(timestamp) as timestamp, round(h_sel * 0.3048, 6) as fdm_alt_target_m, round(TAS * 0.514444, 6) as fdm_tas_target_ms, case when TAS is null then 0.0e0 else 1.0e0 end as fdm_tas_target_known, 0.0e0 as fdm_gamma_target_known, 0.0e0 as fdm_heading_known from track")
 def _(t):
     d = inputs.targets(t.track.withColumnRenamed("TAS", "tas_intent_kt"))
     return d.select(*K, "timestamp", "fdm_alt_target_m", "fdm_tas_target_ms", "fdm_tas_target_known", "fdm_gamma_target_known", "fdm_heading_known")
 
 
-P11 = """select route, flight_id, timestamp, i, altitude * 0.3048 as raw_alt_m, TAS * 0.514444 as era_tas_ms, (coalesce(heading, track_deg) * pi() / 180) % (2 * pi()) as fdm_heading_rad, 0.0 as fdm_long_wind_ms,
+P11 = """select route, flight_id, timestamp, i, altitude * 0.3048 as raw_alt_m, TAS * 0.514444 as era_tas_ms, (coalesce(heading, track_deg) * pi() / 180) % (2 * pi()) as fdm_heading_rad, 0.0e0 as fdm_long_wind_ms,
   coalesce(case when static_temperature < 150 then static_temperature + 273.15 else static_temperature end, case when coalesce(altitude, 0) * 0.3048 > 11000 then 216.65 else 288.15 - 0.0065 * coalesce(altitude, 0) * 0.3048 end) as era_temp_K from track"""
 
 
@@ -577,10 +577,10 @@ def _(t):
     return d.filter("k <= 5").select(*K)
 
 
-@query("t5_extend_manifest", "select flight_id from flights where status = 'done' union all (select flight_id from flights where status <> 'done' order by firstseen, flight_id limit 5)")
+@query("t5_extend_manifest", "select flight_id from flights where status = 'done' union all (select flight_id from flights where status <> 'done' order by firstseen, flight_id limit 2)")
 def _(t):
     done = t.flights.filter("status = 'done'")
-    return manifest.extend(done, t.flights, done.count() + 5).select("flight_id")
+    return manifest.extend(done, t.flights, done.count() + 2).select("flight_id")
 
 
 @query("u1_union_by_name", f"select {ID}, epoch_us(timestamp) as timestamp, round(altitude, 6) as altitude_ft, cast(null as double) as IAS from track where ln = 1 union all select {ID}, epoch_us(timestamp), null, round(IAS, 6) from sparse")
@@ -759,7 +759,7 @@ def filled_sql(v: str) -> str:
     return f"coalesce({v}, last_value({v} ignore nulls) {p} + (first_value({v} ignore nulls) {f} - last_value({v} ignore nulls) {p}) * (rn - last_value(case when {v} is not null then rn end ignore nulls) {p}) / (first_value(case when {v} is not null then rn end ignore nulls) {f} - last_value(case when {v} is not null then rn end ignore nulls) {p}), last_value({v} ignore nulls) {p}, first_value({v} ignore nulls) {f})"
 
 
-@query("c3_resample", f"select {ID}, epoch_us(timestamp) as timestamp, round(epoch(timestamp) - min(epoch(timestamp)) over (partition by {ID}), 4) as time, round(altitude, 4) as altitude, round({filled_sql('CAS')}, 4) as CAS, round({filled_sql('t')}, 4) as observed_tas_kt, 0.0 as Mach from ({R3}) r3", 4)
+@query("c3_resample", f"select {ID}, epoch_us(timestamp) as timestamp, round(epoch(timestamp) - min(epoch(timestamp)) over (partition by {ID}), 4) as time, round(altitude, 4) as altitude, round({filled_sql('CAS')}, 4) as CAS, round({filled_sql('t')}, 4) as observed_tas_kt, 0.0e0 as Mach from ({R3}) r3", 4)
 def _(t):
     return trajectory.resample(t.sparse).select(*K, "timestamp", "time", "altitude", "CAS", "observed_tas_kt", "Mach")
 
@@ -786,7 +786,7 @@ def _(t):
     return islands.command_events(t.track)
 
 
-@query("c11_top_of_descent", f"select {ID}, epoch_us(timestamp) as timestamp, round(hh, 6) as h_sel_ft, round(hp, 6) as h_sel_prev_ft, round(hp - hh, 6) as step_ft, case when hh <= 22000 then 'preferred_below_threshold' else 'first_drop' end as tod_rule, 22000.0 as tod_threshold_ft, round(altitude, 6) as altitude_ft, time as time_s from tod")
+@query("c11_top_of_descent", f"select {ID}, epoch_us(timestamp) as timestamp, round(hh, 6) as h_sel_ft, round(hp, 6) as h_sel_prev_ft, round(hp - hh, 6) as step_ft, case when hh <= 22000 then 'preferred_below_threshold' else 'first_drop' end as tod_rule, 22000.0e0 as tod_threshold_ft, round(altitude, 6) as altitude_ft, time as time_s from tod")
 def _(t):
     return descent.top_of_descent(t.track)
 
@@ -893,7 +893,7 @@ def _(t):
     return assembly.expand_segments(islands.command_events(t.track).filter("command = 'h_sel'"), "start_timestamp")
 
 
-@query("c17_fit_length", f"select w.route, w.flight_id, w.at, round(case when w.at = 0 then 111.0 else last_value(x.value ignore nulls) over (partition by w.route, w.flight_id order by w.at) end, 6) as value from (select {ID}, unnest(range(0, n + 40)) as at from (select distinct {ID}, n from track) d) w left join ({EXPANDED}) x on x.route = w.route and x.flight_id = w.flight_id and x.at = w.at")
+@query("c17_fit_length", f"select w.route, w.flight_id, w.at, round(case when w.at = 0 then 111.0e0 else last_value(x.value ignore nulls) over (partition by w.route, w.flight_id order by w.at) end, 6) as value from (select {ID}, unnest(range(0, n + 40)) as at from (select distinct {ID}, n from track) d) w left join ({EXPANDED}) x on x.route = w.route and x.flight_id = w.flight_id and x.at = w.at")
 def _(t):
     grid = assembly.expand_segments(islands.command_events(t.track).filter("command = 'h_sel'"), "start_timestamp")
     n = t.track.select(*K, (F.col("n") + 40).alias("n"), F.lit(111.0).alias("first")).distinct()
@@ -1061,7 +1061,7 @@ def _(t):
     return laws.back_off(o, o.filter("o_orderkey % 50 = 0"), levels).select("o_orderkey", "level", "pool")
 
 
-@query("l13_nearest_key", "select i.event_id, arg_min(k.key, struct_pack(d := abs(k.key - i.value), k := k.key)) as key from irregular i join (select distinct event_type, round_even(value / 7, 0) * 7 as key from irregular where event_id % 400 = 0) k using (event_type) where i.value is not null group by i.event_id")
+@query("l13_nearest_key", "select i.event_id, arg_min(k.key, struct_pack(d := abs(k.key - i.value), k := k.key)) as key from irregular i left join (select distinct event_type, round_even(value / 7, 0) * 7 as key from irregular where event_id % 400 = 0) k using (event_type) where i.value is not null group by i.event_id")
 def _(t):
     lib = t.irregular.filter("event_id % 400 = 0").select("event_type", bins.to_step("value", 7.0).alias("key"))
     r = t.irregular.filter("value is not null").select("event_id", "event_type", "value")
