@@ -17,8 +17,8 @@ different classes are compared, behind filters that lose nothing (sizes, positio
 link between different classes is lost, so classes are exact.
 
 Defined cases: null or empty texts have the empty set, which links with nothing; a text with fewer words than n has its
-whole word sequence as its one element. Rows that repeat a doc_id are one document per distinct set and appear once per
-row. Rows without a doc_id take no part and keep their own (null) class. Other columns are ignored.
+whole word sequence as its one element. Rows that repeat a doc_id appear once each; where their texts differ, one of them,
+fixed by a hash, is compared. Rows without a doc_id take no part and have a null class. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm._spark import documents, settle, small
+from contrail.llm._spark import documents, packed, settle, small
 from contrail.llm._text import GOLD, as_long, mix, runs, sorted_shingles, utf8
 from contrail.llm.components import connected_components
 
@@ -44,6 +44,7 @@ BUCKETS, PIECES = 1 << 20, 16
 MOST_SMALL = 40
 WORD_BITS = 64
 BITMAP_WORDS = 4
+WORDS = ("w0", "w1", "w2", "w3")
 
 
 def need(n: int, m: int, num: int, den: int) -> int:
@@ -71,10 +72,10 @@ def boundary(sizes: dict[int, int], scan: float, num: int, den: int) -> int:
 
 
 def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (kind 'set': doc_id, n, two hashes of the whole set, parity bitmap), then (kind 'freq': piece, counts)."""
+    """Rows (kind 'set': doc_id, n, two hashes of the whole set, two parity bitmaps), then (kind 'freq': piece, counts)."""
     counts = np.zeros(BUCKETS, np.int64)
     task = TaskContext.get().partitionId()
-    names = ["kind", "doc_id", "n", "s1", "s2", "blob"]
+    names = ["kind", "doc_id", "n", "s1", "s2", "w0", "w1", "w2", "w3", "blob"]
     for batch in batches:
         ids, (buf, off) = batch.column(0), utf8(batch.column(1))
         for lo, hi in runs(off):
@@ -92,10 +93,36 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
                 for w in range(BITMAP_WORDS):
                     maps[full, w] = np.bitwise_xor.reduceat(np.where(bit // np.uint64(WORD_BITS) == w, one, np.uint64(0)), at)
             size = hi - lo
-            yield pa.RecordBatch.from_arrays([pa.array(["set"] * size), ids.slice(lo, size), pa.array(n, pa.int64()), as_long(s1), as_long(s2), pa.array([m.tobytes() for m in maps], pa.binary())], names)
+            fine = [fine_map(h[a:b]) for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(["set"] * size), ids.slice(lo, size), pa.array(n, pa.int64()), as_long(s1), as_long(s2), *[as_long(maps[:, w]) for w in range(BITMAP_WORDS)], pa.array(fine, pa.binary())], names)
     step = BUCKETS // PIECES
     blobs = [zlib.compress(counts[i * step : (i + 1) * step].tobytes(), 1) for i in range(PIECES)]
-    yield pa.RecordBatch.from_arrays([pa.array(["freq"] * PIECES), pa.array([task] * PIECES, pa.int64()), pa.array(range(PIECES), pa.int64()), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.array(blobs, pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([pa.array(["freq"] * PIECES), pa.array([task] * PIECES, pa.int64()), pa.array(range(PIECES), pa.int64()), *[pa.nulls(PIECES, pa.int64())] * 6, pa.array(blobs, pa.binary())], names)
+
+
+def fine_map(h: np.ndarray) -> bytes:
+    """Parity bitmap of a set, of half as many bits as it has elements, or up to as many, in a power of two. The bits in
+    which two maps differ are no more than the elements in which the sets do. A map folds to half its size by xor."""
+    bits = max(64, 1 << max(0, int(len(h) - 1).bit_length() - 1))
+    odd = np.bincount((h >> np.uint64(12)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the size of the symmetric difference, from two fine maps."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _possible(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        c = {k: batch.column(k).to_pylist() for k in ("an", "bn", "am", "bm")}
+        keep = [i for i, (n, m, x, y) in enumerate(zip(*c.values(), strict=True)) if apart(x, y) <= n + m - 2 * need(n, m, num, den)]
+        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
 def _added(key, table):
@@ -168,10 +195,14 @@ def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs(a, b) whose sets reach the similarity. Only texts that a pair names leave their scan."""
+def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs(a, b) whose sets reach the similarity. The fine maps (heads: doc_id, n, blob) leave few pairs; only the
+    texts that those name leave their scan."""
+    side = lambda s: heads.select(F.col("doc_id").alias(s), F.col("n").alias(f"{s}n"), F.col("blob").alias(f"{s}m"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "bn", "am", "bm")
+    pairs = settle(pairs.mapInArrow(lambda it: _possible(it, num, den), "a long, b long"))
     named = settle(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = docs.join(small(named), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.join(small(named), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sets = settle(texts.select("doc_id", "text").mapInArrow(lambda it: _sets(it, k), "doc_id long, set binary"))
     rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("xs")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("ys")), "b")
     return rows.select("a", "b", "xs", "ys").mapInArrow(lambda it: _compare(it, num, den), "a long, b long")
@@ -181,7 +212,7 @@ def near_copies(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_c
     """(doc_id, n_shingles, component_id) for each row of docs; component_id is the smallest doc_id that links reach."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    told = settle(docs.mapInArrow(lambda it: _describe(it, k), "kind string, doc_id long, n long, s1 long, s2 long, blob binary"))
+    told = settle(docs.mapInArrow(lambda it: _describe(it, k), "kind string, doc_id long, n long, s1 long, s2 long, w0 long, w1 long, w2 long, w3 long, blob binary"))
     table = bucket_counts(told.filter("kind = 'freq'").select(F.col("n").alias("piece"), F.col("doc_id").alias("task"), "blob"))
     rank = spark.sparkContext.broadcast(np.minimum(np.floor(8 * np.log2(table + 1.0)), 254).astype(np.uint8))
     sets = told.filter("kind = 'set'")
@@ -190,54 +221,49 @@ def near_copies(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_c
 
     # Equal sets are one class; its smallest doc_id stands for it.
     real = sets.filter("n > 0 and doc_id is not null")
-    first = real.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "blob")).alias("m")).select("n", "s1", "s2", F.col("m.doc_id").alias("first"), F.col("m.blob").alias("bits"))
+    first = real.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", *WORDS, "blob")).alias("m")).select("n", "s1", "s2", F.col("m.doc_id").alias("first"), *[F.col(f"m.{c}").alias(c) for c in (*WORDS, "blob")])
     first = settle(first)
-    heads = first.select(F.col("first").alias("doc_id"), F.col("n").cast("int").alias("n"), "bits").distinct()
+    heads = first.select(F.col("first").alias("doc_id"), F.col("n").cast("int").alias("n"))
+    maps = first.select(F.col("first").alias("doc_id"), "n", "blob").dropDuplicates(["doc_id"])
 
     lists = settle(docs.filter("doc_id is not null").mapInArrow(lambda it: _postings(it, k, num, den, top, rank), "token long, doc_id long, n int, pos int"))
+    # Only lists with two members matter, and of equal sets only the first.
     shared = lists.groupBy("token").count().filter("count > 1").select("token")
-    # Only lists with two members matter, and of equal sets only the first; both joins run on what is left by then.
-    lists = settle(lists.join(shared, "token").join(heads, ["doc_id", "n"]).select("token", "doc_id", "n", "pos", *[_word("bits", w).alias(f"w{w}") for w in range(BITMAP_WORDS)]))
-    hubs = lists.groupBy("token").agg(F.min(F.struct("doc_id", "n", "pos")).alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    lists = settle(lists.join(hubs.drop("members"), "token"))
+    lists = settle(lists.join(shared, "token").join(small(heads), ["doc_id", "n"], "left_semi"))
     fits = f"least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num} and not (x.pos >= 0 and greatest(x.n, y.n) <= {top})"
-    star = lists.filter("doc_id <> hub.doc_id").filter(fits.replace("x.", "hub.").replace("y.", "")).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    edges = settle(verified(settle(star), docs, k, num, den))
+    hubs = lists.groupBy("token").agg(F.min(F.struct("doc_id", "n", "pos")).alias("h"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("token", "h.*")
+    star = lists.alias("y").join(hubs.alias("x"), F.expr(f"x.token = y.token and x.doc_id <> y.doc_id and {fits}"))
+    star = settle(star.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
+    edges = settle(verified(star, maps, docs, k, num, den))
 
     classes = connected_components(edges)
-    members = lists.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("class", F.coalesce("component", "doc_id")).drop("component")
+    members = lists.join(small(classes.withColumnRenamed("node", "doc_id")), "doc_id", "left").withColumn("class", F.coalesce("component", "doc_id")).drop("component")
     open_lists = members.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("token")
-    members = settle(members.join(open_lists, "token"))
+    bits = first.select(F.col("first").alias("doc_id"), F.col("n").cast("int").alias("n"), *WORDS)
+    members = settle(members.join(open_lists, "token").join(bits, ["doc_id", "n"]))
     x, y = members.alias("x"), members.alias("y")
     least = f"ceil({num} * (x.n + y.n) / {num + den})"
-    apart = " + ".join(f"bit_count(x.w{w} ^ y.w{w})" for w in range(BITMAP_WORDS))
+    differ = " + ".join(f"bit_count(x.w{w} ^ y.w{w})" for w in range(BITMAP_WORDS))
     rest = x.join(y, F.expr(
-        f"x.token = y.token and x.doc_id < y.doc_id and x.class <> y.class and x.doc_id <> x.hub.doc_id and {fits}"
+        f"x.token = y.token and x.doc_id < y.doc_id and x.class <> y.class and {fits}"
         f" and (x.pos < 0 or least(x.pos, y.pos) + 1 + least(x.n - x.pos, y.n - y.pos) - 1 >= {least})"
-        f" and {apart} <= x.n + y.n - 2 * {least}"
+        f" and {differ} <= x.n + y.n - 2 * {least}"
     )).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    rest = settle(rest)
+    rest = settle(rest.join(star, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        classes = connected_components(edges.union(settle(verified(rest, docs, k, num, den))))
+        classes = connected_components(edges.union(settle(verified(rest, maps, docs, k, num, den))))
 
     label = first.join(classes.withColumnRenamed("node", "first"), "first", "left").select("n", "s1", "s2", F.coalesce("component", "first").alias("component"))
     out = sets.join(label, ["n", "s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _word(blob: str, w: int):
-    """A word of the bitmap as a long."""
-    hexed = F.hex(F.substring(F.col(blob), 8 * w + 1, 8))
-    high, low = F.conv(F.substring(hexed, 1, 8), 16, 10).cast("long"), F.conv(F.substring(hexed, 9, 8), 16, 10).cast("long")
-    return F.shiftleft(high, 32).bitwiseOR(low)
-
-
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near-copies: of each class the smallest doc_id stays, with all its columns. Rows that repeat a
     doc_id stay or go together."""
     found = near_copies(docs, k, num, den, id_col, text_col)
     gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return packed(docs, _id=id_col).join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
