@@ -11,10 +11,11 @@ need comparing only among windows around equal anchors:
   1. Anchors go to the task of their hash. Where the whole context of an anchor (every window that contains it) occurs in
      an earlier document, all those windows match. Of equal contexts only the one of the smallest doc_id goes on, and of
      those only the ones that share the left or right half of some window with a different context.
-  2. The windows around these, mostly at the edges of copied passages, go to the task of their content, where they are put
-     in suffix order, and the longest-previous-factor values decide them.
-Equal contexts and equal windows of a batch are combined before they are shuffled, so a passage that is copied everywhere
-arrives once per batch. Contexts are compared by 80 bits or more of hash within an anchor, windows by their bytes.
+  2. These, mostly at the edges of copied passages, go to the task of the core that the windows of a side share, with the
+     bytes around it. There the suffixes at each distance are put in order, and the longest previous factors decide.
+Equal contexts of a batch are combined before they are shuffled, so a passage that is copied everywhere arrives once per
+batch; only at its edges, where contexts differ, does each document send its own. Contexts are compared by 80 bits or more
+of hash within an anchor, windows by a 64-bit hash of their core and the bytes around it.
 
 Defined cases: null texts are empty. Rows that repeat a doc_id do not match each other, since neither id is smaller. A
 null doc_id comes after all others; null ones do not match each other. Texts under SPAN bytes stay whole. Other columns
@@ -40,9 +41,9 @@ LEFT = SPAN - GRAM
 HALF = LEFT // 2
 LAST = np.int64((1 << 63) - 1)
 #: Tasks for each partition of the input.
-SPREAD = 2
-#: Anchors to be compared are joined to the texts by a broadcast if there are at most so many, else by a shuffle.
-BROADCAST_ASKS = 2_000_000
+SPREAD = 4
+#: Bytes of text whose anchors, and anchors whose contexts, are held, combined and sent at a time.
+PORTION_BYTES, PORTION_ASKS = 8 << 20, 1 << 16
 
 
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -145,35 +146,40 @@ ANCHOR_TYPES = (np.uint32, np.uint32, np.uint16, np.uint16, np.uint16, np.int32)
 def _send_anchors(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, rows, (buf, off) = _ids(batch.column(0)), np.asarray(batch.column(1)), utf8(batch.column(2))
-        parts = []
-        for lo, hi in runs(off):
-            part, o = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-            p, h = anchors(part, o)
-            if not len(p):
-                continue
-            d = np.searchsorted(o[1:], p, "right")
-            a, z = o[:-1][d], o[1:][d]
-            left, right = np.maximum(a, p - LEFT), np.minimum(z, p + SPAN)
-            x = span_hashes(part, left, right) ^ ((p - left).astype(np.uint64) * GOLD)
-            # Halves that overrun the document get a value of their own kind; no window holds them.
-            fore = np.where(p + SPAN - HALF <= z, span_hashes(part, p, np.minimum(z, p + SPAN - HALF)) >> np.uint64(48), 0).astype(np.uint16)
-            back = np.where(p - HALF >= a, span_hashes(part, np.maximum(a, p - HALF), p + GRAM) >> np.uint64(48), 0).astype(np.uint16)
-            parts.append((h, x, fore, back, d + lo, (p - a).astype(np.int32)))
-        if not parts:
+        for first, last in runs(off, PORTION_BYTES):
+            yield from _anchor_blobs(ids[first:last], rows[first:last], buf[off[first] : off[last]], off[first : last + 1] - off[first], n)
+
+
+def _anchor_blobs(ids: np.ndarray, rows: np.ndarray, buf: np.ndarray, off: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    parts = []
+    for lo, hi in runs(off):
+        part, o = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+        p, h = anchors(part, o)
+        if not len(p):
             continue
-        h, x, fore, back, d, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
-        doc, row = ids[d], rows[d]
-        order, starts = _groups(h ^ mix(x))
-        first = _firsts(doc, order, starts)
-        later = doc > first
-        # Of equal contexts of one document, or of one doc_id, all stay; they are few.
-        bucket = (mix(h) >> np.uint64(40)).astype(np.int64) % n
-        keys, blobs = _blobs(bucket[~later], n, *(c[~later] for c in (doc, row, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(48)).astype(np.uint16), fore, back, pos)))
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([0] * len(keys), pa.int32()), pa.array(blobs, pa.binary())], SENT)
-        keys, blobs = _blobs(bucket[later], n, doc[later], row[later], pos[later])
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([1] * len(keys), pa.int32()), pa.array(blobs, pa.binary())], SENT)
+        d = np.searchsorted(o[1:], p, "right")
+        a, z = o[:-1][d], o[1:][d]
+        left, right = np.maximum(a, p - LEFT), np.minimum(z, p + SPAN)
+        x = span_hashes(part, left, right) ^ ((p - left).astype(np.uint64) * GOLD)
+        # Halves that overrun the document are 0, which no other half is; no window holds them.
+        fore = np.where(p + SPAN - HALF <= z, np.maximum(span_hashes(part, p, np.minimum(z, p + SPAN - HALF)) >> np.uint64(48), np.uint64(1)), 0).astype(np.uint16)
+        back = np.where(p - HALF >= a, np.maximum(span_hashes(part, np.maximum(a, p - HALF), p + GRAM) >> np.uint64(48), np.uint64(1)), 0).astype(np.uint16)
+        parts.append((h, x, fore, back, d + lo, (p - a).astype(np.int32)))
+    if not parts:
+        return
+    h, x, fore, back, d, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+    doc, row = ids[d], rows[d]
+    order, starts = _groups(h ^ mix(x))
+    first = _firsts(doc, order, starts)
+    later = doc > first
+    # Of equal contexts of one document, or of one doc_id, all stay; they are few.
+    bucket = (mix(h) >> np.uint64(40)).astype(np.int64) % n
+    keys, blobs = _blobs(bucket[~later], n, *(c[~later] for c in (doc, row, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(48)).astype(np.uint16), fore, back, pos)))
+    if len(keys):
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([0] * len(keys), pa.int32()), pa.array(blobs, pa.binary())], SENT)
+    keys, blobs = _blobs(bucket[later], n, doc[later], row[later], pos[later])
+    if len(keys):
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([1] * len(keys), pa.int32()), pa.array(blobs, pa.binary())], SENT)
 
 
 FOUND = "kind int, doc long, row long, pos int"
@@ -218,72 +224,77 @@ def _meet_anchors(key, table):
     return _out(parts)
 
 
-def previous_factors(doc: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    """Longest match of each suffix (uint8[items, bytes]) with one of a smaller doc: the longest-previous-factor values of
-    the items, from the previous and next smaller docs in suffix order."""
+def longest_previous(doc: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Whether each suffix (uint8[items, bytes]) has a longest previous factor of all its bytes: a full match with an item
+    of a smaller doc. Suffixes are put in order, equal ones by doc, and compared with their neighbours. Matches of all
+    bytes are the runs of equal suffixes; within a run docs rise, so the previous smaller position of an item lies in it
+    unless the item is of the run's first doc, and the next smaller position never does."""
     n, width = suffix.shape
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = suffix
     packed = padded.view(">u8").astype(np.uint64)
     order = np.lexsort((doc, *packed.T[::-1]))
-    bytes_, docs = suffix[order], doc[order].tolist()
-    differ = bytes_[1:] != bytes_[:-1]
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), width).tolist()
-    out = np.zeros(n, np.int64)
-    for way in (1, -1):
-        seq = range(n) if way == 1 else range(n - 1, -1, -1)
-        stack: list[tuple[int, int]] = []  # (doc, match with the item at hand), docs rising
-        for i in seq:
-            near = width if not stack else common[i - 1] if way == 1 else common[i]
-            while stack and stack[-1][0] >= docs[i]:
-                near = min(near, stack.pop()[1])
-            if stack:
-                out[order[i]] = max(out[order[i]], near)
-            stack.append((docs[i], near))
+    inside = np.zeros(n, bool)
+    inside[1:] = (packed[order[1:]] == packed[order[:-1]]).all(axis=1)
+    starts = np.flatnonzero(~inside)
+    ordered = doc[order]
+    out = np.zeros(n, bool)
+    out[order] = ordered > np.repeat(ordered[starts], np.diff(np.append(starts, n)))
     return out
 
 
-def _send_windows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+#: Bytes on either side of the core that all windows of one side of an anchor share.
+SIDE = HALF
+
+
+def _send_contexts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """For each anchor to be compared: a hash of the core of its windows, the bytes around the core, and which windows lie
+    in the document. The windows of a side begin at a..b; their core is [b, a + SPAN)."""
     for batch in batches:
         ids, rows, (buf, off) = np.asarray(batch.column(0)), np.asarray(batch.column(1)), utf8(batch.column(2))
         asks = batch.column(3)
         ask_at = asks.offsets.to_numpy().astype(np.int64)
-        ask = np.asarray(asks.values)
         d = np.searchsorted(ask_at[1:], np.arange(ask_at[0], ask_at[-1]), "right")
-        ask = ask[ask_at[0] : ask_at[-1]]
-        p, fore = ask >> 2, (ask & 3) == FORE
-        size = np.diff(off)[d]
-        lo = np.maximum(0, np.where(fore, p - HALF, p - LEFT))
-        hi = np.minimum(np.where(fore, p, p - HALF - 1), size - SPAN)
-        times = np.maximum(0, hi - lo + 1)
-        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        d, i = np.repeat(d, times), np.repeat(lo, times) + at
-        d, i = np.divmod(np.unique((d << 40) | i), 1 << 40)
-        if not len(d):
-            continue
-        start = off[:-1][d] + i
-        h = span_hashes(buf, start, start + SPAN)
-        doc, row = ids[d], rows[d]
-        order, starts = _groups(h)
-        later = doc > _firsts(doc, order, starts)
-        suffix = np.lib.stride_tricks.sliding_window_view(buf, SPAN)[start[~later]]
-        bucket, pos = (h >> np.uint64(20)).astype(np.int64) % n, i.astype(np.int32)
-        items = np.ascontiguousarray(suffix).view(f"V{SPAN}").ravel()
-        keys, blobs = _blobs(bucket[~later], n, doc[~later], row[~later], pos[~later], items)
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([0] * len(keys), pa.int32()), pa.array(blobs, pa.binary())], SENT)
-        keys, blobs = _blobs(bucket[later], n, doc[later], row[later], pos[later])
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([1] * len(keys), pa.int32()), pa.array(blobs, pa.binary())], SENT)
-
-
-def _meet_windows(key, table):
-    kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
-    parts = [(WINDOW, *_unpack([b for k, b in zip(kinds, blobs, strict=True) if k == 1], np.int32))]
-    doc, row, pos, items = _unpack([b for k, b in zip(kinds, blobs, strict=True) if k == 0], np.int32, f"V{SPAN}")
-    if len(doc):
-        hit = previous_factors(doc, np.ascontiguousarray(items).view(np.uint8).reshape(len(doc), SPAN)) >= SPAN
-        parts.append((WINDOW, doc[hit], row[hit], pos[hit]))
+        ask = np.asarray(asks.values)[ask_at[0] : ask_at[-1]]
+        for i in range(0, len(ask), PORTION_ASKS):
+            yield from _context_blobs(ids, rows, buf, off, d[i : i + PORTION_ASKS], ask[i : i + PORTION_ASKS], n)
+
+
+def _context_blobs(ids: np.ndarray, rows: np.ndarray, buf: np.ndarray, off: np.ndarray, d: np.ndarray, ask: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    p, fore = ask >> 2, (ask & 3) == FORE
+    a, b = np.where(fore, p - HALF, p - LEFT), np.where(fore, p, p - HALF - 1)
+    size, base = np.diff(off)[d], off[:-1][d]
+    lo, hi = np.maximum(a, 0), np.minimum(b, size - SPAN)
+    ok = lo <= hi
+    d, fore, a, b, size, base, lo, hi = (x[ok] for x in (d, fore, a, b, size, base, lo, hi))
+    if not len(d):
+        return
+    h = span_hashes(buf, base + b, base + a + SPAN) ^ np.where(fore, np.uint64(0), GOLD)
+    at = np.arange(SIDE)
+    around = np.zeros((len(d), 2 * SIDE), np.uint8)
+    for start, col in ((a, 0), (a + SPAN, SIDE)):
+        j = start[:, None] + at
+        good = (j >= 0) & (j < size[:, None]) & (at < (b - a)[:, None])
+        around[:, col : col + SIDE] = np.where(good, buf[np.where(good, base[:, None] + j, 0)], 0)
+    bucket = (h >> np.uint64(20)).astype(np.int64) % n
+    items = around.view(f"V{2 * SIDE}").ravel()
+    keys, blobs = _blobs(bucket, n, ids[d], rows[d], h, a.astype(np.int32), (lo - a).astype(np.uint8), (hi - a).astype(np.uint8), fore.astype(np.uint8), items)
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([0] * len(keys), pa.int32()), pa.array(blobs, pa.binary())], SENT)
+
+
+def _meet_contexts(key, table):
+    doc, row, h, a, lo, hi, fore, items = _unpack(table.column("blob").to_pylist(), np.uint64, np.int32, np.uint8, np.uint8, np.uint8, f"V{2 * SIDE}")
+    around = np.ascontiguousarray(items).view(np.uint8).reshape(len(doc), 2 * SIDE)
+    core = h.astype(">u8").view(np.uint8).reshape(len(doc), 8)
+    parts = []
+    for t in range(HALF + 1):
+        # The window that begins t bytes after a is the core with what follows t on the left and the first t on the right.
+        for side, width in ((1, HALF), (0, LEFT - HALF - 1)):
+            i = np.flatnonzero((fore == side) & (lo <= t) & (t <= hi)) if t <= width else np.zeros(0, np.int64)
+            if len(i):
+                window = np.concatenate([core[i], around[i, t:width], around[i, SIDE : SIDE + t]], axis=1)
+                hit = i[longest_previous(doc[i], window)]
+                parts.append((WINDOW, doc[hit], row[hit], a[hit] + np.int32(t)))
     return _out(parts)
 
 
@@ -324,10 +335,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = settle(sent.groupBy("bucket").applyInArrow(_meet_anchors, FOUND))
     asked = found.filter(F.col("kind").isin(FORE, BACK))
     asks = asked.groupBy("doc", "row").agg(F.collect_list(F.shiftleft(F.col("pos").cast("long"), 2).bitwiseOR(F.col("kind").cast("long"))).alias("asks"))
-    asks = F.broadcast(asks) if asked.limit(BROADCAST_ASKS + 1).count() <= BROADCAST_ASKS else asks
-    windows = base.join(asks, ["doc", "row"])
-    sent = windows.select("doc", "row", "text", "asks").mapInArrow(lambda it: _send_windows(it, n), "bucket int, kind int, blob binary")
-    match = sent.groupBy("bucket").applyInArrow(_meet_windows, FOUND)
+    asks = settle(asks)
+    # Of the texts only those with such anchors are shuffled, where their keys are few enough to be sent to the scan.
+    windows = base.join(small(asks.select("doc", "row")), ["doc", "row"], "left_semi").join(asks, ["doc", "row"])
+    sent = windows.select("doc", "row", "text", "asks").mapInArrow(lambda it: _send_contexts(it, n), "bucket int, kind int, blob binary")
+    match = sent.groupBy("bucket").applyInArrow(_meet_contexts, FOUND)
     marks = found.filter(F.col("kind") == WHOLE).union(match).select("doc", "row", (F.col("pos").cast("long") * 2 + (F.col("kind") == WINDOW).cast("long")).alias("mark"))
     marks = settle(marks.groupBy("doc", "row").agg(F.collect_set("mark").alias("marks")))
     keys = small(marks.select("doc", "row"))

@@ -51,6 +51,16 @@ def test_needed_overlap_and_subsets_lose_no_pair():
                         assert c in ngram_join.subset_sizes(n, 30, num, den) and c in ngram_join.subset_sizes(m, 30, num, den)
 
 
+def test_fine_maps_never_overstate_the_difference():
+    r = np.random.default_rng(3)
+    for n, m, both in ((100, 90, 80), (1000, 1100, 990), (64, 70, 60), (3000, 2000, 100), (1, 1, 0), (1, 1, 1)):
+        x = r.integers(0, 1 << 63, n + m - both, dtype=np.uint64)
+        a, b = x[:n], x[n - both :]
+        d = ngram_join.apart(ngram_join.fine_map(a), ngram_join.fine_map(b))
+        assert d <= n + m - 2 * both
+        assert both or n < 100 or d > 400
+
+
 def test_keep_one_keeps_columns_and_survives_odd_rows(messy, nothing):
     out = ngram_join.keep_one(messy)
     ids = [r.doc_id for r in out.collect()]
@@ -96,19 +106,14 @@ def test_exact_dedup_of_odd_rows(messy, nothing):
     assert exact_dedup.exact_dedup(nothing).count() == 0
 
 
-def test_previous_factors_are_longest_earlier_matches():
+def test_longest_previous_factors():
     r = np.random.default_rng(2)
     for _ in range(20):
         n = int(r.integers(1, 60))
-        doc, suffix = r.integers(0, 8, n), r.integers(0, 2, (n, 11)).astype(np.uint8)
-        got = suffix_dedup.previous_factors(doc, suffix)
+        doc, suffix = r.integers(0, 8, n), r.integers(0, 2, (n, 3)).astype(np.uint8)
+        got = suffix_dedup.longest_previous(doc, suffix)
         for i in range(n):
-            best = 0
-            for j in range(n):
-                if doc[j] < doc[i]:
-                    same = suffix[i] == suffix[j]
-                    best = max(best, 11 if same.all() else int(same.argmin()))
-            assert got[i] == best
+            assert got[i] == any(doc[j] < doc[i] and (suffix[i] == suffix[j]).all() for j in range(n))
 
 
 def passages(seed, alphabet):
