@@ -1,10 +1,11 @@
 """Licence scan by a positional rare-token index.
 
-Licence templates are short token sequences. Every template word has postings (template, position), and a weight, its
-inverse document frequency counted over the whole corpus. In a file the licence words of highest weight are looked up;
-each occurrence votes for the relative positions (file position minus template position) its postings allow. Where two
-or more different words of a template agree on a relative position, the template's mandatory key phrase is verified
-there, word for word, and the file gets the template's label with the weight share of the words that stand in place.
+Licence templates are short token sequences. Template words have a weight, their inverse document frequency counted over
+the whole corpus, and the two key words of highest weight of every template have postings (template, position). In a file
+all of these are looked up, so no notice hides another; each occurrence votes for the relative positions (file position
+minus template position) its postings allow. Where two different words of a template agree on a relative position, the template's
+mandatory key phrase is verified there, word for word, and the file gets the template's label with the weight share of
+the words that stand in place. Every key phrase that stands in a file is found, as its own rarest words vote for it.
 
 Three base phrases are reported as well, wherever their words stand consecutively.
 
@@ -42,10 +43,7 @@ TEMPLATES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 )
-#: Words looked up in a file: so many of highest weight among those that it has.
-RARE_WORDS = 12
-#: Words in more than this share of documents have no postings; of a template the RARE_WORDS rarest always have.
-COMMON_SHARE = 0.2
+#: So many of a template's key words, the rarest, have postings, and so many different ones must agree.
 LEAST_VOTES = 2
 
 
@@ -109,7 +107,7 @@ class Index:
         for t, (seq, key) in enumerate(self.templates):
             rarest = sorted(set(key), key=lambda w: (-self.weight[w], w))[:LEAST_VOTES]
             for i, w in enumerate(seq):
-                if df.get(VOCABULARY[w], 0) <= COMMON_SHARE * n or w in rarest:
+                if w in rarest:
                     self.postings.setdefault(w, []).append((t, i))
         self.base = [([self.number[w] for w in word_list(p)], label) for p, label in BASE.items()]
 
@@ -117,12 +115,10 @@ class Index:
         """(base places [(start, label)], {label: share}) of one document's licence words."""
         have = dict(zip(at.tolist(), word.tolist(), strict=True))
         base = [(i, label) for i in have for p, label in self.base if have[i] == p[0] and all(have.get(i + j) == w for j, w in enumerate(p))]
-        rare = set(sorted((w for w in set(have.values()) if w in self.postings), key=lambda w: (-self.weight[w], w))[:RARE_WORDS])
         votes: dict[tuple[int, int], set[int]] = {}
         for i, w in have.items():
-            if w in rare:
-                for t, j in self.postings[w]:
-                    votes.setdefault((t, i - j), set()).add(w)
+            for t, j in self.postings.get(w, ()):
+                votes.setdefault((t, i - j), set()).add(w)
         found: dict[str, float] = {}
         for (t, shift), voters in votes.items():
             seq, key = self.templates[t]

@@ -63,6 +63,17 @@ def test_every_template_is_found_and_near_misses_are_not(spark):
     assert got[100].labels == "" and got[101].labels == "" and got[102].n_base == 2 and got[102].labels == "reserved" and got[103].score == 0 and got[104].n_words == 0
 
 
+def test_several_notices_in_one_file_are_those_of_a_plain_search(spark):
+    notices = [t for _, t, _ in license_scan.TEMPLATES]
+    filler = " the quick brown fox of some words "
+    texts = [filler + a + filler + b for a in notices for b in notices] + [filler.join(notices), filler.join(notices[::-1]), " ".join(notices)] + [filler * 3] * 60
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        at = f" {' '.join(text.split())} "
+        want = {label for label, _, key in license_scan.TEMPLATES if f" {key} " in at} | {label for p, label in license_scan.BASE.items() if f" {p} " in at}
+        assert set(filter(None, got[i].labels.split(","))) == want, text
+
+
 def test_licences_of_odd_rows(messy, nothing):
     out = {r.doc_id: r for r in license_scan.scan_licenses(messy).collect()}
     assert out[11].base_labels == "cc-by,reserved" and (out[11].first_word, out[11].last_word) == (0, 3)
