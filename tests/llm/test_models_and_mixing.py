@@ -118,6 +118,42 @@ def test_mixture_of_the_table(spark, small_dir):
         assert r.sampled == (u < r.probability)
 
 
+@pytest.mark.parametrize("budget", [None, 0.1])
+def test_sampled_tokens_meet_all_marginals(spark, small_dir, budget):
+    out = mixing.mix(spark.read.parquet(f"{small_dir}/documents.parquet"), budget=budget)
+    rows = [r for r in out.select("source_cell", "lang_cell", "topic_cell", "tokens", "probability").collect() if r.tokens]
+    total, taken = sum(r.tokens for r in rows), sum(r.tokens * r.probability for r in rows)
+    for d in range(3):
+        names = {r[d] for r in rows}
+        goal = {x: sum(r.tokens for r in rows if r[d] == x) ** mixing.TEMPER for x in names}
+        for x in names:
+            assert sum(r.tokens * r.probability for r in rows if r[d] == x) / taken == pytest.approx(goal[x] / sum(goal.values()), abs=1e-5), x
+    assert all(0 <= r.probability <= 1 for r in rows)
+    noted = out.schema["probability"].metadata
+    assert noted["share"] == pytest.approx(taken / total) and noted["gap"] < 1e-5
+    assert taken / total == pytest.approx(budget, rel=1e-4) if budget else 0.2 < taken / total < mixing.BUDGET
+
+
+def test_bounded_raking_takes_more_of_cells_with_room():
+    cells = {("x", "p", "m"): 1.0, ("x", "q", "m"): 9.0, ("y", "p", "m"): 9.0, ("y", "q", "m"): 1.0}
+    goal = [{"x": 0.5, "y": 0.5}, {"p": 0.45, "q": 0.55}, {"m": 1.0}]
+    w, _, _ = mixing.rake(cells, goal)
+    p, share, gap = mixing.fit(cells, w, goal, 0.8)
+    assert share == pytest.approx(0.8) and gap < 1e-6 and all(0 < x <= 1 for x in p.values())
+    clipped = mixing.probabilities(cells, w, 0.8 * 20)
+    assert abs(sum(cells[k] * clipped[k] for k in cells if k[1] == "p") / 16 - 0.45) > 1e-3
+    # A sixth of the tokens with a target of a half: the budget ends at a third, or holds and the rest fills it.
+    few = {("x", "p", "m"): 10.0, ("y", "p", "m"): 50.0}
+    w, _, _ = mixing.rake(few, [{"x": 1.0, "y": 1.0}, {"p": 1.0}, {"m": 1.0}])
+    p, share, gap = mixing.fit(few, w, [{"x": 1.0, "y": 1.0}, {"p": 1.0}, {"m": 1.0}], None)
+    assert share == pytest.approx(1 / 3) and gap < 1e-6 and p["x", "p", "m"] == 1.0
+    p, share, gap = mixing.fit(few, w, [{"x": 1.0, "y": 1.0}, {"p": 1.0}, {"m": 1.0}], 0.5)
+    assert share == pytest.approx(0.5) and p["x", "p", "m"] == 1.0 and gap == pytest.approx(0.5 - 10 / 30)
+    # Zero cells: y has no p, so that no budget meets p = 0.9; the sample stays a sample.
+    p, share, gap = mixing.fit({("x", "p", "m"): 5.0, ("y", "q", "m"): 5.0}, mixing.rake({("x", "p", "m"): 5.0, ("y", "q", "m"): 5.0}, [{"x": 1.0, "y": 1.0}, {"p": 9.0, "q": 1.0}, {"m": 1.0}])[0], [{"x": 1.0, "y": 1.0}, {"p": 9.0, "q": 1.0}, {"m": 1.0}], None)
+    assert share > 0 and gap > 0.1 and all(0 < x <= 1 for x in p.values())
+
+
 def test_mixture_of_odd_rows(messy, nothing):
     out = mixing.mix(messy)
     assert out.count() == messy.count() and not any(r.sampled for r in out.collect() if r.tokens == 0)
