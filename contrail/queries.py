@@ -761,7 +761,7 @@ def filled_sql(v: str) -> str:
 
 @query("c3_resample", f"select {ID}, epoch_us(timestamp) as timestamp, round(epoch(timestamp) - min(epoch(timestamp)) over (partition by {ID}), 4) as time, round(altitude, 4) as altitude, round({filled_sql('CAS')}, 4) as CAS, round({filled_sql('t')}, 4) as observed_tas_kt, 0.0e0 as Mach from ({R3}) r3", 4)
 def _(t):
-    return trajectory.resample(t.sparse).select(*K, "timestamp", "time", "altitude", "CAS", "observed_tas_kt", "Mach")
+    return trajectory.resample(t.sparse, most_span_s=None).select(*K, "timestamp", "time", "altitude", "CAS", "observed_tas_kt", "Mach")
 
 
 @query("c6_selected_altitude", f"select {ID}, i, round(last_value(round_even(s.var_mean / 100, 0) * 100 ignore nulls) over (partition by t.route, t.flight_id order by t.timestamp), 6) as h_sel from track t left join (select route as r, flight_id as fl, min(i) as a, max(i) as b, avg(altitude) as var_mean from (select *, i - row_number() over (partition by {ID}, good order by timestamp) as island from (select *, coalesce(i > 0 and abs(m) <= 250 and altitude is not null, false) as good from (select *, avg(vertical_rate) {frame('7 preceding and 7 following')} as m from track) a) b) c where good group by route, flight_id, island having count(*) >= 5) s on s.r = t.route and s.fl = t.flight_id and t.i between s.a and s.b")

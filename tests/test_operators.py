@@ -3,6 +3,7 @@
 import math
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from contrail.functions import aero, bins, keys
 from contrail.operators import asof, islands, series
 from contrail.plans import assembly, compare, laws, manifest, quality, replay, trajectory
+from contrail.plans.views import Tables
+from contrail.queries import QUERIES
 from contrail.sources import tables
 
 T0 = datetime(2024, 1, 1)
@@ -291,6 +294,26 @@ def test_resample_leaves_out_corrupt_spans_and_fills_gaps(spark):
     assert {x[0] for x in got} == {"F"} and [x[2] for x in got] == [100.0, 110.0, 110.0, 110.0, 190.0, 190.0, 190.0] and {x[3] for x in got} == {0.0} and {x[4] for x in got} == {None}
 
 
+def test_resample_grids_series_of_any_span(spark, tmp_path, tiny):
+    rows = [("R", "G", at(x), float(a)) for x, a in ((0.5, 1), (3599, 2), (3600, 3), (10 * 3600, 5))] + [("R", "F", at(0), 1.0)]
+    d = spark.createDataFrame(rows, "route string, flight_id string, timestamp timestamp, altitude_ft double")
+    got = [x[0] for x in ordered(trajectory.resample(d, most_span_s=None).filter("flight_id = 'G'"), "timestamp")]
+    want = {t for _, f, s, _ in rows if f == "G" for t in (at(x) for x in range(36001)) if abs((t - s).total_seconds()) <= 2}
+    assert got == sorted(want)
+    assert [(r.flight_id, r.span_s, r.reason) for r in trajectory.left_out(d).collect()] == [("G", 36000.0, "excessive_timeline_duration")]
+    # The query keeps a supplier with more rows than eight hours have seconds.
+    for table in Path(tiny).iterdir():
+        (tmp_path / table.name).symlink_to(table)
+    (tmp_path / "lineitem.parquet").unlink()
+    spark.read.parquet(f"{tiny}/lineitem.parquet").withColumn("l_suppkey", F.lit(1).cast("long")).crossJoin(spark.range(6)).drop("id").write.parquet(str(tmp_path / "lineitem.parquet"))
+    sparse = Tables(spark, str(tmp_path)).sparse
+    assert sorted(r.span_s > trajectory.MOST_SPAN_S for r in trajectory.spans(sparse).collect()) == [True]
+    lo, hi = (int(trajectory.spans(sparse).select(trajectory.seconds(c)).first()[0]) for c in ("lo", "hi"))
+    known = [r[0] for r in sparse.filter("altitude_ft is not null").select(trajectory.seconds("timestamp")).collect()]
+    want = {s for t in known for s in range(max(lo, math.ceil(t - 2)), min(hi, math.floor(t + 2)) + 1)}
+    assert QUERIES["c3_resample"](spark, str(tmp_path)).count() == len(want) > 10000
+
+
 def test_registers_and_ambiguity(spark):
     s = "struct<roll:double,TAS:double,track:double>"
     d = spark.createDataFrame([(1, (1.0, 400.0, 5.0), None), (2, None, (250.0, 0.7, 9.0)), (3, (1.0, 400.0, 5.0), (250.0, 0.7, 9.0))], f"k int, bds50 {s}, bds60 struct<IAS:double,Mach:double,heading:double>")
