@@ -16,7 +16,7 @@ from contrail.operators.asof import asof_forward, asof_nearest, plateau_of
 from contrail.operators.series import KEYS, forward_fill, series
 from contrail.plans.descent import to_destination
 
-LEAST_PHASE_S, MOST_DWELL_S, FIRST_DWELL_S, LEAST_SLAB_ROWS, FLIGHTS_A_ROUTE = 30.0, 900.0, 90.0, 50, 120
+LEAST_PHASE_S, MOST_DWELL_S, FIRST_DWELL_S, LEAST_SLAB_ROWS = 30.0, 900.0, 90.0, 50
 NEAR_END_PHI, NEAR_END_FT = 0.85, 3000.0
 LEAST_POOL = 5
 # Multipliers of the draws.
@@ -73,10 +73,13 @@ def event_library(events: DataFrame, command: str = "vz_sel", name: str = "vz_bi
     return d.select(*keys, F.lit(phase).alias("phase"), to_step("plateau_value", HEIGHT_STEP_FT).alias("h_bin"), plateau_bin("u").alias("u_bin"), "u", to_step("value", step).alias(name), "duration_s")
 
 
-def transition_library(events: DataFrame, df: DataFrame, flights: DataFrame, phase: str = "DESCENT", per_route: int = FLIGHTS_A_ROUTE, keys=KEYS) -> DataFrame:
+def transition_library(events: DataFrame, df: DataFrame, flights: DataFrame, phase: str = "DESCENT", per_route: int | None = None, keys=KEYS) -> DataFrame:
     """CAS transitions (cas_prev_bin, cas_new_bin, dwell) with height, rate, phi and how near the end of the phase they are,
-    of the first per_route flights of each route (by firstseen) with at least LEAST_SLAB_ROWS rows in the phase."""
-    f = flights.withColumn("_k", F.row_number().over(Window.partitionBy("route").orderBy("firstseen", "flight_id"))).filter(F.col("_k") <= per_route)
+    of all the flights given with at least LEAST_SLAB_ROWS rows in the phase, or of the first per_route (by firstseen) of
+    each route; a column `accepted` of flights, as of quality.assess, says which of them count."""
+    f = flights.filter("accepted") if "accepted" in flights.columns else flights
+    if per_route is not None:
+        f = f.withColumn("_k", F.row_number().over(Window.partitionBy("route").orderBy("firstseen", "flight_id"))).filter(F.col("_k") <= per_route)
     w = series(keys)
     slab = df.filter(F.upper("phase") == phase).join(f.select(*keys), list(keys), "left_semi")
     slab = slab.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter(F.col("_n") >= LEAST_SLAB_ROWS).withColumn("_h", forward_fill("h_sel", w))

@@ -294,6 +294,19 @@ def test_resample_leaves_out_corrupt_spans_and_fills_gaps(spark):
     assert {x[0] for x in got} == {"F"} and [x[2] for x in got] == [100.0, 110.0, 110.0, 110.0, 190.0, 190.0, 190.0] and {x[3] for x in got} == {0.0} and {x[4] for x in got} == {None}
 
 
+def test_transitions_cover_all_flights_and_limits_count_accepted_ones(spark):
+    n = 130
+    f = spark.range(n).select(F.lit("R").alias("route"), F.format_string("F%03d", "id").alias("flight_id"), F.col("id").alias("firstseen"), (F.col("id") >= 5).alias("accepted"))
+    when = lambda c: (F.lit(T0.isoformat()).cast("timestamp") + F.make_dt_interval(secs=F.col(c)))
+    ids = f.select("route", "flight_id")
+    df = ids.crossJoin(spark.range(60)).select("route", "flight_id", when("id").alias("timestamp"), F.lit("DESCENT").alias("phase"), F.lit(9000.0).alias("h_sel"), F.lit(-500.0).alias("vz_sel"))
+    events = ids.crossJoin(spark.range(2)).select("route", "flight_id", (F.col("id") * 20).alias("s"), F.lit("cas_sel").alias("command"), F.lit("DESCENT").alias("phase"), F.lit(20.0).alias("duration_s"), (250.0 + F.col("id") * 10).alias("value"))
+    events = events.withColumn("start_timestamp", when("s")).drop("s")
+    found = lambda d: sorted(r.flight_id for r in d.collect())
+    assert found(laws.transition_library(events, df, f.drop("accepted"))) == [f"F{i:03d}" for i in range(n)]
+    assert found(laws.transition_library(events, df, f, per_route=3)) == ["F005", "F006", "F007"]
+
+
 def test_resample_grids_series_of_any_span(spark, tmp_path, tiny):
     rows = [("R", "G", at(x), float(a)) for x, a in ((0.5, 1), (3599, 2), (3600, 3), (10 * 3600, 5))] + [("R", "F", at(0), 1.0)]
     d = spark.createDataFrame(rows, "route string, flight_id string, timestamp timestamp, altitude_ft double")
