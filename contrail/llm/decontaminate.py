@@ -6,9 +6,16 @@ every document are hashed and joined; each hit fixes an alignment (the document
 start), and the alignment is verified word by word: the densest window of words around the hit must agree in most places.
 Only DataFrame functions are used.
 
-Words are runs of characters other than [\x20\x09-\x0D], lower-cased. Defined cases: null or empty texts and items have
-no words and no hits; items of fewer than MIN_ITEM_WORDS words are too short to be told from chance and are never found.
-Rows that repeat a doc_id are reported as one document, found if any of them is. Other columns are ignored.
+Words are runs of characters other than [\x20\x09-\x0D], lower-cased. An item of WINDOW words or more is found if some
+window of it agrees in SHARE of its places, one of SHORT to WINDOW - 1 words if the whole item does, a shorter one if it
+stands there word for word. The seeds lose none of these: every way to put the allowed substitutions into a window leaves
+a seed intact (a test tries them all). Items under LEAST_ITEM_WORDS words name no passage and are not looked for; 1 takes
+all that have words.
+
+Defined cases: null or empty texts and items have no words and no hits. Rows that repeat a doc_id are reported as one
+document, found if any of them is; decontaminate judges each row by itself, also rows without a doc_id. Items that share an
+item_id are one item to the report. Of equal alignments the first is given. Very long texts are read whole. Other columns,
+whatever their names, are ignored, and stay as they are in decontaminate. Empty tables give no hits.
 """
 
 from __future__ import annotations
@@ -18,14 +25,21 @@ from pyspark.sql import functions as F
 
 from contrail.llm._spark import documents, packed, settle
 
-#: Each starts with two checked words, which serve as a first filter. A run of ten agreeing words, or an item in which at
-#: most every fifth word is substituted, holds a seed of either mask with near certainty.
-MASKS = ("1101101", "11001011")
+#: Each starts with two checked words, which serve as a first filter. The first two are for items of WINDOW words or more,
+#: the last for shorter ones, of which it takes one place for each substitution allowed and one more.
+MASKS, SHORT_MASK = ("1101101", "11001011"), "111"
 #: An alignment counts if a window of at least WINDOW words (the whole item if that is shorter) agrees in SHARE of its places.
 WINDOW, SHARE = 13, 0.8
-MIN_ITEM_WORDS = 8
-#: Benchmarks with at most so many seeds are broadcast to the documents; larger ones are joined by a shuffle.
-BROADCAST_SEEDS = 2_000_000
+#: Items of fewer words must stand there word for word; those under LEAST_ITEM_WORDS are not looked for.
+SHORT, LEAST_ITEM_WORDS = 8, 3
+#: Seeds of so many rows (three longs each), and items of so many words in all, are broadcast to the documents; larger
+#: tables are joined by a shuffle.
+BROADCAST_SEEDS, BROADCAST_WORDS = 2_000_000, 4_000_000
+
+
+def needed(width: int, window: int = WINDOW, share: float = SHARE) -> int:
+    """Places that must agree in a window of that many words."""
+    return width if width < min(SHORT, window) else -int(-round(width * share * 1000) // 1000)
 
 
 def _words(text: str) -> Column:
@@ -50,11 +64,20 @@ def _with_pairs(df: DataFrame, words: str) -> DataFrame:
     return df.withColumn("pairs", pairs).select(*df.columns, F.posexplode_outer("pairs").alias("at", "pair"))
 
 
-def _with_seeds(df: DataFrame, words: str, masks: tuple[str, ...]) -> DataFrame:
-    made = F.array(*[_seed(F.col(words), F.col("at"), m, bits) for m, bits in enumerate(masks)])
+def _with_seeds(df: DataFrame, words: str, masks: tuple[str, ...], taken=None) -> DataFrame:
+    """One row per seed; taken(mask, at) tells which places of a mask are used."""
+    made = [_seed(F.col(words), F.col("at"), m, bits) for m, bits in enumerate(masks)]
+    made = F.array(*[F.when(taken(bits, F.col("at")), x) if taken else x for bits, x in zip(masks, made, strict=True)])
     return df.withColumn("seeds", made).select(*df.columns, F.explode_outer("seeds").alias("seed")).filter(F.col("seed").isNotNull())
 
 
+def seed_places(window: int = WINDOW, share: float = SHARE):
+    """taken(mask, at) for items: the long masks everywhere in long items, the short one at disjoint places of short items."""
+    n = F.size("item")
+    blocks = F.create_map(*[F.lit(x) for w in range(1, window) for x in (w, w - needed(w, window, share) + 1)])
+    return lambda bits, at: (n < window) & (at % 3 == 0) & (at < 3 * F.element_at(blocks, n)) if bits == SHORT_MASK else n >= window
+
+
 def _verified(words: Column, item: Column, shift: Column, window: int) -> tuple[Column, Column]:
     """(matches, length) of the best window of an alignment: item[t] against words[shift + t]."""
     same = F.transform(item, lambda w, t: F.when((shift + t >= 0) & (F.get(words, shift + t) == w), 1).otherwise(0))
@@ -64,37 +87,61 @@ def _verified(words: Column, item: Column, shift: Column, window: int) -> tuple[
     return total, best
 
 
-def contamination(
+def _found(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    masks: tuple[str, ...] = MASKS, window: int = WINDOW, share: float = SHARE, broadcast_seeds: int = BROADCAST_SEEDS,
+    masks: tuple[str, ...] = MASKS, window: int = WINDOW, share: float = SHARE, least_words: int = LEAST_ITEM_WORDS, broadcast_seeds: int = BROADCAST_SEEDS, broadcast_words: int = BROADCAST_WORDS,
 ) -> DataFrame:
-    """(doc_id, item_id, first_word, matched_words, item_words, window_matches) for each document and benchmark item it
-    contains; first_word is where the item would start in the document (negative if its head is missing). Of several
-    alignments the one with most matches is given, the first on a tie."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), _hashed(item_text_col).alias("item")).filter(F.size("item") >= MIN_ITEM_WORDS)
-    seeds = settle(_with_seeds(_with_pairs(items, "item"), "item", masks).withColumnRenamed("at", "item_at"))
-    d = docs.select(F.col(id_col).alias("doc_id"), _hashed(text_col).alias("words"))
+    """The alignments that count, of each row of docs: doc_id, text_key (a hash of the text, which tells rows of one doc_id
+    apart), item_id, shift, matched, best, item_words."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), _hashed(item_text_col).alias("item")).filter(F.size("item") >= max(1, least_words))
+    items = settle(items.withColumn("item_key", F.monotonically_increasing_id()))
+    sizes = items.agg(F.sum(F.size("item").cast("long")), F.min(F.size("item"))).first()
+    masks = (*masks, SHORT_MASK) if sizes[0] and sizes[1] < window else masks
+    # Items too short for any mask are one seed of all their words.
+    brief = [n for n in (1, 2) if sizes[0] and least_words <= n and sizes[1] <= n]
+    seeds = _with_seeds(_with_pairs(items, "item"), "item", masks, seed_places(window, share)).select("pair", "seed", "item_key", F.col("at").alias("item_at"))
+    seeds = settle(seeds)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), _hashed(text_col).alias("words"))
     shift = (F.col("at") - F.col("item_at")).alias("shift")
     spread = _with_pairs(d, "words")
+    own = ("doc_id", "text_key")
     if seeds.count() <= broadcast_seeds:
         # Both joins filter rows in the stage that scans the documents; no text and no position is shuffled.
         near = _with_seeds(spread.join(F.broadcast(seeds.select("pair").distinct()), "pair", "left_semi"), "words", masks)
-        hits = near.join(F.broadcast(seeds.drop("pair")), "seed").select("doc_id", "item_id", "words", "item", shift)
+        hits = near.join(F.broadcast(seeds.drop("pair")), "seed").select(*own, "item_key", "words", shift)
     else:
-        thin = _with_seeds(spread, "words", masks).select("doc_id", "at", "seed").join(seeds.select("seed", "item_id", "item_at"), "seed")
-        hits = thin.select("doc_id", "item_id", shift).distinct().join(items, "item_id").join(d, "doc_id")
+        thin = _with_seeds(spread, "words", masks).select(*own, "at", "seed").join(seeds.select("seed", "item_key", "item_at"), "seed")
+        thin = settle(thin.select(*own, "item_key", shift).distinct())
+        named = thin.select(*own).distinct().withColumnsRenamed({c: f"_{c}" for c in own})
+        same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key"))
+        texts = d.join(named, same, "left_semi").groupBy(*own).agg(F.first("words").alias("words")).withColumnsRenamed({c: f"_{c}" for c in own})
+        hits = thin.join(texts, same).select(*own, "item_key", "words", "shift")
+    if brief:
+        word = d.select(*own, "words", F.posexplode("words").alias("at", "word"))
+        short = items.filter(F.size("item").isin(brief)).select("item_key", F.get("item", F.lit(0)).alias("word"))
+        hits = hits.unionByName(word.join(short, "word").select(*own, "item_key", "words", F.col("at").alias("shift")))
+    hits = hits.join(F.broadcast(items) if (sizes[0] or 0) <= broadcast_words else items, "item_key")
     total, best = _verified(F.col("words"), F.col("item"), F.col("shift"), window)
-    checked = hits.select("doc_id", "item_id", "shift", total.alias("matched"), best.alias("best"), F.size("item").alias("item_words"))
-    good = checked.filter(F.col("best") >= F.ceil(F.least(F.col("item_words"), F.lit(window)) * share))
-    return good.groupBy("doc_id", "item_id").agg(
+    checked = hits.select(*own, "item_id", "shift", total.alias("matched"), best.alias("best"), F.size("item").alias("item_words"))
+    need = F.element_at(F.array(*[F.lit(needed(w, window, share)) for w in range(1, window + 1)]), F.least(F.col("item_words"), F.lit(window)))
+    return checked.filter(F.col("best") >= need)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """(doc_id, item_id, first_word, matched_words, item_words, window_matches) for each document and benchmark item it
+    contains; first_word is where the item would start in the document (negative if its head is missing). Of several
+    alignments the one with most matches is given, the first on a tie. Options: those of _found, such as masks, window,
+    share and least_words."""
+    return _found(docs, benchmark, **options).groupBy("doc_id", "item_id").agg(
         F.max_by("shift", F.struct("matched", -F.col("shift"))).alias("first_word"), F.max("matched").alias("matched_words"), F.max("item_words").alias("item_words"), F.max("best").alias("window_matches")
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that contain no benchmark passage, with all their columns."""
-    bad = contamination(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return packed(docs, _id=options.get("id_col", "doc_id")).join(bad, F.col("_id").eqNullSafe(F.col("_bad")), "left_anti").select("row.*")
+    bad = _found(docs, benchmark, **options).select(F.col("doc_id").alias("_bad"), F.col("text_key").alias("_bad_text")).distinct()
+    rows = packed(docs, _id=options.get("id_col", "doc_id"), _text=options.get("text_col", "text"))
+    return rows.join(bad, F.col("_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("_text") == F.col("_bad_text")), "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,13 +12,15 @@ Two sets of sizes n and m with Jaccard similarity of at least t share c(n, m) =
 come last and hardly ever get a list. Every candidate is verified on the sets themselves.
 
 Only the classes are needed, so copies are never expanded into all pairs: equal sets are one class from the start; each
-list first compares its members with its smallest member only, the classes so far are formed, and then only members of
-different classes are compared, behind filters that lose nothing (sizes, position in the list order, parity bitmaps). No
-link between different classes is lost, so classes are exact.
+list first compares its members with its most central member only (the one with the fewest elements that no other set
+lists), the classes so far are formed, and then only members of different classes are compared. Of lists with the same
+members one is enough. That join has filters that lose nothing (sizes, position in the list order, parity bitmaps of two to
+four bits an element), so that hardly a pair leaves it that is not a link or within a hundredth of one. No link between
+different classes is lost, so classes are exact.
 
 Defined cases: null or empty texts have the empty set, which links with nothing; a text with fewer words than n has its
-whole word sequence as its one element. Rows that repeat a doc_id appear once each; where their texts differ, one of them,
-fixed by a hash, is compared. Rows without a doc_id take no part and have a null class. Other columns are ignored.
+whole word sequence as its one element. Rows that repeat a doc_id appear once each and are in one class, which has the
+links of all their texts. Rows without a doc_id take no part and have a null class. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ from contrail.llm.components import connected_components
 BUCKETS, PIECES = 1 << 20, 16
 #: Sizes up to this may be handled by subsets.
 MOST_SMALL = 40
+#: One in so many elements is counted for the cost of scanning lists.
+SEEN = 64
 WORD_BITS = 64
 BITMAP_WORDS = 4
 WORDS = ("w0", "w1", "w2", "w3")
@@ -63,19 +67,36 @@ def subset_sizes(n: int, top: int, num: int, den: int) -> list[int]:
 
 
 def boundary(sizes: dict[int, int], scan: float, num: int, den: int) -> int:
-    """The size up to which sets are small, at least cost in rows made and lists scanned. scan: rows met per list."""
+    """The size up to which sets are small, at least cost in rows made and lists scanned. scan: other members that an
+    element of a small set meets in its list. Of equal costs the larger boundary is taken."""
     best = (float("inf"), 0)
     for top in range(MOST_SMALL + 1):
         cost = sum(k * (sum(comb(n, c) for c in subset_sizes(n, top, num, den)) if n <= top else prefix(n, num, den) * (1 + scan)) for n, k in sizes.items())
-        best = min(best, (cost, top))
-    return best[1]
+        best = min(best, (cost, -top))
+    return -best[1]
+
+
+def met(told: DataFrame, num: int, den: int) -> float:
+    """Members of other sets that an element in the prefix of a small set meets on average in its inverted list. Lists are
+    counted for a fixed share of the elements; prefixes hold the rarest elements, so of the sampled ones, by rising count,
+    only the share that prefixes take counts. The figure only serves the choice of the boundary."""
+    seen = told.filter("kind = 'seen'").groupBy("s1").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("small"))
+    rows = sorted((r.members, r.small, r.lists) for r in seen.groupBy("members").agg(F.sum("small").alias("small"), F.count(F.lit(1)).alias("lists")).collect())
+    left = sum(small for _, small, _ in rows) * prefix(MOST_SMALL, num, den) / MOST_SMALL
+    wanted, total = left, 0.0
+    for members, small, _ in rows:
+        total += (members - 1) * min(small, left)
+        left -= min(small, left)
+    return total / wanted if wanted else 0.0
 
 
 def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (kind 'set': doc_id, n, two hashes of the whole set, two parity bitmaps), then (kind 'freq': piece, counts)."""
+    """Rows (kind 'set': doc_id, n, two hashes of the whole set, parity bitmaps), (kind 'seen': a sampled element as s1, with
+    n = 1 if its set is small), then (kind 'freq': piece, counts)."""
     counts = np.zeros(BUCKETS, np.int64)
     task = TaskContext.get().partitionId()
-    names = ["kind", "doc_id", "n", "s1", "s2", "w0", "w1", "w2", "w3", "blob"]
+    names = ["kind", "doc_id", "n", "s1", "s2", "w0", "w1", "w2", "w3", "map", "blob"]
+    longs = pa.list_(pa.int64())
     for batch in batches:
         ids, (buf, off) = batch.column(0), utf8(batch.column(1))
         for lo, hi in runs(off):
@@ -94,35 +115,34 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
                     maps[full, w] = np.bitwise_xor.reduceat(np.where(bit // np.uint64(WORD_BITS) == w, one, np.uint64(0)), at)
             size = hi - lo
             fine = [fine_map(h[a:b]) for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(["set"] * size), ids.slice(lo, size), pa.array(n, pa.int64()), as_long(s1), as_long(s2), *[as_long(maps[:, w]) for w in range(BITMAP_WORDS)], pa.array(fine, pa.binary())], names)
+            edge = np.concatenate([[0], np.cumsum([len(f) for f in fine])]).astype(np.int32)
+            fine = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), as_long(np.concatenate(fine)))
+            yield pa.RecordBatch.from_arrays([pa.array(["set"] * size, pa.string()), ids.slice(lo, size), pa.array(n, pa.int64()), as_long(s1), as_long(s2), *[as_long(maps[:, w]) for w in range(BITMAP_WORDS)], fine, pa.nulls(size, pa.binary())], names)
+            at = np.flatnonzero((h >> np.uint64(24)) % np.uint64(SEEN) == 0)
+            own = (n <= MOST_SMALL)[np.searchsorted(bound[1:], at, "right")]
+            yield pa.RecordBatch.from_arrays([pa.array(["seen"] * len(at), pa.string()), pa.nulls(len(at), pa.int64()), pa.array(own.astype(np.int64)), as_long(h[at]), *[pa.nulls(len(at), pa.int64())] * 5, pa.nulls(len(at), longs), pa.nulls(len(at), pa.binary())], names)
     step = BUCKETS // PIECES
     blobs = [zlib.compress(counts[i * step : (i + 1) * step].tobytes(), 1) for i in range(PIECES)]
-    yield pa.RecordBatch.from_arrays([pa.array(["freq"] * PIECES), pa.array([task] * PIECES, pa.int64()), pa.array(range(PIECES), pa.int64()), *[pa.nulls(PIECES, pa.int64())] * 6, pa.array(blobs, pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([pa.array(["freq"] * PIECES), pa.array([task] * PIECES, pa.int64()), pa.array(range(PIECES), pa.int64()), *[pa.nulls(PIECES, pa.int64())] * 6, pa.nulls(PIECES, longs), pa.array(blobs, pa.binary())], names)
 
 
-def fine_map(h: np.ndarray) -> bytes:
-    """Parity bitmap of a set, of half as many bits as it has elements, or up to as many, in a power of two. The bits in
+def fine_map(h: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set as words, of two to four times as many bits as it has elements, a power of two. The bits in
     which two maps differ are no more than the elements in which the sets do. A map folds to half its size by xor."""
-    bits = max(64, 1 << max(0, int(len(h) - 1).bit_length() - 1))
+    bits = max(64, 1 << (int(max(1, len(h)) - 1).bit_length() + 1))
     odd = np.bincount((h >> np.uint64(12)).astype(np.int64) & (bits - 1), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def apart(x: bytes, y: bytes) -> int:
-    """A lower bound of the size of the symmetric difference, from two fine maps."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+def apart(x: str, y: str) -> str:
+    """SQL for a lower bound of the size of the symmetric difference, from two fine maps; the longer one is folded."""
+    fold = lambda a, b: f"if(size({a}) <= size({b}), {a}, transform(sequence(0, size({b}) - 1), i -> aggregate(sequence(0, size({a}) div size({b}) - 1), 0L, (s, j) -> s ^ get({a}, int(i + j * size({b}))))))"
+    return f"aggregate(zip_with({fold(x, y)}, {fold(y, x)}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
 
 
-def _possible(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        c = {k: batch.column(k).to_pylist() for k in ("an", "bn", "am", "bm")}
-        keep = [i for i, (n, m, x, y) in enumerate(zip(*c.values(), strict=True)) if apart(x, y) <= n + m - 2 * need(n, m, num, den)]
-        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+def least(num: int, den: int) -> str:
+    """SQL for need() of x.n and y.n."""
+    return f"(({num}L * (x.n + y.n) + {num + den - 1}) div {num + den})"
 
 
 def _added(key, table):
@@ -196,11 +216,11 @@ def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
 
 
 def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs(a, b) whose sets reach the similarity. The fine maps (heads: doc_id, n, blob) leave few pairs; only the
+    """The pairs(a, b) whose sets reach the similarity. The fine maps (heads: doc_id, n, map) leave few pairs; only the
     texts that those name leave their scan."""
-    side = lambda s: heads.select(F.col("doc_id").alias(s), F.col("n").alias(f"{s}n"), F.col("blob").alias(f"{s}m"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "bn", "am", "bm")
-    pairs = settle(pairs.mapInArrow(lambda it: _possible(it, num, den), "a long, b long"))
+    x, y = heads.alias("x"), heads.alias("y")
+    pairs = pairs.join(x, F.expr("a = x.doc_id")).join(y, F.expr("b = y.doc_id"))
+    pairs = settle(pairs.filter(F.expr(f"{apart('x.map', 'y.map')} <= x.n + y.n - 2 * {least(num, den)}")).select("a", "b"))
     named = settle(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     texts = docs.join(small(named), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sets = settle(texts.select("doc_id", "text").mapInArrow(lambda it: _sets(it, k), "doc_id long, set binary"))
@@ -208,50 +228,90 @@ def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, num: i
     return rows.select("a", "b", "xs", "ys").mapInArrow(lambda it: _compare(it, num, den), "a long, b long")
 
 
-def near_copies(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs; component_id is the smallest doc_id that links reach."""
-    spark = docs.sparkSession
+def near_copies(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", top: int | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs; component_id is the smallest doc_id that links reach. top
+    sets the boundary between small and large sets (0: inverted lists for all), which is otherwise chosen by cost."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    told = settle(docs.mapInArrow(lambda it: _describe(it, k), "kind string, doc_id long, n long, s1 long, s2 long, w0 long, w1 long, w2 long, w3 long, blob binary"))
+    told = described(docs, k)
+    repeated = told.filter("kind = 'set' and n > 0 and doc_id is not null").groupBy("doc_id").agg(F.countDistinct("n", "s1", "s2").alias("sets")).filter("sets > 1")
+    if repeated.isEmpty():
+        return _classes(docs, told, k, num, den, top)
+    # Rows that repeat a doc_id with other words get ids of their own, and are one class in the end.
+    rows = settle(docs.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
+    own = rows.select(F.col("row").alias("doc_id"), "text")
+    found = settle(_classes(own, described(own, k), k, num, den, top).withColumnsRenamed({"doc_id": "row", "component_id": "class"}).join(rows.select("row", F.col("doc_id").alias("id")), "row"))
+    # A doc_id, marked by its sign so that it is no row, meets the classes of its rows; rows without words stay alone.
+    linked = found.filter("n_shingles > 0")
+    meet = linked.select(F.col("class").alias("a"), F.col("id").alias("i")).distinct()
+    first = meet.groupBy("i").agg(F.min("a").alias("b"))
+    joined = connected_components(settle(meet.join(first, "i").select("a", "b").distinct()))
+    linked = linked.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("class", F.coalesce("component", "class"))
+    name = linked.groupBy("class").agg(F.min("id").alias("component_id"))
+    full = linked.join(name, "class").select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+    empty = found.filter("n_shingles = 0")
+    # A row without words has the class of its doc_id where another row of it has one.
+    empty = empty.select("id", "n_shingles").join(full.groupBy(F.col("doc_id").alias("id")).agg(F.min("component_id").alias("c")), "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("c", "id").alias("component_id"))
+    return full.unionByName(empty).unionByName(_without_id(told))
+
+
+def described(docs: DataFrame, k: int) -> DataFrame:
+    return settle(docs.mapInArrow(lambda it: _describe(it, k), "kind string, doc_id long, n long, s1 long, s2 long, w0 long, w1 long, w2 long, w3 long, map array<long>, blob binary"))
+
+
+def _without_id(told: DataFrame) -> DataFrame:
+    return told.filter("kind = 'set' and doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+
+
+def _classes(docs: DataFrame, told: DataFrame, k: int, num: int, den: int, top: int | None) -> DataFrame:
+    """near_copies of rows whose ids have one set each."""
+    spark = docs.sparkSession
     table = bucket_counts(told.filter("kind = 'freq'").select(F.col("n").alias("piece"), F.col("doc_id").alias("task"), "blob"))
     rank = spark.sparkContext.broadcast(np.minimum(np.floor(8 * np.log2(table + 1.0)), 254).astype(np.uint8))
     sets = told.filter("kind = 'set'")
-    sizes = {r.n: r["count"] for r in sets.filter(F.col("n").between(1, MOST_SMALL)).groupBy("n").count().collect()}
-    top = boundary(sizes, float(np.quantile(table, 0.1)), num, den)
+    if top is None:
+        sizes = {r.n: r["count"] for r in sets.filter(F.col("n").between(1, MOST_SMALL)).groupBy("n").count().collect()}
+        top = boundary(sizes, met(told, num, den), num, den)
 
     # Equal sets are one class; its smallest doc_id stands for it.
     real = sets.filter("n > 0 and doc_id is not null")
-    first = real.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", *WORDS, "blob")).alias("m")).select("n", "s1", "s2", F.col("m.doc_id").alias("first"), *[F.col(f"m.{c}").alias(c) for c in (*WORDS, "blob")])
+    kept = (*WORDS, "map")
+    first = real.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", *kept)).alias("m")).select(F.col("n").cast("int").alias("n"), "s1", "s2", F.col("m.doc_id").alias("first"), *[F.col(f"m.{c}").alias(c) for c in kept])
     first = settle(first)
-    heads = first.select(F.col("first").alias("doc_id"), F.col("n").cast("int").alias("n"))
-    maps = first.select(F.col("first").alias("doc_id"), "n", "blob").dropDuplicates(["doc_id"])
+    heads = first.select(F.col("first").alias("doc_id"), "n", *kept)
 
     lists = settle(docs.filter("doc_id is not null").mapInArrow(lambda it: _postings(it, k, num, den, top, rank), "token long, doc_id long, n int, pos int"))
     # Only lists with two members matter, and of equal sets only the first.
     shared = lists.groupBy("token").count().filter("count > 1").select("token")
-    lists = settle(lists.join(shared, "token").join(small(heads), ["doc_id", "n"], "left_semi"))
-    fits = f"least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num} and not (x.pos >= 0 and greatest(x.n, y.n) <= {top})"
-    hubs = lists.groupBy("token").agg(F.min(F.struct("doc_id", "n", "pos")).alias("h"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("token", "h.*")
+    lists = settle(lists.join(shared, "token").join(small(heads.select("doc_id")), "doc_id", "left_semi"))
+    fits = f"least(x.n, y.n) * {den}L >= greatest(x.n, y.n) * {num}L and not (x.pos >= 0 and greatest(x.n, y.n) <= {top})"
+    # The member that shares most of its prefix is the most central one.
+    alone = lists.groupBy("doc_id", "n").agg(F.expr(f"n - ({num}L * n + {den - 1}) div {den} + 1 - count_if(pos >= 0)").alias("alone")).select("doc_id", "alone")
+    by = lists.join(small(alone), "doc_id")
+    hubs = by.groupBy("token").agg(F.min(F.struct("alone", "doc_id", "n", "pos")).alias("h"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("token", "h.*")
     star = lists.alias("y").join(hubs.alias("x"), F.expr(f"x.token = y.token and x.doc_id <> y.doc_id and {fits}"))
-    star = settle(star.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
-    edges = settle(verified(star, maps, docs, k, num, den))
+    star = settle(star.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct())
+    edges = settle(verified(star, heads, docs, k, num, den))
 
     classes = connected_components(edges)
     members = lists.join(small(classes.withColumnRenamed("node", "doc_id")), "doc_id", "left").withColumn("class", F.coalesce("component", "doc_id")).drop("component")
-    open_lists = members.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("token")
-    bits = first.select(F.col("first").alias("doc_id"), F.col("n").cast("int").alias("n"), *WORDS)
-    members = settle(members.join(open_lists, "token").join(bits, ["doc_id", "n"]))
+    members = settle(members)
+    lists_seen = members.groupBy("token").agg(
+        F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("pos").alias("pos"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("x1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x2")
+    )
+    # Of the lists with more than one class, one of each set of members.
+    open_lists = lists_seen.filter("lo < hi").groupBy(F.expr("pos < 0").alias("subset"), "size", "x1", "x2").agg(F.min("token").alias("token")).select("token")
+    members = settle(members.join(small(open_lists), "token", "left_semi").join(heads.drop("n"), "doc_id"))
     x, y = members.alias("x"), members.alias("y")
-    least = f"ceil({num} * (x.n + y.n) / {num + den})"
     differ = " + ".join(f"bit_count(x.w{w} ^ y.w{w})" for w in range(BITMAP_WORDS))
+    most = f"x.n + y.n - 2 * {least(num, den)}"
     rest = x.join(y, F.expr(
         f"x.token = y.token and x.doc_id < y.doc_id and x.class <> y.class and {fits}"
-        f" and (x.pos < 0 or least(x.pos, y.pos) + 1 + least(x.n - x.pos, y.n - y.pos) - 1 >= {least})"
-        f" and {differ} <= x.n + y.n - 2 * {least}"
+        f" and (x.pos < 0 or least(x.pos, y.pos) + 1 + least(x.n - x.pos, y.n - y.pos) - 1 >= {least(num, den)})"
+        f" and {differ} <= {most} and {apart('x.map', 'y.map')} <= {most}"
     )).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     rest = settle(rest.join(star, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        classes = connected_components(edges.union(settle(verified(rest, maps, docs, k, num, den))))
+        classes = connected_components(edges.union(settle(verified(rest, heads, docs, k, num, den))))
 
     label = first.join(classes.withColumnRenamed("node", "first"), "first", "left").select("n", "s1", "s2", F.coalesce("component", "first").alias("component"))
     out = sets.join(label, ["n", "s1", "s2"], "left")

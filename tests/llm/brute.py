@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import re
 
+import numpy as np
+
 WHITE = r"[\x20\x09-\x0d]+"
 
 
@@ -44,23 +47,23 @@ def near_copies(rows, k, num, den):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def contaminated(rows, items, window, share, least):
+def contaminated(rows, items, window, needed, least):
     """(doc, item) pairs with an alignment in which some window of words agrees in enough places."""
-    out = set()
-    words = lambda t: [x for x in re.split(WHITE, (t or "").lower()) if x]
+    out, number = set(), collections.defaultdict(itertools.count().__next__)
+    coded = lambda t: np.array([number[x] for x in re.split(WHITE, (t or "").lower()) if x], np.int64)
+    items = [(i, p) for i, p in ((i, coded(t)) for i, t in items) if len(p) >= least]
     for d, text in rows:
-        w = words(text)
-        for i, item in items:
-            p = words(item)
-            if len(p) < least:
+        w = coded(text)
+        for i, p in items:
+            if len(np.intersect1d(w, p)) < needed(min(len(p), window)):
                 continue
-            width = min(len(p), window)
-            need = -(-min(len(p), window) * int(share * 100) // 100)
-            for shift in range(-len(p) + 1, len(w)):
-                same = [0 <= shift + t < len(w) and w[shift + t] == p[t] for t in range(len(p))]
-                if any(sum(same[a : a + width]) >= need for a in range(len(p) - width + 1)):
-                    out.add((d, i))
-                    break
+            width, n = min(len(p), window), len(p)
+            # Row t: whether item word t stands at each alignment; padded, so that heads and tails may be missing.
+            wide = np.concatenate([np.full(n - 1, -1), w, np.full(n - 1, -1)])
+            same = np.array([wide[t : t + len(w) + n - 1] == p[t] for t in range(n)], np.int64)
+            total = np.concatenate([np.zeros((1, same.shape[1]), np.int64), np.cumsum(same, axis=0)])
+            if (total[width:] - total[:-width]).max(initial=0) >= needed(width):
+                out.add((d, i))
     return out
 
 

@@ -51,14 +51,44 @@ def test_needed_overlap_and_subsets_lose_no_pair():
                         assert c in ngram_join.subset_sizes(n, 30, num, den) and c in ngram_join.subset_sizes(m, 30, num, den)
 
 
-def test_fine_maps_never_overstate_the_difference():
+def test_fine_maps_never_overstate_the_difference(spark):
     r = np.random.default_rng(3)
-    for n, m, both in ((100, 90, 80), (1000, 1100, 990), (64, 70, 60), (3000, 2000, 100), (1, 1, 0), (1, 1, 1)):
+    rows = []
+    for n, m, both in ((100, 90, 80), (1000, 1100, 990), (64, 70, 60), (3000, 2000, 100), (1, 1, 0), (1, 1, 1), (100, 2000, 90), (260, 250, 225)):
         x = r.integers(0, 1 << 63, n + m - both, dtype=np.uint64)
-        a, b = x[:n], x[n - both :]
-        d = ngram_join.apart(ngram_join.fine_map(a), ngram_join.fine_map(b))
-        assert d <= n + m - 2 * both
-        assert both or n < 100 or d > 400
+        rows.append((n, m, both, ngram_join.fine_map(x[:n]).view(np.int64).tolist(), ngram_join.fine_map(x[n - both :]).view(np.int64).tolist()))
+    d = spark.createDataFrame(rows, "n int, m int, both int, a array<long>, b array<long>")
+    for g in d.selectExpr("n", "m", "both", f"{ngram_join.apart('a', 'b')} as d", f"{ngram_join.apart('b', 'a')} as e").collect():
+        most = g.n + g.m - 2 * g.both
+        assert g.d == g.e <= most and g.d >= (0.6 * most if abs(g.n - g.m) < 200 else 0)
+
+
+@pytest.mark.parametrize("top", [0, 3, 14, 24, None])
+def test_near_copies_with_any_boundary(spark, top):
+    r = random.Random(9)
+    rows = edited(7, 70, 30, 24)
+    # One family of many copies with edits, some of which link only to each other.
+    base = [f"b{i}" for i in range(60)]
+    for _ in range(60):
+        v = list(base)
+        for _ in range(r.randrange(0, 5)):
+            v[r.randrange(len(v))] = f"x{r.randrange(400)}"
+        rows.append((len(rows), " ".join(v)))
+    got = {g.doc_id: (g.n_shingles, g.component_id) for g in ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 100, top=top).collect()}
+    assert got == brute.near_copies(rows, 3, 80, 100)
+
+
+def test_the_boundary_follows_the_cost_of_lists():
+    sizes = {n: 100 for n in range(1, 41)}
+    tops = [ngram_join.boundary(sizes, scan, 90, 100) for scan in (0.0, 5.0, 50.0, 5000.0)]
+    assert tops == sorted(tops) and 9 <= tops[0] < tops[-1]
+
+
+def test_rows_that_repeat_an_id_keep_all_links(spark):
+    a, c = [" ".join(f"{x}{i}" for i in range(60)) for x in "ac"]
+    rows = [(1, a), (1, c), (2, a + " tail"), (3, c + " tail"), (4, "other words stand here alone"), (4, None), (5, "other words stand here alone"), (6, ""), (6, "lone and far from all others"), (None, a), (1, a)]
+    got = sorted((g.doc_id or 0, g.n_shingles, g.component_id or 0) for g in ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect())
+    assert got == sorted([(1, 58, 1), (1, 58, 1), (1, 58, 1), (2, 59, 1), (3, 59, 1), (4, 3, 4), (4, 0, 4), (5, 3, 4), (6, 0, 6), (6, 4, 6), (0, 58, 0)])
 
 
 def test_keep_one_keeps_columns_and_survives_odd_rows(messy, nothing):

@@ -28,8 +28,7 @@ def test_stages_of_the_table(spark, tiny):
             assert set(after) == {i for i, (_, c) in brute.near_copies([(i, r.text) for i, r in before.items()], 5, 80, 100).items() if c == i}
         elif name == "decontamination":
             gone = set(before) - set(after)
-            sample = [*gone, *sorted(set(before) - gone)[:25]]
-            bad = {d for d, _ in brute.contaminated([(i, before[i].text) for i in sample], items, decontaminate.WINDOW, decontaminate.SHARE, decontaminate.MIN_ITEM_WORDS)}
+            bad = {d for d, _ in brute.contaminated([(i, r.text) for i, r in before.items()], items, decontaminate.WINDOW, decontaminate.needed, decontaminate.LEAST_ITEM_WORDS)}
             assert gone == bad
         elif name == "mixing":
             want = {r.doc_id for r in mixing.mix(spark.createDataFrame(list(before.values()))).collect() if r.sampled}

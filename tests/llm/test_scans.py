@@ -1,3 +1,5 @@
+import itertools
+
 import brute
 import duckdb
 
@@ -87,26 +89,41 @@ def planted():
         (1, "head words " + " ".join(item).upper() + " tail"), (2, "some " + " ".join(swap) + " end"), (3, " ".join(item[6:])), (4, " ".join(item[::-1])), (5, " ".join(w for x in item for w in (x, "gap"))),
         (6, " ".join(item[:6]) + " other words entirely follow here now"), (7, None), (8, ""), (9, " ".join(item[:14])), (10, " ".join("one two three four five six seven eight".split())),
     ]
-    return rows, [(1, " ".join(item)), (2, "one two three four five six seven eight"), (3, "too short"), (4, None), (5, "")]
+    rows += [(11, "go the hidden passage here on"), (12, "go the hidden Passage"), (13, "we say One two Three four x six seven eight now"), (14, "a two words b"), (None, "x " + " ".join(item)), (None, "clean text of no note"), (1, "clean text of no note")]
+    return rows, [(1, " ".join(item)), (2, "one two three four five six seven eight"), (3, "too short"), (4, None), (5, ""), (6, "the hidden passage"), (7, "two words"), (None, "hidden passage here on")]
+
+
+def found(got):
+    return {(r.doc_id, r.item_id) for r in got}
 
 
 def test_contamination_is_that_of_brute_force_on_either_path(spark):
     rows, items = planted()
     d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    want = brute.contaminated(rows, items, decontaminate.WINDOW, decontaminate.SHARE, decontaminate.MIN_ITEM_WORDS)
-    assert want == {(1, 1), (2, 1), (3, 1), (9, 1), (10, 2)}
-    for most in (decontaminate.BROADCAST_SEEDS, 0):
-        got = decontaminate.contamination(d, b, broadcast_seeds=most).collect()
-        assert {(r.doc_id, r.item_id) for r in got} == want
-        assert {r.doc_id: r.first_word for r in got}[1] == 2 and {r.doc_id: r.first_word for r in got}[3] == -6
+    want = {least: brute.contaminated(rows, items, decontaminate.WINDOW, decontaminate.needed, least) for least in (1, 3)}
+    assert want[3] == {(1, 1), (2, 1), (3, 1), (9, 1), (10, 2), (13, 2), (11, 6), (12, 6), (11, None), (None, 1)} and want[1] == want[3] | {(14, 7)}
+    for least, seeds, words in ((3, decontaminate.BROADCAST_SEEDS, decontaminate.BROADCAST_WORDS), (3, 0, 0), (1, 0, 100)):
+        got = decontaminate.contamination(d, b, least_words=least, broadcast_seeds=seeds, broadcast_words=words).collect()
+        assert found(got) == want[least]
+        assert {r.doc_id: r.first_word for r in got if r.item_id == 1}[1] == 2 and {r.doc_id: r.first_word for r in got}[3] == -6
+        kept = decontaminate.decontaminate(d, b, least_words=least, broadcast_seeds=seeds, broadcast_words=words).collect()
+        bad = brute.contaminated(list(enumerate(t for _, t in rows)), items, decontaminate.WINDOW, decontaminate.needed, least)
+        assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted((i or 0, t or "") for k, (i, t) in enumerate(rows) if k not in {x for x, _ in bad})
+
+
+def test_seeds_lose_no_pattern_of_substitutions():
+    for width in range(3, decontaminate.WINDOW + 1):
+        wrong = width - decontaminate.needed(width)
+        places = [(bits, at) for bits in decontaminate.MASKS for at in range(width)] if width == decontaminate.WINDOW else [(decontaminate.SHORT_MASK, 3 * j) for j in range(wrong + 1)]
+        places = [[at + j for j, c in enumerate(bits) if c == "1"] for bits, at in places if at + len(bits) <= width]
+        for gone in itertools.combinations(range(width), wrong):
+            assert any(not set(p) & set(gone) for p in places), (width, gone)
 
 
 def test_contamination_of_the_table_is_that_of_brute_force(spark, tiny):
     items = duckdb.sql(f"select item_id, text from '{tiny}/benchmark.parquet'").fetchall()
-    rows = [(i, (t or "")[:6000]) for i, t in rows_of(tiny)]
-    want = brute.contaminated(rows[:60], items[:20], decontaminate.WINDOW, decontaminate.SHARE, decontaminate.MIN_ITEM_WORDS)
-    d, b = spark.createDataFrame(rows[:60], "doc_id long, text string"), spark.createDataFrame(items[:20], "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in decontaminate.contamination(d, b).collect()} == want
+    want = brute.contaminated(rows_of(tiny), items, decontaminate.WINDOW, decontaminate.needed, decontaminate.LEAST_ITEM_WORDS)
+    assert want and found(decontaminate.query(spark, tiny).collect()) == want
 
 
 def test_decontamination_of_odd_rows(spark, messy, nothing):
