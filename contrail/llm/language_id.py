@@ -5,9 +5,11 @@ match of what follows anywhere in the language's text, read off the automaton. T
 resembles that language; the language with the fewest normalised phrases wins. Phrases are normalised to bits per byte,
 phrases * log2(reference length) / document length.
 
-Labelled text is a bounded sample: for each language the rows with the smallest hashes of their doc_id, REFERENCE_BYTES
-in all and at most ROW_BYTES of each (both are parameters). Documents are parsed whole, all documents of a batch and all
-languages in step, one byte of each at a time, so a step is a few numpy operations.
+Labelled text is a bounded sample of whole rows: for each language, rows of up to ROW_BYTES by the hash of their doc_id
+until REFERENCE_BYTES are reached; a language without such a row has its shortest one, if that has at most MOST_ROW_BYTES.
+With many languages TOTAL_BYTES is shared out, but each has LEAST_BYTES. There may be any number of languages. Documents
+are parsed whole, all documents of a batch and all languages in step, one byte of each at a time, so a step is a few numpy
+operations. The transitions of all automata lie in one table of about three places each, whatever the alphabet.
 
 Bytes are folded to classes first: letters a-z without case, every byte of a multi-byte character by itself, digits, white
 space and other characters one class each.
@@ -19,6 +21,7 @@ are learnt from as often as they occur. Other columns are ignored.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +33,17 @@ from contrail.llm._spark import crc_fold, documents, packed
 from contrail.llm._text import LOWER, utf8
 
 UNKNOWN = "und"
-#: Bounds of the learning sample, for each language; with many languages the total is shared out.
-REFERENCE_BYTES, ROW_BYTES, TOTAL_BYTES = 48_000, 3_000, 800_000
+#: Bounds of the learning sample: bytes of a language, of a row, of all languages; least of a language, most of a lone row.
+REFERENCE_BYTES, ROW_BYTES, TOTAL_BYTES, LEAST_BYTES, MOST_ROW_BYTES = 48_000, 3_000, 800_000, 4_000, 100_000
 #: Bytes of documents parsed together, beside the longest.
 PARSE_BYTES = 24 << 20
+#: Places of the transition table for each transition.
+ROOM = 3
 
 
 def byte_classes() -> np.ndarray:
     """Class of each byte; 0 is other characters, 1 white space, 2 digits."""
-    c = np.zeros(256, np.int32)
+    c = np.zeros(256, np.uint8)
     c[[0x20, *range(0x09, 0x0E)]] = 1
     c[0x30:0x3A] = 2
     c[0x61:0x7B] = np.arange(3, 29)
@@ -81,29 +86,48 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """Automata of all languages in one table. Row 0 is a trap that no text enters; entries are row offsets, 0 for none."""
+    """Automata of all languages in one sparse table. A state is a number s; its transition by class c is in place s + c,
+    which holds s and the next state, so that a place of another state is told from its own. State 0 has no transition."""
 
     def __init__(self, samples: dict[str, list[bytes]]):
         self.langs = sorted(samples)
         coded = {k: [CLASSES[np.frombuffer(t, np.uint8)] for t in samples[k]] for k in self.langs}
-        used = np.unique(np.concatenate([np.zeros(1, np.int32), *[x for v in coded.values() for x in v]]))
+        used = np.unique(np.concatenate([np.ones(1, np.uint8), *[x for v in coded.values() for x in v]]))
         # Classes that no language has share the last column.
-        self.column = np.full(int(CLASSES.max()) + 1, len(used), np.int32)
+        self.column = np.full(256, len(used), np.uint8)
         self.column[used] = np.arange(len(used))
         self.width = len(used) + 1
-        rows, base, self.start, self.bits = [np.zeros((1, self.width), np.int32)], 1, [], []
-        for k in self.langs:
-            flat = [int(c) for x in coded[k] for c in (*self.column[x], self.column[1])]  # samples are joined by a space
-            states = suffix_automaton(flat)
-            table = np.zeros((len(states), self.width), np.int32)
-            for s, row in enumerate(states):
-                if row:
-                    table[s, list(row)] = (np.fromiter(row.values(), np.int64, len(row)) + base) * self.width
-            rows.append(table)
-            self.start.append(base * self.width)
-            self.bits.append(np.log2(max(2, len(flat))))
-            base += len(states)
-        self.table = np.concatenate(rows).ravel()
+        flat = {k: [int(c) for x in coded[k] for c in (*self.column[x], self.column[1])] for k in self.langs}  # samples are joined by a space
+        automata = [suffix_automaton(flat[k]) for k in self.langs]
+        self.bits = [np.log2(max(2, len(flat[k]))) for k in self.langs]
+        self.table, self.start = self._packed(automata)
+        self.again = np.array([[self._step(s, c) for s in self.start] for c in range(self.width)], np.int64)
+
+    def _packed(self, automata: list[list[dict[int, int]]]) -> tuple[np.ndarray, np.ndarray]:
+        """(table, start states): states with most transitions are placed first, each at a random place where its classes
+        fall on free ones."""
+        size = ROOM * sum(len(row) + 1 for a in automata for row in a) + 2 * self.width
+        free, taken, r = bytearray(b"\1" * (size + self.width)), bytearray(size), random.Random(0)
+        taken[0] = 1
+        number = [[0] * len(a) for a in automata]
+        for a, s in sorted(((a, s) for a, states in enumerate(automata) for s in range(len(states))), key=lambda x: -len(automata[x[0]][x[1]])):
+            row = automata[a][s]
+            at = r.randrange(1, size)
+            while taken[at] or not all(free[at + c] for c in row):
+                at = r.randrange(1, size)
+            taken[at] = 1
+            number[a][s] = at
+            for c in row:
+                free[at + c] = 0
+        place = [number[a][s] + c for a, states in enumerate(automata) for s, row in enumerate(states) for c in row]
+        value = [number[a][s] << 32 | number[a][t] for a, states in enumerate(automata) for s, row in enumerate(states) for t in row.values()]
+        table = np.zeros(size + self.width, np.int64)
+        table[place] = value
+        return table, np.array([n[0] for n in number], np.int64)
+
+    def _step(self, state: int, column: int) -> int:
+        v = int(self.table[state + column])
+        return v & 0xFFFFFFFF if v >> 32 == state else 0
 
     def phrases(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """int64[documents, languages]: phrases of each document in each language."""
@@ -112,20 +136,20 @@ class Model:
         order = np.argsort(-size, kind="stable")
         first, size = off[:-1][order], size[order]
         code = self.column[CLASSES[buf]]
-        start = np.tile(np.array(self.start, np.int32), (n, 1))
-        state, count = start.copy(), np.zeros((n, m), np.int32)
+        again = np.where(self.again == 0, self.start, self.again)
+        state, count = np.tile(self.start, (n, 1)), np.zeros((n, m), np.int32)
         live = np.searchsorted(-size, -np.arange(int(size[0]) if n else 0), "left")
         for t, k in enumerate(live.tolist()):
-            c = code[first[:k] + t][:, None]
-            s = self.table[state[:k] + c]
-            miss = s == 0
+            c = code[first[:k] + t]
+            s = state[:k]
+            v = self.table[s + c[:, None]]
+            miss = v >> 32 != s
             # Where the match cannot go on, a phrase ends before this byte and the next begins with it; a byte that the
             # language lacks is a phrase by itself, after which none is open (the state is the start).
-            begins = miss | (state[:k] == start[:k])
-            again = self.table[start[:k] + c]
-            np.copyto(s, np.where(again == 0, start[:k], again), where=miss)
-            count[:k] += begins
-            state[:k] = s
+            count[:k] += miss | (s == self.start)
+            v &= 0xFFFFFFFF
+            np.copyto(v, again[c], where=miss)
+            state[:k] = v
         out = np.zeros((n, m), np.int64)
         out[order] = count
         return out
@@ -133,31 +157,33 @@ class Model:
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, list[bytes]]:
     """The bounded learning sample, as {language: texts}."""
-    good = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in good.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(1000).collect()}
+    size = F.octet_length(text_col).alias("size")
+    good = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (size <= MOST_ROW_BYTES))
+    whole = F.when(size <= ROW_BYTES, 1)
+    counts = {r[0]: r[1:] for r in good.groupBy(lang_col).agg(F.count(whole), F.sum(F.when(size <= ROW_BYTES, size)), F.min(size)).collect()}
     if not counts:
         return {}
-    most = min(REFERENCE_BYTES, TOTAL_BYTES // len(counts))
-    rows = max(8, 4 * most // ROW_BYTES)
-    # A hash threshold thins each language to about twice the rows wanted before any are ranked, so no window is large.
-    u = F.xxhash64(F.col(id_col)).alias("u")
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * rows / n))])
-    near = good.select(F.col(lang_col).alias("lang"), u, F.substring(F.encode(text_col, "UTF-8"), 1, ROW_BYTES).alias("text")).filter((F.pmod("u", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("u", F.lit(1 << 20)), "u", "text"))
+    most = max(LEAST_BYTES, min(REFERENCE_BYTES, TOTAL_BYTES // len(counts)))
+    # A hash threshold thins each language to about twice the bytes wanted, and rows to spare, before any are ranked, so no
+    # window is large.
+    plan = [(lang, min(1.0, 2.0 * most / max(1, b or 0) + 16.0 / max(1, n)), ROW_BYTES if n else least) for lang, (n, b, least) in counts.items()]
+    plan = docs.sparkSession.createDataFrame(plan, good.select(F.col(lang_col).alias("lang"), F.lit(0.0).alias("share"), F.lit(0).alias("longest")).schema)
+    u = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)).alias("u")
+    near = good.select(F.col(lang_col).alias("lang"), u, F.encode(text_col, "UTF-8").alias("text"), size).join(F.broadcast(plan), "lang").filter((F.col("u") < F.col("share") * (1 << 20)) & (F.col("size") <= F.col("longest")))
+    order = Window.partitionBy("lang").orderBy("u", "text")
+    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
     out: dict[str, list[bytes]] = {}
-    for r in near.withColumn("rank", rank).filter(F.col("rank") <= rows).orderBy("lang", "rank").collect():
-        got = out.setdefault(r.lang, [])
-        if sum(map(len, got)) < most:
-            got.append(bytes(r.text))
+    for r in near.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < most).orderBy("lang", "u", "text").collect():
+        out.setdefault(r.lang, []).append(bytes(r.text))
     return out
 
 
-def _parse(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch], model, text: str | None) -> Iterator[pa.RecordBatch]:
     m = model.value
     for batch in batches:
         langs, scores = [], []
-        buf, off = utf8(batch.column(1))
-        letters = batch.column(2).to_numpy(zero_copy_only=False)
+        buf, off = utf8(batch.column(0) if text is None else batch.column("row").field(text))
+        letters = batch.column(1).to_numpy(zero_copy_only=False)
         lo, n = 0, len(off) - 1
         while lo < n:
             hi = min(n, max(lo + 1, int(np.searchsorted(off, off[lo] + PARSE_BYTES, "right")) - 1))
@@ -171,27 +197,28 @@ def _parse(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
             langs += [m.langs[b] if k else UNKNOWN for b, k in zip(best, ok, strict=True)]
             scores.append(np.where(ok, np.clip(1 - low / np.maximum(second, 1e-9), 0, 1), 0.0))
             lo = hi
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3, batch.num_columns)], pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*batch.schema.names[3:], "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(2, batch.num_columns)], pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*batch.schema.names[2:], "lang_pred", "score"])
 
 
 def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns of docs with lang_pred and score, the relative lead of the best language over the second."""
-    found = sample(labelled, id_col, text_col, lang_col)
+    """The carried columns of docs with lang_pred and score, the relative lead of the best language over the second. Where a
+    struct `row` that has the text is carried, text_col being `row.<name>`, the text goes to Python once."""
+    found = sample(labelled, id_col, text_col.removeprefix("row."), lang_col)
     kept = docs.select(*carry)
     if not found:
         return kept.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     model = docs.sparkSession.sparkContext.broadcast(Model(found))
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.lit(0).alias("_0"), F.col(text_col).alias("_1"), letter.alias("_2"), *carry)
+    inside = text_col.removeprefix("row.") if "row" in carry and text_col.startswith("row.") else None
+    rows = docs.select(F.col(text_col).alias("_0") if inside is None else F.lit(0).alias("_0"), letter.alias("_1"), *carry)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return rows.mapInArrow(lambda it: _parse(it, model), f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(lambda it: _parse(it, model, inside), f"{schema}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """docs whose language is found, with all their columns. Rejected are texts without a letter; text of any language,
     however noisy, stays."""
-    rows = packed(docs, text="text")
-    return identify(rows, labelled, carry=("row",)).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    return identify(packed(docs), labelled, text_col="row.text", carry=("row",)).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,18 @@ def test_automaton_parses_like_brute_force():
             assert got[i, j] == brute.phrases(fold(t), whole)
 
 
+def test_learning_takes_whole_rows_of_any_number_of_languages(spark):
+    letters = "abcdefghij"
+    rows = [(i, f"word {letters[i // 100 % 10]}{letters[i // 10 % 10]}{letters[i % 10]} é " * 40, f"l{i:04}") for i in range(1200)]
+    rows += [(5000 + i, f"long row {i} " + "zz " * 3000, "long") for i in range(3)] + [(6000, "q" * 200_000, "over")] + [(7000 + i, "x" * 2999 + f"é{i}", "zz") for i in range(60)]
+    got = language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    texts = {}
+    for _, t, k in rows:
+        texts.setdefault(k, set()).add(t.encode())
+    assert set(got) == set(texts) - {"over"} and all(x in texts[k] for k, v in got.items() for x in v) and len(got["long"]) == 1
+    assert language_id.LEAST_BYTES <= sum(map(len, got["zz"])) < language_id.LEAST_BYTES + language_id.ROW_BYTES
+
+
 def test_languages_of_held_out_documents(spark, small_dir):
     d = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "lang")
     r = language_id.query(spark, small_dir).join(d, "doc_id").filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
