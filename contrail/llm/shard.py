@@ -18,6 +18,7 @@ from math import isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +27,10 @@ from contrail.llm._spark import documents, packed
 SHARDS, SEED, ROUNDS = 8, 20, 6
 #: Prime modulus of the round function; squares of values below it fit in a long.
 PRIME = 2147483647
-#: Cut points of the numbering: so many ranges of doc_id are ordered in parallel for each partition of the input.
-RANGES_A_PARTITION, MOST_RANGES = 4, 16384
+#: Cut points of the numbering: so many ranges of doc_id for each shuffle partition, at least LEAST_RANGES.
+RANGES_A_PARTITION, LEAST_RANGES, MOST_RANGES = 8, 64, 16384
+#: A doc_id that fills a range alone, and null, are a range for each of so many parts of the hashes of their texts.
+PARTS = 64
 
 
 def radix(n: int) -> tuple[int, int]:
@@ -64,27 +67,40 @@ def places(rows: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
 
 
 def with_row_number(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """(df with a long _row from 0, number of rows), by doc_id. Ranges of doc_id, cut at approximate quantiles, are
-    counted first and then numbered in parallel, each from the sum of the counts before it; the cut points and counts,
-    a bounded number, are all the driver sees."""
-    ranges = min(MOST_RANGES, max(8, RANGES_A_PARTITION * df.rdd.getNumPartitions()))
+    """(df with a long _row from 0, number of rows), by doc_id, which is numeric. Ranges of doc_id, cut at approximate
+    quantiles, are counted first and then numbered in parallel, each from the sum of the counts before it; the cut points
+    and counts, a bounded number, are all the driver sees. Rows of one doc_id that fills ranges by itself, and those
+    without one, are spread by the hash of their text, which is their order anyway."""
+    ranges = min(MOST_RANGES, max(LEAST_RANGES, RANGES_A_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     cuts = df.agg(F.percentile_approx(F.col(id_col), [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []
-    edges = np.array(sorted(set(cuts)))
-
-    @F.pandas_udf("int")
-    def position(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), -1, np.searchsorted(edges, ids.to_numpy(), "right")))
-
-    df = df.withColumn("_range", position(id_col))
+    edges, times = np.unique(np.array(cuts), return_counts=True)
+    hot = edges[times > 1]
+
+    @F.arrow_udf("long")
+    def position(ids: pa.Array) -> pa.Array:
+        known = np.asarray(ids.is_valid())
+        x = np.asarray(ids.fill_null(0))
+        # Even positions are between edges, odd ones of a hot edge alone; null is before all.
+        at = 2 * np.searchsorted(edges, x, "right").astype(np.int64) if len(edges) else np.zeros(len(x), np.int64)
+        at -= np.isin(x, hot)
+        return pa.array(np.where(known, at, -2))
+
+    text = F.xxhash64(text_col)
+    at = F.col("_at")
+    alone = (at < 0) | (F.pmod(at, F.lit(2)) == 1)
+    part = F.when(alone, F.shiftright(text, 58) + PARTS // 2).otherwise(0)
+    df = df.withColumn("_at", position(id_col)).withColumn("_range", at * PARTS + part).drop("_at")
     counts = sorted((r[0], r[1]) for r in df.groupBy("_range").count().collect())
-    before, total = {}, 0
+    before, total = [], 0
     for k, c in counts:
-        before[k], total = total, total + c
+        before.append((k, total))
+        total += c
     if not total:
         return df.withColumn("_row", F.lit(0).cast("long")).drop("_range"), 0
-    base = F.element_at(F.create_map(*[F.lit(v).cast("long" if i % 2 else "int") for kv in before.items() for i, v in enumerate(kv)]), F.col("_range"))
-    order = Window.partitionBy("_range").orderBy(F.asc_nulls_first(id_col), F.xxhash64(text_col))
-    return df.withColumn("_row", base + F.row_number().over(order) - 1).drop("_range"), total
+    base = df.sparkSession.createDataFrame(before, "_range long, _before long")
+    order = Window.partitionBy("_range").orderBy(F.asc_nulls_first(id_col), text)
+    df = df.withColumn("_row", F.row_number().over(order) - 1).join(F.broadcast(base), "_range")
+    return df.withColumn("_row", F.col("_row") + F.col("_before")).drop("_range", "_before"), total
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,7 +119,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_
 def write_shards(docs: DataFrame, path: str, **options) -> None:
     """Parquet folders shard=0, 1, ..., the rows of each file in slot order."""
     out = shard_documents(docs, **options)
-    out.repartitionByRange(out.rdd.getNumPartitions(), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
