@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm._spark import documents, packed, settle, small
+from contrail.llm._spark import documents, in_arrow, packed, settle, small
 from contrail.llm._text import GOLD, as_long, mix, runs, sorted_shingles, utf8
 from contrail.llm.components import connected_components
 
@@ -44,6 +44,8 @@ from contrail.llm.components import connected_components
 BUCKETS, PIECES = 1 << 20, 16
 #: Sizes up to this may be handled by subsets.
 MOST_SMALL = 40
+#: Lists of up to so many members are short.
+SHORT_LIST = 6
 #: One in so many elements is counted for the cost of scanning lists.
 SEEN = 64
 WORD_BITS = 64
@@ -215,17 +217,27 @@ def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs(a, b) whose sets reach the similarity. The fine maps (heads: doc_id, n, map) leave few pairs; only the
-    texts that those name leave their scan."""
-    x, y = heads.alias("x"), heads.alias("y")
+def fine_maps(told: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, n, map) of the ids."""
+    sets = told.filter("kind = 'set'").select("doc_id", F.col("n").cast("int").alias("n"), "map")
+    return sets.join(small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return settle(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+
+
+def verified(pairs: DataFrame, told: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs(a, b) whose sets reach the similarity. The fine maps leave few pairs; only the texts that those name leave
+    their scan."""
+    maps = settle(fine_maps(told, ends(pairs)))
+    x, y = maps.alias("x"), maps.alias("y")
     pairs = pairs.join(x, F.expr("a = x.doc_id")).join(y, F.expr("b = y.doc_id"))
     pairs = settle(pairs.filter(F.expr(f"{apart('x.map', 'y.map')} <= x.n + y.n - 2 * {least(num, den)}")).select("a", "b"))
-    named = settle(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = docs.join(small(named), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    sets = settle(texts.select("doc_id", "text").mapInArrow(lambda it: _sets(it, k), "doc_id long, set binary"))
+    texts = docs.join(small(ends(pairs)), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sets = settle(in_arrow(texts.select("doc_id", "text"), lambda it: _sets(it, k), "doc_id long, set binary"))
     rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("xs")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("ys")), "b")
-    return rows.select("a", "b", "xs", "ys").mapInArrow(lambda it: _compare(it, num, den), "a long, b long")
+    return in_arrow(rows.select("a", "b", "xs", "ys"), lambda it: _compare(it, num, den), "a long, b long")
 
 
 def near_copies(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", top: int | None = None) -> DataFrame:
@@ -255,7 +267,7 @@ def near_copies(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_c
 
 
 def described(docs: DataFrame, k: int) -> DataFrame:
-    return settle(docs.mapInArrow(lambda it: _describe(it, k), "kind string, doc_id long, n long, s1 long, s2 long, w0 long, w1 long, w2 long, w3 long, map array<long>, blob binary"))
+    return settle(in_arrow(docs, lambda it: _describe(it, k), "kind string, doc_id long, n long, s1 long, s2 long, w0 long, w1 long, w2 long, w3 long, map array<long>, blob binary"))
 
 
 def _without_id(told: DataFrame) -> DataFrame:
@@ -274,12 +286,10 @@ def _classes(docs: DataFrame, told: DataFrame, k: int, num: int, den: int, top:
 
     # Equal sets are one class; its smallest doc_id stands for it.
     real = sets.filter("n > 0 and doc_id is not null")
-    kept = (*WORDS, "map")
-    first = real.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", *kept)).alias("m")).select(F.col("n").cast("int").alias("n"), "s1", "s2", F.col("m.doc_id").alias("first"), *[F.col(f"m.{c}").alias(c) for c in kept])
-    first = settle(first)
-    heads = first.select(F.col("first").alias("doc_id"), "n", *kept)
+    first = settle(real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("first"), *[F.min_by(w, "doc_id").alias(w) for w in WORDS]))
+    heads = first.select(F.col("first").alias("doc_id"), *WORDS)
 
-    lists = settle(docs.filter("doc_id is not null").mapInArrow(lambda it: _postings(it, k, num, den, top, rank), "token long, doc_id long, n int, pos int"))
+    lists = settle(in_arrow(docs.filter("doc_id is not null"), lambda it: _postings(it, k, num, den, top, rank), "token long, doc_id long, n int, pos int"))
     # Only lists with two members matter, and of equal sets only the first.
     shared = lists.groupBy("token").count().filter("count > 1").select("token")
     lists = settle(lists.join(shared, "token").join(small(heads.select("doc_id")), "doc_id", "left_semi"))
@@ -290,28 +300,32 @@ def _classes(docs: DataFrame, told: DataFrame, k: int, num: int, den: int, top:
     hubs = by.groupBy("token").agg(F.min(F.struct("alone", "doc_id", "n", "pos")).alias("h"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("token", "h.*")
     star = lists.alias("y").join(hubs.alias("x"), F.expr(f"x.token = y.token and x.doc_id <> y.doc_id and {fits}"))
     star = settle(star.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct())
-    edges = settle(verified(star, heads, docs, k, num, den))
+    edges = settle(verified(star, told, docs, k, num, den))
 
     classes = connected_components(edges)
     members = lists.join(small(classes.withColumnRenamed("node", "doc_id")), "doc_id", "left").withColumn("class", F.coalesce("component", "doc_id")).drop("component")
     members = settle(members)
-    lists_seen = members.groupBy("token").agg(
+    seen = members.groupBy("token").agg(
         F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("pos").alias("pos"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("x1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x2")
     )
     # Of the lists with more than one class, one of each set of members.
-    open_lists = lists_seen.filter("lo < hi").groupBy(F.expr("pos < 0").alias("subset"), "size", "x1", "x2").agg(F.min("token").alias("token")).select("token")
-    members = settle(members.join(small(open_lists), "token", "left_semi").join(heads.drop("n"), "doc_id"))
-    x, y = members.alias("x"), members.alias("y")
+    open_lists = settle(seen.filter("lo < hi").groupBy(F.expr("pos < 0").alias("subset"), "size", "x1", "x2").agg(F.min("token").alias("token")).select("token", "size"))
+    members = members.join(small(open_lists), "token")
     differ = " + ".join(f"bit_count(x.w{w} ^ y.w{w})" for w in range(BITMAP_WORDS))
     most = f"x.n + y.n - 2 * {least(num, den)}"
-    rest = x.join(y, F.expr(
+    near = (
         f"x.token = y.token and x.doc_id < y.doc_id and x.class <> y.class and {fits}"
-        f" and (x.pos < 0 or least(x.pos, y.pos) + 1 + least(x.n - x.pos, y.n - y.pos) - 1 >= {least(num, den)})"
-        f" and {differ} <= {most} and {apart('x.map', 'y.map')} <= {most}"
-    )).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+        f" and (x.pos < 0 or least(x.pos, y.pos) + 1 + least(x.n - x.pos, y.n - y.pos) - 1 >= {least(num, den)}) and {differ} <= {most}"
+    )
+    # Short lists have few pairs a member whatever they are; in long ones the members carry their fine maps to the join.
+    short = settle(members.filter(F.col("size") <= SHORT_LIST).join(heads, "doc_id"))
+    long = members.filter(F.col("size") > SHORT_LIST).join(heads, "doc_id")
+    long = settle(long.join(fine_maps(told, settle(long.select("doc_id").distinct())).drop("n"), "doc_id"))
+    pairs = lambda rows, on: rows.alias("x").join(rows.alias("y"), F.expr(on)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    rest = pairs(short, near).union(pairs(long, f"{near} and {apart('x.map', 'y.map')} <= {most}")).distinct()
     rest = settle(rest.join(star, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        classes = connected_components(edges.union(settle(verified(rest, heads, docs, k, num, den))))
+        classes = connected_components(edges.union(settle(verified(rest, told, docs, k, num, den))))
 
     label = first.join(classes.withColumnRenamed("node", "first"), "first", "left").select("n", "s1", "s2", F.coalesce("component", "first").alias("component"))
     out = sets.join(label, ["n", "s1", "s2"], "left")
