@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A frame is broadcast only if it was counted and has at most so many rows (of a few longs each).
 BROADCAST_ROWS = 1_000_000
+#: Bytes of a batch that is sent to Python.
+ARROW_BYTES = 12 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,16 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """df.mapInArrow(function, schema) in batches of ARROW_BYTES at most. A session that has a bound of its own below that
+    keeps it; the usual bound, of 64 MB, takes several times as much of an executor for each of its tasks."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= ARROW_BYTES:
+        conf.set(name, str(ARROW_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `most` rows, which is counted here; else df for a shuffled join. df
     should be cheap to count, such as a settled frame."""

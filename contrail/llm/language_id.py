@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contrail.llm._spark import crc_fold, documents, packed
+from contrail.llm._spark import crc_fold, documents, in_arrow, packed
 from contrail.llm._text import LOWER, utf8
 
 UNKNOWN = "und"
@@ -212,7 +212,7 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     inside = text_col.removeprefix("row.") if "row" in carry and text_col.startswith("row.") else None
     rows = docs.select(F.col(text_col).alias("_0") if inside is None else F.lit(0).alias("_0"), letter.alias("_1"), *carry)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return rows.mapInArrow(lambda it: _parse(it, model, inside), f"{schema}, lang_pred string, score double")
+    return in_arrow(rows, lambda it: _parse(it, model, inside), f"{schema}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, labelled: DataFrame) -> DataFrame:

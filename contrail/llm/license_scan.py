@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm._spark import documents
+from contrail.llm._spark import documents, in_arrow
 from contrail.llm._text import LOWER, WORDLIKE, runs, span_hashes, utf8, words
 
 # The base phrases and their labels.
@@ -89,7 +89,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, int], int]:
     """({word: documents with it}, documents) of the licence vocabulary, over all of docs."""
-    rows = docs.select(text_col).mapInArrow(_frequencies, "word int, docs long").groupBy("word").agg(F.sum("docs").alias("docs")).collect()
+    rows = in_arrow(docs.select(text_col), _frequencies, "word int, docs long").groupBy("word").agg(F.sum("docs").alias("docs")).collect()
     found = {r.word: r.docs for r in rows}
     return {w: found.get(i, 0) for i, w in enumerate(VOCABULARY)}, found.get(-1, 0)
 
@@ -161,7 +161,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     index = docs.sparkSession.sparkContext.broadcast(Index(df, n))
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lambda it: _scan(it, index), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return in_arrow(rows, lambda it: _scan(it, index), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

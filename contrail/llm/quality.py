@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm._spark import crc_fold, documents
+from contrail.llm._spark import crc_fold, documents, in_arrow
 from contrail.llm._text import LOWER, NOT_WHITE, WORDLIKE, byte_table, runs, span_hashes, utf8, words
 
 WORD_BUCKETS, RANK = 2048, 8
@@ -106,7 +106,9 @@ class Machine:
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_ROWS) -> Machine:
     """A machine fitted to at most `most` labelled texts; features are made in Spark, and only those rows are fetched."""
     good = labelled.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-    chosen = good.select(F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("label"), F.xxhash64(id_col).alias("u")).orderBy("u", "label").limit(most)
+    # A hash threshold leaves about twice the rows wanted, so that their features are made in all tasks before any are ranked.
+    u = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
+    chosen = good.filter(u < min(1.0, 2.0 * most / max(1, good.count()) + 1e-6) * (1 << 40)).select(F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("label"), u.alias("u"))
 
     def featured(batches):
         for batch in batches:
@@ -114,7 +116,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             packed = [np.flatnonzero(r).astype(np.uint16).tobytes() + r[r != 0].tobytes() for r in made]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1), batch.column(2)], ["x", "label", "u"])
 
-    rows = chosen.mapInArrow(featured, "x binary, label double, u long").orderBy("u", "label").collect()
+    rows = in_arrow(chosen, featured, "x binary, label double, u long").orderBy("u", "label", "x").limit(most).collect()
     width = STATISTICS + WORD_BUCKETS
     machine = Machine(width)
     y = np.array([r.label for r in rows])
@@ -141,7 +143,7 @@ def score_quality(docs: DataFrame, machine: Machine, id_col: str = "doc_id", tex
             got = [m.score(x) for x in blocks(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.concatenate(got) if got else [], pa.float64())], ["doc_id", "score"])
 
-    return rows.mapInArrow(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return in_arrow(rows, scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm._spark import documents, settle
+from contrail.llm._spark import documents, in_arrow, settle
 from contrail.llm._text import byte_table, runs, utf8, words
 
 # The base patterns.
@@ -100,7 +100,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     points, by start and kind; value is the SHA-256 of the secret."""
     slim = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    rows = slim.mapInArrow(_scan, f"doc_id {kind}, repo string, owner string, found array<{SPAN}>")
+    rows = in_arrow(slim, _scan, f"doc_id {kind}, repo string, owner string, found array<{SPAN}>")
     rows = settle(rows.withColumn("row_key", F.monotonically_increasing_id()))
     one = rows.select("row_key", "repo", "owner", F.explode("found").alias("s")).select("row_key", "repo", "owner", "s.*")
     # Distinct holders first, with map-side combining, so a value copied everywhere is a few rows when it is counted.
