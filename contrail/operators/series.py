@@ -205,8 +205,45 @@ def fill_rate(
     return d.withColumn(name, F.col("_o")).drop("_o", "_b", "_f", "rn", "plateau_start", "plateau_value")
 
 
+#: Ranges in which the rows of one group are ordered side by side.
+RANGES = 64
+
+
+def value_range(df: DataFrame, value: str, of: str | None = None, ranges: int = RANGES) -> Column:
+    """The range of column `of` (value if not given), an int that rises with it, cut at approximate quantiles of value over all of df (which are all the
+    driver sees); 0 for nulls. With it a running value over one large group is a window in each range and what the ranges before
+    give, so no task orders the whole group."""
+    cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
+    cuts = sorted(set(cuts))
+    v = F.col(of or value).cast("double")
+
+    def place(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(v < cuts[mid], place(lo, mid)).otherwise(place(mid + 1, hi))
+
+    return F.when(v.isNull(), F.lit(0)).otherwise(place(0, len(cuts)))
+
+
+def with_totals_before(df: DataFrame, keys: Sequence[str], sums: dict[str, str]) -> DataFrame:
+    """df, whose column `_r` is its range, with for each name: column of sums the sum of the column over the ranges of the
+    group before its own, and as name_all over the whole group."""
+    each = df.groupBy(*keys, "_r").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    # A group has as many rows here as there are ranges.
+    w = Window.partitionBy(*(keys or [F.lit(0)]))
+    run = w.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select(*keys, "_r", *[F.coalesce(F.sum(n).over(run), F.lit(0)).alias(n) for n in sums], *[F.sum(n).over(w).alias(f"{n}_all") for n in sums])
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    on = F.col("l._r") == F.col("r._r")
+    for c in same:
+        on = on & c
+    return df.alias("l").join(each.alias("r"), on).select("l.*", *[f"r.{n}" for n in sums], *[f"r.{n}_all" for n in sums])
+
+
 def empirical_cdf(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """(keys, value, cdf) at the distinct values of each group."""
+    """(keys, value, cdf) at the distinct values of each group. Values are counted first and ordered in ranges."""
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
-    w = Window.partitionBy(*keys)
-    return counted.select(*keys, value, (F.sum("_k").over(before(w.orderBy(value))) / F.sum("_k").over(w)).alias("cdf"))
+    d = with_totals_before(counted.withColumn("_r", value_range(df, value)), keys, {"_n": "_k"})
+    run = before(Window.partitionBy(*keys, "_r").orderBy(value))
+    return d.select(*keys, value, ((F.col("_n") + F.sum("_k").over(run)) / F.col("_n_all")).alias("cdf"))

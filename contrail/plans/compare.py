@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contrail.functions.bins import phi_bin
-from contrail.operators.series import KEYS, before
+from contrail.operators.series import KEYS, before, value_range, with_totals_before
 
 COLUMNS = ("h_ft", "gamma_deg", "tas_kt", "vz_fpm")
 QUANTILES = [round(0.05 * i, 2) for i in range(1, 20)]
@@ -45,9 +45,10 @@ def ks(reference: DataFrame, other: DataFrame, value: str, by: Sequence[str] = (
     values on either side. Values are counted first, so only distinct values are ordered."""
     side = lambda d, k: d.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"), F.lit(1 - k).alias("a"), F.lit(k).alias("b"))
     c = side(reference, 0).unionByName(side(other, 1)).groupBy(*by, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    run = before(w.orderBy("v"))
-    c = c.withColumn("n", F.sum("a").over(w)).withColumn("m", F.sum("b").over(w)).withColumn("d", F.abs(F.sum("a").over(run) / F.col("n") - F.sum("b").over(run) / F.col("m")))
+    c = with_totals_before(c.withColumn("_r", value_range(reference, value, "v")), list(by), {"n": "a", "m": "b"})
+    run = before(Window.partitionBy(*by, "_r").orderBy("v"))
+    below = lambda total, x: (F.col(total) + F.sum(x).over(run)) / F.col(f"{total}_all")
+    c = c.select(*by, F.abs(below("n", "a") - below("m", "b")).alias("d"), F.col("n_all").alias("n"), F.col("m_all").alias("m"))
     g = c.groupBy(*by).agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max("d").alias("d")) if by else c.agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max("d").alias("d"))
     lam = F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m"))) * F.col("d")
     total = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * F.col("_l") * F.col("_l")))

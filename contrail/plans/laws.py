@@ -6,6 +6,7 @@ Every table covers all flights at once, keyed by route, flight, phase or bin; no
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from contrail.functions import aero
 from contrail.functions.bins import CAS_STEP_KT, HEIGHT_STEP_FT, LEAST_SEGMENT_S, MACH_STEP, PHI_STEP, RATE_STEP_FPM, distance_bin, phi_bin, plateau_bin, to_step
 from contrail.operators.asof import asof_forward, asof_nearest, plateau_of
-from contrail.operators.series import KEYS, forward_fill, series
+from contrail.operators.series import KEYS, forward_fill, series, value_range, with_totals_before
 from contrail.plans.descent import to_destination
 
 LEAST_PHASE_S, MOST_DWELL_S, FIRST_DWELL_S, LEAST_SLAB_ROWS = 30.0, 900.0, 90.0, 50
@@ -180,34 +181,53 @@ def back_off(requests: DataFrame, library: DataFrame, levels: Sequence[Sequence[
 
 def nearest_key(requests: DataFrame, library: DataFrame, want: str, key: str, by: Sequence[str]) -> DataFrame:
     """requests with `key`, the library's key of the same `by` columns nearest to `want`, the smaller on a tie. The distinct
-    keys of a group lie on a line, so the nearest is the last at or below, or the first above."""
+    keys of a group lie on a line, so the nearest is the last at or below, or the first above. The line is ordered in
+    ranges, each of which is told the last key before it and the first after it."""
     keys = library.filter(F.col(key).isNotNull()).select(*by, F.col(key).alias("_at")).distinct()
-    both = requests.select(*by, F.col(want).alias("_at"), F.struct(*requests.columns).alias("_r")).unionByName(keys.withColumn("_k", F.col("_at")), allowMissingColumns=True)
-    w, r = Window.partitionBy(*by).orderBy("_at", F.col("_k").isNull()), Window.partitionBy(*by).orderBy(F.desc("_at"), F.col("_k").isNotNull())
-    lo = F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.last("_k", ignorenulls=True).over(r.rowsBetween(Window.unboundedPreceding, 0))
+    both = requests.select(*by, F.col(want).alias("_at"), F.struct(*requests.columns).alias("_q")).unionByName(keys.withColumn("_k", F.col("_at")), allowMissingColumns=True)
+    both = both.withColumn("_r", value_range(requests, want, "_at"))
+    ends = both.filter("_k is not null").groupBy(*by, "_r").agg(F.max("_k").alias("_last"), F.min("_k").alias("_first"))
+    # Null keys are a group like any other, as they are in windows.
+    same = lambda x, y: reduce(Column.__and__, [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in (*by, "_r")])
+    spans = both.select(*by, "_r").distinct().alias("s").join(ends.alias("e"), same("s", "e"), "left").select("s.*", "_last", "_first")
+    up, down = Window.partitionBy(*by).orderBy("_r"), Window.partitionBy(*by).orderBy(F.desc("_r"))
+    spans = spans.select(
+        *by, "_r", F.last("_last", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"), F.last("_first", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1)).alias("_above")
+    )
+    both = both.alias("b").join(spans.alias("s"), same("b", "s"), "left").select("b.*", "_below", "_above")
+    w, r = Window.partitionBy(*by, "_r").orderBy("_at", F.col("_k").isNull()), Window.partitionBy(*by, "_r").orderBy(F.desc("_at"), F.col("_k").isNotNull())
+    lo = F.coalesce(F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_below")
+    hi = F.coalesce(F.last("_k", ignorenulls=True).over(r.rowsBetween(Window.unboundedPreceding, 0)), "_above")
     near = F.when(lo.isNull() | (hi - F.col("_at") < F.col("_at") - lo), hi).otherwise(lo)
-    return both.withColumn(key, near).filter("_r is not null").select("_r.*", key)
+    return both.withColumn(key, near).filter("_q is not null").select("_q.*", key)
 
 
 def narrow(library: DataFrame, request: Mapping[str, object], order: Sequence[str], least: int = LEAST_POOL) -> DataFrame:
     """The rows of library that match the request's columns, taken in order; a column that would leave fewer than `least`
     rows, or whose value is None, is passed over. All counts come from one pass."""
-    d, kept = library, F.lit(True)
-    for c in order:
-        if request.get(c) is None:
-            continue
-        own = kept & F.coalesce(F.col(c) == F.lit(request[c]), F.lit(False))
-        n = d.agg(F.count_if(own)).first()[0]
-        kept = own if n >= least else kept
-    return d.filter(kept)
+    asked = [c for c in order if request.get(c) is not None]
+    if not asked:
+        return library
+    # Rows by which of the columns match, of which there are few kinds; the choice is made on these counts.
+    match = {c: F.coalesce(F.col(c) == F.lit(request[c]), F.lit(False)) for c in asked}
+    kinds = [(set(c for c, ok in zip(asked, r, strict=False) if ok), r[-1]) for r in library.groupBy(*[match[c].alias(f"_{i}") for i, c in enumerate(asked)]).count().collect()]
+    kept: set[str] = set()
+    for c in asked:
+        if sum(n for have, n in kinds if kept | {c} <= have) >= least:
+            kept.add(c)
+    keep = F.lit(True)
+    for c in kept:
+        keep = keep & match[c]
+    return library.filter(keep)
 
 
 def draw(requests: DataFrame, pool: DataFrame, value: str, by: Sequence[str], order: Sequence[str], law: int, name: str, default: Column | None = None, seed: str = "seed", number: str = "draw_id") -> DataFrame:
     """requests with `name`, a value drawn from the pool rows of the same `by` columns. The draw is a fixed function of seed,
     draw number and law, so it can be repeated anywhere: row (seed * A + draw * B + law * C) mod n, in the given order."""
     p = pool.filter(F.col(value).isNotNull())
-    ranked = p.select(*by, F.col(value).alias(name), (F.row_number().over(Window.partitionBy(*by).orderBy(value, *order)) - 1).cast("long").alias("_at"))
+    # Each range of values is ranked by itself, from the number of rows of the ranges before it.
+    ranged = with_totals_before(p.withColumn("_r", value_range(p, value)).withColumn("_one", F.lit(1)), list(by), {"_n": "_one"})
+    ranked = ranged.select(*by, F.col(value).alias(name), (F.col("_n") + F.row_number().over(Window.partitionBy(*by, "_r").orderBy(value, *order)) - 1).cast("long").alias("_at"))
     sizes = p.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     at = F.pmod(F.col(seed) * DRAW_A + F.col(number) * DRAW_B + law * DRAW_C, F.col("_n"))
     d = requests.join(sizes, list(by), "left").withColumn("_at", at).join(ranked, [*by, "_at"], "left").drop("_at", "_n")

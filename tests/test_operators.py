@@ -333,3 +333,20 @@ def test_registers_and_ambiguity(spark):
     d = d.withColumn("bds40", F.lit(None).cast("struct<selected_mcp:double,selected_fms:double,barometric_setting:double>")).withColumn("bds45", F.lit(None).cast("struct<static_temperature:double>"))
     got = {r.k: (r.IAS, r.TAS) for r in trajectory.registers(d).collect()}
     assert got == {1: (None, 400.0), 2: (250.0, None), 3: (None, None)}
+
+
+def test_values_are_ordered_in_ranges_of_one_large_group(spark):
+    r = random.Random(6)
+    rows = [(r.choice(["a", "b", None]), r.choice([round(r.gauss(0, 5), 2), 1.0, 7.25]), i) for i in range(3000)]
+    d = spark.createDataFrame(rows, "g string, v double, i int")
+    for ranges in (1, 7, 64):
+        got = d.select("g", "v", "i", series.value_range(d, "v", ranges=ranges).alias("_r")).collect()
+        by = sorted(got, key=lambda x: x.v)
+        assert all(x._r <= y._r for x, y in zip(by, by[1:], strict=False)) and len({x._r for x in got}) <= ranges
+    cdf = {(x.g, x.v): x.cdf for x in series.empirical_cdf(d, "v", ["g"]).collect()}
+    for g in ("a", "b", None):
+        own = [v for k, v, _ in rows if k == g]
+        assert all(abs(cdf[g, v] - sum(x <= v for x in own) / len(own)) < 1e-12 for v in set(own))
+    keys = spark.createDataFrame([(g, float(k)) for g in ("a", None) for k in range(-12, 13, 5)], "g string, key double")
+    near = {x.i: x.key for x in laws.nearest_key(d, keys, "v", "key", ["g"]).collect()}
+    assert near == {i: min(range(-12, 13, 5), key=lambda k: (abs(k - v), k)) if g != "b" else None for g, v, i in rows}
