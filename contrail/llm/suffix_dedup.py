@@ -12,7 +12,8 @@ need comparing only among windows around equal anchors:
      an earlier document, all those windows match. Of equal contexts only the one of the smallest doc_id goes on, and of
      those only the ones that share the left or right half of some window with a different context.
   2. These, mostly at the edges of copied passages, go to the task of the core that the windows of a side share, with the
-     bytes around it. There the suffixes at each distance are put in order, and the longest previous factors decide.
+     bytes around it. There the suffixes at each distance, cut after SPAN bytes and with their common core replaced by its
+     hash, are put in order, and the longest previous factors, by previous and next smaller doc_id, decide.
 Equal contexts of a batch are combined before they are shuffled, so a passage that is copied everywhere arrives once per
 batch; only at its edges, where contexts differ, does each document send its own. Contexts are compared by 80 bits or more
 of hash within an anchor, windows by a 64-bit hash of their core and the bytes around it.
@@ -224,22 +225,39 @@ def _meet_anchors(key, table):
     return _out(parts)
 
 
+def _smaller(doc: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each place of a suffix order, the common prefix (lcp[i] is that of places i - 1 and i) with the nearest place
+    before it of a smaller doc, the previous smaller value; 0 where there is none. A place whose candidate is not smaller
+    goes on from the candidate's own, so distances double; places without a common prefix left are done."""
+    at, common = np.arange(-1, len(doc) - 1), lcp.copy()
+    open_ = np.flatnonzero((at >= 0) & (common > 0))
+    while True:
+        open_ = open_[(common[open_] > 0) & (at[open_] >= 0)]
+        open_ = open_[doc[at[open_]] >= doc[open_]]
+        if not len(open_):
+            return np.where(at >= 0, common, 0)
+        near = at[open_]
+        at[open_], common[open_] = at[near], np.minimum(common[open_], np.where(at[near] >= 0, common[near], 0))
+
+
 def longest_previous(doc: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    """Whether each suffix (uint8[items, bytes]) has a longest previous factor of all its bytes: a full match with an item
-    of a smaller doc. Suffixes are put in order, equal ones by doc, and compared with their neighbours. Matches of all
-    bytes are the runs of equal suffixes; within a run docs rise, so the previous smaller position of an item lies in it
-    unless the item is of the run's first doc, and the next smaller position never does."""
+    """The longest previous factor of each suffix (uint8[items, bytes]): its longest common prefix with an item of a smaller
+    doc. In suffix order that is met at the previous or the next smaller doc; the larger of the two common prefixes, each
+    the least of those between neighbours on the way, is the factor's length."""
     n, width = suffix.shape
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = suffix
     packed = padded.view(">u8").astype(np.uint64)
     order = np.lexsort((doc, *packed.T[::-1]))
-    inside = np.zeros(n, bool)
-    inside[1:] = (packed[order[1:]] == packed[order[:-1]]).all(axis=1)
-    starts = np.flatnonzero(~inside)
+    lcp = np.zeros(n + 1, np.int64)
+    differ = packed[order[1:]] != packed[order[:-1]]
+    same = ~differ.any(axis=1)
+    lcp[1:n][same] = width
+    rest = np.flatnonzero(~same)
+    lcp[1:n][rest] = (suffix[order[1:][rest]] != suffix[order[:-1][rest]]).argmax(axis=1)
     ordered = doc[order]
-    out = np.zeros(n, bool)
-    out[order] = ordered > np.repeat(ordered[starts], np.diff(np.append(starts, n)))
+    out = np.zeros(n, np.int64)
+    out[order] = np.maximum(_smaller(ordered, lcp[:n]), _smaller(ordered[::-1], lcp[:0:-1])[::-1])
     return out
 
 
@@ -293,7 +311,7 @@ def _meet_contexts(key, table):
             i = np.flatnonzero((fore == side) & (lo <= t) & (t <= hi)) if t <= width else np.zeros(0, np.int64)
             if len(i):
                 window = np.concatenate([core[i], around[i, t:width], around[i, SIDE : SIDE + t]], axis=1)
-                hit = i[longest_previous(doc[i], window)]
+                hit = i[longest_previous(doc[i], window) == window.shape[1]]
                 parts.append((WINDOW, doc[hit], row[hit], a[hit] + np.int32(t)))
     return _out(parts)
 
