@@ -27,7 +27,7 @@ def merge_series(parts: dict[str, DataFrame], keys=KEYS) -> DataFrame:
     for name, p in parts.items():
         one = p.select(*keys, "timestamp", F.lit(name).alias("name"), F.col("value").cast("double").alias("value"))
         long = one if long is None else long.unionByName(one)
-    return long.groupBy(*keys, "timestamp").pivot("name", list(parts)).agg(F.first("value", ignorenulls=True)).orderBy(*keys, "timestamp")
+    return long.groupBy(*keys, "timestamp").pivot("name", list(parts)).agg(F.first("value", ignorenulls=True))
 
 
 def fit_length(grid: DataFrame, lengths: DataFrame, first_value: str | None = None, keys=KEYS) -> DataFrame:

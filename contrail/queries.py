@@ -5,6 +5,7 @@ Every query reads whole tables: the general tables given, or the views that cont
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +98,13 @@ def _(t):
     return e.join(tables.accepted_flights(t.flights), K, "left_semi").select(*K, "command", "start_timestamp", "value")
 
 
+@query("s6_written_and_read", f"select {ID}, i, round(altitude, 6) as altitude from track")
+def _(t):
+    path = f"{tables.shared_folder(t.spark)}/s6-{uuid.uuid4().hex}"
+    tables.write(t.track.select(*K, "i", "altitude", F.array("i").alias("nested")), path)
+    return tables.read(t.spark, path, [*K, "i", "altitude"])
+
+
 @query("s7_without_nested", "select o_orderkey, o_orderstatus from orders")
 def _(t):
     d = t.base("orders").select("o_orderkey", "o_orderstatus", F.array("o_totalprice").alias("a"), F.struct("o_orderkey").alias("s"), F.create_map("o_orderstatus", "o_orderkey").alias("m"))
@@ -433,7 +441,20 @@ def _(t):
     return series.smooth(t.track, "Mach", "m", 201, "binned").select(*K, "i", "m")
 
 
-@query("w8_parabola")
+#: The least-squares parabola around row c, of the 2 m + 1 rows from c - m to c + m, read off at rn.
+W8 = """
+with r as (select route, flight_id, i, cast(vertical_rate as double) as y, row_number() over (partition by route, flight_id order by timestamp) as rn,
+    count(*) over (partition by route, flight_id) as n from track),
+m as (select *, (least(51, n - case when n % 2 = 0 then 1 else 0 end) - 1) // 2 as m from r),
+c as (select *, least(greatest(rn, m + 1), n - m) as c from m),
+s as (select c.route, c.flight_id, c.i, any_value(c.rn - c.c) as t, any_value(cast(c.m as double)) as m, sum(o.y) as s0, sum(o.y * (o.rn - c.c)) as s1, sum(o.y * (o.rn - c.c) * (o.rn - c.c)) as s2
+    from c join r o on o.route = c.route and o.flight_id = c.flight_id and o.rn between c.c - c.m and c.c + c.m group by 1, 2, 3),
+k as (select *, 2 * m + 1 as m0, m * (m + 1) * (2 * m + 1) / 3 as m2, m * (m + 1) * (2 * m + 1) * (3 * m * m + 3 * m - 1) / 15 as m4 from s)
+select route, flight_id, i, round((m4 * s0 - m2 * s2) / (m0 * m4 - m2 * m2) + s1 / m2 * t + (m0 * s2 - m2 * s0) / (m0 * m4 - m2 * m2) * t * t, 4) + 0.0 as m from k
+"""
+
+
+@query("w8_parabola", f"select * from ({W8}) x", 4)
 def _(t):
     return series.smooth(t.track, "vertical_rate", "m", 51, "parabola").select(*K, "i", "m")
 
@@ -528,7 +549,19 @@ def _(t):
     return commands.cas_segments(t.track, commands.mach_segments(levelled(t), c), c).select(*K, "start_row", "end_row", "var_mean")
 
 
-@query("w15_plateaus")
+#: Row by row: a row within 50 of the first value of its plateau stays in it; a null ends it.
+W15 = """
+with recursive r as materialized (select route, flight_id, i, vz_sel as v, row_number() over (partition by route, flight_id order by timestamp) as rn from track),
+p as (select route, flight_id, i, rn, case when v is not null then rn end as s, v as a from r where rn = 1
+  union all
+  select r.route, r.flight_id, r.i, r.rn, case when r.v is null then null when p.a is null or abs(r.v - p.a) > 50 then r.rn else p.s end,
+    case when r.v is null then null when p.a is null or abs(r.v - p.a) > 50 then r.v else p.a end
+  from p join r on r.route = p.route and r.flight_id = p.flight_id and r.rn = p.rn + 1)
+select route, flight_id, i, s as plateau_start, round(a, 6) as plateau_value from p
+"""
+
+
+@query("w15_plateaus", f"select * from ({W15}) x")
 def _(t):
     return series.plateaus(t.track, "vz_sel", 50.0).select(*K, "i", "plateau_start", "plateau_value")
 
@@ -577,6 +610,11 @@ def _(t):
     return d.filter("k <= 5").select(*K)
 
 
+@query("t3_by_first_seen", "select flight_id, epoch_us(firstseen) as firstseen from flights order by firstseen, flight_id")
+def _(t):
+    return t.flights.orderBy("firstseen", "flight_id").select("flight_id", "firstseen")
+
+
 @query("t5_extend_manifest", "select flight_id from flights where status = 'done' union all (select flight_id from flights where status <> 'done' order by firstseen, flight_id limit 2)")
 def _(t):
     done = t.flights.filter("status = 'done'")
@@ -1144,654 +1182,6 @@ def _(t):
     return d.groupBy(*K).agg(F.count(F.lit(1)).alias("rows"), F.avg("h_ft").alias("h_ft"))
 
 
-KS = f"select {ID}, min(start_time) as block_start, max(end_time) as block_end from (select *, sum(new) over (partition by {ID} order by start_time rows unbounded preceding) as b from (select *, case when start_time - max(end_time) over (partition by {ID} order by start_time rows between unbounded preceding and 1 preceding) <= 40 then 0 else 1 end as new from ({MACH_SQL}) s where alt_mean >= 20000) u) v group by {ID}, b"
-
-
-@query("w16_merge_blocks", f"select {ID}, {rounded('block_start', 'block_end')} from ({BLOCKS}) x")
-def _(t):
-    c = small_extraction()
-    return commands.mach_blocks(commands.mach_segments(levelled(t), c), c)
-
-
-@query("w16_bridged_sessions", "select flight_id, epoch_us(min(timestamp)) as first, epoch_us(max(timestamp)) as last, count(*) as events from (select *, sum(new) over (partition by flight_id order by timestamp, event_id) as b from (select *, case when epoch(timestamp) - epoch(lag(timestamp) over (partition by flight_id order by timestamp, event_id)) <= 21600 then 0 else 1 end as new from irregular) x) y group by flight_id, b")
-def _(t):
-    d = t.irregular.select("flight_id", "event_id", keys.seconds("timestamp").alias("s"))
-    b = islands.merge_blocks(d.withColumn("start_time", F.col("s")).withColumn("end_time", F.col("s")), 21600.0, keys=["flight_id"])
-    d = d.alias("d").join(b.alias("b"), (F.col("d.flight_id") == F.col("b.flight_id")) & F.col("s").between(F.col("block_start"), F.col("block_end")))
-    return d.groupBy("d.flight_id", "block_start").agg(F.rint(F.min("s") * 1e6).cast("long").alias("first"), F.rint(F.max("s") * 1e6).cast("long").alias("last"), F.count(F.lit(1)).alias("events")).drop("block_start")
-
-
-@query("c7_paint", f"select t.route, t.flight_id, t.i, round(s.var_mean, 6) as mach_sel from track t left join ({MACH_SQL}) s on s.route = t.route and s.flight_id = t.flight_id and t.i + 1 between s.start_row and s.end_row")
-def _(t):
-    d = series.with_rows(t.track.drop("mach_sel"))
-    return islands.paint(d, commands.mach_segments(levelled(t), small_extraction()), "mach_sel").select(*K, "i", "mach_sel")
-
-
-CAS_SQL = stable_sql("CAS", 2.5, 30, 21, None).replace("from track", f"from (select t.* replace (case when b.block_start is not null then null else t.CAS end as CAS) from track t left join ({BLOCKS}) b on b.route = t.route and b.flight_id = t.flight_id and t.time between b.block_start and b.block_end) masked", 1)
-
-
-@query("c5_cas_segments", f"select {ID}, start_row, end_row, {rounded('var_mean')} from ({CAS_SQL}) c where exists (select 1 from track t where t.route = c.route and t.flight_id = c.flight_id and t.i + 1 between c.start_row and c.end_row and not exists (select 1 from ({MACH_SQL}) s where s.route = t.route and s.flight_id = t.flight_id and t.i + 1 between s.start_row and s.end_row))")
-def _(t):
-    c = small_extraction()
-    return commands.cas_segments(t.track, commands.mach_segments(levelled(t), c), c).select(*K, "start_row", "end_row", "var_mean")
-
-
-@query("w15_plateaus")
-def _(t):
-    return series.plateaus(t.track, "vz_sel", 50.0).select(*K, "i", "plateau_start", "plateau_value")
-
-
-@query("w17_speed_holds", f"select {ID}, i, {rounded('mach_hold', 'cas_hold')} from (select *, " + ", ".join(f"coalesce({n}, first_value({n} ignore nulls) {frame('current row and unbounded following')}) as {n[1:]}" for n in ("_mach_hold", "_cas_hold")) + f" from (select *, last_value(mach_sel ignore nulls) over (partition by {ID}, phase order by timestamp) as _mach_hold, last_value(cas_sel ignore nulls) over (partition by {ID}, phase order by timestamp) as _cas_hold from track) x) y")
-def _(t):
-    return replay.speed_holds(t.track).select(*K, "i", "mach_hold", "cas_hold")
-
-
-PHI = f"select t.*, case when s.span > 30 then (epoch(t.timestamp) - epoch(s.s0)) / s.span end as phi from track t join slab s on s.route = t.route and s.flight_id = t.flight_id and s.phase = t.phase"
-
-
-@query("w18_share_in_phase", f"select {ID}, i, {rounded('phi')} from ({PHI}) x")
-def _(t):
-    return series.share_in_phase(t.track).select(*K, "i", "phi")
-
-
-@query("w19_elapsed", "select flight_id, event_id, round((epoch_us(timestamp) - min(epoch_us(timestamp)) over (partition by flight_id)) / 1e6, 6) as s from irregular")
-def _(t):
-    return t.irregular.select("flight_id", "event_id", series.elapsed_s("timestamp", ["flight_id"]).alias("s"))
-
-
-@query("w20_empirical_cdf", "select phase, value, max(cdf) as cdf from (select phase, round(CAS, 6) as value, round(cume_dist() over (partition by phase order by CAS), 6) as cdf from track where CAS is not null) x group by phase, value")
-def _(t):
-    return series.empirical_cdf(t.track.withColumnRenamed("CAS", "value"), "value", ["phase"])
-
-
-@query("w21_fill_rate")
-def _(t):
-    return series.fill_rate(t.track, "vz_sel", "filled").select(*K, "i", "filled")
-
-
-# --- Sort, limit, sets ---------------------------------------------------------------------------------------------------
-
-
-@query("t1_longest", "select flight_id from flights order by epoch_us(lastseen) - epoch_us(firstseen) desc, flight_id limit 20")
-def _(t):
-    return manifest.longest(t.flights, 20).select("flight_id")
-
-
-@query("t2_first_of_group", f"select {ID} from (select *, row_number() over (partition by route order by firstseen, flight_id) as k from flights) x where k <= 5")
-def _(t):
-    from pyspark.sql import Window
-
-    d = t.flights.withColumn("k", F.row_number().over(Window.partitionBy("route").orderBy("firstseen", "flight_id")))
-    return d.filter("k <= 5").select(*K)
-
-
-@query("t5_extend_manifest", "select flight_id from flights where status = 'done' union all (select flight_id from flights where status <> 'done' order by firstseen, flight_id limit 2)")
-def _(t):
-    done = t.flights.filter("status = 'done'")
-    return manifest.extend(done, t.flights, done.count() + 2).select("flight_id")
-
-
-@query("u1_union_by_name", f"select {ID}, epoch_us(timestamp) as timestamp, round(altitude, 6) as altitude_ft, cast(null as double) as IAS from track union all select {ID}, epoch_us(timestamp), null, round(IAS, 6) from sparse")
-def _(t):
-    a = t.track.select(*K, "timestamp", F.col("altitude").alias("altitude_ft"))
-    return a.unionByName(t.sparse.select(*K, "timestamp", "IAS"), allowMissingColumns=True)
-
-
-@query("u2_except", "select flight_id from flights except all select flight_id from flights where status = 'done'")
-def _(t):
-    return t.flights.select("flight_id").exceptAll(t.flights.filter("status = 'done'").select("flight_id"))
-
-
-@query("u4_airports_used", "select departure as icao from flights union select arrival from flights")
-def _(t):
-    return reports.airports_used(t.flights.select("route"))
-
-
-# --- Scalar functions --------------------------------------------------------------------------------------------------
-
-
-@query("f1_flight_id", "select flight_id, concat_ws('_', case when callsign is null or replace(callsign, ' ', '') = '' then 'NOCALL' else replace(callsign, ' ', '') end, icao24, cast(cast(epoch(firstseen) as bigint) as varchar)) as id from flights")
-def _(t):
-    return t.flights.select("flight_id", keys.flight_id("icao24", "callsign", "firstseen").alias("id"))
-
-
-@query("f2_f3_times", "select event_id, epoch_us(date_trunc('minute', timestamp)) as minute, epoch_us(timestamp) as parsed from irregular")
-def _(t):
-    d = t.irregular.withColumn("text", F.date_format(F.col("timestamp").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
-    return d.select("event_id", keys.minute("timestamp").alias("minute"), keys.parse_time("text").alias("parsed"))
-
-
-@query("f4_haversine", f"select {ID}, i, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(40 - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(40)) * pow(sin(radians(5 - longitude) / 2), 2))), 4) as km from track", 4)
-def _(t):
-    return t.track.select(*K, "i", aero.haversine_km("latitude", "longitude", F.lit(40.0), F.lit(5.0)).alias("km"))
-
-
-@query("f5_route_length", f"select route, {rounded('gc_km', 'gc_nm', digits=4)} from lengths", 4)
-def _(t):
-    return lengths_of(t)
-
-
-HAV = "2 * 6371.0 * asin(sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))"
-TO_END = "select t.*, " + HAV.format(a="t.latitude", b="t.longitude", c="p.latitude", d="p.longitude") + " as km from track t join airports p on p.icao = split_part(t.route, '_', 2) where t.latitude is not null"
-
-
-@query("f6_to_destination", f"with e as ({TO_END}) select x.route, x.flight_id, round(least(greatest(1 - x.near / z.km, 0), 1), 6) as phi_d from ({nearest_sql('tod', 'e', 'km', None)}) x join (select {ID}, arg_min(km, timestamp) as km from e group by {ID}) z using (route, flight_id)".replace("with e as", "select * from (with e as", 1) + ")")
-def _(t):
-    return descent.to_destination(descent.top_of_descent(t.track), t.track, ends_of(t)).select(*K, "phi_d")
-
-
-LEGS = "select *, sum(leg) over (partition by route, flight_id order by timestamp) as km, sum(leg) over (partition by route, flight_id) as total from (select *, coalesce(" + HAV.format(a="pa", b="po", c="latitude", d="longitude") + f", 0) as leg from (select *, lag(latitude) {W} as pa, lag(longitude) {W} as po from track where latitude is not null) x) y"
-
-
-@query("f7_progress", f"select {ID}, round(near, 6) as flight_progress from ({nearest_sql('tod', f'(select *, km / total as share from ({LEGS}) q)', 'share', None)}) z")
-def _(t):
-    e = descent.top_of_descent(t.track)
-    return descent.progress(e, t.track).select(*K, "flight_progress")
-
-
-PHASED = f"select *, case when altitude <= 100 then 'GROUND' when altitude > 100 and m >= 200 then 'CLIMB' when altitude > 100 and m <= -200 then 'DESCENT' else 'LEVEL' end as ph from (select *, quantile_cont(vertical_rate, 0.5) {frame('7 preceding and 7 following')} as m from track) x"
-
-
-@query("f8_c10_phases", f"select {ID}, i, ph as phase from ({PHASED}) y")
-def _(t):
-    return commands.with_phases(t.track).select(*K, "i", "phase")
-
-
-@query("f9_path_angle", f"select {ID}, i, round(degrees(asin(least(greatest(vertical_rate * 0.00508 / greatest(CAS * 0.514444, 1.0), -1.0), 1.0))), 6) as gamma_deg from track where CAS is not null")
-def _(t):
-    return t.track.filter("CAS is not null").select(*K, "i", aero.flight_path_angle_deg("vertical_rate", "CAS").alias("gamma_deg"))
-
-
-def isa(h: str) -> dict[str, str]:
-    """SQL of the standard atmosphere at a height in m."""
-    temp = f"(case when {h} > 11000 then 216.65 else 288.15 - 0.0065 * {h} end)"
-    expo, at = "(9.80665 / (287.05287 * 0.0065))", "(101325.0 * pow(216.65 / 288.15, 9.80665 / (287.05287 * 0.0065)))"
-    pressure = f"(case when {h} > 11000 then {at} * exp(-9.80665 / (287.05287 * 216.65) * ({h} - 11000)) else 101325.0 * pow(1 - 0.0065 * {h} / 288.15, {expo}) end)"
-    sound = f"sqrt(1.4 * 287.05287 * {temp})"
-    return {"sound": sound, "pressure": pressure}
-
-
-def mach_tas(m: str, h: str) -> str:
-    return f"({m} * {isa(h)['sound']} / 0.514444)"
-
-
-def cas_tas(c: str, h: str) -> str:
-    q = f"(101325.0 * (pow(1 + 0.2 * pow({c} * 0.514444 / sqrt(1.4 * 287.05287 * 288.15), 2), 3.5) - 1))"
-    return f"(sqrt(5 * (pow({q} / {isa(h)['pressure']} + 1, 2.0 / 7) - 1)) * {isa(h)['sound']} / 0.514444)"
-
-
-def tas_cas(v: str, h: str) -> str:
-    m = f"({v} * 0.514444 / {isa(h)['sound']})"
-    return f"(sqrt(1.4 * 287.05287 * 288.15) * sqrt(5 * (pow({isa(h)['pressure']} * (pow(1 + 0.2 * {m} * {m}, 3.5) - 1) / 101325.0 + 1, 2.0 / 7) - 1)) / 0.514444)"
-
-
-H = "(altitude * 0.3048)"
-
-
-@query("f10_isa_speeds", f"select {ID}, i, round({mach_tas('Mach', H)}, 4) as mach_tas, round({cas_tas('CAS', H)}, 4) as cas_tas, round({tas_cas('TAS', H)}, 4) as tas_cas from track where altitude is not null", 4)
-def _(t):
-    h = F.col("altitude") * aero.FT_M
-    return t.track.filter("altitude is not null").select(*K, "i", aero.mach_to_tas_kt("Mach", h).alias("mach_tas"), aero.cas_to_tas_kt("CAS", h).alias("cas_tas"), aero.tas_to_cas_kt("TAS", h).alias("tas_cas"))
-
-
-@query("f11_f12_f13_targets", f"select {ID}, i, round(target, 4) as target, round(intent, 4) as intent, round(case when intent > 0 and vz_sel is not null then asin(least(greatest(vz_sel * 0.00508 / (intent * 0.514444), -1.0), 1.0)) end, 6) as gamma from (select *, coalesce({mach_tas('Mach', H)}, {cas_tas('CAS', H)}) as target, least({mach_tas('Mach', H)}, {cas_tas('CAS', H)}) as intent from track where altitude is not null) x")
-def _(t):
-    d = t.track.filter("altitude is not null").select(*K, "i", "vz_sel", aero.tas_target_kt("Mach", "CAS", "altitude").alias("target"), aero.tas_intent_kt("Mach", "CAS", "altitude").alias("intent"))
-    return d.select(*K, "i", F.round("target", 4).alias("target"), F.round("intent", 4).alias("intent"), aero.gamma_rad("vz_sel", "intent").alias("gamma"))
-
-
-HIGH = "case when altitude is null then false when altitude >= 22000 then true when altitude <= 15000 then false else phase in ('LEVEL', 'DESCENT') end"
-
-
-@query("f14_f15_regime", f"select {ID}, i, high, round(case when high then coalesce({mach_tas('Mach', H)}, {cas_tas('CAS', H)}) else coalesce({cas_tas('CAS', H)}, {mach_tas('Mach', H)}) end, 4) as tas from (select *, {HIGH} as high from track) x", 4)
-def _(t):
-    d = t.track.withColumn("high", aero.high_regime("altitude", "phase", 22000.0, 15000.0))
-    return d.select(*K, "i", "high", aero.tas_by_regime_kt("Mach", "CAS", "altitude", F.col("high")).alias("tas"))
-
-
-@query("f16_crossovers", f"select {ID}, round(coalesce(any_value(a1), 28000), 6) as up_ft, round(coalesce(any_value(a3), any_value(a2), any_value(a1), 28000), 6) as down_ft from (select {ID}, first_value(altitude) over (partition by {ID} order by mach_sel is null, i) as a1, first_value(altitude) over (partition by {ID} order by mach_sel is null, i desc) as a2, first_value(case when cas_sel is not null and i > lm then altitude end) over (partition by {ID} order by not (cas_sel is not null and i > lm), i) as a3 from (select *, max(case when mach_sel is not null then i end) over (partition by {ID}) as lm from track) x) y group by {ID}")
-def _(t):
-    return replay.crossovers(t.track)
-
-
-@query("f17_f18_f19_bins", f"select {ID}, i, round(round_even(altitude / 500, 0) * 500, 6) as h_bin, round(round_even(Mach / 0.01, 0) * 0.01, 6) as mach_bin, (select count(*) from (select unnest(range(1, 20)) as e) b where x.u > b.e * 0.05) as phi_bin, cast(floor(least(greatest(u, 0), 0.999) * 10) as bigint) as u_bin from (select *, i / n as u from track) x")
-def _(t):
-    u = (F.col("i") / F.col("n")).alias("u")
-    return t.track.select("*", u).select(*K, "i", bins.to_step("altitude", 500.0).alias("h_bin"), bins.to_step("Mach", 0.01).alias("mach_bin"), bins.phi_bin("u").alias("phi_bin"), bins.plateau_bin("u").alias("u_bin"))
-
-
-@query("f20_f21_bands", "select route, flight_id, family, case when gc_nm < 890 then 0 when gc_nm < 910 then 1 else 2 end as gc_bin, case when gc_nm < 890 then '0–890 nm' when gc_nm < 910 then '890–910 nm' else '910–20000 nm' end as label from meta")
-def _(t):
-    e = [0.0, 890.0, 910.0, 20000.0]
-    return meta_of(t).select(*K, "family", bins.distance_bin("gc_nm", e).alias("gc_bin"), bins.distance_label("gc_nm", e).alias("label"))
-
-
-@query("f24_gamma_fallback", f"select {ID}, i, round(case when bool_or(g is not null) over (partition by {ID}) then g else case when CAS > 0 then asin(least(greatest(vertical_rate * 0.00508 / (CAS * 0.514444), -1.0), 1.0)) end end, 6) as gamma from (select *, case when right(flight_id, 1) = '1' and ln = 2 then 0.25 end as g from track) x")
-def _(t):
-    d = t.track.withColumn("observed_gamma_rad", F.when(F.col("flight_id").endswith("1") & (F.col("ln") == 2), 0.25)).withColumn("observed_tas_kt", F.col("CAS"))
-    return d.select(*K, "i", inputs.gamma_or_ratio(d).alias("gamma"))
-
-
-@query("f25_f26_small_functions", f"select {ID}, i, round(TAS - 12.5, 6) as gs, round(least(greatest(CAS + (lead - CAS) * 20, 130), 340), 6) as cas from (select *, lead(CAS) {W} as lead from track) x where CAS is not null and lead is not null")
-def _(t):
-    d = t.track.withColumn("next", F.lead("CAS").over(series.series())).filter("CAS is not null and next is not null")
-    return d.select(*K, "i", aero.ground_speed_kt("TAS", 12.5).alias("gs"), aero.cas_after_transition("CAS", F.col("CAS") * 20, F.col("next") * 20).alias("cas"))
-
-
-# --- Composite operators -----------------------------------------------------------------------------------------
-
-
-@query("c1_trajectory", f"select {ID}, seq, round(near.gs, 4) as gs, round(near.gs * 1.94384, 4) as kt from ({nearest_sql('(select * from sparse where altitude_ft is not null)', '(select *, {gs: groundspeed_kt} as p from sparse)', 'p', 2)}) x", 4)
-def _(t):
-    pos = t.sparse.filter("altitude_ft is not null").select(*K, "timestamp", "seq", "latitude", "longitude", "altitude_ft")
-    raw = t.sparse.select(*K, keys.seconds("timestamp").alias("mintime"), F.col("groundspeed_kt").alias("velocity"), F.lit(0.0).alias("heading"), F.lit(0.0).alias("vertrate"))
-    d = trajectory.trajectory(pos, trajectory.velocities(raw), K)
-    return d.filter("seq is not null").select(*K, "seq", F.col("groundspeed_mps").alias("gs"), F.col("groundspeed_kt").alias("kt"))
-
-
-@query("c2_merge_sources", f"select {ID}, epoch_us(timestamp) as timestamp, round(altitude, 6) as altitude_ft, cast(null as double) as IAS, cast(null as double) as TAS from track union all select {ID}, epoch_us(timestamp), null, round(IAS, 6), round(TAS, 6) from sparse")
-def _(t):
-    d = trajectory.merge_sources(t.track.select(*K, "timestamp", F.col("altitude").alias("altitude_ft")), t.sparse.select(*K, "timestamp", "IAS", "TAS"))
-    return d.select(*K, "timestamp", "altitude_ft", "IAS", "TAS")
-
-
-GRID = f"(select {ID}, unnest(generate_series(date_trunc('second', min(timestamp)), date_trunc('second', max(timestamp)) + interval '1' second, interval '1' second)) as timestamp from sparse group by {ID})"
-R0 = f"select a.*, b.near as ias, c.near as tas from ({nearest_sql(GRID, 'sparse', 'altitude_ft', 2)}) a join ({nearest_sql(GRID, 'sparse', 'IAS', 5)}) b using (route, flight_id, timestamp) join ({nearest_sql(GRID, 'sparse', 'TAS', 5)}) c using (route, flight_id, timestamp)"
-R1 = f"select *, near as altitude, last_value(ias ignore nulls) {frame('60 preceding and current row')} as CAS from ({R0}) r0"
-R2 = f"select *, last_value(coalesce(tas, {cas_tas('CAS', H)}) ignore nulls) {frame('60 preceding and current row')} as t from ({R1}) r1"
-R3 = f"select *, row_number() {W} as rn from ({R2}) r2 where altitude is not null"
-
-
-def filled_sql(v: str) -> str:
-    p, f = frame("unbounded preceding and current row"), frame("current row and unbounded following")
-    return f"coalesce({v}, last_value({v} ignore nulls) {p} + (first_value({v} ignore nulls) {f} - last_value({v} ignore nulls) {p}) * (rn - last_value(case when {v} is not null then rn end ignore nulls) {p}) / (first_value(case when {v} is not null then rn end ignore nulls) {f} - last_value(case when {v} is not null then rn end ignore nulls) {p}), last_value({v} ignore nulls) {p}, first_value({v} ignore nulls) {f})"
-
-
-@query("c3_resample", f"select {ID}, epoch_us(timestamp) as timestamp, round(epoch(timestamp) - min(epoch(timestamp)) over (partition by {ID}), 4) as time, round(altitude, 4) as altitude, round({filled_sql('CAS')}, 4) as CAS, round({filled_sql('t')}, 4) as observed_tas_kt, 0.0e0 as Mach from ({R3}) r3", 4)
-def _(t):
-    return trajectory.resample(t.sparse, most_span_s=None).select(*K, "timestamp", "time", "altitude", "CAS", "observed_tas_kt", "Mach")
-
-
-@query("c6_selected_altitude", f"select {ID}, i, round(last_value(round_even(s.var_mean / 100, 0) * 100 ignore nulls) over (partition by t.route, t.flight_id order by t.timestamp), 6) as h_sel from track t left join (select route as r, flight_id as fl, min(i) as a, max(i) as b, avg(altitude) as var_mean from (select *, i - row_number() over (partition by {ID}, good order by timestamp) as island from (select *, coalesce(i > 0 and abs(m) <= 250 and altitude is not null, false) as good from (select *, avg(vertical_rate) {frame('7 preceding and 7 following')} as m from track) a) b) c where good group by route, flight_id, island having count(*) >= 5) s on s.r = t.route and s.fl = t.flight_id and t.i between s.a and s.b")
-def _(t):
-    return commands.with_selected_altitude(t.track.drop("h_sel"), commands.Extraction(level_len=5)).select(*K, "i", "h_sel")
-
-
-@query("c6_rate_segments")
-def _(t):
-    return commands.rate_segments(t.track, commands.Extraction(rate_tol=400.0)).select(*K, "start_row", "end_row", "var_mean")
-
-
-@query("c8_extract_commands")
-def _(t):
-    grid = t.track.drop("h_sel", "vz_sel", "mach_sel", "cas_sel", "phase")
-    d = commands.extract_commands(grid, small_extraction())
-    return d.groupBy(*K).agg(F.count("mach_sel").alias("mach"), F.count("cas_sel").alias("cas"), F.count("vz_sel").alias("vz"), F.count("h_sel").alias("h"), F.count("tas_intent_kt").alias("tas"), F.count("vz_sel_replay").alias("filled"), F.count_if(F.col("phase") == "CLIMB").alias("climb"))
-
-
-@query("c9_command_events", f"select {ID}, command, epoch_us(t0) as start_timestamp, epoch_us(t1) as end_timestamp, {rounded('duration_s', 'value')} from cmd")
-def _(t):
-    return islands.command_events(t.track)
-
-
-@query("c11_top_of_descent", f"select {ID}, epoch_us(timestamp) as timestamp, round(hh, 6) as h_sel_ft, round(hp, 6) as h_sel_prev_ft, round(hp - hh, 6) as step_ft, case when hh <= 22000 then 'preferred_below_threshold' else 'first_drop' end as tod_rule, 22000.0e0 as tod_threshold_ft, round(altitude, 6) as altitude_ft, time as time_s from tod")
-def _(t):
-    return descent.top_of_descent(t.track)
-
-
-@query("c12_enrich", f"select f.route, f.flight_id, a.typecode, cast(nullif(sum(case when t.phase = 'LEVEL' then 1 else 0 end), 0) as double) as phase_level_s, any_value(round(d.hh, 6)) as h_sel_ft from flights f left join aircraft a using (icao24) left join track t on t.route = f.route and t.flight_id = f.flight_id left join tod d on d.route = f.route and d.flight_id = f.flight_id group by f.route, f.flight_id, a.typecode")
-def _(t):
-    meta, events = descent.enrich(t.track, t.track, t.flights, t.aircraft, ends_of(t))
-    return meta.join(events.select(*K, "h_sel_ft"), K, "left").select(*K, "typecode", "phase_level_s", "h_sel_ft")
-
-
-QC = f"""select {ID}, (max(epoch_us(timestamp)) - min(epoch_us(timestamp))) / 3.6e9 as span, max(time) as t_max, count(*) as rows, avg(case when air then cast(coalesce(jump > 3000, false) as int) end) as j3, avg(case when air then cast(coalesce(jump > 5000, false) as int) end) as j5,
-  coalesce(max(case when air then jump end), max(jump)) as jmax, max(altitude) as alt_max, cast(count(*) filter (where phase = 'CLIMB') as double) as climb, avg(case when altitude > 3000 then cast(abs(vertical_rate) > 200 as int) end) as active, max(h) as h_max, median(h) as h_med, max(h) / max(altitude) as ratio
-  from (select *, abs(altitude - prev) as jump, coalesce(altitude > 3000 or prev > 3000, false) and altitude is not null and prev is not null as air from (select *, lag(altitude) {W} as prev, coalesce(last_value(h_sel ignore nulls) {frame('unbounded preceding and current row')}, first_value(h_sel ignore nulls) {frame('current row and unbounded following')}) as h from track) a) b group by {ID}"""
-#: Two kinds of flights are spoilt, so that several reasons occur.
-SPOILT = "select * replace (case when right(flight_id, 1) = '2' then h_sel * 0.05 when right(flight_id, 1) = '6' then h_sel * 0.4 else h_sel end as h_sel, case when right(flight_id, 1) = '4' then 0 else vertical_rate end as vertical_rate, case when right(flight_id, 1) = '8' and i % 50 = 7 then altitude / 2 else altitude end as altitude, case when right(flight_id, 1) = '9' then time * 2 else time end as time, case when right(flight_id, 1) = '5' then 'LEVEL' else phase end as phase) from track"
-QCS = QC.replace("from track)", f"from ({SPOILT}) t)")
-REASON = {
-    "q1": "case when span > 8 then 'excessive_timeline_duration' when t_max > 28800 or (span > 0 and t_max > span * 3600 * 1.25) then 'time_column_anomaly' end",
-    "q2": "case when j3 >= 0.005 or j5 >= 0.003 then 'altitude_teleport_noise' end",
-    "q3": "case when alt_max >= 15000 and climb < 60 then 'no_operational_climb' when alt_max >= 15000 and active < 0.03 then 'vertical_rate_lost' end",
-    "q4": "case when (h_max is null or h_max < 3000) and alt_max >= 15000 then 'missing_h_sel' when alt_max >= 25000 and (h_max is null or h_max < 8000) then 'broken_h_sel' when alt_max >= 25000 and ratio < 0.7 and h_max < 22000 then 'h_sel_alt_mismatch' end",
-}
-
-
-def spoilt(t: Tables) -> DataFrame:
-    last = F.right("flight_id", F.lit(1))
-    return t.track.withColumns({
-        "h_sel": F.when(last == "2", F.col("h_sel") * 0.05).when(last == "6", F.col("h_sel") * 0.4).otherwise(F.col("h_sel")), "vertical_rate": F.when(last == "4", 0.0).otherwise(F.col("vertical_rate")),
-        "altitude": F.when((last == "8") & (F.col("i") % 50 == 7), F.col("altitude") / 2).otherwise(F.col("altitude")), "time": F.when(last == "9", F.col("time") * 2).otherwise(F.col("time")), "phase": F.when(last == "5", "LEVEL").otherwise(F.col("phase")),
-    })
-
-
-@query("q1_timeline", f"select {ID}, round(span, 6) as timestamp_span_h, t_max as time_column_max_s, {REASON['q1']} as reason from ({QCS}) q")
-def _(t):
-    return quality.metrics(spoilt(t)).select(*K, "timestamp_span_h", "time_column_max_s", quality.timeline_reason().alias("reason"))
-
-
-@query("q2_altitude_jumps", f"select {ID}, {rounded('j3', 'j5', 'jmax')}, {REASON['q2']} as reason from ({QCS}) q")
-def _(t):
-    return quality.metrics(spoilt(t)).select(*K, F.col("airborne_jump3000_frac").alias("j3"), F.col("airborne_jump5000_frac").alias("j5"), F.col("airborne_alt_jump_max_ft").alias("jmax"), quality.jump_reason().alias("reason"))
-
-
-@query("q3_vertical_rate", f"select {ID}, {rounded('alt_max', 'climb', 'active')}, {REASON['q3']} as reason from ({QCS}) q")
-def _(t):
-    return quality.metrics(spoilt(t)).select(*K, F.col("alt_max_ft").alias("alt_max"), F.col("phase_climb_s").alias("climb"), F.col("airborne_vz_active_fraction").alias("active"), quality.rate_reason().alias("reason"))
-
-
-@query("q4_selected_altitude", f"select {ID}, {rounded('h_max', 'h_med', 'ratio')}, {REASON['q4']} as reason from ({QCS}) q")
-def _(t):
-    return quality.metrics(spoilt(t)).select(*K, F.col("h_sel_max_ft").alias("h_max"), F.col("h_sel_median_ft").alias("h_med"), F.col("h_sel_alt_ratio").alias("ratio"), quality.selected_reason().alias("reason"))
-
-
-Q5 = f"select {ID}, coalesce({REASON['q1']}, {REASON['q2']}, {REASON['q3']}, {REASON['q4']}, 'ok') as qc_reason, round(case when coalesce({REASON['q1']}, {REASON['q2']}, {REASON['q3']}) is null then h_max end, 6) as h_sel_max_ft, round(case when {REASON['q1']} is null then j3 end, 6) as airborne_jump3000_frac from ({QCS}) q"
-
-
-@query("q5_a15_quality", f"select *, qc_reason = 'ok' as accepted from ({Q5}) x")
-def _(t):
-    return quality.assess(spoilt(t)).select(*K, "accepted", "qc_reason", "h_sel_max_ft", "airborne_jump3000_frac")
-
-
-@query("c13_process_routes", f"select c.route, count(distinct c.flight_id) as flights, count(*) as events from cmd c join ({Q5}) q on q.route = c.route and q.flight_id = c.flight_id where q.qc_reason = 'ok' group by c.route")
-def _(t):
-    ok = quality.assess(spoilt(t)).filter("accepted").select(*K)
-    e = islands.command_events(t.track.join(ok, K, "left_semi"))
-    return e.groupBy("route").agg(F.count_distinct("flight_id").alias("flights"), F.count(F.lit(1)).alias("events"))
-
-
-HOLDS = f"select *, " + ", ".join(f"coalesce({n}, first_value({n} ignore nulls) {frame('current row and unbounded following')}) as {n[1:]}" for n in ("_mh", "_ch")) + f" from (select *, last_value(mach_sel ignore nulls) over (partition by {ID}, phase order by timestamp) as _mh, last_value(cas_sel ignore nulls) over (partition by {ID}, phase order by timestamp) as _ch from track) x"  # noqa: F541
-P0 = f"select *, first_value(altitude) {frame('unbounded preceding and current row')} + sum(least(greatest(coalesce(vz_sel, 0), -4000), 4000)) {frame('unbounded preceding and current row')} / 60.0 as h from (select *, min(case when phase = 'CLIMB' then i end) over (partition by {ID}) as i0 from ({HOLDS}) y) z where i >= coalesce(i0, 0)"
-P1 = f"select *, case when h >= 28000 then true else false end as high from ({P0}) p0"
-HM = "(h * 0.3048)"
-P2 = f"select *, case when high then coalesce({mach_tas('mh', HM)}, {cas_tas('ch', HM)}) else coalesce({cas_tas('ch', HM)}, {mach_tas('mh', HM)}) end as tgt from ({P1}) p1"
-PLAYED = f"select *, last_value(tgt ignore nulls) {frame('unbounded preceding and current row')} as gen_tas, least(greatest(coalesce(vz_sel, 0), -4000), 4000) as rocd from ({P2}) p2"
-
-
-def starts_known(t: Tables) -> DataFrame:
-    """Flights whose first row in climb has an altitude."""
-    first = t.track.filter("phase = 'CLIMB'").groupBy(*K).agg(F.min_by(F.col("altitude").isNotNull(), "timestamp").alias("ok"))
-    return t.track.join(first.filter("ok").select(*K), K, "left_semi")
-
-
-STARTS = f"(route, flight_id) in (select {ID} from (select {ID}, arg_min(altitude is not null, timestamp) as ok from track where phase = 'CLIMB' group by {ID}) s where ok)"
-
-
-@query("c14_replay", f"select {ID}, i, round(h, 4) as gen_altitude_ft, rocd as gen_rocd_fpm, round(gen_tas, 4) as gen_tas_kt, high as regime_high_alt, i0 as replay_start_idx from ({PLAYED}) x where {STARTS}", 4)
-def _(t):
-    d = replay.replay(starts_known(t))
-    i = (keys.seconds("timestamp") - 1704067200).cast("long").alias("i")
-    return d.select(*K, i, "gen_altitude_ft", "gen_rocd_fpm", "gen_tas_kt", "regime_high_alt", "replay_start_idx")
-
-
-@query("c15_replay_metrics", f"select {ID}, round(sqrt(avg(e * e)), 3) as rmse_ft, round(avg(abs(e)), 3) as mae_ft, round(avg(e), 3) as bias_ft, count(e) as n, round(avg(abs(case when near.v > 30 and gen_tas > 30 then gen_tas - near.v end)), 3) as mae_tas_kt, count(case when near.v > 30 and gen_tas > 30 then 1 end) as n_tas from (select *, h - altitude as e from ({nearest_sql(f'(select * from ({PLAYED}) y where {STARTS})', '(select *, {v: TAS} as p from sparse)', 'p', 2)}) z) w group by {ID}", 3)
-def _(t):
-    d = replay.replay_metrics(replay.replay(starts_known(t)), t.sparse, t.sparse)
-    return d.select(*K, "rmse_ft", "mae_ft", "bias_ft", "n", "mae_tas_kt", "n_tas")
-
-
-SEG = "select route, flight_id, t0, value, greatest(round_even(case when duration_s > 0 then duration_s else 60 end, 0), 1) as k from cmd where command = 'h_sel'"
-EXPANDED = f"select {ID}, unnest(range(cast(a as bigint), cast(a + k as bigint))) as \"at\", value from (select *, coalesce(sum(k) over (partition by {ID} order by t0 rows between unbounded preceding and 1 preceding), 0) as a from ({SEG}) s) u"
-
-
-@query("c16_expand_segments", f"select {ID}, x.at, round(value, 6) as value from ({EXPANDED}) x")
-def _(t):
-    return assembly.expand_segments(islands.command_events(t.track).filter("command = 'h_sel'"), "start_timestamp")
-
-
-@query("c17_fit_length", f"select w.route, w.flight_id, w.at, round(case when w.at = 0 then 111.0e0 else last_value(x.value ignore nulls) over (partition by w.route, w.flight_id order by w.at) end, 6) as value from (select {ID}, unnest(range(0, n + 40)) as at from (select distinct {ID}, n from track) d) w left join ({EXPANDED}) x on x.route = w.route and x.flight_id = w.flight_id and x.at = w.at")
-def _(t):
-    grid = assembly.expand_segments(islands.command_events(t.track).filter("command = 'h_sel'"), "start_timestamp")
-    n = t.track.select(*K, (F.col("n") + 40).alias("n"), F.lit(111.0).alias("first")).distinct()
-    return assembly.fit_length(grid, n, "first").select(*K, "at", "value")
-
-
-EST = f"select *, 0.0 + sum(coalesce(vz_sel, 0)) {frame('unbounded preceding and current row')} / 60.0 as h_est, max(h_sel) over (partition by {ID}) as top from track"
-
-
-@query("c18_top_of_climb", f"select {ID}, min(case when h_est >= top / 2 - 25 then i + 1 end) as toc_row, any_value(top / 2) as h_cruise from ({EST}) x group by {ID}", 6)
-def _(t):
-    return assembly.top_of_climb(t.track.withColumn("h_sel", F.col("h_sel") / 2))
-
-
-GS = f"select *, {cas_tas('cas_sel', '(h_est * 0.3048)')} as c, {mach_tas('mach_sel', '(h_est * 0.3048)')} as m from ({EST}) e0"
-GS = f"select *, coalesce(case when phase = 'CLIMB' then c when phase = 'LEVEL' then coalesce(m, c) else coalesce(c, m) end, m, c) - 10.0 as gs from ({GS}) e1"
-
-
-@query("c20_ground_speed", f"select {ID}, i, round(h_est, 4) as h_est, round(gs, 4) as gs_kt from ({GS}) x", 4)
-def _(t):
-    return assembly.with_ground_speed(t.track, 0.0, 10.0).select(*K, "i", "h_est", "gs_kt")
-
-
-FLOWN = f"select *, sum(gs / 3600.0) over (partition by {ID} order by timestamp) / 60.0 as flown from ({GS}) e2"
-
-
-@query("c19_row_at_share", f"select {ID}, coalesce(min(case when flown >= 0.5 then i end), count(*)) as at from ({FLOWN}) x group by {ID}")
-def _(t):
-    return assembly.rows_at_share(assembly.with_ground_speed(t.track, 0.0, 10.0), 0.5, F.lit(60.0))
-
-
-@query("c21_scale_plateaus", f"select {ID}, epoch_us(t0) as start_timestamp, round(case when abs(s) < 1 then value else value * -9000.0 / s end, 4) as value from (select *, sum(value * duration_s / 60.0) over (partition by {ID}) as s from cmd where command = 'vz_sel') x", 4)
-def _(t):
-    return assembly.scale_plateaus(islands.command_events(t.track).filter("command = 'vz_sel'"), F.lit(-9000.0)).select(*K, "start_timestamp", "value")
-
-
-@query("c22_close_descent", f"select {ID}, i, round(30000 + sum(case when i >= hit then 0 else coalesce(vz_sel, 0) end) {frame('unbounded preceding and current row')} / 60.0, 4) as h_closed from (select *, coalesce(min(case when h <= 29000 + 25 then i end) over (partition by {ID}), 1e9) as hit from (select *, 30000 + sum(coalesce(vz_sel, 0)) {frame('unbounded preceding and current row')} / 60.0 as h from (select * replace (-abs(vz_sel) as vz_sel) from track) a) b) c", 4)
-def _(t):
-    return assembly.close_descent(t.track.withColumn("vz_sel", -F.abs("vz_sel")), 30000.0, 29000.0).select(*K, "i", "h_closed")
-
-
-PLACE = GS.replace(" - 10.0 as gs", " as gs").replace("when phase = 'LEVEL' then coalesce(m, c)", f"when phase = 'LEVEL' then {mach_tas('0.76', '(h_est * 0.3048)')}").replace("else coalesce(c, m) end", f"else coalesce(c, m, {mach_tas('0.76', '(h_est * 0.3048)')}) end")
-PLACED = f"select *, least(coalesce(min(case when flown >= 0.3 then i end) over (partition by {ID}), n), n - 1) as a, coalesce(min(case when flown >= 0.6 then i end) over (partition by {ID}), n) as b0 from (select *, sum(gs / 3600.0) over (partition by {ID} order by timestamp) / 60.0 as flown from ({PLACE}) e3) e4"
-
-
-@query("c23_place_mach", f"select {ID}, count(case when i >= a and i < b then 1 end) as rows, round(max(case when i = a then h_est end), 4) as up_ft, round(max(case when i = b then h_est end), 4) as down_ft from (select *, least(greatest(b0, a + 1), n - 1) as b from ({PLACED}) e5) e6 group by {ID}", 4)
-def _(t):
-    d = assembly.place_mach(t.track, 0.3, 0.6, 0.76, F.lit(60.0))
-    return d.groupBy(*K).agg(F.count("mach_placed").alias("rows"), F.max("up_ft").alias("up_ft"), F.max("down_ft").alias("down_ft"))
-
-
-@query("c24_climb_end", f"select {ID}, round(max(h_sel), 6) as h_pre_max, round(arg_max(cas_sel, timestamp) filter (where cas_sel is not null), 6) as cas_pre_last from track where phase = 'CLIMB' group by {ID}")
-def _(t):
-    return assembly.climb_end(t.track.filter("phase = 'CLIMB'"))
-
-
-CRUISE = f"select {ID}, sum(gs / 3600.0) as nm, arg_max(h_est, timestamp) as h_cruise, arg_max(cas_sel, timestamp) filter (where cas_sel is not null) as cas_cruise from ({GS.replace(' - 10.0 as gs', ' as gs').replace('from track', 'from (select * from track where phase = ' + chr(39) + 'CLIMB' + chr(39) + ') tc', 1)}) x group by {ID}"
-
-
-@query("c25_cruise_seconds", f"select {ID}, cast(case when 0.7 * 60 - nm <= 0 then 0 else ceil((0.7 * 60 - nm) / {cas_tas('cas_cruise', '(h_cruise * 0.3048)')} * 3600) end as bigint) as need_s, round(h_cruise, 4) as h_cruise from ({CRUISE}) c", 4)
-def _(t):
-    return assembly.cruise_seconds(t.track.filter("phase = 'CLIMB'"), 0.7, F.lit(60.0)).select(*K, "need_s", "h_cruise")
-
-
-@query("c25_level_segment", f"select s.route, s.flight_id, count(*) as rows, epoch_us(min(ts)) as first, epoch_us(max(ts)) as last from (select {ID}, max(timestamp) as t from track group by {ID}) s, lateral (select unnest(generate_series(s.t + interval '1' second, s.t + interval '30' second, interval '1' second)) as ts) g group by 1, 2")
-def _(t):
-    needs = t.track.select(*K, F.lit(30).cast("long").alias("need_s"), F.lit(30000.0).alias("h_cruise"), F.lit(250.0).alias("cas_cruise")).distinct()
-    d = assembly.level_segment(t.track, needs)
-    return d.groupBy(*K).agg(F.count(F.lit(1)).alias("rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
-
-
-# --- Conditional distributions -------------------------------------------------------------------------------------------
-
-VZ, HS, CA = "round_even(value / 100, 0) * 100", "round_even(value / 500, 0) * 500", "round_even(value / 5, 0) * 5"
-
-
-def phi_sql(where: str, bin_: str) -> str:
-    return f"select e.*, {bin_} as bin, least(greatest((epoch(e.t0) - epoch(s.s0)) / s.span, 0), 1) as phi_mid, e.duration_s / s.span as dphi from ev e join slab s on s.route = e.route and s.flight_id = e.flight_id and s.phase = e.phase where s.rows >= 2 and s.span > 30 and {where}"
-
-
-PHI_BIN_SQL = "(select count(*) from (select unnest(range(1, 20)) as k) b where x.phi_mid > b.k * 0.05)"
-
-
-@query("l1_events_with_phi", f"select {ID}, phase, epoch_us(t0) as start_timestamp, round(bin, 6) as vz_bin, {rounded('phi_mid', 'dphi')}, {PHI_BIN_SQL} as phi_bin from ({phi_sql(chr(101) + '.command = ' + chr(39) + 'vz_sel' + chr(39), VZ)}) x")
-def _(t):
-    d = laws.with_phi(laws.binned(events_of(t), "vz_sel", "vz_bin", 100.0), laws.phase_windows(t.track))
-    return d.select(*K, "phase", "start_timestamp", "vz_bin", "phi_mid", "dphi", "phi_bin")
-
-
-L2_LEFT = "(select * replace (flight_id || phase as flight_id) from (" + phi_sql("e.command = 'vz_sel'", VZ) + ") v0)"
-L2_RIGHT = f"(select * replace (flight_id || phase as flight_id), {HS} as hb from ev where command = 'h_sel')"
-
-
-@query("l2_rate_height_joint", f"select route, flight_id, epoch_us(t0) as start_timestamp, round(bin, 6) as vz_bin, round(near, 6) as h_bin, round(dphi, 6) as dphi from ({nearest_sql(L2_LEFT, L2_RIGHT, 'hb', 60, lts='t0', rts='t0')}) x where near is not null and dphi > 0")
-def _(t):
-    d = laws.rate_height_joint(events_of(t), laws.phase_windows(t.track))
-    return d.select("route", F.concat("flight_id", "phase").alias("flight_id"), "start_timestamp", "vz_bin", "h_bin", "dphi")
-
-
-@query("l3_height_phi", f"select {ID}, phase, epoch_us(t0) as start_timestamp, round(bin, 6) as h_bin, {rounded('phi_mid', 'dphi')} from ({phi_sql(chr(101) + '.command = ' + chr(39) + 'h_sel' + chr(39), HS)}) x where dphi > 0")
-def _(t):
-    return laws.height_phi(events_of(t), laws.phase_windows(t.track)).select(*K, "phase", "start_timestamp", "h_bin", "phi_mid", "dphi")
-
-
-@query("l4_event_library", f"select c.route, c.flight_id, round(round_even(h.value / 500, 0) * 500, 6) as h_bin, cast(floor(least(u, 0.999) * 10) as bigint) as u_bin, round(u, 6) as u, round(round_even(c.value / 100, 0) * 100, 6) as vz_bin, round(c.duration_s, 6) as duration_s from ev c join (select *, coalesce(lead(t0) over (partition by {ID} order by t0), t0 + greatest(duration_s, 60.0) * interval '1' second) as stop from ev where command = 'h_sel' and phase = 'DESCENT') h on h.route = c.route and h.flight_id = c.flight_id and c.t0 >= h.t0 and c.t0 < h.stop, lateral (select least(greatest((epoch(c.t0) - epoch(h.t0)) / greatest(epoch(h.stop) - epoch(h.t0), 1.0), 0.0), 1.0) as u) z where c.command = 'vz_sel' and c.phase = 'DESCENT' and c.duration_s >= 3")
-def _(t):
-    return laws.event_library(events_of(t)).select(*K, "h_bin", "u_bin", "u", "vz_bin", "duration_s")
-
-
-L5_SLAB = f"select *, last_value(h_sel ignore nulls) {W} as hh, count(*) over (partition by {ID}) as m, min(timestamp) over (partition by {ID}) as s0, max(timestamp) over (partition by {ID}) as s1, row_number() over (partition by {ID} order by timestamp desc) as back from track where phase = 'DESCENT'"
-
-
-@query("l5_transitions", f"select {ID}, round(round_even(prev / 5, 0) * 5, 6) as cas_prev_bin, round(round_even(value / 5, 0) * 5, 6) as cas_new_bin, round(round_even(hh / 500, 0) * 500, 6) as h_bin, round((epoch(t0) - epoch(s0)) / greatest(epoch(s1) - epoch(s0), 1.0), 6) as phi, round(least(dwell, 900), 6) as dwell_s, cast(coalesce((epoch(t0) - epoch(s0)) / greatest(epoch(s1) - epoch(s0), 1.0) > 0.85 or hh < 3000, false) as bigint) as near_end from (select e.*, s.hh, s.s0, s.s1, lag(e.value) over w as prev, epoch(e.t0) - epoch(lag(e.t0) over w) as dwell from ev e join ({L5_SLAB}) s on s.route = e.route and s.flight_id = e.flight_id and s.timestamp = e.t0 where e.command = 'cas_sel' and e.phase = 'DESCENT' and s.m >= 50 window w as (partition by e.route, e.flight_id order by e.t0)) x where prev is not null and dwell >= 3")
-def _(t):
-    d = laws.transition_library(events_of(t), t.track, t.flights.select(*K, "firstseen"))
-    return d.select(*K, "cas_prev_bin", "cas_new_bin", "h_bin", "phi", "dwell_s", "near_end")
-
-
-@query("l6_mach_anchors", f"select m.route, m.flight_id, m.n_mach, round(m.mach_last, 6) as mach_last, round(p.h_pre_max, 6) as h_pre_max, round(p.cas_pre_last, 6) as cas_pre_last, round(least(greatest(1 - u.near / z.km, 0), 1), 6) as phi_up from (select {ID}, min(t0) as up, count(*) as n_mach, arg_max(value, t0) as mach_last from cmd where command = 'mach_sel' group by {ID}) m left join (select c.route, c.flight_id, max(value) filter (where command = 'h_sel') as h_pre_max, arg_max(value, t0) filter (where command = 'cas_sel') as cas_pre_last from cmd c join (select {ID}, min(t0) as up from cmd where command = 'mach_sel' group by {ID}) m on m.route = c.route and m.flight_id = c.flight_id where c.t0 < m.up group by 1, 2) p on p.route = m.route and p.flight_id = m.flight_id join ({nearest_sql(f'(select {ID}, min(t0) as timestamp from cmd where command = ' + chr(39) + 'mach_sel' + chr(39) + f' group by {ID})', f'({TO_END})', 'km', None)}) u on u.route = m.route and u.flight_id = m.flight_id join (select {ID}, arg_min(km, timestamp) as km from ({TO_END}) e group by {ID}) z on z.route = m.route and z.flight_id = m.flight_id")
-def _(t):
-    d = laws.mach_anchors(islands.command_events(t.track), t.track, ends_of(t), tod_of(t), lengths_of(t), EDGES)
-    return d.select(*K, "n_mach", "mach_last", "h_pre_max", "cas_pre_last", "phi_up")
-
-
-BIN = "case when gc_nm < 890 then 0 when gc_nm < 910 then 1 else 2 end"
-
-
-@query("l7_level_mach", f"select e.route, e.flight_id, {BIN} as gc_bin, round(round_even(e.value / 0.01, 0) * 0.01, 6) as mach_bin, round(e.duration_s, 6) as duration_s from ev e join lengths l using (route) where command = 'mach_sel' and phase = 'LEVEL'")
-def _(t):
-    return laws.level_mach(events_of(t), lengths_of(t), EDGES)
-
-
-@query("l8_descent_phi", f"select {ID}, {BIN} as gc_bin, round(phi, 6) as phi_d from (select x.route, x.flight_id, l.gc_nm, least(greatest(1 - x.near / z.km, 0), 1) as phi from ({nearest_sql('tod', f'({TO_END})', 'km', None)}) x join (select {ID}, arg_min(km, timestamp) as km from ({TO_END}) e group by {ID}) z on z.route = x.route and z.flight_id = x.flight_id join lengths l on l.route = x.route) y")
-def _(t):
-    return laws.descent_phi(descent.progress(tod_of(t), t.track), lengths_of(t), EDGES)
-
-
-@query("l9_z1_starts_and_counts", f"select {BIN} as gc_bin, m.family, e.phase, e.route, e.flight_id, round(arg_min({VZ}, e.t0), 6) as start_bin, count(*) as segments from ev e join meta m on m.route = e.route and m.flight_id = e.flight_id where e.command = 'vz_sel' and e.phase in ('CLIMB', 'DESCENT') group by all")
-def _(t):
-    return laws.starts_and_counts(events_of(t), meta_of(t), EDGES, "vz_sel", 100.0)
-
-
-@query("l9_phase_laws", f"select family, phase, count(*) as rows, round(avg(dphi), 6) as dphi from ({phi_sql(chr(101) + '.command = ' + chr(39) + 'cas_sel' + chr(39), CA)}) x join meta m on m.route = x.route and m.flight_id = x.flight_id where phase in ('CLIMB', 'DESCENT') group by family, phase")
-def _(t):
-    d = laws.phase_laws(events_of(t), t.track, meta_of(t), EDGES)["cas_phi"]
-    return d.groupBy("family", "phase").agg(F.count(F.lit(1)).alias("rows"), F.avg("dphi").alias("dphi"))
-
-
-@query("l10_distance_edges", "select unnest([0, 1, 2, 3]) as k, round(unnest([min(gc_nm) - 1, quantile_cont(gc_nm, 1.0 / 3), quantile_cont(gc_nm, 2.0 / 3), max(gc_nm) + 1]), 4) as edge from lengths", 4)
-def _(t):
-    edges = F.percentile("gc_nm", F.array(F.lit(1 / 3), F.lit(2 / 3)))
-    d = lengths_of(t).agg(F.array(F.min("gc_nm") - 1, edges[0], edges[1], F.max("gc_nm") + 1).alias("e"))
-    return d.select(F.posexplode("e").alias("k", "edge"))
-
-
-@query("l11_flight_metadata", f"select {ID}, typecode, family, round(gc_nm, 4) as gc_nm from meta", 4)
-def _(t):
-    return meta_of(t).select(*K, "typecode", "family", "gc_nm")
-
-
-L12 = """
-with a as (select o_orderstatus, o_custkey, o_orderpriority, count(*) as n from orders group by 1, 2, 3 having count(*) >= 3),
-b as (select o_orderstatus, o_custkey, count(*) as n from orders group by 1, 2 having count(*) >= 3),
-c as (select o_orderstatus, o_orderpriority, count(*) as n from orders group by 1, 2 having count(*) >= 3)
-select r.o_orderkey, case when a.n > 0 then 0 when b.n > 0 then 1 when c.n > 0 then 2 else 3 end as level,
-  coalesce(a.n, b.n, c.n, (select count(*) from orders)) as pool
-from orders r left join a using (o_orderstatus, o_custkey, o_orderpriority) left join b using (o_orderstatus, o_custkey)
-  left join c using (o_orderstatus, o_orderpriority)
-"""
-
-
-@query("l12_back_off", f"select * from ({L12}) x")
-def _(t):
-    o = t.base("orders").select("o_orderkey", "o_orderstatus", "o_custkey", "o_orderpriority")
-    levels = [["o_orderstatus", "o_custkey", "o_orderpriority"], ["o_orderstatus", "o_custkey"], ["o_orderstatus", "o_orderpriority"], []]
-    return laws.back_off(o, o, levels, least=3).select("o_orderkey", "level", "pool")
-
-
-L13 = """
-select i.event_id, arg_min(k.key, struct_pack(d := abs(k.key - i.value), k := k.key)) as key
-from irregular i left join (select distinct event_type, round_even(value / 7, 0) * 7 as key from irregular) k using (event_type)
-where i.value is not null group by i.event_id
-"""
-
-
-@query("l13_nearest_key", f"select * from ({L13}) x")
-def _(t):
-    lib = t.irregular.select("event_type", bins.to_step("value", 7.0).alias("key"))
-    r = t.irregular.filter("value is not null").select("event_id", "event_type", "value")
-    return laws.nearest_key(r, lib, "value", "key", ["event_type"]).select("event_id", "key")
-
-
-@query("l14_narrow", "select count(*) as rows, count(distinct o_custkey) as customers from orders where o_orderstatus = 'F' and o_orderpriority = '1-URGENT'")
-def _(t):
-    o = t.base("orders")
-    d = laws.narrow(o, {"o_orderstatus": "F", "o_custkey": -1, "o_orderpriority": "1-URGENT", "o_orderdate": None}, ["o_orderstatus", "o_custkey", "o_orderpriority", "o_orderdate"])
-    return d.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("o_custkey").alias("customers"))
-
-
-@query("l15_seeded_draw", "select r.o_orderkey, round(coalesce(p.value, 0.18), 6) as drawn from orders r left join (select event_type, count(*) as n from irregular where value is not null group by 1) s on s.event_type = case when r.o_orderkey % 3 = 0 then 'click' when r.o_orderkey % 3 = 1 then 'purchase' else 'nothing' end left join (select event_type, value, row_number() over (partition by event_type order by value, event_id) - 1 as at from irregular where value is not null) p on p.event_type = s.event_type and p.at = (r.o_custkey * 7919 + r.o_orderkey * 104729 + 3 * 1299709) % s.n")
-def _(t):
-    o = t.base("orders").select("o_orderkey", F.col("o_custkey").alias("seed"), F.col("o_orderkey").alias("draw_id"), F.when(F.col("o_orderkey") % 3 == 0, "click").when(F.col("o_orderkey") % 3 == 1, "purchase").otherwise("nothing").alias("event_type"))
-    return laws.draw(o, t.irregular, "value", ["event_type"], ["event_id"], 3, "drawn", F.lit(0.18)).select("o_orderkey", "drawn")
-
-
-@query("l16_family_fallback", "select m.route, m.flight_id, case when h.family is not null then m.family else coalesce(o.other, o.first) end as family_used from meta m left join (select distinct route, family from meta where right(flight_id, 1) in ('1', '2', '3')) h on h.route = m.route and h.family = m.family left join (select route, max(case when family = 'Other' then family end) as other, min(family) as first from meta where right(flight_id, 1) in ('1', '2', '3') group by route) o on o.route = m.route")
-def _(t):
-    m = meta_of(t)
-    return laws.family_fallback(m, m.filter(F.right("flight_id", F.lit(1)).isin("1", "2", "3")), ["route"]).select(*K, "family_used")
-
-
-# --- Pool comparison ---------------------------------------------------------------------------------------------------
-
-
-def pools(t: Tables) -> tuple[DataFrame, DataFrame]:
-    d = t.track.select(*K, "timestamp", "phase", F.col("altitude").alias("h_ft"), (F.col("vertical_rate") / 100).alias("gamma_deg"), F.col("CAS").alias("tas_kt"), F.col("vertical_rate").alias("vz_fpm"))
-    odd = F.right("flight_id", F.lit(1)).isin("1", "3", "5", "7", "9")
-    return d.filter(odd), d.filter(~odd)
-
-
-POOL = "select *, right(flight_id, 1) in ('1', '3', '5', '7', '9') as odd from track"
-QS = "[" + ", ".join(str(q) for q in compare.QUANTILES) + "]"
-LONG = f"select odd, phase, unnest(['h_ft', 'gamma_deg', 'tas_kt', 'vz_fpm']) as col, unnest([altitude, vertical_rate / 100, CAS, vertical_rate]) as v from ({POOL}) p"
-
-
-def w1_sql(source: str, by: str) -> str:
-    sums = " + ".join(f"abs(a.q[{k}] - b.q[{k}])" for k in range(1, 20))
-    side = f"select {by}, quantile_cont(v, {QS}) as q from ({source}) s where v is not null"
-    return f"select {', '.join('a.' + c for c in by.split(', '))}, round(({sums}) / 19, 6) as w1 from ({side} and odd group by {by}) a join ({side} and not odd group by {by}) b using ({by})"
-
-
-@query("d1_quantile_distance", f"select col as column, w1 from ({w1_sql(LONG, 'col')}) x")
-def _(t):
-    a, b = pools(t)
-    return compare.quantile_distance(a, b)
-
-
-@query("d2_compare_pools", f"select phase, col as column, w1 from ({w1_sql(f'{LONG} where phase <> ' + chr(39) + 'GROUND' + chr(39) + ' union all select odd, ' + chr(39) + 'ALL' + chr(39) + f', col, v from ({LONG}) l', 'phase, col')}) x")
-def _(t):
-    a, b = pools(t)
-    return compare.compare_pools(a, b)
-
-
-@query("d3_operational_pool", f"select x.route, x.flight_id, count(*) as rows, round(avg(h), 4) as h_ft from ({PLAYED}) x join (select route, flight_id, row_number() over (partition by route order by firstseen, flight_id) as k from flights) f on f.route = x.route and f.flight_id = x.flight_id where k <= 5 and (x.{STARTS[1:].replace(', flight_id)', ', x.flight_id)', 1)} group by 1, 2".replace("(x.route", "(x.route"), 4)
-def _(t):
-    m = meta_of(t).join(t.flights.select(*K, "firstseen"), K)
-    d = replay.operational_pool(t.track, m, 5).join(starts_known(t).select(*K).distinct(), K, "left_semi")
-    return d.groupBy(*K).agg(F.count(F.lit(1)).alias("rows"), F.avg("h_ft").alias("h_ft"))
-
-
 KS = f"select v, sum(cast(odd as int)) as a, sum(cast(not odd as int)) as b from (select odd, altitude as v from ({POOL}) p where altitude is not null) s group by v"
 
 

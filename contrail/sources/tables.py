@@ -39,6 +39,11 @@ def write(df: DataFrame, path: str, partition: str | None = "route") -> None:
     (w.partitionBy(partition) if partition else w).parquet(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or where it is not set the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
 def write_payload(df: DataFrame, path: str) -> None:
     """JSON lines, replacing what is there."""
     df.write.mode("overwrite").json(path)
