@@ -67,18 +67,17 @@ def asof_forward(left: DataFrame, right: DataFrame, values: Mapping[str, Column]
     return _back(both, keys, left, {k: near["v"][k] for k in values})
 
 
-def in_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: str, start: str, end: str, how: str = "inner") -> DataFrame:
-    """points with the columns of each interval of the same keys with start <= ts < end. Equal keys are joined, so the
-    product is of the points and intervals of one key only."""
-    i = intervals.alias("i")
-    p = points.alias("p")
-    same = [F.col(f"p.{k}") == F.col(f"i.{k}") for k in keys]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
+def in_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: str, start: str, end: str, how: str = "inner", bucket_s: int = 3600) -> DataFrame:
+    """points with the columns of each interval of the same keys with start <= ts < end. Intervals stand once in each bucket of
+    bucket_s seconds that they touch, so a point is compared with those of its own bucket only, not with all of its keys."""
+    bucket = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / bucket_s)
+    i = intervals.filter(F.col(start) < F.col(end)).withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end)))).alias("i")
+    p = points.withColumn("_bucket", bucket(ts)).alias("p")
     inside = (F.col(f"p.{ts}") >= F.col(f"i.{start}")) & (F.col(f"p.{ts}") < F.col(f"i.{end}"))
+    for k in (*keys, "_bucket"):
+        inside = (F.col(f"p.{k}") == F.col(f"i.{k}")) & inside
     extra = [F.col(f"i.{c}") for c in intervals.columns if c not in keys and c not in points.columns]
-    return p.join(i, cond & inside, how).select("p.*", *extra)
+    return p.join(i, inside, how).select(*[F.col(f"p.{c}") for c in points.columns], *extra)
 
 
 def plateau_of(points: DataFrame, plateaus: DataFrame, ts: str = "start_timestamp", start: str = "start_timestamp", duration: str = "duration_s", least_s: float = 60.0, keys: Sequence[str] = KEYS) -> DataFrame:

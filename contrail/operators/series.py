@@ -144,6 +144,10 @@ def first_row(df: DataFrame, predicate: Column, rn: str = "rn", keys: Sequence[s
     return F.min(F.when(predicate, F.col(rn))).over(whole(keys))
 
 
+#: Plateau starts in one array of the fold over a series.
+CHUNK = 256
+
+
 def plateaus(df: DataFrame, value: str, tol: float, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
     """df with rn, plateau_start (row number) and plateau_value of each non-null row. A plateau is a run of non-null rows
     within tol of its first value.
@@ -155,17 +159,21 @@ def plateaus(df: DataFrame, value: str, tol: float, keys: Sequence[str] = KEYS,
     d = with_rows(df, keys, order)
     changed = F.coalesce(~F.col(value).eqNullSafe(F.lag(value).over(w)), F.lit(True)) | (F.col("rn") == 1)
     changes = d.filter(F.lit(True)).withColumn("_changed", changed).filter("_changed").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rn", F.col(value).cast("double").alias("v")))).alias("_runs"))
-    empty = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<struct<rn:bigint,v:double>>").alias("starts"))
+    runs = "array<struct<rn:bigint,v:double>>"
+    none = F.array().cast(runs)
+    empty = F.struct(F.lit(None).cast("double").alias("anchor"), none.alias("open"), F.array().cast(f"array<{runs}>").alias("full"))
 
     def step(a: Column, x: Column) -> Column:
         begins = a["anchor"].isNull() | (F.abs(x["v"] - a["anchor"]) > tol)
-        return (
-            F.when(x["v"].isNull(), F.struct(F.lit(None).cast("double").alias("anchor"), a["starts"].alias("starts")))
-            .when(begins, F.struct(x["v"].alias("anchor"), F.concat(a["starts"], F.array(x)).alias("starts")))
-            .otherwise(a)
+        # Starts are kept in chunks, as each one that is added copies the array it is added to.
+        over = F.size(a["open"]) >= CHUNK
+        added = F.struct(
+            x["v"].alias("anchor"), F.concat(F.when(over, none).otherwise(a["open"]), F.array(x)).alias("open"), F.when(over, F.concat(a["full"], F.array(a["open"]))).otherwise(a["full"]).alias("full")
         )
+        return F.when(x["v"].isNull(), F.struct(F.lit(None).cast("double").alias("anchor"), a["open"].alias("open"), a["full"].alias("full"))).when(begins, added).otherwise(a)
 
-    starts = changes.select(*keys, F.explode(F.aggregate("_runs", empty, step)["starts"]).alias("s")).select(*keys, F.col("s.rn").alias("rn"), F.struct("s.rn", "s.v").alias("_start"))
+    found = F.aggregate("_runs", empty, step, lambda a: F.flatten(F.concat(a["full"], F.array(a["open"]))))
+    starts = changes.select(*keys, F.explode(found).alias("s")).select(*keys, F.col("s.rn").alias("rn"), F.struct("s.rn", "s.v").alias("_start"))
     d = d.join(starts, [*keys, "rn"], "left")
     held = F.last("_start", ignorenulls=True).over(before(w))
     known = F.col(value).isNotNull()
@@ -247,3 +255,20 @@ def empirical_cdf(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     d = with_totals_before(counted.withColumn("_r", value_range(df, value)), keys, {"_n": "_k"})
     run = before(Window.partitionBy(*keys, "_r").orderBy(value))
     return d.select(*keys, value, ((F.col("_n") + F.sum("_k").over(run)) / F.col("_n_all")).alias("cdf"))
+
+
+def quantiles(df: DataFrame, value: str, keys: Sequence[str], probabilities: Sequence[float], name: str = "q") -> DataFrame:
+    """(keys, name, count): the exact quantiles of the non-null values of each group, an array in the order of probabilities,
+    interpolated linearly between ranks; groups without values are left out (without keys, one row of nulls). Values are counted first and ranked in ranges, so a
+    few large groups spread over all tasks; for many small groups F.percentile is the shorter way."""
+    d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    counted = d.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_k"))
+    ranged = with_totals_before(counted.withColumn("_r", value_range(d, "_v")), keys, {"_n": "_k"})
+    # The ranks, from 0, at which a value stands: those before _stop, from _stop - _k on.
+    ranged = ranged.withColumn("_stop", F.col("_n") + F.sum("_k").over(before(Window.partitionBy(*keys, "_r").orderBy("_v"))))
+    held = lambda rank: F.max(F.when((rank < F.col("_stop")) & (rank >= F.col("_stop") - F.col("_k")), F.col("_v")))
+    at = [(F.col("_n_all") - 1) * F.lit(float(x)) for x in probabilities]
+    g = ranged.groupBy(*keys).agg(F.max("_n_all").alias("count"), *[held(F.floor(a)).alias(f"_lo{i}") for i, a in enumerate(at)], *[held(F.ceil(a)).alias(f"_hi{i}") for i, a in enumerate(at)])
+    share = [(F.col("count") - 1) * F.lit(float(x)) for x in probabilities]
+    q = F.array(*[F.col(f"_lo{i}") + (a - F.floor(a)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}")) for i, a in enumerate(share)])
+    return g.select(*keys, q.alias(name), "count")

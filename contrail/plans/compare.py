@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contrail.functions.bins import phi_bin
-from contrail.operators.series import KEYS, before, value_range, with_totals_before
+from contrail.operators.series import KEYS, before, quantiles, value_range, with_totals_before
 
 COLUMNS = ("h_ft", "gamma_deg", "tas_kt", "vz_fpm")
 QUANTILES = [round(0.05 * i, 2) for i in range(1, 20)]
+BAND = (0.1, 0.5, 0.9)
 LEAST_VALUES, LEAST_KS = 10, 50
 
 
@@ -20,8 +21,10 @@ def _long(df: DataFrame, columns: Sequence[str], phase: Column) -> DataFrame:
 
 
 def _w1(reference: DataFrame, other: DataFrame, by: Sequence[str]) -> DataFrame:
-    q = lambda d, n: d.groupBy(*by).agg(F.percentile("v", F.array(*[F.lit(x) for x in QUANTILES])).alias(n), F.count(F.lit(1)).alias(f"n_{n}"))
-    d = q(reference, "a").join(q(other, "b"), list(by), "full")
+    # Both pools are ranked together, each group of each pool by itself.
+    both = reference.withColumn("_side", F.lit(0)).unionByName(other.withColumn("_side", F.lit(1)))
+    q, of = quantiles(both, "v", [*by, "_side"], QUANTILES), lambda side, c: F.max(F.when(F.col("_side") == side, F.col(c)))
+    d = q.groupBy(*by).agg(of(0, "q").alias("a"), of(0, "count").alias("n_a"), of(1, "q").alias("b"), of(1, "count").alias("n_b"))
     gaps = F.zip_with("a", "b", lambda x, y: F.abs(x - y))
     mean = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / len(QUANTILES)
     enough = (F.col("n_a") >= LEAST_VALUES) & (F.col("n_b") >= LEAST_VALUES)
@@ -60,7 +63,7 @@ def ks(reference: DataFrame, other: DataFrame, value: str, by: Sequence[str] = (
 def phi_bands(df: DataFrame, value: str, by: Sequence[str], bins: int = 25) -> DataFrame:
     """(by, phi, p10, p50, p90) over bins of phi, at their centres."""
     d = df.withColumn("_b", phi_bin("phi", bins)).filter(F.col("_b").isNotNull() & F.col(value).isNotNull())
-    g = d.groupBy(*by, "_b").agg(F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
+    g = quantiles(d, value, [*by, "_b"], BAND)
     return g.select(*by, ((F.col("_b") + 0.5) / bins).alias("phi"), F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90"))
 
 
@@ -77,7 +80,7 @@ def altitude_envelope(df: DataFrame, value: str = "h_ft", points: int = 41, leas
     b = F.last("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     f = F.last("p", ignorenulls=True).over(r.rowsBetween(Window.unboundedPreceding, 0))
     at = F.coalesce(b["v"] + (f["v"] - b["v"]) * (F.col("_t") - b["t"]) / F.when(f["t"] > b["t"], f["t"] - b["t"]), b["v"], f["v"])
-    g = both.withColumn("_v", at).filter("k is not null").groupBy(*by, "k").agg(F.percentile("_v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
+    g = quantiles(both.withColumn("_at", at).filter("k is not null"), "_at", [*by, "k"], BAND)
     return g.select(*by, (F.col("k") / (points - 1)).alias("tau"), F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90"))
 
 
@@ -103,7 +106,6 @@ def fill_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, count, mean, std, min, q25, q50, q75, max) of each column."""
     d = _long(df, columns, F.lit("x"))
-    g = d.groupBy("column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max("v").alias("max"))
+    g = d.groupBy("column").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    g = g.join(quantiles(d, "v", ["column"], (0.25, 0.5, 0.75)), "column")
     return g.select("column", "count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
-
-

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from contrail.functions import aero
 from contrail.functions.bins import CAS_STEP_KT, HEIGHT_STEP_FT, LEAST_SEGMENT_S, MACH_STEP, PHI_STEP, RATE_STEP_FPM, distance_bin, phi_bin, plateau_bin, to_step
 from contrail.operators.asof import asof_forward, asof_nearest, plateau_of
-from contrail.operators.series import KEYS, forward_fill, series, value_range, with_totals_before
+from contrail.operators.series import KEYS, forward_fill, quantiles, series, value_range, with_totals_before
 from contrail.plans.descent import to_destination
 
 LEAST_PHASE_S, MOST_DWELL_S, FIRST_DWELL_S, LEAST_SLAB_ROWS = 30.0, 900.0, 90.0, 50
@@ -137,10 +137,16 @@ def starts_and_counts(events: DataFrame, meta: DataFrame, edges: list[float], co
     return d.groupBy(distance_bin("gc_nm", edges).alias("gc_bin"), "family", F.upper("phase").alias("phase"), *keys).agg(F.min_by("_bin", "start_timestamp").alias("start_bin"), F.count(F.lit(1)).alias("segments"))
 
 
+def distance_edge_table(lengths: DataFrame) -> DataFrame:
+    """One row, with `edges`: the least length less one, the tertiles of the lengths, the greatest plus one; nulls if there are none."""
+    q = F.col("q")
+    return quantiles(lengths, "gc_nm", [], (0.0, 1 / 3, 2 / 3, 1.0)).select(F.array(q[0] - 1.0, q[1], q[2], q[3] + 1.0).alias("edges"))
+
+
 def distance_edges(lengths: DataFrame) -> list[float]:
-    """Edges of three distance bins: the tertiles of the route lengths between the least less one and the greatest plus one."""
-    q = lengths.agg(F.min("gc_nm"), F.percentile("gc_nm", F.array(F.lit(1 / 3), F.lit(2 / 3))), F.max("gc_nm")).first()
-    return [q[0] - 1.0, *q[1], q[2] + 1.0] if q[0] is not None else [0.0, 1.0]
+    """Edges of three distance bins: those of distance_edge_table."""
+    edges = distance_edge_table(lengths).first()["edges"]
+    return list(edges) if edges[0] is not None else [0.0, 1.0]
 
 
 def condition(routes: DataFrame, typecodes: Sequence[str] | None = None, gc_nm: float | None = None, within_nm: float | None = None) -> DataFrame:

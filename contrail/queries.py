@@ -342,12 +342,12 @@ def _(t):
 
 @query("a6_median", "select l_returnflag, round(median(l_extendedprice), 6) as median_price from lineitem group by 1")
 def _(t):
-    return t.base("lineitem").groupBy("l_returnflag").agg(F.median("l_extendedprice").alias("median_price"))
+    return series.quantiles(t.base("lineitem"), "l_extendedprice", ["l_returnflag"], [0.5]).select("l_returnflag", F.col("q")[0].alias("median_price"))
 
 
 @query("a7_quantiles", "select phase, k, round(q[k], 6) as q from (select phase, quantile_cont(altitude, [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]) as q from track group by phase) x, (select unnest(range(1, 20)) as k) y")
 def _(t):
-    q = t.track.groupBy("phase").agg(F.percentile("altitude", F.array(*[F.lit(x) for x in compare.QUANTILES])).alias("q"))
+    q = series.quantiles(t.track, "altitude", ["phase"], compare.QUANTILES)
     return q.select("phase", F.posexplode("q").alias("k", "q")).select("phase", (F.col("k") + 1).alias("k"), "q")
 
 
@@ -1082,9 +1082,7 @@ def _(t):
 
 @query("l10_distance_edges", "select unnest([0, 1, 2, 3]) as k, round(unnest([min(gc_nm) - 1, quantile_cont(gc_nm, 1.0 / 3), quantile_cont(gc_nm, 2.0 / 3), max(gc_nm) + 1]), 4) as edge from lengths", 4)
 def _(t):
-    edges = F.percentile("gc_nm", F.array(F.lit(1 / 3), F.lit(2 / 3)))
-    d = lengths_of(t).agg(F.array(F.min("gc_nm") - 1, edges[0], edges[1], F.max("gc_nm") + 1).alias("e"))
-    return d.select(F.posexplode("e").alias("k", "edge"))
+    return laws.distance_edge_table(lengths_of(t)).select(F.posexplode("edges").alias("k", "edge"))
 
 
 @query("l11_flight_metadata", f"select {ID}, typecode, family, round(gc_nm, 4) as gc_nm from meta", 4)

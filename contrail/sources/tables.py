@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contrail.functions.keys import minute
+from contrail.operators.asof import in_interval
 from contrail.operators.series import KEYS
 
 
@@ -70,7 +71,7 @@ def samples_of_flights(raw: DataFrame, manifest: DataFrame, ts: str = "timestamp
     """Raw samples with the route and flight_id of each flight of the same aircraft that was in the air, from the minute of
     firstseen to that of lastseen, the latter excluded. One join serves all flights."""
     m = manifest.select(*KEYS, "icao24", minute("firstseen").alias("_lo"), minute("lastseen").alias("_hi"))
-    return raw.join(m, (raw["icao24"] == m["icao24"]) & (raw[ts] >= m["_lo"]) & (raw[ts] < m["_hi"])).select(*KEYS, *[raw[c] for c in raw.columns])
+    return in_interval(raw, m, ["icao24"], ts, "_lo", "_hi").select(*KEYS, *raw.columns)
 
 
 def routes(manifest: DataFrame) -> DataFrame:

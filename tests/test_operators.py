@@ -350,3 +350,39 @@ def test_values_are_ordered_in_ranges_of_one_large_group(spark):
     keys = spark.createDataFrame([(g, float(k)) for g in ("a", None) for k in range(-12, 13, 5)], "g string, key double")
     near = {x.i: x.key for x in laws.nearest_key(d, keys, "v", "key", ["g"]).collect()}
     assert near == {i: min(range(-12, 13, 5), key=lambda k: (abs(k - v), k)) if g != "b" else None for g, v, i in rows}
+
+
+def test_quantiles_of_groups_of_all_sizes(spark):
+    rows = [(g, float(v) if v % 11 else None) for g, n in (("a", 1), (None, 2), ("b", 300), ("c", 40)) for v in (7 * i * i % 50 + 1 for i in range(n))] + [("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    at = [0.0, 0.1, 0.25, 1 / 3, 0.5, 0.95, 1.0]
+    got = {r["g"]: (r["q"], r["count"]) for r in series.quantiles(df, "v", ["g"], at).collect()}
+    want = {r["g"]: (r["q"], r["n"]) for r in df.filter("v is not null").groupBy("g").agg(F.percentile("v", F.array(*[F.lit(x) for x in at])).alias("q"), F.count("v").alias("n")).collect()}
+    assert set(got) == set(want) == {"a", None, "b", "c"}
+    for g in want:
+        assert got[g][1] == want[g][1] and got[g][0] == pytest.approx(want[g][0])
+    assert series.quantiles(df.filter("v is null"), "v", [], at).collect()[0]["count"] is None
+
+
+def test_intervals_of_any_length(spark):
+    seconds = [0, 1, 3599, 3600, 3601, 90_000, 200_000, None]
+    points = spark.createDataFrame([("k", i, s) for i, s in enumerate(seconds)] + [("other", 99, 5), (None, 100, 5)], "k string, i long, s long").withColumn("at", F.timestamp_seconds("s"))
+    spans = [("k", 1, 0, 3600), ("k", 2, 3600, 100_000), ("k", 3, 10, 10), ("k", 4, 500, 2), ("k", 5, None, 9), (None, 6, 0, 10), ("k", 7, -7200, 300_000)]
+    intervals = spark.createDataFrame(spans, "k string, j long, a long, b long").select("k", "j", F.timestamp_seconds("a").alias("lo"), F.timestamp_seconds("b").alias("hi"))
+    got = sorted((r["i"], r["j"]) for r in asof.in_interval(points, intervals, ["k"], "at", "lo", "hi").collect())
+    want = sorted((i, j) for i, s in enumerate(seconds) for k, j, a, b in spans if k and s is not None and a is not None and a <= s < b)
+    assert got == want
+    left = asof.in_interval(points, intervals, ["k"], "at", "lo", "hi", "left").collect()
+    assert {r["i"] for r in left if r["j"] is None} == {7, 99, 100} and len(left) == len(want) + 3
+
+
+def test_plateaus_of_more_starts_than_a_chunk(spark):
+    n = 2 * series.CHUNK + 40
+    values = [None if i % 97 == 5 else 100.0 * (i // 2 % 7) for i in range(2 * n)]
+    df = spark.createDataFrame([("r", "f", i, v) for i, v in enumerate(values)], "route string, flight_id string, timestamp long, v double")
+    got = [(r["plateau_start"], r["plateau_value"]) for r in series.plateaus(df, "v", 50.0).orderBy("timestamp").collect()]
+    want, held = [], None
+    for i, v in enumerate(values):
+        held = None if v is None else held if held and abs(v - held[1]) <= 50 else (i + 1, v)
+        want.append(held or (None, None))
+    assert got == want
