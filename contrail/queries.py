@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -450,11 +451,11 @@ c as (select *, least(greatest(rn, m + 1), n - m) as c from m),
 s as (select c.route, c.flight_id, c.i, any_value(c.rn - c.c) as t, any_value(cast(c.m as double)) as m, sum(o.y) as s0, sum(o.y * (o.rn - c.c)) as s1, sum(o.y * (o.rn - c.c) * (o.rn - c.c)) as s2
     from c join r o on o.route = c.route and o.flight_id = c.flight_id and o.rn between c.c - c.m and c.c + c.m group by 1, 2, 3),
 k as (select *, 2 * m + 1 as m0, m * (m + 1) * (2 * m + 1) / 3 as m2, m * (m + 1) * (2 * m + 1) * (3 * m * m + 3 * m - 1) / 15 as m4 from s)
-select route, flight_id, i, round((m4 * s0 - m2 * s2) / (m0 * m4 - m2 * m2) + s1 / m2 * t + (m0 * s2 - m2 * s0) / (m0 * m4 - m2 * m2) * t * t, 4) + 0.0 as m from k
+select route, flight_id, i, (m4 * s0 - m2 * s2) / (m0 * m4 - m2 * m2) + s1 / m2 * t + (m0 * s2 - m2 * s0) / (m0 * m4 - m2 * m2) * t * t as m from k
 """
 
 
-@query("w8_parabola", f"select * from ({W8}) x", 4)
+@query("w8_parabola", f"select route, flight_id, i, round(m, 4) + 0.0 as m from ({W8}) x", 4)
 def _(t):
     return series.smooth(t.track, "vertical_rate", "m", 51, "parabola").select(*K, "i", "m")
 
@@ -483,9 +484,9 @@ def _(t):
     return d.select(*K, "climb", "high").distinct()
 
 
-def stable_sql(value: str, tol: float, least: int, width: int, alt: float | None) -> str:
+def stable_sql(value: str, tol: float, least: int, width: int, alt: float | None, smooth: str | None = None) -> str:
     high = f"and altitude > {alt}" if alt is not None else ""
-    smooth = f"select *, avg({value}) over (partition by {ID}, i // {width}) as s from track"
+    smooth = smooth or f"select *, avg({value}) over (partition by {ID}, i // {width}) as s from track"
     spread = f"select *, max(s) {frame(f'{least // 2} preceding and {least - 1 - least // 2} following')} - min(s) {frame(f'{least // 2} preceding and {least - 1 - least // 2} following')} as spread from ({smooth}) a"
     flag = f"select *, coalesce(i > 0 and spread < {tol} and {value} is not null {high}, false) as good from ({spread}) b"
     run = f"select *, i - row_number() over (partition by {ID}, good order by timestamp) as island from ({flag}) c"
@@ -543,25 +544,46 @@ def _(t):
 CAS_SQL = stable_sql("CAS", 2.5, 30, 21, None).replace("from track", f"from (select t.* replace (case when b.block_start is not null then null else t.CAS end as CAS) from track t left join ({BLOCKS}) b on b.route = t.route and b.flight_id = t.flight_id and t.time between b.block_start and b.block_end) masked", 1)
 
 
-@query("c5_cas_segments", f"select {ID}, start_row, end_row, {rounded('var_mean')} from ({CAS_SQL}) c where exists (select 1 from track t where t.route = c.route and t.flight_id = c.flight_id and t.i + 1 between c.start_row and c.end_row and not exists (select 1 from ({MACH_SQL}) s where s.route = t.route and s.flight_id = t.flight_id and t.i + 1 between s.start_row and s.end_row))")
+FREE_CAS = f"select * from ({CAS_SQL}) c where exists (select 1 from track t where t.route = c.route and t.flight_id = c.flight_id and t.i + 1 between c.start_row and c.end_row and not exists (select 1 from ({MACH_SQL}) s where s.route = t.route and s.flight_id = t.flight_id and t.i + 1 between s.start_row and s.end_row))"
+
+
+@query("c5_cas_segments", f"select {ID}, start_row, end_row, {rounded('var_mean')} from ({FREE_CAS}) x")
 def _(t):
     c = small_extraction()
     return commands.cas_segments(t.track, commands.mach_segments(levelled(t), c), c).select(*K, "start_row", "end_row", "var_mean")
 
 
-#: Row by row: a row within 50 of the first value of its plateau stays in it; a null ends it.
-W15 = """
-with recursive r as materialized (select route, flight_id, i, vz_sel as v, row_number() over (partition by route, flight_id order by timestamp) as rn from track),
-p as (select route, flight_id, i, rn, case when v is not null then rn end as s, v as a from r where rn = 1
+def plateau_sql(rows: str) -> str:
+    """Row by row: a row within 50 of the first value of its plateau stays in it; a null ends it. rows has (keys, i, timestamp, v)."""
+    return f"""
+with recursive r as materialized (select route, flight_id, i, v, row_number() over (partition by route, flight_id order by timestamp) as rn from ({rows}) x),
+p as (select route, flight_id, i, rn, v, case when v is not null then rn end as s, v as a from r where rn = 1
   union all
-  select r.route, r.flight_id, r.i, r.rn, case when r.v is null then null when p.a is null or abs(r.v - p.a) > 50 then r.rn else p.s end,
+  select r.route, r.flight_id, r.i, r.rn, r.v, case when r.v is null then null when p.a is null or abs(r.v - p.a) > 50 then r.rn else p.s end,
     case when r.v is null then null when p.a is null or abs(r.v - p.a) > 50 then r.v else p.a end
   from p join r on r.route = p.route and r.flight_id = p.flight_id and r.rn = p.rn + 1)
-select route, flight_id, i, s as plateau_start, round(a, 6) as plateau_value from p
+select route, flight_id, i, rn, v, s as plateau_start, a as plateau_value from p
+"""
+
+
+def bridged_sql(rows: str) -> str:
+    """(keys, i, filled, held): gaps bridged between plateaus, then closed at both ends; gaps of up to three rows held only."""
+    back, ahead = "over (partition by route, flight_id order by rn)", "over (partition by route, flight_id order by rn rows between current row and unbounded following)"
+    return f"""
+select route, flight_id, i, coalesce(o, last_value(o ignore nulls) {back}, first_value(o ignore nulls) {ahead}) as filled,
+  coalesce(v, case when coalesce(fn, n + 1) - bn - 1 <= 3 then last_value(v ignore nulls) {back} end) as held
+from (select *, coalesce(v, bv + cast(rn - bn as double) / (fn - bn) * (fv - bv)) as o
+  from (select *, count(*) over (partition by route, flight_id) as n,
+      last_value(plateau_start - plateau_start + rn ignore nulls) {back} as bn, last_value(plateau_value ignore nulls) {back} as bv,
+      first_value(plateau_start - plateau_start + rn ignore nulls) {ahead} as fn, first_value(plateau_value ignore nulls) {ahead} as fv
+    from ({plateau_sql(rows)}) a) b) c
 """
 
 
-@query("w15_plateaus", f"select * from ({W15}) x")
+RATES = "select route, flight_id, i, timestamp, vz_sel as v from track"
+
+
+@query("w15_plateaus", f"select route, flight_id, i, plateau_start, round(plateau_value, 6) as plateau_value from ({plateau_sql(RATES)}) x")
 def _(t):
     return series.plateaus(t.track, "vz_sel", 50.0).select(*K, "i", "plateau_start", "plateau_value")
 
@@ -589,9 +611,10 @@ def _(t):
     return series.empirical_cdf(t.track.withColumnRenamed("CAS", "value"), "value", ["phase"])
 
 
-@query("w21_fill_rate")
+@query("w21_fill_rate", f"select {ID}, i, {rounded('filled', 'held')} from ({bridged_sql(RATES)}) x")
 def _(t):
-    return series.fill_rate(t.track, "vz_sel", "filled").select(*K, "i", "filled")
+    d = series.fill_rate(t.track, "vz_sel", "filled")
+    return series.fill_rate(d, "vz_sel", "held", bridge=False, hold_rows=3, fill=False).select(*K, "i", "filled", "held")
 
 
 # --- Sort, limit, sets ---------------------------------------------------------------------------------------------------
@@ -802,21 +825,62 @@ def _(t):
     return trajectory.resample(t.sparse, most_span_s=None).select(*K, "timestamp", "time", "altitude", "CAS", "observed_tas_kt", "Mach")
 
 
-@query("c6_selected_altitude", f"select {ID}, i, round(last_value(round_even(s.var_mean / 100, 0) * 100 ignore nulls) over (partition by t.route, t.flight_id order by t.timestamp), 6) as h_sel from track t left join (select route as r, flight_id as fl, min(i) as a, max(i) as b, avg(altitude) as var_mean from (select *, i - row_number() over (partition by {ID}, good order by timestamp) as island from (select *, coalesce(i > 0 and abs(m) <= 250 and altitude is not null, false) as good from (select *, avg(vertical_rate) {frame('7 preceding and 7 following')} as m from track) a) b) c where good group by route, flight_id, island having count(*) >= 5) s on s.r = t.route and s.fl = t.flight_id and t.i between s.a and s.b")
+def level_sql(track: str) -> str:
+    """(route, flight_id, a, b, var_mean): the stretches of level flight, by i."""
+    good = f"select *, coalesce(i > 0 and abs(m) <= 250 and altitude is not null, false) as good from (select *, avg(vertical_rate) {frame('7 preceding and 7 following')} as m from {track}) a"
+    run = f"select *, i - row_number() over (partition by {ID}, good order by timestamp) as island from ({good}) b"
+    return f"select {ID}, min(i) as a, max(i) as b, avg(altitude) as var_mean from ({run}) c where good group by {ID}, island having count(*) >= 5"
+
+
+def same(a: str, b: str) -> str:
+    return f"{a}.route = {b}.route and {a}.flight_id = {b}.flight_id"
+
+
+@query("c6_selected_altitude", f"""
+select t.route, t.flight_id, t.i, round(last_value(round_even(s.var_mean / 100, 0) * 100 ignore nulls) over (partition by t.route, t.flight_id order by t.timestamp), 6) as h_sel
+from track t left join ({level_sql('track')}) s on {same('s', 't')} and t.i between s.a and s.b
+""")
 def _(t):
     return commands.with_selected_altitude(t.track.drop("h_sel"), commands.Extraction(level_len=5)).select(*K, "i", "h_sel")
 
 
-@query("c6_rate_segments")
+RATE_SQL = stable_sql("vertical_rate", 400.0, 15, 51, None, f"select t.*, w.m as s from track t join ({W8}) w on {same('w', 't')} and w.i = t.i")
+
+
+@query("c6_rate_segments", f"select {ID}, start_row, end_row, {rounded('var_mean')} from ({RATE_SQL}) x")
 def _(t):
     return commands.rate_segments(t.track, commands.Extraction(rate_tol=400.0)).select(*K, "start_row", "end_row", "var_mean")
 
 
-@query("c8_extract_commands")
+def painted_sql() -> str:
+    on = lambda x: f"{same(x, 't')} and t.i + 1 between {x}.start_row and {x}.end_row"
+    return f"""
+select t.route, t.flight_id, t.i, t.timestamp, t.altitude, m.var_mean as mach, c.var_mean as cas, v.var_mean as vz, round_even(h.var_mean / 100, 0) * 100 as here,
+  median(t.vertical_rate) over (partition by t.route, t.flight_id order by t.timestamp rows between 7 preceding and 7 following) as rate
+from {LEVELLED.replace('levelled', 't')} left join ({MACH_SQL}) m on {on('m')} left join ({FREE_CAS}) c on {on('c')} left join ({RATE_SQL}) v on {on('v')}
+  left join ({level_sql(LEVELLED)}) h on {same('h', 't')} and t.i between h.a and h.b
+"""
+
+
+C8 = f"""
+with painted as materialized ({painted_sql()}),
+whole as (select *, least({mach_tas('mach', H)}, {cas_tas('cas', H)}) as tas from painted)
+select a.route, a.flight_id, a.i, {rounded('a.mach', 'a.cas', 'a.vz', 'a.tas', 'f.filled', digits=4)},
+  round(last_value(here ignore nulls) over (partition by a.route, a.flight_id order by a.timestamp), 4) as h,
+  round(case when tas > 0 and vz is not null then asin(least(greatest(vz * 0.00508 / (tas * 0.514444), -1.0), 1.0)) end, 4) as gamma,
+  case when altitude <= 100 then 'GROUND' when rate >= 200 then 'CLIMB' when rate <= -200 then 'DESCENT' else 'LEVEL' end as phase
+from whole a join ({bridged_sql('select route, flight_id, i, timestamp, vz as v from painted')}) f on {same('f', 'a')} and f.i = a.i
+"""
+
+
+@query("c8_extract_commands", f"select * from ({C8}) x", 4)
 def _(t):
-    grid = t.track.drop("h_sel", "vz_sel", "mach_sel", "cas_sel", "phase")
-    d = commands.extract_commands(grid, small_extraction())
-    return d.groupBy(*K).agg(F.count("mach_sel").alias("mach"), F.count("cas_sel").alias("cas"), F.count("vz_sel").alias("vz"), F.count("h_sel").alias("h"), F.count("tas_intent_kt").alias("tas"), F.count("vz_sel_replay").alias("filled"), F.count_if(F.col("phase") == "CLIMB").alias("climb"))
+    grid = levelled(t).drop("h_sel", "vz_sel", "mach_sel", "cas_sel", "phase")
+    d = commands.extract_commands(grid, replace(small_extraction(), rate_tol=400.0, level_len=5))
+    return d.select(
+        *K, "i", F.col("mach_sel").alias("mach"), F.col("cas_sel").alias("cas"), F.col("vz_sel").alias("vz"), F.col("tas_intent_kt").alias("tas"), F.col("vz_sel_replay").alias("filled"),
+        F.col("h_sel").alias("h"), F.col("gamma_intent_rad").alias("gamma"), "phase",
+    )
 
 
 @query("c9_command_events", f"select {ID}, command, epoch_us(t0) as start_timestamp, epoch_us(t1) as end_timestamp, {rounded('duration_s', 'value')} from cmd")
