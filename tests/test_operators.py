@@ -386,3 +386,9 @@ def test_plateaus_of_more_starts_than_a_chunk(spark):
         held = None if v is None else held if held and abs(v - held[1]) <= 50 else (i + 1, v)
         want.append(held or (None, None))
     assert got == want
+
+
+def test_magnitude_rises_with_the_value(spark):
+    values = sorted({s * v for s in (-1, 1) for v in (0.0, 5e-324, 1e-300, 1e-9, 0.5, 0.9999999, 1.0, 1.0000001, 2.0, 3.5e4, 3.5001e4, 1.7e9, 1e300, 1.7e308)})
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(series.magnitude(F.col("v"))).collect()]
+    assert got == sorted(got) and len(set(got)) > 20
