@@ -86,7 +86,7 @@ def with_views(sql: str) -> str:
     visit(sql)
     if not need:
         return sql
-    return "WITH " + ", ".join(f"{n} AS ({every[n].strip()})" for n in need) + "\n" + sql.strip()
+    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({every[n].strip()})" for n in need) + "\n" + sql.strip()
 
 
 class Tables:

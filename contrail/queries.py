@@ -961,28 +961,19 @@ P0 = f"select *, first_value(altitude) {frame('unbounded preceding and current r
 P1 = f"select *, case when h >= 28000 then true else false end as high from ({P0}) p0"
 HM = "(h * 0.3048)"
 P2 = f"select *, case when high then coalesce({mach_tas('mh', HM)}, {cas_tas('ch', HM)}) else coalesce({cas_tas('ch', HM)}, {mach_tas('mh', HM)}) end as tgt from ({P1}) p1"
-PLAYED = f"select *, last_value(tgt ignore nulls) {frame('unbounded preceding and current row')} as gen_tas, least(greatest(coalesce(vz_sel, 0), -4000), 4000) as rocd from ({P2}) p2"
+PLAYED = f"select *, coalesce(last_value(tgt ignore nulls) {frame('unbounded preceding and current row')}, 250) as gen_tas, least(greatest(coalesce(vz_sel, 0), -4000), 4000) as rocd from ({P2}) p2"
 
 
-def starts_known(t: Tables) -> DataFrame:
-    """Flights whose first row in climb has an altitude."""
-    first = t.track.filter("phase = 'CLIMB'").groupBy(*K).agg(F.min_by(F.col("altitude").isNotNull(), "timestamp").alias("ok"))
-    return t.track.join(first.filter("ok").select(*K), K, "left_semi")
-
-
-STARTS = f"(route, flight_id) in (select {ID} from (select {ID}, arg_min(altitude is not null, timestamp) as ok from track where phase = 'CLIMB' group by {ID}) s where ok)"
-
-
-@query("c14_replay", f"select {ID}, i, round(h, 4) as gen_altitude_ft, rocd as gen_rocd_fpm, round(gen_tas, 4) as gen_tas_kt, high as regime_high_alt, i0 as replay_start_idx from ({PLAYED}) x where {STARTS}", 4)
+@query("c14_replay", f"select {ID}, i, round(h, 4) as gen_altitude_ft, rocd as gen_rocd_fpm, round(gen_tas, 4) as gen_tas_kt, high as regime_high_alt, i0 as replay_start_idx from ({PLAYED}) x", 4)
 def _(t):
-    d = replay.replay(starts_known(t))
+    d = replay.replay(t.track)
     i = (keys.seconds("timestamp") - 1704067200).cast("long").alias("i")
     return d.select(*K, i, "gen_altitude_ft", "gen_rocd_fpm", "gen_tas_kt", "regime_high_alt", "replay_start_idx")
 
 
-@query("c15_replay_metrics", f"select {ID}, round(sqrt(avg(e * e)), 3) as rmse_ft, round(avg(abs(e)), 3) as mae_ft, round(avg(e), 3) as bias_ft, count(e) as n, round(avg(abs(case when near.v > 30 and gen_tas > 30 then gen_tas - near.v end)), 3) as mae_tas_kt, count(case when near.v > 30 and gen_tas > 30 then 1 end) as n_tas from (select *, h - altitude as e from ({nearest_sql(f'(select * from ({PLAYED}) y where {STARTS})', '(select *, {v: TAS} as p from sparse)', 'p', 2)}) z) w group by {ID}", 3)
+@query("c15_replay_metrics", f"select {ID}, round(sqrt(avg(e * e)), 3) as rmse_ft, round(avg(abs(e)), 3) as mae_ft, round(avg(e), 3) as bias_ft, count(e) as n, round(avg(abs(case when near.v > 30 and gen_tas > 30 then gen_tas - near.v end)), 3) as mae_tas_kt, count(case when near.v > 30 and gen_tas > 30 then 1 end) as n_tas from (select *, h - altitude as e from ({nearest_sql(f'({PLAYED})', '(select *, {v: TAS} as p from sparse)', 'p', 2)}) z) w group by {ID}", 3)
 def _(t):
-    d = replay.replay_metrics(replay.replay(starts_known(t)), t.sparse, t.sparse)
+    d = replay.replay_metrics(replay.replay(t.track), t.sparse, t.sparse)
     return d.select(*K, "rmse_ft", "mae_ft", "bias_ft", "n", "mae_tas_kt", "n_tas")
 
 
@@ -1237,10 +1228,10 @@ def _(t):
     return compare.compare_pools(a, b)
 
 
-@query("d3_operational_pool", f"select route, flight_id, count(*) as rows, round(avg(h), 4) as h_ft from ({PLAYED}) x where {STARTS} group by 1, 2", 4)
+@query("d3_operational_pool", f"select route, flight_id, count(*) as rows, round(avg(h), 4) as h_ft from ({PLAYED}) x group by 1, 2", 4)
 def _(t):
     m = meta_of(t).join(t.flights.select(*K, "firstseen"), K)
-    d = replay.operational_pool(t.track, m).join(starts_known(t).select(*K).distinct(), K, "left_semi")
+    d = replay.operational_pool(t.track, m)
     return d.groupBy(*K).agg(F.count(F.lit(1)).alias("rows"), F.avg("h_ft").alias("h_ft"))
 
 
