@@ -6,11 +6,10 @@ every document are hashed and joined; each hit fixes an alignment (the document
 start), and the alignment is verified word by word: the densest window of words around the hit must agree in most places.
 Only DataFrame functions are used.
 
-Words are runs of characters other than [\x20\x09-\x0D], lower-cased. An item of WINDOW words or more is found if some
-window of it agrees in SHARE of its places, one of SHORT to WINDOW - 1 words if the whole item does, a shorter one if it
-stands there word for word. The seeds lose none of these: every way to put the allowed substitutions into a window leaves
-a seed intact (a test tries them all). Items under LEAST_ITEM_WORDS words name no passage and are not looked for; 1 takes
-all that have words.
+Words are runs of characters other than [\x20\x09-\x0D], lower-cased. An item is found if some window of WINDOW words of
+it, or the whole item if that is shorter, agrees in SHARE of its places. That is word for word up to four words. The seeds
+lose none of these: every way to put the allowed substitutions into a window leaves a seed intact (a test tries them all).
+All items that have words are looked for; least_words leaves out those with fewer. Items with equal words are looked for once.
 
 Defined cases: null or empty texts and items have no words and no hits. Rows that repeat a doc_id are reported as one
 document, found if any of them is; decontaminate judges each row by itself, also rows without a doc_id. Items that share an
@@ -26,12 +25,13 @@ from pyspark.sql import functions as F
 from contrail.llm._spark import documents, packed, settle
 
 #: Each starts with two checked words, which serve as a first filter. The first two are for items of WINDOW words or more,
-#: the last for shorter ones, of which it takes one place for each substitution allowed and one more.
-MASKS, SHORT_MASK = ("1101101", "11001011"), "111"
+#: the others for shorter ones, which take disjoint places, one for each substitution allowed and one more: of three words,
+#: or of two where there is no room for that.
+MASKS, SHORT_MASK, PAIR_MASK = ("1101101", "11001011"), "111", "11"
 #: An alignment counts if a window of at least WINDOW words (the whole item if that is shorter) agrees in SHARE of its places.
 WINDOW, SHARE = 13, 0.8
-#: Items of fewer words must stand there word for word; those under LEAST_ITEM_WORDS are not looked for.
-SHORT, LEAST_ITEM_WORDS = 8, 3
+#: Items of fewer words are not looked for.
+LEAST_ITEM_WORDS = 1
 #: Seeds of so many rows (three longs each), and items of so many words in all, are broadcast to the documents; larger
 #: tables are joined by a shuffle.
 BROADCAST_SEEDS, BROADCAST_WORDS = 2_000_000, 4_000_000
@@ -39,7 +39,13 @@ BROADCAST_SEEDS, BROADCAST_WORDS = 2_000_000, 4_000_000
 
 def needed(width: int, window: int = WINDOW, share: float = SHARE) -> int:
     """Places that must agree in a window of that many words."""
-    return width if width < min(SHORT, window) else -int(-round(width * share * 1000) // 1000)
+    return -int(-round(width * share * 1000) // 1000)
+
+
+def seed_of(width: int, window: int = WINDOW, share: float = SHARE) -> str:
+    """The mask of items of that many words, fewer than window; empty where substitutions leave no two words together."""
+    blocks = width - needed(width, window, share) + 1
+    return next((m for m in (SHORT_MASK, PAIR_MASK) if blocks * len(m) <= width), "")
 
 
 def _words(text: str) -> Column:
@@ -72,10 +78,17 @@ def _with_seeds(df: DataFrame, words: str, masks: tuple[str, ...], taken=None) -
 
 
 def seed_places(window: int = WINDOW, share: float = SHARE):
-    """taken(mask, at) for items: the long masks everywhere in long items, the short one at disjoint places of short items."""
+    """taken(mask, at) for items: the long masks everywhere in long items, short ones at disjoint places of short items."""
     n = F.size("item")
     blocks = F.create_map(*[F.lit(x) for w in range(1, window) for x in (w, w - needed(w, window, share) + 1)])
-    return lambda bits, at: (n < window) & (at % 3 == 0) & (at < 3 * F.element_at(blocks, n)) if bits == SHORT_MASK else n >= window
+
+    def taken(bits: str, at: Column) -> Column:
+        if bits not in (SHORT_MASK, PAIR_MASK):
+            return n >= window
+        own = [w for w in range(1, window) if seed_of(w, window, share) == bits]
+        return n.isin(own) & (at % len(bits) == 0) & (at < len(bits) * F.element_at(blocks, n))
+
+    return taken
 
 
 def _verified(words: Column, item: Column, shift: Column, window: int) -> tuple[Column, Column]:
@@ -93,12 +106,17 @@ def _found(
 ) -> DataFrame:
     """The alignments that count, of each row of docs: doc_id, text_key (a hash of the text, which tells rows of one doc_id
     apart), item_id, shift, matched, best, item_words."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), _hashed(item_text_col).alias("item")).filter(F.size("item") >= max(1, least_words))
-    items = settle(items.withColumn("item_key", F.monotonically_increasing_id()))
+    named_items = benchmark.select(F.col(item_col).alias("item_id"), _hashed(item_text_col).alias("item")).filter(F.size("item") >= max(1, least_words))
+    items = settle(named_items.groupBy("item").agg(F.min("item_id").alias("item_id"), F.collect_set("item_id").alias("item_ids"), F.max(F.col("item_id").isNull()).alias("unnamed")).withColumn("item_key", F.monotonically_increasing_id()))
+    # A set has no null; items without an id are one to the report.
+    none = F.array(F.lit(None).cast(items.schema["item_id"].dataType))
+    ids = F.when(F.col("unnamed"), F.concat("item_ids", none)).otherwise(F.col("item_ids"))
+    items = items.select("item_key", "item", ids.alias("item_ids"))
     sizes = items.agg(F.sum(F.size("item").cast("long")), F.min(F.size("item"))).first()
-    masks = (*masks, SHORT_MASK) if sizes[0] and sizes[1] < window else masks
-    # Items too short for any mask are one seed of all their words.
-    brief = [n for n in (1, 2) if sizes[0] and least_words <= n and sizes[1] <= n]
+    short = [w for w in range(1, window) if sizes[0] and sizes[1] <= w]
+    masks = (*masks, *(m for m in (SHORT_MASK, PAIR_MASK) if any(seed_of(w, window, share) == m for w in short)))
+    # Items too short for any mask are found by each of their words.
+    brief = [w for w in short if not seed_of(w, window, share)]
     seeds = _with_seeds(_with_pairs(items, "item"), "item", masks, seed_places(window, share)).select("pair", "seed", "item_key", F.col("at").alias("item_at"))
     seeds = settle(seeds)
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), _hashed(text_col).alias("words"))
@@ -118,13 +136,13 @@ def _found(
         hits = thin.join(texts, same).select(*own, "item_key", "words", "shift")
     if brief:
         word = d.select(*own, "words", F.posexplode("words").alias("at", "word"))
-        short = items.filter(F.size("item").isin(brief)).select("item_key", F.get("item", F.lit(0)).alias("word"))
-        hits = hits.unionByName(word.join(short, "word").select(*own, "item_key", "words", F.col("at").alias("shift")))
+        least = items.filter(F.size("item").isin(brief)).select("item_key", F.posexplode("item").alias("item_at", "word"))
+        hits = hits.unionByName(word.join(least, "word").select(*own, "item_key", "words", shift))
     hits = hits.join(F.broadcast(items) if (sizes[0] or 0) <= broadcast_words else items, "item_key")
     total, best = _verified(F.col("words"), F.col("item"), F.col("shift"), window)
-    checked = hits.select(*own, "item_id", "shift", total.alias("matched"), best.alias("best"), F.size("item").alias("item_words"))
+    checked = hits.select(*own, "item_ids", "shift", total.alias("matched"), best.alias("best"), F.size("item").alias("item_words"))
     need = F.element_at(F.array(*[F.lit(needed(w, window, share)) for w in range(1, window + 1)]), F.least(F.col("item_words"), F.lit(window)))
-    return checked.filter(F.col("best") >= need)
+    return checked.filter(F.col("best") >= need).select(*own, F.explode("item_ids").alias("item_id"), "shift", "matched", "best", "item_words")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

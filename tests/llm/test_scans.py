@@ -90,7 +90,8 @@ def planted():
         (6, " ".join(item[:6]) + " other words entirely follow here now"), (7, None), (8, ""), (9, " ".join(item[:14])), (10, " ".join("one two three four five six seven eight".split())),
     ]
     rows += [(11, "go the hidden passage here on"), (12, "go the hidden Passage"), (13, "we say One two Three four x six seven eight now"), (14, "a two words b"), (None, "x " + " ".join(item)), (None, "clean text of no note"), (1, "clean text of no note")]
-    return rows, [(1, " ".join(item)), (2, "one two three four five six seven eight"), (3, "too short"), (4, None), (5, ""), (6, "the hidden passage"), (7, "two words"), (None, "hidden passage here on")]
+    rows += [(15, "five small ODD stand here yes"), (16, "five small odd odd here yes"), (17, "and six w two lie here"), (18, "small words stand here only")]
+    return rows, [(1, " ".join(item)), (2, "one two three four five six seven eight"), (3, "too short"), (4, None), (5, ""), (6, "the hidden passage"), (7, "two words"), (None, "hidden passage here on"), (8, "five small words stand here"), (9, "The hidden passage"), (10, "six words or two lie here"), (None, "five small words stand here")]
 
 
 def found(got):
@@ -101,7 +102,7 @@ def test_contamination_is_that_of_brute_force_on_either_path(spark):
     rows, items = planted()
     d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = {least: brute.contaminated(rows, items, decontaminate.WINDOW, decontaminate.needed, least) for least in (1, 3)}
-    assert want[3] == {(1, 1), (2, 1), (3, 1), (9, 1), (10, 2), (13, 2), (11, 6), (12, 6), (11, None), (None, 1)} and want[1] == want[3] | {(14, 7)}
+    assert want[3] == {(1, 1), (2, 1), (3, 1), (9, 1), (10, 2), (13, 2), (11, 6), (12, 6), (11, 9), (12, 9), (11, None), (None, 1), (15, 8), (15, None), (18, 8), (18, None)} and want[1] == want[3] | {(14, 7)}
     for least, seeds, words in ((3, decontaminate.BROADCAST_SEEDS, decontaminate.BROADCAST_WORDS), (3, 0, 0), (1, 0, 100)):
         got = decontaminate.contamination(d, b, least_words=least, broadcast_seeds=seeds, broadcast_words=words).collect()
         assert found(got) == want[least]
@@ -112,9 +113,10 @@ def test_contamination_is_that_of_brute_force_on_either_path(spark):
 
 
 def test_seeds_lose_no_pattern_of_substitutions():
-    for width in range(3, decontaminate.WINDOW + 1):
-        wrong = width - decontaminate.needed(width)
-        places = [(bits, at) for bits in decontaminate.MASKS for at in range(width)] if width == decontaminate.WINDOW else [(decontaminate.SHORT_MASK, 3 * j) for j in range(wrong + 1)]
+    assert [decontaminate.seed_of(w) for w in range(1, 7)] == ["", "11", "111", "111", "11", "111"]
+    for width in range(2, decontaminate.WINDOW + 1):
+        wrong, short = width - decontaminate.needed(width), decontaminate.seed_of(width)
+        places = [(bits, at) for bits in decontaminate.MASKS for at in range(width)] if width == decontaminate.WINDOW else [(short, len(short) * j) for j in range(wrong + 1)]
         places = [[at + j for j, c in enumerate(bits) if c == "1"] for bits, at in places if at + len(bits) <= width]
         for gone in itertools.combinations(range(width), wrong):
             assert any(not set(p) & set(gone) for p in places), (width, gone)
@@ -128,6 +130,8 @@ def test_contamination_of_the_table_is_that_of_brute_force(spark, tiny):
 
 def test_decontamination_of_odd_rows(spark, messy, nothing):
     b = spark.createDataFrame([(1, " ".join(f"z{i}" for i in range(20))), (None, None), (2, "w1")], "item_id long, text string")
-    out = decontaminate.decontaminate(messy, b)
+    out = decontaminate.decontaminate(messy, b, least_words=2)
     assert out.columns == messy.columns and out.count() == messy.count()
+    kept = decontaminate.decontaminate(messy, b).select("text").collect()
+    assert sorted(r.text or "" for r in kept) == sorted(r.text or "" for r in messy.select("text").collect() if "w1" not in (r.text or "").split())
     assert decontaminate.decontaminate(nothing, b).count() == 0 and decontaminate.contamination(messy, b.limit(0)).count() == 0
