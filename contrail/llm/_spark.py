@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,13 @@ def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def shared(spark: SparkSession, thing) -> Callable:
+    """A function that gives a bounded thing, such as a model, inside tasks. It is broadcast with the code of its class, so
+    executors need no installed copy of this package."""
+    blob = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: pickle.loads(blob.value)
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `most` rows, which is counted here; else df for a shuffled join. df
     should be cheap to count, such as a settled frame."""

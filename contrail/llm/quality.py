@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm._spark import crc_fold, documents, in_arrow
+from contrail.llm._spark import crc_fold, documents, in_arrow, shared
 from contrail.llm._text import LOWER, NOT_WHITE, WORDLIKE, byte_table, runs, span_hashes, utf8, words
 
 WORD_BUCKETS, RANK = 2048, 8
@@ -103,12 +103,16 @@ class Machine:
         return self
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_ROWS) -> Machine:
-    """A machine fitted to at most `most` labelled texts; features are made in Spark, and only those rows are fetched."""
+def learn(labelled: DataFrame, texts: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_ROWS) -> Machine:
+    """A machine fitted to at most `most` labelled texts, which are columns of labelled or those of texts with the same id;
+    features are made in Spark, and only those rows are fetched. Null labels and ids are not counted."""
     good = labelled.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     # A hash threshold leaves about twice the rows wanted, so that their features are made in all tasks before any are ranked.
     u = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
-    chosen = good.filter(u < min(1.0, 2.0 * most / max(1, good.count()) + 1e-6) * (1 << 40)).select(F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("label"), u.alias("u"))
+    good = good.filter(u < min(1.0, 2.0 * most / max(1, good.count()) + 1e-6) * (1 << 40))
+    if texts is not None:
+        good = good.join(texts.select(id_col, text_col), id_col)
+    chosen = good.select(F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("label"), u.alias("u"))
 
     def featured(batches):
         for batch in batches:
@@ -134,11 +138,11 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def score_quality(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for each row of docs."""
-    model = docs.sparkSession.sparkContext.broadcast(machine)
+    model = shared(docs.sparkSession, machine)
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
 
     def scored(batches):
-        m = model.value
+        m = model()
         for batch in batches:
             got = [m.score(x) for x in blocks(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.concatenate(got) if got else [], pa.float64())], ["doc_id", "score"])
@@ -148,10 +152,9 @@ def score_quality(docs: DataFrame, machine: Machine, id_col: str = "doc_id", tex
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    # Thinned by a hash of the id before the join to about twice the rows that can be learnt from.
     labels = labels.filter(crc_fold() != 0).select("doc_id", "quality")
-    share = min(1.0, 2.0 * MOST_ROWS / max(1, labels.count()))
-    labels = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    machine = learn(docs.select("doc_id", "text").join(labels, "doc_id"))
+    # Only labels whose document is there are counted; then those that can be learnt from meet their texts.
+    there = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
+    machine = learn(there, docs.select("doc_id", "text"))
     out = score_quality(docs, machine)
     return out.select("doc_id", (crc_fold() == 0).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
