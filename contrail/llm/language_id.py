@@ -5,9 +5,10 @@ match of what follows anywhere in the language's text, read off the automaton. T
 resembles that language; the language with the fewest normalised phrases wins. Phrases are normalised to bits per byte,
 phrases * log2(reference length) / document length.
 
-Labelled text is a bounded sample of whole rows: for each language, rows of up to ROW_BYTES by the hash of their doc_id
-until REFERENCE_BYTES are reached; a language without such a row has its shortest one, if that has at most MOST_ROW_BYTES.
-With many languages TOTAL_BYTES is shared out, but each has LEAST_BYTES. There may be any number of languages. Documents
+Labelled text is a bounded sample of whole rows, with parameters for its bounds (Bounds): for each language, rows of up to
+`row` bytes by the hash of their doc_id until `language` bytes are reached; a language without such a row has its shortest
+one, whatever its size. With many languages `total` is shared out, but each has `least`. There may be any number of
+languages. Documents
 are parsed whole, all documents of a batch and all languages in step, one byte of each at a time, so a step is a few numpy
 operations. The transitions of all automata lie in one table of about three places each, whatever the alphabet.
 
@@ -23,18 +24,29 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contrail.llm._spark import crc_fold, documents, in_arrow, packed
+from contrail.llm._spark import crc_fold, documents, in_arrow, packed, shared
 from contrail.llm._text import LOWER, utf8
 
 UNKNOWN = "und"
-#: Bounds of the learning sample: bytes of a language, of a row, of all languages; least of a language, most of a lone row.
-REFERENCE_BYTES, ROW_BYTES, TOTAL_BYTES, LEAST_BYTES, MOST_ROW_BYTES = 48_000, 3_000, 800_000, 4_000, 100_000
+
+class Bounds(NamedTuple):
+    """Of the learning sample, in bytes: of a language, of a row, of all languages together, and least of a language."""
+
+    language: int = 48_000
+    row: int = 3_000
+    total: int = 800_000
+    least: int = 4_000
+
+
+#: A label is corrected if the language found leads the second by so much, relatively.
+LEAD = 0.15
 #: Bytes of documents parsed together, beside the longest.
 PARSE_BYTES = 24 << 20
 #: Places of the transition table for each transition.
@@ -155,18 +167,18 @@ class Model:
         return out
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, list[bytes]]:
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bounds: Bounds = Bounds()) -> dict[str, list[bytes]]:
     """The bounded learning sample, as {language: texts}."""
     size = F.octet_length(text_col).alias("size")
-    good = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (size <= MOST_ROW_BYTES))
-    whole = F.when(size <= ROW_BYTES, 1)
-    counts = {r[0]: r[1:] for r in good.groupBy(lang_col).agg(F.count(whole), F.sum(F.when(size <= ROW_BYTES, size)), F.min(size)).collect()}
+    good = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    whole = F.when(size <= bounds.row, 1)
+    counts = {r[0]: r[1:] for r in good.groupBy(lang_col).agg(F.count(whole), F.sum(F.when(size <= bounds.row, size)), F.min(size)).collect()}
     if not counts:
         return {}
-    most = max(LEAST_BYTES, min(REFERENCE_BYTES, TOTAL_BYTES // len(counts)))
+    most = max(bounds.least, min(bounds.language, bounds.total // len(counts)))
     # A hash threshold thins each language to about twice the bytes wanted, and rows to spare, before any are ranked, so no
     # window is large.
-    plan = [(lang, min(1.0, 2.0 * most / max(1, b or 0) + 16.0 / max(1, n)), ROW_BYTES if n else least) for lang, (n, b, least) in counts.items()]
+    plan = [(lang, min(1.0, 2.0 * most / max(1, b or 0) + 16.0 / max(1, n)), bounds.row if n else least) for lang, (n, b, least) in counts.items()]
     plan = docs.sparkSession.createDataFrame(plan, good.select(F.col(lang_col).alias("lang"), F.lit(0.0).alias("share"), F.lit(0).alias("longest")).schema)
     u = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)).alias("u")
     near = good.select(F.col(lang_col).alias("lang"), u, F.encode(text_col, "UTF-8").alias("text"), size).join(F.broadcast(plan), "lang").filter((F.col("u") < F.col("share") * (1 << 20)) & (F.col("size") <= F.col("longest")))
@@ -179,7 +191,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[s
 
 
 def _parse(batches: Iterator[pa.RecordBatch], model, text: str | None) -> Iterator[pa.RecordBatch]:
-    m = model.value
+    m = model()
     for batch in batches:
         langs, scores = [], []
         buf, off = utf8(batch.column(0) if text is None else batch.column("row").field(text))
@@ -200,14 +212,14 @@ def _parse(batches: Iterator[pa.RecordBatch], model, text: str | None) -> Iterat
         yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(2, batch.num_columns)], pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*batch.schema.names[2:], "lang_pred", "score"])
 
 
-def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ("doc_id",), bounds: Bounds = Bounds()) -> DataFrame:
     """The carried columns of docs with lang_pred and score, the relative lead of the best language over the second. Where a
     struct `row` that has the text is carried, text_col being `row.<name>`, the text goes to Python once."""
-    found = sample(labelled, id_col, text_col.removeprefix("row."), lang_col)
+    found = sample(labelled, id_col, text_col.removeprefix("row."), lang_col, bounds)
     kept = docs.select(*carry)
     if not found:
         return kept.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    model = docs.sparkSession.sparkContext.broadcast(Model(found))
+    model = shared(docs.sparkSession, Model(found))
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     inside = text_col.removeprefix("row.") if "row" in carry and text_col.startswith("row.") else None
     rows = docs.select(F.col(text_col).alias("_0") if inside is None else F.lit(0).alias("_0"), letter.alias("_1"), *carry)
@@ -215,10 +227,14 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     return in_arrow(rows, lambda it: _parse(it, model, inside), f"{schema}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+def keep_identified(docs: DataFrame, labelled: DataFrame, lead: float = LEAD) -> DataFrame:
     """docs whose language is found, with all their columns. Rejected are texts without a letter; text of any language,
-    however noisy, stays."""
-    return identify(packed(docs), labelled, text_col="row.text", carry=("row",)).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    however noisy, stays. lang becomes the language found where it is null and where the one found has that lead, so what
+    later stages do by language follows the text."""
+    found = identify(packed(docs), labelled, text_col="row.text", carry=("row",)).filter(F.col("lang_pred") != UNKNOWN)
+    own = F.col("row.lang")
+    lang = F.when(own.isNull() | ((F.col("score") >= lead) & (own != F.col("lang_pred"))), F.col("lang_pred")).otherwise(own)
+    return found.select(*[lang.alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
