@@ -13,7 +13,7 @@ from contrail.llm._spark import crc_fold, documents, settle
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; the model is learnt from the stage's own labelled rows."""
+    """Documents whose language is found, with labels filled and corrected; learnt from the stage's own labelled rows."""
     return language_id.keep_identified(docs, docs.filter(crc_fold() != 0))
 
 
