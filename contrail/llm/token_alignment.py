@@ -79,20 +79,32 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
 
 
-def _digests(a: Tokens, b: Tokens, ga: np.ndarray, gb: np.ndarray) -> list[str]:
-    """By document, sha256 of its groups as `a1,a2|b1;a3|b2,b3`; '' without tokens."""
+def numerals(most: int) -> np.ndarray:
+    """uint8[3, most, 8]: decimal numbers below most after a comma, a semicolon and a bar, filled up with zeros."""
+    out = np.zeros((3, most, 8), np.uint8)
+    n = np.arange(most)
+    size = np.searchsorted(10 ** np.arange(1, 8), n, "right") + 1
+    for k in range(int(size.max(initial=1))):
+        some = size > k
+        out[:, some, 1 + k] = 0x30 + n[some] // 10 ** (size[some] - 1 - k) % 10
+    out[:, :, 0] = np.frombuffer(b",;|", np.uint8)[:, None]
+    return out
+
+
+def _digests(a: Tokens, b: Tokens, ga: np.ndarray, gb: np.ndarray, table: np.ndarray) -> list[str]:
+    """By document, sha256 of its groups as `a1,a2|b1;a3|b2,b3`; '' without tokens. table: numerals of all ids."""
     n = len(a.ids) + len(b.ids)
     side = np.concatenate([2 * ga, 2 * gb + 1])
     order = np.argsort(side, kind="stable")
-    side, ids = side[order], np.concatenate([a.ids, b.ids])[order].tolist()
+    side = side[order]
     # Before a token stands a comma in its list, a bar where B's list begins, a semicolon where a group does.
     new = np.ones(n, bool)
     new[1:] = side[1:] != side[:-1]
-    marks = np.where(new, np.where(side % 2 == 1, 2, 1), 0).tolist()
-    signs = (",", ";", "|")
-    parts = [signs[m] + str(i) for m, i in zip(marks, ids, strict=True)]
-    stop = np.cumsum(a.count + b.count).tolist()
-    return ["" if lo == hi else hashlib.sha256("".join(parts[lo:hi])[1:].encode()).hexdigest() for lo, hi in zip([0, *stop[:-1]], stop, strict=True)]
+    signs = table[np.where(new, side % 2 + 1, 0), np.concatenate([a.ids, b.ids])[order]]
+    shown = signs != 0
+    text = signs[shown].tobytes()
+    stop = np.append(0, np.cumsum(shown.sum(axis=1)))[np.append(0, np.cumsum(a.count + b.count))].tolist()
+    return ["" if lo == hi else hashlib.sha256(text[lo + 1 : hi]).hexdigest() for lo, hi in zip(stop[:-1], stop[1:], strict=True)]
 
 
 FOUND = "n_a long, n_b long, n_groups long, n_links long"
@@ -109,6 +121,7 @@ def align(docs: DataFrame, a_tokenizer: str = BYTE_BPE, b_tokenizer: str = PIECE
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = ByteTokens(a_tokenizer), PieceTokens(b_tokenizer)
+        table = numerals(max(len(left.bytes), len(right.bytes)))
         for batch in batches:
             _, off = utf8(batch.column(1))
             for lo, hi in runs(off):
@@ -127,7 +140,7 @@ def align(docs: DataFrame, a_tokenizer: str = BYTE_BPE, b_tokenizer: str = PIECE
                     for t, g in ((a, ga), (b, gb)):
                         out += [_lists(t.ids, t.count, pa.int32()), _lists(t.end - np.repeat(zero, t.count), t.count, pa.int64()), _lists(g - np.repeat(base, t.count), t.count, pa.int32())]
                 else:
-                    out.append(pa.array(_digests(a, b, ga, gb), pa.string()))
+                    out.append(pa.array(_digests(a, b, ga, gb, table), pa.string()))
                 if pairs:
                     key = a.ids[at] * BASE + b.ids[bt]
                     order = np.lexsort((key, doc[at]))

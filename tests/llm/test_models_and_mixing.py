@@ -31,8 +31,11 @@ def test_learning_takes_whole_rows_of_any_number_of_languages(spark):
     texts = {}
     for _, t, k in rows:
         texts.setdefault(k, set()).add(t.encode())
-    assert set(got) == set(texts) - {"over"} and all(x in texts[k] for k, v in got.items() for x in v) and len(got["long"]) == 1
-    assert language_id.LEAST_BYTES <= sum(map(len, got["zz"])) < language_id.LEAST_BYTES + language_id.ROW_BYTES
+    assert set(got) == set(texts) and all(x in texts[k] for k, v in got.items() for x in v) and len(got["long"]) == len(got["over"]) == 1
+    bounds = language_id.Bounds()
+    assert bounds.least <= sum(map(len, got["zz"])) < bounds.least + bounds.row
+    few = language_id.sample(spark.createDataFrame(rows[-60:], "doc_id long, text string, lang string"), "doc_id", "text", "lang", language_id.Bounds(10_000, 4_000, 10_000, 10))
+    assert 10_000 <= sum(map(len, few["zz"])) < 14_000
 
 
 def test_languages_of_held_out_documents(spark, small_dir):
@@ -46,6 +49,38 @@ def test_languages_of_odd_rows(messy, nothing):
     assert {(4, "und"), (5, "und"), (6, "und"), (7, "und"), (None, "und")} <= out and not {(8, "und"), (10, "und")} & out
     kept = language_id.keep_identified(messy, messy)
     assert kept.columns == messy.columns and kept.count() == messy.count() - 5
+
+
+def test_prediction_fills_and_corrects_labels(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    wrong = {"en": "fr", "fr": "de", "de": "es", "es": "en"}
+    change = F.create_map(*[F.lit(x) for p in wrong.items() for x in p])
+    part = F.col("doc_id") % 20
+    given = docs.withColumn("lang", F.when(part == 3, None).when(part == 4, change[F.col("lang")]).otherwise(F.col("lang")))
+    own = {r.doc_id: r.lang for r in docs.collect()}
+    kept = {r.doc_id: r.lang for r in language_id.keep_identified(given, given).collect()}
+    for k in (3, 4):
+        hidden = [i for i in kept if i % 20 == k]
+        assert len(hidden) > 40 and sum(kept[i] == own[i] for i in hidden) > (0.9 if k == 3 else 0.6) * len(hidden)
+    assert sum(kept[i] == own[i] for i in kept if i % 20 not in (3, 4)) > 0.98 * sum(i % 20 not in (3, 4) for i in kept)
+
+
+def test_predictions_are_those_of_brute_force(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    found = language_id.sample(docs.filter("doc_id % 2 = 0"), "doc_id", "text", "lang", language_id.Bounds(3_000, 1_500, 12_000, 500))
+    fold = lambda t: language_id.CLASSES[np.frombuffer(t.encode(), np.uint8)].tobytes()
+    m = language_id.Model(found)
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.text and len(r.text) < 1500 and any(c.isalpha() for c in r.text)]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), docs.filter("doc_id % 2 = 0"), bounds=language_id.Bounds(3_000, 1_500, 12_000, 500)).collect()}
+    whole = [b"".join(fold(t.decode()) + b"\x01" for t in found[k]) for k in m.langs]
+    assert len(rows) > 80
+    for i, t in rows:
+        rate = [brute.phrases(fold(t), w) * b / len(t.encode()) for w, b in zip(whole, m.bits, strict=True)]
+        low, second = sorted(rate)[:2]
+        assert got[i].lang_pred == m.langs[rate.index(low)] and got[i].score == pytest.approx(1 - low / second, abs=1e-9)
+
+
+def test_odd_rows_without_labels(messy, nothing):
     assert language_id.identify(nothing, nothing).count() == 0 and {r.lang_pred for r in language_id.identify(messy, nothing).collect()} == {"und"}
 
 
@@ -151,13 +186,39 @@ def test_sampled_tokens_meet_all_marginals(spark, small_dir, budget):
     total, taken = sum(r.tokens for r in rows), sum(r.tokens * r.probability for r in rows)
     for d in range(3):
         names = {r[d] for r in rows}
-        goal = {x: sum(r.tokens for r in rows if r[d] == x) ** mixing.TEMPER for x in names}
+        have = {x: sum(r.tokens for r in rows if r[d] == x) for x in names}
+        goal = wanted({x: n**mixing.TEMPER for x, n in have.items()}, have, budget or mixing.BUDGET)
         for x in names:
             assert sum(r.tokens * r.probability for r in rows if r[d] == x) / taken == pytest.approx(goal[x] / sum(goal.values()), abs=1e-5), x
     assert all(0 <= r.probability <= 1 for r in rows)
     noted = out.schema["probability"].metadata
     assert noted["share"] == pytest.approx(taken / total) and noted["gap"] < 1e-5
-    assert taken / total == pytest.approx(budget, rel=1e-4) if budget else 0.3 < taken / total <= mixing.BUDGET + 1e-6
+    assert taken / total == pytest.approx(budget or mixing.BUDGET, rel=1e-4)
+
+
+def wanted(goal, have, budget):
+    """Target shares, where categories that have less than the budget asks for are taken whole, one at a time."""
+    scale = sum(have.values()) * budget
+    whole = {}
+    while True:
+        left, rest = scale - sum(whole.values()), sum(v for k, v in goal.items() if k not in whole)
+        over = [k for k in goal if k not in whole and left * goal[k] / rest > have[k]]
+        if not over:
+            return {k: whole[k] / scale if k in whole else left * goal[k] / rest / scale for k in goal}
+        k = max(over, key=lambda k: goal[k] / have[k])
+        whole[k] = have[k]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_the_budget_holds_and_no_topic_is_a_language(spark, sf):
+    out = mixing.query(spark, f"/root/testdata/{sf}")
+    assert out.schema["probability"].metadata["share"] > 0.59 and out.schema["probability"].metadata["gap"] < 1e-5
+    tokens = {}
+    for r in out.groupBy("topic_cell", "lang_cell").agg(F.sum("tokens").alias("n"), F.sum(F.when(F.col("sampled"), F.col("tokens")).otherwise(0)).alias("kept")).collect():
+        if r.n:
+            tokens.setdefault(r.topic_cell, {})[r.lang_cell] = (r.n, r.kept)
+    assert sum(k for t in tokens.values() for _, k in t.values()) > 0.5 * sum(n for t in tokens.values() for n, _ in t.values())
+    assert len(tokens) == mixing.TOPICS and all(len(t) == 4 and max(n for n, _ in t.values()) < 0.9 * sum(n for n, _ in t.values()) for t in tokens.values())
 
 
 def test_bounded_raking_takes_more_of_cells_with_room():
@@ -168,15 +229,15 @@ def test_bounded_raking_takes_more_of_cells_with_room():
     assert share == pytest.approx(0.8) and gap < 1e-6 and all(0 < x <= 1 for x in p.values())
     clipped = mixing.probabilities(cells, w, 0.8 * 20)
     assert abs(sum(cells[k] * clipped[k] for k in cells if k[1] == "p") / 16 - 0.45) > 1e-3
-    # A sixth of the tokens with a target of a half: the budget ends at a third, or holds and the rest fills it.
+    # A sixth of the tokens with a target of a half: the targets end the sample at a third, or the budget holds and the rest fills it.
     few = {("x", "p", "m"): 10.0, ("y", "p", "m"): 50.0}
     w, _, _ = mixing.rake(few, [{"x": 1.0, "y": 1.0}, {"p": 1.0}, {"m": 1.0}])
-    p, share, gap = mixing.fit(few, w, [{"x": 1.0, "y": 1.0}, {"p": 1.0}, {"m": 1.0}], None)
+    p, share, gap = mixing.fit(few, w, [{"x": 1.0, "y": 1.0}, {"p": 1.0}, {"m": 1.0}], keep_targets=True)
     assert share == pytest.approx(1 / 3) and gap < 1e-6 and p["x", "p", "m"] == 1.0
     p, share, gap = mixing.fit(few, w, [{"x": 1.0, "y": 1.0}, {"p": 1.0}, {"m": 1.0}], 0.5)
     assert share == pytest.approx(0.5) and p["x", "p", "m"] == 1.0 and gap == pytest.approx(0.5 - 10 / 30)
     # Zero cells: y has no p, so that no budget meets p = 0.9; the sample stays a sample.
-    p, share, gap = mixing.fit({("x", "p", "m"): 5.0, ("y", "q", "m"): 5.0}, mixing.rake({("x", "p", "m"): 5.0, ("y", "q", "m"): 5.0}, [{"x": 1.0, "y": 1.0}, {"p": 9.0, "q": 1.0}, {"m": 1.0}])[0], [{"x": 1.0, "y": 1.0}, {"p": 9.0, "q": 1.0}, {"m": 1.0}], None)
+    p, share, gap = mixing.fit({("x", "p", "m"): 5.0, ("y", "q", "m"): 5.0}, mixing.rake({("x", "p", "m"): 5.0, ("y", "q", "m"): 5.0}, [{"x": 1.0, "y": 1.0}, {"p": 9.0, "q": 1.0}, {"m": 1.0}])[0], [{"x": 1.0, "y": 1.0}, {"p": 9.0, "q": 1.0}, {"m": 1.0}], keep_targets=True)
     assert share > 0 and gap > 0.1 and all(0 < x <= 1 for x in p.values())
 
 
@@ -195,7 +256,7 @@ def test_query_of_mixing_is_recomputed(spark, tiny):
         assert (r.topic_cell == "other") == (r.tokens == 0)
         k = (r.source_cell, r.lang_cell, r.topic_cell)
         cells[k] = cells.get(k, 0) + r.tokens
-    goals = [{k: v**mixing.TEMPER for k, v in mixing_sums(cells, d).items()} for d in range(3)]
+    goals = [wanted({k: v**mixing.TEMPER for k, v in sums.items() if v}, {k: v for k, v in sums.items() if v}, mixing.BUDGET) for sums in (mixing_sums(cells, d) for d in range(3))]
     goals[1] = mixing.TARGETS["lang"]
     for r in got.values():
         u = int(hashlib.md5(f"{mixing.SEED}:{r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52

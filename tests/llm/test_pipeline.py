@@ -5,8 +5,8 @@ import duckdb
 import numpy as np
 
 import corpus_pipeline as cp
-from contrail.llm import decontaminate, mixing, shard
-from contrail.llm._spark import settle
+from contrail.llm import decontaminate, language_id, mixing, shard
+from contrail.llm._spark import crc_fold, settle
 
 
 def test_stages_of_the_table(spark, tiny):
@@ -21,9 +21,14 @@ def test_stages_of_the_table(spark, tiny):
         after = {r.doc_id: r for r in docs.collect()}
         assert set(after) <= set(before)
         if name != "sharding":
-            assert docs.columns == columns and all(after[i] == before[i] for i in after)
+            assert docs.columns == columns and all(after[i] == before[i] for i in after) or name == "language_id"
         if name == "language_id":
             assert set(before) - set(after) == {i for i, r in before.items() if not any(c.isalpha() for c in r.text or "")}
+            given = spark.createDataFrame(list(before.values()))
+            found = {r.doc_id: r for r in language_id.identify(given, given.filter(crc_fold() != 0)).collect()}
+            for i, r in after.items():
+                p, own = found[i], before[i].lang
+                assert r.asDict() == before[i].asDict() | {"lang": p.lang_pred if own is None or p.score >= language_id.LEAD else own}
         elif name == "ngram_jaccard_join":
             assert set(after) == {i for i, (_, c) in brute.near_copies([(i, r.text) for i, r in before.items()], 5, 80, 100).items() if c == i}
         elif name == "decontamination":
