@@ -5,6 +5,7 @@ Every query reads whole tables: the general tables given, or the views that cont
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from contrail.functions import aero, bins, keys
 from contrail.operators import asof, islands, series
-from contrail.plans import assembly, commands, compare, descent, inputs, laws, manifest, quality, replay, reports, trajectory
-from contrail.plans.views import Tables, flat, with_views
+from contrail.plans import assembly, commands, compare, descent, inputs, laws, manifest, processing, quality, replay, reports, trajectory
+from contrail.plans.views import CHECKED, Tables, flat, with_views
 from contrail.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -822,7 +823,7 @@ def filled_sql(v: str) -> str:
 
 @query("c3_resample", f"select {ID}, epoch_us(timestamp) as timestamp, round(epoch(timestamp) - min(epoch(timestamp)) over (partition by {ID}), 4) as time, round(altitude, 4) as altitude, round({filled_sql('CAS')}, 4) as CAS, round({filled_sql('t')}, 4) as observed_tas_kt, 0.0e0 as Mach from ({R3}) r3", 4)
 def _(t):
-    return trajectory.resample(t.sparse, most_span_s=None).select(*K, "timestamp", "time", "altitude", "CAS", "observed_tas_kt", "Mach")
+    return trajectory.resample(t.sparse).select(*K, "timestamp", "time", "altitude", "CAS", "observed_tas_kt", "Mach")
 
 
 def level_sql(track: str) -> str:
@@ -862,18 +863,19 @@ from {LEVELLED.replace('levelled', 't')} left join ({MACH_SQL}) m on {on('m')} l
 """
 
 
-C8 = f"""
+def c8_sql(digits: int = 4) -> str:
+    return f"""
 with painted as materialized ({painted_sql()}),
 whole as (select *, least({mach_tas('mach', H)}, {cas_tas('cas', H)}) as tas from painted)
-select a.route, a.flight_id, a.i, {rounded('a.mach', 'a.cas', 'a.vz', 'a.tas', 'f.filled', digits=4)},
-  round(last_value(here ignore nulls) over (partition by a.route, a.flight_id order by a.timestamp), 4) as h,
+select a.route, a.flight_id, a.i, {rounded('a.mach', 'a.cas', 'a.vz', 'a.tas', 'f.filled', digits=digits)},
+  round(last_value(here ignore nulls) over (partition by a.route, a.flight_id order by a.timestamp), {digits}) as h,
   round(case when tas > 0 and vz is not null then asin(least(greatest(vz * 0.00508 / (tas * 0.514444), -1.0), 1.0)) end, 4) as gamma,
   case when altitude <= 100 then 'GROUND' when rate >= 200 then 'CLIMB' when rate <= -200 then 'DESCENT' else 'LEVEL' end as phase
 from whole a join ({bridged_sql('select route, flight_id, i, timestamp, vz as v from painted')}) f on {same('f', 'a')} and f.i = a.i
 """
 
 
-@query("c8_extract_commands", f"select * from ({C8}) x", 4)
+@query("c8_extract_commands", f"select * from ({c8_sql()}) x", 4)
 def _(t):
     grid = levelled(t).drop("h_sel", "vz_sel", "mach_sel", "cas_sel", "phase")
     d = commands.extract_commands(grid, replace(small_extraction(), rate_tol=400.0, level_len=5))
@@ -949,11 +951,51 @@ def _(t):
     return quality.assess(spoilt(t)).select(*K, "accepted", "qc_reason", "h_sel_max_ft", "airborne_jump3000_frac")
 
 
-@query("c13_process_routes", f"select c.route, count(distinct c.flight_id) as flights, count(*) as events from cmd c join ({Q5}) q on q.route = c.route and q.flight_id = c.flight_id where q.qc_reason = 'ok' group by c.route")
+#: Raw samples of both sources: some flights have none of the second, and some are spoilt.
+RAW = f"""adsb as materialized (select {ID}, timestamp + interval '500 milliseconds' as timestamp, case when right(flight_id, 1) = '8' and i % 50 < 3 then altitude / 2 else altitude end as altitude_ft,
+    case when right(flight_id, 1) = '4' then 0.0 else vertical_rate end as vertical_rate_fpm from track where rf <> 'N'),
+  modes as materialized (select {ID}, timestamp + interval '250 milliseconds' as timestamp, CAS as IAS, Mach, selected_mcp from track where rf = 'N' and right(flight_id, 1) <> '7')"""
+
+
+def on_grid(sql: str) -> str:
+    """A twin over the track, over the grid instead."""
+    return re.sub(r"\btrack\b", "gridded", sql)
+
+
+def processed_sql() -> str:
+    hold = lambda v, n: f"last_value({v} ignore nulls) {frame(f'{n} preceding and current row')}"
+    mach = mach_tas("Mach", H)
+    near = " ".join(f"join ({nearest_sql('points', side, value, tol)}) {name} using (route, flight_id, timestamp)" for name, side, value, tol in (("v", "adsb", "vertical_rate_fpm", 2), ("c", "modes", "IAS", 5), ("m", "modes", "Mach", 5), ("s", "modes", "selected_mcp", 10)))
+    return f"""
+with {RAW},
+picked as materialized (select f.* from flights f where status = 'done' and (route, flight_id) in (select {ID} from adsb) and (route, flight_id) in (select {ID} from modes)),
+times as (select {ID}, timestamp from adsb union all select {ID}, timestamp from modes),
+points as materialized (select {ID}, unnest(generate_series(date_trunc('second', min(timestamp)), date_trunc('second', max(timestamp)) + interval '1' second, interval '1' second)) as timestamp from times join picked using (route, flight_id) group by {ID}),
+g0 as materialized (select a.route, a.flight_id, a.timestamp, a.near as altitude, v.near as rate, c.near as ias, m.near as near_mach, round_even(s.near / 25.0, 0) * 25.0 as near_mcp from ({nearest_sql('points', 'adsb', 'altitude_ft', 2)}) a {near}),
+g1 as (select *, {hold('near_mach', 60)} as Mach, {hold('near_mcp', 600)} as selected_mcp from g0),
+g2 as (select *, {hold(f"coalesce(ias, {tas_cas(mach, H)})", 60)} as CAS from g1),
+g3 as (select *, row_number() {W} as rn from g2 where altitude is not null),
+gridded as materialized (select {ID}, timestamp, rn - 1 as i, epoch(timestamp) - min(epoch(timestamp)) over (partition by {ID}) as time, altitude, coalesce({filled_sql('rate')}, 0.0) as vertical_rate, coalesce({filled_sql('Mach')}, 0.0) as Mach, {filled_sql('CAS')} as CAS, selected_mcp from g3),
+chain as materialized (select x.*, g.timestamp, g.time, g.altitude, g.vertical_rate, g.selected_mcp from ({on_grid(c8_sql(9))}) x join gridded g using (route, flight_id, i)),
+named as materialized (select *, mach as mach_sel, cas as cas_sel, vz as vz_sel, h as h_sel from chain),
+checks as ({QC.replace("from track)", "from named)")}),
+judged as (select {ID}, coalesce({REASON['q1']}, {REASON['q2']}, {REASON['q3']}, {REASON['q4']}, 'ok') as qc_reason from checks),
+found as materialized (select {ID}, coalesce(qc_reason, 'no_altitude') as qc_reason from picked left join judged using (route, flight_id)),
+happened as ({re.sub(r"\btrack\b", "named", CHECKED["cmd"])})
+select q.route, q.flight_id, q.qc_reason, e.command, coalesce(epoch_us(e.t0), 0) as start_timestamp, round(e.duration_s, 4) as duration_s, round(e.value, 3) as value from found q left join happened e on {same('e', 'q')} and q.qc_reason = 'ok'
+"""
+
+
+@query("c13_process_routes", f"select * from ({processed_sql()}) x", 3)
 def _(t):
-    ok = quality.assess(spoilt(t)).filter("accepted").select(*K)
-    e = islands.command_events(t.track.join(ok, K, "left_semi"))
-    return e.groupBy("route").agg(F.count_distinct("flight_id").alias("flights"), F.count(F.lit(1)).alias("events"))
+    last, track = F.right("flight_id", F.lit(1)), t.track
+    later = lambda ms: (F.col("timestamp") + F.make_dt_interval(secs=F.lit(ms / 1000))).alias("timestamp")
+    adsb = track.filter("rf <> 'N'").select(
+        *K, later(500), F.when((last == "8") & (F.col("i") % 50 < 3), F.col("altitude") / 2).otherwise(F.col("altitude")).alias("altitude_ft"), F.when(last == "4", 0.0).otherwise(F.col("vertical_rate")).alias("vertical_rate_fpm")
+    )
+    modes = track.filter((F.col("rf") == "N") & (last != "7")).select(*K, later(250), F.col("CAS").alias("IAS"), "Mach", "selected_mcp")
+    p = processing.process_routes(adsb, modes, t.flights, replace(small_extraction(), rate_tol=400.0, level_len=5))
+    return p.quality.select(*K, "qc_reason").join(p.events, K, "left").select(*K, "qc_reason", "command", F.coalesce(F.unix_micros("start_timestamp"), F.lit(0)).alias("start_timestamp"), F.round("duration_s", 4).alias("duration_s"), "value")
 
 
 HOLDS = f"select *, " + ", ".join(f"coalesce({n}, first_value({n} ignore nulls) {frame('current row and unbounded following')}) as {n[1:]}" for n in ("_mh", "_ch")) + f" from (select *, last_value(mach_sel ignore nulls) over (partition by {ID}, phase order by timestamp) as _mh, last_value(cas_sel ignore nulls) over (partition by {ID}, phase order by timestamp) as _ch from track) x"  # noqa: F541

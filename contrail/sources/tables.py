@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,28 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder, so that several readers neither compute it again nor depend on
+    any executor."""
+    path = f"{shared_folder(df.sparkSession)}/t-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def replace_partitions(df: DataFrame, path: str, partition: str, values: DataFrame) -> None:
+    """The partitions of a Parquet table that values lists become the rows of df, which are all of those: partitions with rows
+    are overwritten as the job commits, and those without are removed after it. Others stay."""
+    spark = df.sparkSession
+    rows = without_nested(df).hint("rebalance", partition)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(partition).parquet(path)
+    jvm = spark._jvm
+    empty = values.select(partition).distinct().join(df.select(partition).distinct(), partition, "left_anti")
+    for (value,) in empty.toLocalIterator():
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(partition, value)
+        where = jvm.org.apache.hadoop.fs.Path(path, name)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def write_payload(df: DataFrame, path: str) -> None:
     """JSON lines, replacing what is there."""
     df.write.mode("overwrite").json(path)

@@ -289,7 +289,7 @@ def test_descent_closure_and_scaling(spark):
 
 def test_resample_leaves_out_corrupt_spans_and_fills_gaps(spark):
     rows = [("R", "F", at(x), float(a)) for x, a in ((0.2, 100), (1.0, 110), (9.0, 190))] + [("R", "G", at(0), 1.0), ("R", "G", at(10 * 3600), 2.0)]
-    d = trajectory.resample(spark.createDataFrame(rows, "route string, flight_id string, timestamp timestamp, altitude_ft double"))
+    d = trajectory.resample(spark.createDataFrame(rows, "route string, flight_id string, timestamp timestamp, altitude_ft double"), most_span_s=trajectory.MOST_SPAN_S)
     got = ordered(d, "flight_id", "time", "altitude", "Mach", "CAS")
     assert {x[0] for x in got} == {"F"} and [x[2] for x in got] == [100.0, 110.0, 110.0, 110.0, 190.0, 190.0, 190.0] and {x[3] for x in got} == {0.0} and {x[4] for x in got} == {None}
 
@@ -310,7 +310,7 @@ def test_transitions_cover_all_flights_and_limits_count_accepted_ones(spark):
 def test_resample_grids_series_of_any_span(spark, tmp_path, tiny):
     rows = [("R", "G", at(x), float(a)) for x, a in ((0.5, 1), (3599, 2), (3600, 3), (10 * 3600, 5))] + [("R", "F", at(0), 1.0)]
     d = spark.createDataFrame(rows, "route string, flight_id string, timestamp timestamp, altitude_ft double")
-    got = [x[0] for x in ordered(trajectory.resample(d, most_span_s=None).filter("flight_id = 'G'"), "timestamp")]
+    got = [x[0] for x in ordered(trajectory.resample(d).filter("flight_id = 'G'"), "timestamp")]
     want = {t for _, f, s, _ in rows if f == "G" for t in (at(x) for x in range(36001)) if abs((t - s).total_seconds()) <= 2}
     assert got == sorted(want)
     assert [(r.flight_id, r.span_s, r.reason) for r in trajectory.left_out(d).collect()] == [("G", 36000.0, "excessive_timeline_duration")]
