@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contrail.functions.bins import to_step
-from contrail.operators.series import KEYS, ORDER, before, rolling, series, smooth, with_rows
+from contrail.operators.series import KEYS, ORDER, before, rolling_extremes, series, smooth, with_rows
 
 # Steps of the commands whose plateaus become events.
 EVENT_STEPS = {"mach_sel": 0.01, "cas_sel": 5.0, "vz_sel": 50.0, "h_sel": 100.0, "selected_mcp": 25.0}
@@ -49,10 +49,9 @@ def stable_segments(
     (keys, segment, start_row, end_row, start_time, end_time, var_mean, alt_mean). Rows are numbered from 1. The value
     itself must be known; above_ft asks for a greater altitude, min_abs for a greater smoothed magnitude. The first row is
     never stable."""
-    w = series(keys, order)
-    d = with_rows(smooth(df, value, "_s", width, how, keys, order), keys, order)
-    spread = rolling("_s", w, min_len, "max") - rolling("_s", w, min_len, "min")
-    good = (F.col("rn") > 1) & (spread < tol) & F.col(value).isNotNull()
+    d = rolling_extremes(smooth(df, value, "_s", width, how, keys, order), "_s", min_len, "_low", "_high", keys, order)
+    d = with_rows(d, keys, order)
+    good = (F.col("rn") > 1) & (F.col("_high") - F.col("_low") < tol) & F.col(value).isNotNull()
     if above_ft is not None:
         good = good & (F.col(altitude) > above_ft)
     if min_abs is not None:

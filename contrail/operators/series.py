@@ -80,31 +80,79 @@ def binned_mean(value: str, rn: str, keys: Sequence[str], width: int) -> Column:
     return F.avg(value).over(Window.partitionBy(*keys, F.floor((F.col(rn) - 1) / width)))
 
 
+def rolling_extremes(df: DataFrame, value: str, width: int, low: str, high: str, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
+    """df with the least and greatest non-null value of a centred frame of width rows, cut at the ends.
+
+    Rows are cut into blocks of the frame's width, with running extremes from both ends of each block. A frame then touches two
+    blocks at most: the end of one, from its first row on, and the beginning of the next, up to its last row. The work of a row
+    does not depend on the width, and the running windows, over series and block, spread a long series over many tasks.
+    """
+    ahead = width - 1 - width // 2
+    w, all_rows = series(keys, order), whole(keys)
+    d = with_rows(df, keys, order, "_rn").withColumn("_block", F.floor((F.col("_rn") - 1) / width))
+    block = Window.partitionBy(*keys, "_block")
+    ways = {"_up": before(block.orderBy("_rn")), "_down": before(block.orderBy(F.desc("_rn")))}
+    for name, way in ways.items():
+        d = d.withColumn(name, F.struct(F.min(value).over(way).alias("low"), F.max(value).over(way).alias("high")))
+    # A frame that is cut at the end ends with the last row; one that is cut at the beginning lies in the first block.
+    d = d.withColumn("_n", F.max("_rn").over(all_rows)).withColumn("_last", F.max(F.when(F.col("_rn") == F.col("_n"), F.col("_up"))).over(all_rows))
+    d = d.withColumn("_to", F.coalesce(F.lead("_up", ahead).over(w), "_last") if ahead else F.col("_up"))
+    d = d.withColumn("_from", F.lag("_down", width // 2).over(w) if width > 1 else F.col("_down"))
+    # One that begins in the last block and is cut is the end of that block alone.
+    start = F.col("_rn") - width // 2
+    alone = (start >= 1) & (F.col("_rn") + ahead > F.col("_n")) & (F.floor((start - 1) / width) == F.floor((F.col("_n") - 1) / width))
+    pick = lambda f, c: f(F.col(f"_from.{c}"), F.when(~alone, F.col(f"_to.{c}")))
+    return d.withColumn(low, pick(F.least, "low")).withColumn(high, pick(F.greatest, "high")).drop("_rn", "_block", "_up", "_down", "_n", "_last", "_to", "_from")
+
+
 def quadratic_smooth(df: DataFrame, value: str, name: str, width: int, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
     """df with `name`, the moving least-squares parabola of `width` rows (made odd, at most the series length) at each row.
 
     Nulls are interpolated first. Rows near an end are read off the parabola of the first or last full frame. Series of
-    fewer than three rows keep their values. The fit is in closed form, from the moments of the frame.
+    fewer than three rows keep their values. The fit is in closed form, from the moments of the frame. These are differences
+    and sums of running moments of blocks of the frame's width, counted from the block's first row so that no digits are lost;
+    the work of a row does not depend on the width.
     """
     width = max(3, width + (width + 1) % 2)
-    w = series(keys, order)
-    d = with_rows(df, keys, order, "_rn").withColumn("_n", F.count(F.lit(1)).over(whole(keys)))
+    half = width // 2
+    w, all_rows = series(keys, order), whole(keys)
+    d = with_rows(df, keys, order, "_rn").withColumn("_n", F.count(F.lit(1)).over(all_rows))
     d = d.withColumn("_y", interpolate(value, "_rn", w, backwards(keys, order)))
-    d = d.withColumn("_m", F.floor((F.least(F.lit(width), F.col("_n") - (F.col("_n") % 2 == 0).cast("long")) - 1) / 2))
-    d = d.withColumn("_c", F.least(F.greatest(F.col("_rn"), F.col("_m") + 1), F.col("_n") - F.col("_m")))
-    around = F.collect_list("_y").over(w.rowsBetween(-(width - 1), width - 1))
-    d = d.withColumn("_all", around).withColumn("_from", F.greatest(F.lit(1), F.col("_rn") - (width - 1)))
-    d = d.withColumn("_ys", F.slice("_all", (F.col("_c") - F.col("_m") - F.col("_from") + 1).cast("int"), (2 * F.col("_m") + 1).cast("int")))
-    m = F.col("_m").cast("double")
-    moment = lambda power: F.aggregate(F.transform("_ys", lambda y, i: y * F.pow(i - F.col("_m"), F.lit(float(power)))), F.lit(0.0), lambda a, x: a + x)
+    # Half of the frame: that of width, or of the longest odd frame in a shorter series.
+    m = F.floor((F.least(F.lit(width), F.col("_n") - (F.col("_n") % 2 == 0).cast("long")) - 1) / 2)
+    d = d.withColumn("_m", m).withColumn("_block", F.floor((F.col("_rn") - 1) / width))
+    t = (F.col("_rn") - 1 - F.col("_block") * width).cast("double")
+    block = Window.partitionBy(*keys, "_block")
+    sums = lambda x, way, p: F.sum(F.col("_y") * (x**p if p else F.lit(1.0))).over(way).alias(f"s{p}")
+    up, down = before(block.orderBy("_rn")), before(block.orderBy(F.desc("_rn")))
+    d = d.withColumn("_up", F.struct(*[sums(t, up, p) for p in range(3)])).withColumn("_down", F.struct(*[sums(t, down, p) for p in range(3)]))
+    # The first and the last full frame, about their middle rows.
+    for name_, middle, inside in (("_head", F.col("_m") + 1, F.col("_rn") <= 2 * F.col("_m") + 1), ("_tail", F.col("_n") - F.col("_m"), F.col("_rn") >= F.col("_n") - 2 * F.col("_m"))):
+        x = (F.col("_rn") - middle).cast("double")
+        d = d.withColumn(name_, F.struct(*[F.sum(F.when(inside, F.col("_y") * (x**p if p else F.lit(1.0)))).over(all_rows).alias(f"s{p}") for p in range(3)]))
+    d = d.withColumn("_to", F.lead("_up", half).over(w)).withColumn("_from", F.lag("_down", half).over(w))
+    first = F.floor((F.col("_rn") - 1 - half) / width) * width + 1  # the first row of the block in which the frame begins
+    one = (F.col("_rn") - half) == first  # the frame is that block
+
+    def about(s: str, start: Column, p: int) -> Column:
+        """Moments counted from row start, about this row."""
+        x = (F.col("_rn") - start).cast("double")
+        s0, s1, s2 = (F.col(f"{s}.s{k}") for k in range(3))
+        return (s0, s1 - x * s0, s2 - 2 * x * s1 + x * x * s0)[p]
+
+    inner = [F.when(one, about("_to", first, p)).otherwise(about("_from", first, p) + about("_to", first + width, p)) for p in range(3)]
+    head, tail = F.col("_rn") <= F.col("_m") + 1, F.col("_rn") >= F.col("_n") - F.col("_m")
     for p in range(3):
-        d = d.withColumn(f"_s{p}", moment(p) if p else F.aggregate("_ys", F.lit(0.0), lambda a, x: a + x))
+        d = d.withColumn(f"_s{p}", F.when(head, F.col(f"_head.s{p}")).when(tail, F.col(f"_tail.s{p}")).otherwise(inner[p]))
+    at = F.when(head, F.col("_rn") - F.col("_m") - 1).when(tail, F.col("_rn") - F.col("_n") + F.col("_m")).otherwise(0).cast("double")
+    m = F.col("_m").cast("double")
     n, x2 = 2 * m + 1, m * (m + 1) * (2 * m + 1) / 3
     x4 = x2 * (3 * m * m + 3 * m - 1) / 5
-    det, t = n * x4 - x2 * x2, (F.col("_rn") - F.col("_c")).cast("double")
-    fit = (x4 * F.col("_s0") - x2 * F.col("_s2")) / det + F.col("_s1") / x2 * t + (n * F.col("_s2") - x2 * F.col("_s0")) / det * t * t
+    det = n * x4 - x2 * x2
+    safe = lambda x: F.when(x != 0, x)
+    fit = (x4 * F.col("_s0") - x2 * F.col("_s2")) / safe(det) + F.col("_s1") / safe(x2) * at + (n * F.col("_s2") - x2 * F.col("_s0")) / safe(det) * at * at
     out = F.when((F.col("_n") < 3) | F.col("_y").isNull(), F.col("_y")).otherwise(fit)
-    return d.withColumn(name, out).drop("_rn", "_n", "_y", "_m", "_c", "_all", "_from", "_ys", "_s0", "_s1", "_s2")
+    return d.withColumn(name, out).drop("_rn", "_n", "_y", "_m", "_block", "_up", "_down", "_head", "_tail", "_to", "_from", "_s0", "_s1", "_s2")
 
 
 def smooth(df: DataFrame, value: str, name: str, width: int | None, how: str = "binned", keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:

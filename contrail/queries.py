@@ -429,8 +429,8 @@ def _(t):
 
 @query("w5_rolling_spread", f"select {ID}, i, round(max(CAS) {frame('60 preceding and 59 following')} - min(CAS) {frame('60 preceding and 59 following')}, 6) as spread from track")
 def _(t):
-    w = series.series()
-    return t.track.select(*K, "i", (series.rolling("CAS", w, 120, "max") - series.rolling("CAS", w, 120, "min")).alias("spread"))
+    d = series.rolling_extremes(t.track.select(*K, "timestamp", "i", "CAS"), "CAS", 120, "low", "high")
+    return d.select(*K, "i", (F.col("high") - F.col("low")).alias("spread"))
 
 
 @query("w6_rolling_mean", f"select {ID}, i, round(avg(vertical_rate) {frame('25 preceding and 25 following')}, 6) as m from track")

@@ -86,7 +86,28 @@ def test_rolling_like_pandas(spark, width):
         assert np.allclose(pd.Series([x[0] for x in ordered(out, h)], dtype=float), want, equal_nan=True), h
 
 
-@pytest.mark.parametrize("n,width", [(40, 11), (40, 10), (9, 51), (8, 51), (3, 5), (2, 5)])
+@pytest.mark.parametrize("n,width", [(300, 1), (300, 2), (300, 7), (300, 120), (299, 60), (300, 300), (300, 299), (5, 60), (61, 60), (1, 4)])
+def test_extremes_by_blocks_are_those_of_frames(spark, n, width):
+    r = random.Random(n + width)
+    v = [r.choice([None, r.random(), r.random()]) for _ in range(n)]
+    got = ordered(series.rolling_extremes(flight(spark, {"v": v}, "v double"), "v", width, "low", "high"), "low", "high")
+    for i, (low, high) in enumerate(got):
+        inside = [x for x in v[max(0, i - width // 2) : i + width - width // 2] if x is not None]
+        assert (low, high) == (min(inside, default=None), max(inside, default=None)), i
+
+
+def test_parabola_keeps_digits_far_into_a_series_and_holds_no_arrays(spark):
+    n = 30_000
+    y = (1e4 + np.cumsum(np.random.default_rng(1).normal(size=n))).tolist()
+    d = series.quadratic_smooth(flight(spark, {"v": y}, "v double"), "v", "s", 51)
+    assert "collect_list" not in d._jdf.queryExecution().executedPlan().toString()
+    got = [x[0] for x in ordered(d, "s")]
+    for i in (30, 76, 15_000, 29_900):
+        k = np.arange(i - 25, i + 26)
+        assert math.isclose(got[i], np.polyval(np.polyfit(k - i, np.array(y)[k], 2), 0), rel_tol=1e-11)
+
+
+@pytest.mark.parametrize("n,width", [(40, 11), (40, 10), (11, 11), (12, 11), (22, 11), (13, 11), (200, 51), (9, 51), (8, 51), (3, 5), (2, 5)])
 def test_parabola_is_least_squares(spark, n, width):
     r = np.random.default_rng(4)
     y = r.normal(size=n)
