@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from contrail.operators.scan import SLICE_S, scanned, slice_of
 from contrail.operators.series import KEYS
 
 
@@ -23,6 +24,14 @@ def _union(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, righ
     return lhs.unionByName(rhs, allowMissingColumns=True)
 
 
+def _in_slices(both: DataFrame, reach_us: int, slice_s: float, part: str | None, halo_us: int) -> DataFrame:
+    """both with _part, the slice of a row's time. Right rows stand in every slice that has left rows within reach_us of them;
+    left rows have a slice already if part is a column of theirs, and may then be up to halo_us before it."""
+    own = slice_of(F.col("_t"), slice_s) if part is None else F.col(f"_left.{part}")
+    first, last = slice_of(F.col("_t") - reach_us, slice_s), slice_of(F.col("_t") + reach_us + halo_us, slice_s)
+    return both.withColumn("_part", F.explode(F.when(F.col("_left").isNotNull(), F.array(own)).otherwise(F.sequence(first, last))))
+
+
 def _orders(keys: Sequence[str]) -> tuple[WindowSpec, WindowSpec]:
     """The rows up to the current one in order, and those from it on, as the rows before it in reverse order. (A frame that
     runs from the current row to the end would be gone through anew for every row.)"""
@@ -38,32 +47,51 @@ def _back(both: DataFrame, keys: Sequence[str], left: DataFrame, found: Mapping[
 
 def asof_nearest(
     left: DataFrame, right: DataFrame, values: Mapping[str, tuple[Column, float | None]], keys: Sequence[str] = KEYS, ts: str = "timestamp", right_ts: str = "timestamp", right_order: Sequence[str] = (),
+    slice_s: float | None = SLICE_S, part: str | None = None, halo_s: float = 0.0,
 ) -> DataFrame:
     """left with columns taken from the nearest right row of the same keys. values maps a name to (right expression,
     tolerance in seconds, inclusive, or None). Each looks for the nearest row at which it is not null, so different columns
     may come from different rows; pass a struct to take a row as it is. A tie goes to the earlier row; of rows of one time
     the last serves those after it and the first those before it.
 
-    Both sides are sorted together, once in each direction, and each column is the last right value in either order.
+    Both sides are sorted together, once in each direction, and each column is the last right value in either order. That is
+    done in slices of slice_s seconds, so a long series is many tasks (None: series by series). Right rows near the end of a
+    slice stand in its neighbour as well; without a tolerance, what lies further off is carried over the slices. part names a
+    column of left with the slices of its rows, which may begin halo_s before their slice.
     """
     both = _union(left, right, keys, ts, right_ts, {k: v for k, (v, _) in values.items()}, right_order, True)
-    w, r = _orders(keys)
+    tolerances = [tol for _, tol in values.values()]
+    if slice_s is not None and None in tolerances:
+        ways = {f"_{way}_{k}": (way, F.col(f"_r_{k}")) for k in values for way in ("last", "next")}
+        both = scanned(both, ways, slice_of(F.col("_t"), slice_s), keys, ("_t", "_side", "_tie"))
+        around = {k: (F.col(f"_last_{k}.v"), F.col(f"_next_{k}.v")) for k in values}
+    else:
+        if slice_s is not None:
+            both = _in_slices(both, int(max(tolerances) * 1_000_000), slice_s, part, int(halo_s * 1_000_000))
+        w, r = _orders([*keys, "_part"] if slice_s is not None else keys)
+        around = {k: (F.last(f"_r_{k}", ignorenulls=True).over(w), F.last(f"_r_{k}", ignorenulls=True).over(r)) for k in values}
     found = {}
     for k, (_, tol) in values.items():
-        b, f = F.last(f"_r_{k}", ignorenulls=True).over(w), F.last(f"_r_{k}", ignorenulls=True).over(r)
+        b, f = around[k]
         behind, ahead = F.col("_t") - b["t"], f["t"] - F.col("_t")
         near = F.when(ahead.isNull() | (behind <= ahead), F.struct(behind.alias("d"), b["v"].alias("v"))).otherwise(F.struct(ahead.alias("d"), f["v"].alias("v")))
         found[k] = near["v"] if tol is None else F.when(near["d"] <= int(tol * 1_000_000), near["v"])
     return _back(both, keys, left, found)
 
 
-def asof_forward(left: DataFrame, right: DataFrame, values: Mapping[str, Column], keys: Sequence[str] = KEYS, ts: str = "timestamp", right_ts: str = "timestamp", right_order: Sequence[str] = ()) -> DataFrame:
-    """left with columns of the first right row at or after its time, or of the last row if there is none."""
+def asof_forward(
+    left: DataFrame, right: DataFrame, values: Mapping[str, Column], keys: Sequence[str] = KEYS, ts: str = "timestamp", right_ts: str = "timestamp", right_order: Sequence[str] = (), slice_s: float | None = SLICE_S,
+) -> DataFrame:
+    """left with columns of the first right row at or after its time, or of the last row if there is none. Long series are
+    gone through in slices of slice_s seconds, with what lies in other slices carried over (None: series by series)."""
     row = F.struct(*[v.alias(k) for k, v in values.items()])
     both = _union(left, right, keys, ts, right_ts, {"row": row}, right_order, False)
-    w, r = _orders(keys)
-    f, b = F.last("_r_row", ignorenulls=True).over(r), F.last("_r_row", ignorenulls=True).over(w)
-    near = F.coalesce(f, b)
+    if slice_s is not None:
+        both = scanned(both, {"_next": ("next", F.col("_r_row")), "_last": ("last", F.col("_r_row"))}, slice_of(F.col("_t"), slice_s), keys, ("_t", "_side", "_tie"))
+        near = F.coalesce("_next.v", "_last.v")
+    else:
+        w, r = _orders(keys)
+        near = F.coalesce(F.last("_r_row", ignorenulls=True).over(r), F.last("_r_row", ignorenulls=True).over(w))
     return _back(both, keys, left, {k: near["v"][k] for k in values})
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrail.functions import aero, bins, keys
-from contrail.operators import asof, islands, series
+from contrail.operators import asof, islands, scan, series
 from contrail.plans import assembly, commands, compare, descent, inputs, laws, manifest, processing, quality, replay, reports, trajectory
 from contrail.plans.views import CHECKED, Tables, flat, with_views
 from contrail.sources import tables
@@ -405,21 +405,28 @@ def frame(rows: str) -> str:
     return f"over (partition by route, flight_id order by timestamp rows between {rows})"
 
 
+def sliced(d: DataFrame, **running) -> DataFrame:
+    """A scan in slices of some minutes, as the series of the given tables are short."""
+    return scan.scanned(d, running, scan.slice_of(F.unix_micros("timestamp"), 200.0))
+
+
 @query("w1_forward_fill", f"select {ID}, i, round(last_value(static_temperature ignore nulls) {frame('6 preceding and current row')}, 6) as t6, round(last_value(static_temperature ignore nulls) {frame('unbounded preceding and current row')}, 6) as t from track")
 def _(t):
-    w = series.series()
-    return t.track.select(*K, "i", series.forward_fill("static_temperature", w, 6).alias("t6"), series.forward_fill("static_temperature", w).alias("t"))
+    d = sliced(t.track.select(*K, "timestamp", "i", "static_temperature"), row=("row", None), last=("last", F.col("static_temperature")))
+    return d.select(*K, "i", scan.within(F.col("last"), F.col("row"), 6).alias("t6"), F.col("last.v").alias("t"))
 
 
 @query("w2_fill_both", f"select {ID}, i, round(coalesce(last_value(x ignore nulls) {frame('unbounded preceding and current row')}, first_value(x ignore nulls) {frame('current row and unbounded following')}), 6) as x from (select *, case when i > 20 and ln = 3 then altitude end as x from track) y")
 def _(t):
     d = t.track.withColumn("x", F.when((F.col("i") > 20) & (F.col("ln") == 3), F.col("altitude")))
-    return d.select(*K, "i", series.fill_both("x", series.series(), series.backwards()).alias("x"))
+    d = sliced(d.select(*K, "timestamp", "i", "x"), last=("last", F.col("x")), following=("next", F.col("x")))
+    return d.select(*K, "i", F.coalesce("last.v", "following.v").alias("x"))
 
 
 @query("w3_interpolate", f"select {ID}, i, round(coalesce(altitude, bv + (fv - bv) * (i - bi) / (fi - bi), bv, fv), 6) as altitude from (select *, last_value(altitude ignore nulls) {frame('unbounded preceding and current row')} as bv, first_value(altitude ignore nulls) {frame('current row and unbounded following')} as fv, last_value(case when altitude is not null then i end ignore nulls) {frame('unbounded preceding and current row')} as bi, first_value(case when altitude is not null then i end ignore nulls) {frame('current row and unbounded following')} as fi from track) x")
 def _(t):
-    return series.with_rows(t.track).select(*K, "i", series.interpolate("altitude", "rn", series.series(), series.backwards()).alias("altitude"))
+    d = sliced(t.track.select(*K, "timestamp", "i", "altitude"), row=("row", None), last=("last", F.col("altitude")), following=("next", F.col("altitude")))
+    return d.select(*K, "i", scan.between(F.col("altitude"), F.col("row"), F.col("last"), F.col("following")).alias("altitude"))
 
 
 @query("w4_rolling_median", f"select {ID}, i, round(quantile_cont(vertical_rate, 0.5) {frame('7 preceding and 7 following')}, 6) as m from track")
@@ -469,8 +476,7 @@ def _(t):
 
 @query("w10_running_extremes", f"select {ID}, i, round(max(altitude) {frame('unbounded preceding and current row')}, 6) as hi, round(min(CAS) {frame('unbounded preceding and current row')}, 6) as lo from track")
 def _(t):
-    w = series.before(series.series())
-    return t.track.select(*K, "i", F.max("altitude").over(w).alias("hi"), F.min("CAS").over(w).alias("lo"))
+    return sliced(t.track.select(*K, "timestamp", "i", "altitude", "CAS"), hi=("max", F.col("altitude")), lo=("min", F.col("CAS"))).select(*K, "i", "hi", "lo")
 
 
 @query("w11_integration", f"select {ID}, i, round(100.0 + sum(coalesce(vz_sel, 0)) {frame('unbounded preceding and current row')} / 60.0, 4) as h_est from track", 4)
