@@ -28,6 +28,11 @@ def _s(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
 
 
+def placed(df: DataFrame, edges: list[float] | None) -> DataFrame:
+    """df with gc_bin by the edges; without them it has its bins already."""
+    return df if edges is None else df.withColumn("gc_bin", distance_bin("gc_nm", edges))
+
+
 def phase_windows(df: DataFrame, least_s: float = LEAST_PHASE_S, keys=KEYS) -> DataFrame:
     """(keys, phase, t0, t1, span_s) of each phase with two rows or more and over least_s seconds."""
     g = df.groupBy(*keys, F.upper("phase").alias("phase")).agg(F.min("timestamp").alias("t0"), F.max("timestamp").alias("t1"), F.count(F.lit(1)).alias("_n"))
@@ -98,7 +103,7 @@ def transition_library(events: DataFrame, df: DataFrame, flights: DataFrame, pha
     )
 
 
-def mach_anchors(events: DataFrame, track: DataFrame, ends: DataFrame, tod: DataFrame, lengths: DataFrame, edges: list[float], keys=KEYS) -> DataFrame:
+def mach_anchors(events: DataFrame, track: DataFrame, ends: DataFrame, tod: DataFrame, lengths: DataFrame, edges: list[float] | None, keys=KEYS) -> DataFrame:
     """One row per flight with Mach events: how many, the last, phi at the first (phi_up) and at the first CAS event after
     the last (phi_dn), what was selected before the first, and phi of the top of descent, with bins."""
     m = events.filter("command = 'mach_sel'").groupBy(*keys).agg(F.min("start_timestamp").alias("_up"), F.max("start_timestamp").alias("_lm"), F.count(F.lit(1)).alias("n_mach"), F.max_by("value", "start_timestamp").alias("mach_last"))
@@ -111,36 +116,37 @@ def mach_anchors(events: DataFrame, track: DataFrame, ends: DataFrame, tod: Data
     )
     up = to_destination(m.select(*keys, F.col("_up").alias("timestamp")), track, ends, name="phi_up").drop("timestamp")
     dn = to_destination(s.filter("_dn is not null").select(*keys, F.col("_dn").alias("timestamp")), track, ends, name="phi_dn").drop("timestamp")
-    d = m.join(s, list(keys)).join(up, list(keys), "left").join(dn, list(keys), "left").join(tod.select(*keys, F.col("phi_d").alias("phi_tod")), list(keys), "left").join(lengths.select("route", "gc_nm"), "route", "left")
+    d = m.join(s, list(keys)).join(up, list(keys), "left").join(dn, list(keys), "left").join(tod.select(*keys, F.col("phi_d").alias("phi_tod")), list(keys), "left").join(placed(lengths, edges).select("route", "gc_nm", "gc_bin"), "route", "left")
     return d.select(
-        *keys, "gc_nm", distance_bin("gc_nm", edges).alias("gc_bin"), "n_mach", "mach_last", "phi_up", "phi_dn", "phi_tod", "h_pre_max", "cas_pre_last", to_step("h_pre_max", HEIGHT_STEP_FT).alias("h_pre_bin"),
+        *keys, "gc_nm", "gc_bin", "n_mach", "mach_last", "phi_up", "phi_dn", "phi_tod", "h_pre_max", "cas_pre_last", to_step("h_pre_max", HEIGHT_STEP_FT).alias("h_pre_bin"),
         to_step("cas_pre_last", CAS_STEP_KT).alias("cas_pre_bin"), to_step("phi_tod", PHI_STEP).alias("phi_tod_bin"), to_step("mach_last", MACH_STEP).alias("mach_bin"),
     )
 
 
-def level_mach(events: DataFrame, lengths: DataFrame, edges: list[float]) -> DataFrame:
+def level_mach(events: DataFrame, lengths: DataFrame, edges: list[float] | None) -> DataFrame:
     """(gc_bin, mach_bin, duration_s) of Mach events in level flight."""
-    d = events.filter((F.col("command") == "mach_sel") & (F.upper("phase") == "LEVEL")).join(lengths.select("route", "gc_nm"), "route")
-    return d.select(*KEYS, distance_bin("gc_nm", edges).alias("gc_bin"), to_step("value", MACH_STEP).alias("mach_bin"), "duration_s")
+    d = events.filter((F.col("command") == "mach_sel") & (F.upper("phase") == "LEVEL")).join(placed(lengths, edges).select("route", "gc_bin"), "route")
+    return d.select(*KEYS, "gc_bin", to_step("value", MACH_STEP).alias("mach_bin"), "duration_s")
 
 
-def descent_phi(tod: DataFrame, lengths: DataFrame, edges: list[float]) -> DataFrame:
+def descent_phi(tod: DataFrame, lengths: DataFrame, edges: list[float] | None) -> DataFrame:
     """(gc_bin, phi_d) of tops of descent; the share flown stands in where phi_d is unknown."""
-    d = tod.withColumn("phi", F.coalesce("phi_d", "flight_progress")).filter("phi is not null").join(lengths.select("route", "gc_nm"), "route")
-    return d.select(*KEYS, distance_bin("gc_nm", edges).alias("gc_bin"), F.col("phi").alias("phi_d"))
+    known = [F.col(c) for c in ("phi_d", "flight_progress") if c in tod.columns]
+    d = tod.withColumn("phi", F.coalesce(*known)).filter("phi is not null").join(placed(lengths, edges).select("route", "gc_bin"), "route")
+    return d.select(*KEYS, "gc_bin", F.col("phi").alias("phi_d"))
 
 
-def starts_and_counts(events: DataFrame, meta: DataFrame, edges: list[float], command: str, step: float, keys=KEYS) -> DataFrame:
+def starts_and_counts(events: DataFrame, meta: DataFrame, edges: list[float] | None, command: str, step: float, keys=KEYS) -> DataFrame:
     """(gc_bin, family, phase, keys, start_bin, segments): first bin and number of events of a command, by flight and phase.
     Flights of all routes of a bin are pooled."""
-    d = binned(events.filter(F.upper("phase").isin("CLIMB", "DESCENT")), command, "_bin", step).join(meta.select(*keys, "gc_nm", "family"), list(keys))
-    return d.groupBy(distance_bin("gc_nm", edges).alias("gc_bin"), "family", F.upper("phase").alias("phase"), *keys).agg(F.min_by("_bin", "start_timestamp").alias("start_bin"), F.count(F.lit(1)).alias("segments"))
+    d = binned(events.filter(F.upper("phase").isin("CLIMB", "DESCENT")), command, "_bin", step).join(placed(meta, edges).select(*keys, "gc_bin", "family"), list(keys))
+    return d.groupBy("gc_bin", "family", F.upper("phase").alias("phase"), *keys).agg(F.min_by("_bin", "start_timestamp").alias("start_bin"), F.count(F.lit(1)).alias("segments"))
 
 
 def distance_edge_table(lengths: DataFrame) -> DataFrame:
-    """One row, with `edges`: the least length less one, the tertiles of the lengths, the greatest plus one; nulls if there are none."""
+    """One row, with `edges`: the least length less one but not below 0, the tertiles of the lengths, the greatest plus one; nulls if there are none."""
     q = F.col("q")
-    return quantiles(lengths, "gc_nm", [], (0.0, 1 / 3, 2 / 3, 1.0)).select(F.array(q[0] - 1.0, q[1], q[2], q[3] + 1.0).alias("edges"))
+    return quantiles(lengths, "gc_nm", [], (0.0, 1 / 3, 2 / 3, 1.0)).select(F.array(F.greatest(q[0] - 1.0, F.lit(0.0)), q[1], q[2], q[3] + 1.0).alias("edges"))
 
 
 def distance_edges(lengths: DataFrame) -> list[float]:
@@ -159,10 +165,11 @@ def condition(routes: DataFrame, typecodes: Sequence[str] | None = None, gc_nm:
     return d
 
 
-def phase_laws(events: DataFrame, df: DataFrame, meta: DataFrame, edges: list[float]) -> Mapping[str, DataFrame]:
-    """All tables keyed by (gc_bin, family, phase): vz_phi, h_phi, cas_phi, vz_h_joint, vz_starts, cas_starts."""
-    windows = phase_windows(df)
-    place = meta.select(*KEYS, distance_bin("gc_nm", edges).alias("gc_bin"), "family")
+def phase_laws(events: DataFrame, df: DataFrame, meta: DataFrame, edges: list[float] | None, windows: DataFrame | None = None) -> Mapping[str, DataFrame]:
+    """All tables keyed by (gc_bin, family, phase): vz_phi, h_phi, cas_phi, vz_h_joint, vz_starts, cas_starts. windows are those
+    of df's phases, made here if not given."""
+    windows = phase_windows(df) if windows is None else windows
+    place = placed(meta, edges).select(*KEYS, "gc_bin", "family")
     e = events.filter(F.upper("phase").isin("CLIMB", "DESCENT"))
     keyed = lambda d: d.join(place, list(KEYS))
     return {

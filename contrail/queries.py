@@ -9,13 +9,14 @@ import re
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrail.functions import aero, bins, keys
 from contrail.operators import asof, islands, scan, series
-from contrail.plans import assembly, commands, compare, descent, inputs, laws, manifest, processing, quality, replay, reports, trajectory
+from contrail.plans import assembly, commands, compare, descent, draws, fit, inputs, laws, manifest, processing, quality, replay, reports, trajectory
 from contrail.plans.views import CHECKED, Tables, flat, with_views
 from contrail.sources import tables
 
@@ -1183,11 +1184,36 @@ def _(t):
     return d.groupBy("family", "phase").agg(F.count(F.lit(1)).alias("rows"), F.avg("dphi").alias("dphi"))
 
 
-@query("l10_distance_edges", "select unnest([0, 1, 2, 3]) as k, round(unnest([min(gc_nm) - 1, quantile_cont(gc_nm, 1.0 / 3), quantile_cont(gc_nm, 2.0 / 3), max(gc_nm) + 1]), 4) as edge from lengths", 4)
+@query("l10_distance_edges", "select unnest([0, 1, 2, 3]) as k, round(unnest([greatest(min(gc_nm) - 1, 0), quantile_cont(gc_nm, 1.0 / 3), quantile_cont(gc_nm, 2.0 / 3), max(gc_nm) + 1]), 4) as edge from lengths", 4)
 def _(t):
     return laws.distance_edge_table(lengths_of(t)).select(F.posexplode("edges").alias("k", "edge"))
 
 
+def fit_sql() -> str:
+    """The six tables of flights of two type codes, counted and averaged by distance bin, family and phase."""
+    command = lambda c: f"e.command = '{c}'"
+    by = "gc_bin, family, phase"
+    phases = "phase in ('CLIMB', 'DESCENT')"
+    law = lambda name, rows, where="true": f"select '{name}' as name, {by}, count(*) as rows, round(avg(x.bin), 4) as value, round(avg(dphi), 6) as dphi from ({rows}) x join place p on p.route = x.route and p.flight_id = x.flight_id where {phases} and {where} group by {by}"
+    starts = lambda name, c, b: f"select '{name}' as name, {by}, count(*) as rows, round(avg(start_bin), 4) as value, round(avg(segments), 6) as dphi from (select {by}, e.route, e.flight_id, arg_min({b}, e.t0) as start_bin, count(*) as segments from ev e join place p on p.route = e.route and p.flight_id = e.flight_id where {command(c)} and {phases} group by {by}, e.route, e.flight_id) x group by {by}"
+    joint = f"select route, regexp_extract(flight_id, '^F[0-9]+') as flight_id, regexp_replace(flight_id, '^F[0-9]+', '') as phase, bin, dphi from ({nearest_sql(L2_LEFT, L2_RIGHT, 'hb', 60, lts='t0', rts='t0')}) y where near is not null and dphi > 0"
+    return f"""
+with edges as (select quantile_cont(gc_nm, 1.0 / 3) as a, quantile_cont(gc_nm, 2.0 / 3) as b from lengths),
+place as (select route, flight_id, family, case when gc_nm < a then 0 when gc_nm < b then 1 else 2 end as gc_bin from meta, edges where upper(trim(typecode)) in ('A320', 'A20N', 'B738'))
+{law('vz_phi', phi_sql(command('vz_sel'), VZ))} union all {law('h_phi', phi_sql(command('h_sel'), HS), 'dphi > 0')} union all {law('cas_phi', phi_sql(command('cas_sel'), CA))}
+union all {law('vz_h_joint', joint)} union all {starts('vz_starts', 'vz_sel', VZ)} union all {starts('cas_starts', 'cas_sel', CA)}
+"""
+
+
+@query("l9_l10_fitted_tables", f"select * from ({fit_sql()}) z")
+def _(t):
+    made = fitted(t, ["A320", "A20N", "B738"]).tables
+    value = {"vz_phi": "vz_bin", "h_phi": "h_bin", "cas_phi": "cas_bin", "vz_h_joint": "vz_bin", "vz_starts": "start_bin", "cas_starts": "start_bin"}
+    by = ["gc_bin", "family", F.upper("phase").alias("phase")]
+    all_of = [d.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(value[n]), 4).alias("value"), F.avg("segments" if n.endswith("starts") else "dphi").alias("dphi")).withColumn("name", F.lit(n)) for n, d in made.items()]
+    return reduce(DataFrame.unionByName, all_of)
+
+
 @query("l11_flight_metadata", f"select {ID}, typecode, family, round(gc_nm, 4) as gc_nm from meta", 4)
 def _(t):
     return meta_of(t).select(*K, "typecode", "family", "gc_nm")
@@ -1238,6 +1264,19 @@ def _(t):
     return laws.draw(o, t.irregular, "value", ["event_type"], ["event_id"], 3, "drawn", F.lit(0.18)).select("o_orderkey", "drawn")
 
 
+def fitted(t: Tables, typecodes: list[str] | None = None) -> fit.Laws:
+    meta = meta_of(t)
+    return fit.fit_laws(islands.command_events(t.track), t.track, meta, lengths_of(t), ends_of(t), tod_of(t), laws.condition(meta, typecodes) if typecodes else None)
+
+
+@query("l15_context_draws")
+def _(t):
+    found = fitted(t)
+    n = F.regexp_extract("flight_id", "[0-9]+", 0).cast("long")
+    requests = fit.with_distance_bin(meta_of(t), found.edges).select(*K, "gc_bin", "family", (24000.0 + 500.0 * (n % 20)).alias("h_pre_max"), (250.0 + 5.0 * (n % 12)).alias("cas_pre_last"), n.alias("seed"), (n % 7).alias("draw_id"))
+    return draws.draw_contexts(requests, found.anchors, found.descents, found.level_mach, found.tables["cas_starts"], found.transitions)
+
+
 @query("l16_family_fallback", "select m.route, m.flight_id, case when h.family is not null then m.family else coalesce(o.other, o.first) end as family_used from meta m left join (select distinct route, family from meta where right(flight_id, 1) in ('1', '2', '3')) h on h.route = m.route and h.family = m.family left join (select route, max(case when family = 'Other' then family end) as other, min(family) as first from meta where right(flight_id, 1) in ('1', '2', '3') group by route) o on o.route = m.route")
 def _(t):
     m = meta_of(t)
