@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pickle
 import uuid
 from collections.abc import Callable
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +42,16 @@ def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
 
 
 def shared(spark: SparkSession, thing) -> Callable:
-    """A function that gives a bounded thing, such as a model, inside tasks. It is broadcast with the code of its class, so
-    executors need no installed copy of this package."""
-    blob = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
-    return lambda: pickle.loads(blob.value)
+    """A function that gives a bounded thing, such as a model, inside tasks. Its attributes are broadcast, once a worker, and its
+    class travels with the function, so executors need no installed copy of this package."""
+    kind, attributes = type(thing), spark.sparkContext.broadcast(vars(thing))
+
+    def given():
+        made = kind.__new__(kind)
+        made.__dict__.update(attributes.value)
+        return made
+
+    return given
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
