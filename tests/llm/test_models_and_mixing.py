@@ -241,12 +241,16 @@ def test_bounded_raking_takes_more_of_cells_with_room():
     assert share > 0 and gap > 0.1 and all(0 < x <= 1 for x in p.values())
 
 
-def test_query_of_mixing_is_recomputed(spark, tiny):
-    """Cells, weights, probabilities and draws of the whole query, from plain Python sums."""
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_of_mixing_is_recomputed(spark, sf):
+    """Cells, weights, probabilities and draws of the whole query, from plain Python sums. With 200 documents the budget leaves a
+    gap to the targets, which has to be the one reported."""
     import hashlib
 
-    docs = {r.doc_id: r for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
-    got = {r.doc_id: r for r in mixing.query(spark, tiny).collect()}
+    docs = {r.doc_id: r for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()}
+    out = mixing.query(spark, f"/root/testdata/{sf}")
+    noted = out.schema["probability"].metadata
+    got = {r.doc_id: r for r in out.collect()}
     assert set(got) == set(docs)
     cells = {}
     for i, r in got.items():
@@ -264,10 +268,18 @@ def test_query_of_mixing_is_recomputed(spark, tiny):
     taken = {k: 0.0 for k in cells}
     for r in got.values():
         taken[r.source_cell, r.lang_cell, r.topic_cell] += r.tokens * r.probability
+    gaps = []
     for d, goal in enumerate(goals):
         have, live = mixing_sums(taken, d), {k: v for k, v in goal.items() if mixing_sums(cells, d).get(k)}
-        for k, v in live.items():
-            assert have[k] / sum(taken.values()) == pytest.approx(v / sum(live.values()), abs=1e-4)
+        gaps += [abs(have[k] / sum(taken.values()) - v / sum(live.values())) for k, v in live.items()]
+    assert max(gaps) == pytest.approx(noted["gap"], abs=1e-4) and sum(taken.values()) / sum(cells.values()) == pytest.approx(noted["share"], abs=1e-4)
+    assert noted["share"] == pytest.approx(mixing.BUDGET, abs=1e-4) and noted["gap"] < (0.12 if sf == "sf0.001" else 1e-5)
+    weighed = {}
+    for k, r in ((k, r) for r in got.values() for k in [(r.source_cell, r.lang_cell, r.topic_cell)]):
+        weighed[k] = weighed.get(k, 0.0) + r.tokens * r.weight
+    assert sum(weighed.values()) == pytest.approx(1.0, abs=1e-6)
+    for k, v in goals[1].items():
+        assert mixing_sums(weighed, 1).get(k, 0.0) == pytest.approx(v / sum(x for y, x in goals[1].items() if mixing_sums(cells, 1).get(y)) if mixing_sums(cells, 1).get(k) else 0.0, abs=0.02)
 
 
 def mixing_sums(cells, d):
