@@ -95,17 +95,40 @@ def asof_forward(
     return _back(both, keys, left, {k: near["v"][k] for k in values})
 
 
-def in_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: str, start: str, end: str, how: str = "inner", bucket_s: int = 3600) -> DataFrame:
-    """points with the columns of each interval of the same keys with start <= ts < end. Intervals stand once in each bucket of
-    bucket_s seconds that they touch, so a point is compared with those of its own bucket only, not with all of its keys."""
-    bucket = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / bucket_s)
-    i = intervals.filter(F.col(start) < F.col(end)).withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end)))).alias("i")
-    p = points.withColumn("_bucket", bucket(ts)).alias("p")
+#: Seconds of the smallest bucket of intervals.
+BUCKET_S = 28800
+
+
+def in_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: str, start: str, end: str, how: str = "inner", bucket_s: int = BUCKET_S) -> DataFrame:
+    """points with the columns of each interval of the same keys with start <= ts < end.
+
+    Time is cut into buckets of bucket_s seconds, of twice that, and so on. An interval goes by buckets of the first size that it
+    does not exceed, of which it touches two at most, however long it is; a point stands in one bucket of each size that some
+    interval has, which is one size unless there are intervals longer than bucket_s. So a point is compared with the intervals of
+    its own buckets only. The sizes, a few numbers, are all the driver sees. how is inner, or left, which keeps points in no
+    interval once."""
+    length = (_us(end) - _us(start)) / F.lit(1e6)
+    # The exponent of the first power of two that the length in buckets does not exceed.
+    size = F.when(length <= bucket_s, 0).otherwise(F.ceil(F.log2(length / bucket_s)))
+    held = intervals.filter(F.col(start) < F.col(end)).withColumn("_size", size.cast("int"))
+    sizes = sorted(r[0] for r in held.select("_size").distinct().collect()) or [0]
+    bucket = lambda c, k: F.floor(_us(c) / (F.pow(F.lit(2.0), k) * F.lit(1e6 * bucket_s))).cast("long")
+    i = held.withColumn("_bucket", F.explode(F.sequence(bucket(start, F.col("_size")), bucket(end, F.col("_size"))))).alias("i")
+    p = points.withColumn("_place", F.explode(F.array(*[F.struct(F.lit(k).alias("size"), bucket(ts, F.lit(float(k))).alias("bucket")) for k in sizes])))
+    p = p.withColumns({"_size": F.col("_place.size"), "_bucket": F.col("_place.bucket")}).drop("_place").alias("p")
     inside = (F.col(f"p.{ts}") >= F.col(f"i.{start}")) & (F.col(f"p.{ts}") < F.col(f"i.{end}"))
-    for k in (*keys, "_bucket"):
+    for k in keys:
         inside = (F.col(f"p.{k}") == F.col(f"i.{k}")) & inside
-    extra = [F.col(f"i.{c}") for c in intervals.columns if c not in keys and c not in points.columns]
-    return p.join(i, inside, how).select(*[F.col(f"p.{c}") for c in points.columns], *extra)
+    extra = [c for c in intervals.columns if c not in keys and c not in points.columns]
+    met = (F.col("p._size") == F.col("i._size")) & (F.col("p._bucket") == F.col("i._bucket")) & inside
+    found = p.join(i, met).select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"i.{c}") for c in extra])
+    if how == "inner":
+        return found
+    alone = points
+    for k in sizes:
+        own = i.filter(F.col("_size") == k).alias("i")
+        alone = alone.alias("p").join(own, (bucket(f"p.{ts}", F.lit(float(k))) == F.col("i._bucket")) & inside, "left_anti")
+    return found.unionByName(alone, allowMissingColumns=True)
 
 
 def plateau_of(points: DataFrame, plateaus: DataFrame, ts: str = "start_timestamp", start: str = "start_timestamp", duration: str = "duration_s", least_s: float = 60.0, keys: Sequence[str] = KEYS) -> DataFrame:

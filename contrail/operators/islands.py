@@ -73,6 +73,16 @@ def merge_blocks(found: DataFrame, bridge: float, start: str = "start_time", end
     return d.groupBy(*keys, "_block").agg(F.min(start).alias("block_start"), F.max(end).alias("block_end")).drop("_block")
 
 
+def with_block(df: DataFrame, at: str, blocks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The rows of df within a block of merge_blocks, with block_start and block_end. Blocks of a series do not overlap, so the last
+    one that starts at or before a row is the only one that can hold it."""
+    starts = blocks.select(*keys, F.col("block_start").alias(at), F.struct("block_start", "block_end").alias("_block"))
+    both = df.select(*keys, at, F.struct(*df.columns).alias("_row")).unionByName(starts, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy(at, F.col("_row").isNotNull())
+    held = both.withColumn("_block", F.last("_block", ignorenulls=True).over(before(w))).filter(F.col("_row").isNotNull() & (F.col(at) <= F.col("_block.block_end")))
+    return held.select("_row.*", "_block.block_start", "_block.block_end")
+
+
 def paint(df: DataFrame, found: DataFrame, name: str, value: str = "var_mean", rn: str = "rn", keys: Sequence[str] = KEYS) -> DataFrame:
     """df with `name`, the value of the segment that holds the row, else null. Segments of a series do not overlap, so each
     is laid on its first row and carried to its last."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,10 +61,23 @@ def routes_of(stats: DataFrame, flights: DataFrame) -> DataFrame:
     return stats.join(flights.select("route").distinct(), "route", "left_semi")
 
 
-def payload(stats: DataFrame, flights: DataFrame) -> DataFrame:
-    """One row per route with its flights nested, for a JSON sink."""
-    f = flights.groupBy("route").agg(F.sort_array(F.collect_list(F.struct("flight_id", "typecode", "family"))).alias("flights"))
-    return stats.join(f, "route", "left")
+def payload(stats: DataFrame, flights: DataFrame, airports: DataFrame) -> DataFrame:
+    """Everything that a page about the routes shows, as rows for a JSON sink that is partitioned by part and route:
+
+    routes     the statistics of a route and the number of its flights (flights_n)
+    flights    a row for each flight, with typecode, family and gc_nm; no route is gathered in one row
+    airports   icao, name, latitude and longitude of the airports at either end of a route, unknown ones with nulls
+    summary    one row of totals
+
+    Rows have the columns of all parts; those of other parts are null. The route of airports and summary is empty."""
+    part = lambda d, name: d.withColumn("part", F.lit(name))
+    n = flights.groupBy("route").agg(F.count(F.lit(1)).alias("flights_n"))
+    of_routes = part(stats.join(n, "route", "left").withColumn("flights_n", F.coalesce("flights_n", F.lit(0).cast("long"))), "routes")
+    of_flights = part(flights.join(stats.select("route"), "route", "left_semi").select("route", "flight_id", "typecode", "family", "gc_nm"), "flights")
+    places = airports.select("icao", *[c for c in ("name", "latitude", "longitude") if c in airports.columns])
+    of_airports = part(airports_used(stats).join(places, "icao", "left").withColumn("route", F.lit("")), "airports")
+    summary = part(totals(stats).withColumnsRenamed({c: f"total_{c}" for c in ("routes", "accepted", "done", "airports")}).withColumn("route", F.lit("")), "summary")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (of_routes, of_flights, of_airports, summary))
 
 
 def first_values(df: DataFrame, value: str, order: str, keys=KEYS) -> DataFrame:

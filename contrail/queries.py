@@ -129,10 +129,30 @@ def _(t):
     return tables.with_airport(tables.with_aircraft(t.flights, t.aircraft), t.airports, "arrival", "arr", must=True).select("flight_id", "typecode", "registration", "arr_latitude", "arr_longitude", "arr_altitude")
 
 
-@query("s11_payload", "select route, count(*) as flights_n, string_agg(flight_id, ',' order by flight_id) as ids from meta group by route")
+PAYLOAD = """
+with s as (select route, count(*) as manifest_rows, count(*) filter (where status = 'done') as done, count(*) filter (where status = 'done' and right(flight_id, 1) <> '3') as accepted from flights group by route),
+ends as (select split_part(route, '_', 1) as icao from s union select split_part(route, '_', 2) from s)
+select 'routes' as part, s.route, s.manifest_rows, s.done, s.accepted, l.gc_nm, m.n as flights_n, '' as name, '' as typecode, 0 as total from s left join lengths l using (route) left join (select route, count(*) as n from meta group by route) m using (route)
+union all select 'flights', route, 0, 0, 0, gc_nm, 0, flight_id, coalesce(typecode, ''), 0 from meta
+union all select 'airports', '', 0, 0, 0, a.latitude, 0, icao, coalesce(a.name, ''), 0 from ends left join airports a using (icao)
+union all select 'summary', '', 0, (select sum(done) from s), (select sum(accepted) from s), 0, 0, '', '', (select count(*) from s) * 1000 + (select count(*) from ends)
+"""
+
+
+@query("s11_payload", f"select part, route, manifest_rows, done, accepted, round(gc_nm, 4) as gc_nm, flights_n, name, typecode, total from ({PAYLOAD}) x", 4)
 def _(t):
-    d = reports.payload(t.flights.select("route").distinct(), meta_of(t))
-    return d.select("route", F.size("flights").alias("flights_n"), F.array_join(F.transform("flights", lambda f: f["flight_id"]), ",").alias("ids"))
+    qc = t.flights.filter("status = 'done'").select(*K, (F.right("flight_id", F.lit(1)) != "3").alias("accepted"))
+    d = reports.payload(reports.route_stats(t.flights, qc, lengths_of(t), EDGES), meta_of(t), t.airports)
+    path = f"{tables.shared_folder(t.spark)}/s11-{uuid.uuid4().hex}"
+    tables.write_payload(d, path)
+    fields = "part string, route string, manifest_rows long, done long, accepted long, gc_nm double, flights_n long, flight_id string, typecode string, icao string, name string, latitude double, total_routes long, total_airports long, total_accepted long, total_done long"
+    r = t.spark.read.schema(fields).json(path)
+    number = lambda *c: F.coalesce(*c, F.lit(0)).cast("long")
+    return r.select(
+        "part", F.coalesce(F.when(F.col("route") != "__HIVE_DEFAULT_PARTITION__", F.col("route")), F.lit("")).alias("route"), number("manifest_rows").alias("manifest_rows"), number("done", "total_done").alias("done"),
+        number("accepted", "total_accepted").alias("accepted"), F.round(F.coalesce("gc_nm", "latitude", F.when(F.col("part") == "summary", 0.0)), 4).alias("gc_nm"), number("flights_n").alias("flights_n"),
+        F.coalesce("flight_id", "icao", F.lit("")).alias("name"), F.coalesce("typecode", "name", F.lit("")).alias("typecode"), (number("total_routes") * 1000 + number("total_airports")).alias("total"),
+    )
 
 
 @query("s12_one_flight", f"select {ID}, i, altitude from track where route = 'N3_N11' and flight_id = 'F3'")
@@ -539,8 +559,7 @@ def _(t):
 def _(t):
     d = t.irregular.select("flight_id", "event_id", keys.seconds("timestamp").alias("s"))
     b = islands.merge_blocks(d.withColumn("start_time", F.col("s")).withColumn("end_time", F.col("s")), 21600.0, keys=["flight_id"])
-    d = d.alias("d").join(b.alias("b"), (F.col("d.flight_id") == F.col("b.flight_id")) & F.col("s").between(F.col("block_start"), F.col("block_end")))
-    return d.groupBy("d.flight_id", "block_start").agg(F.rint(F.min("s") * 1e6).cast("long").alias("first"), F.rint(F.max("s") * 1e6).cast("long").alias("last"), F.count(F.lit(1)).alias("events")).drop("block_start")
+    return islands.with_block(d, "s", b, ["flight_id"]).groupBy("flight_id", "block_start").agg(F.rint(F.min("s") * 1e6).cast("long").alias("first"), F.rint(F.max("s") * 1e6).cast("long").alias("last"), F.count(F.lit(1)).alias("events")).drop("block_start")
 
 
 @query("c7_paint", f"select t.route, t.flight_id, t.i, round(s.var_mean, 6) as mach_sel from track t left join ({MACH_SQL}) s on s.route = t.route and s.flight_id = t.flight_id and t.i + 1 between s.start_row and s.end_row")

@@ -69,8 +69,8 @@ def replace_partitions(df: DataFrame, path: str, partition: str, values: DataFra
 
 
 def write_payload(df: DataFrame, path: str) -> None:
-    """JSON lines, replacing what is there."""
-    df.write.mode("overwrite").json(path)
+    """JSON lines of reports.payload by part and route, replacing what is there; nulls are left out."""
+    df.write.mode("overwrite").option("ignoreNullFields", "true").partitionBy("part", "route").json(path)
 
 
 def ensure_columns(df: DataFrame, schema: T.StructType) -> DataFrame:

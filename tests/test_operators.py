@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from contrail.functions import aero, bins, keys
 from contrail.operators import asof, islands, series
-from contrail.plans import assembly, compare, laws, manifest, quality, replay, trajectory
+from contrail.plans import assembly, compare, laws, manifest, quality, replay, reports, trajectory
 from contrail.plans.views import Tables
 from contrail.queries import QUERIES
 from contrail.sources import tables
@@ -229,7 +229,7 @@ def test_write_and_read_routes(spark, tmp_path):
     tables.write(d, p)
     assert sorted(tables.read(spark, p).columns) == ["a", "flight_id", "route", "time", "timestamp"] and tables.read(spark, p).count() == 3
     assert tables.read_routes(spark, p, ["S"]).count() == 1 and tables.read_flight(spark, p, "R", "F").count() == 2 and tables.read_routes(spark, p, ["R", "S"], d.filter("route = 'R'")).count() == 2
-    tables.write_payload(d.select("route", "nested"), str(tmp_path / "j"))
+    tables.write_payload(d.select("route", "nested", F.lit("routes").alias("part")), str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 3
 
 
@@ -397,6 +397,39 @@ def test_intervals_of_any_length(spark):
     assert {r["i"] for r in left if r["j"] is None} == {7, 99, 100} and len(left) == len(want) + 3
 
 
+def test_an_interval_of_fifty_years_is_a_few_rows(spark):
+    year = 31_557_600
+    points = spark.range(0, 60 * year, year // 8).select(F.lit("k").alias("k"), F.timestamp_seconds("id").alias("at"))
+    spans = [("k", 1, 1000, 50 * year), ("k", 2, 10 * year, 10 * year + 900), ("k", 3, 20 * year, 20 * year + 40 * 3600)]
+    intervals = spark.createDataFrame(spans, "k string, j long, a long, b long").select("k", "j", F.timestamp_seconds("a").alias("lo"), F.timestamp_seconds("b").alias("hi"))
+    d = asof.in_interval(points, intervals, ["k"], "at", "lo", "hi")
+    assert {r.j: r.n for r in d.groupBy("j").agg(F.count("*").alias("n")).collect()} == {1: 50 * 8 - 1, 2: 1, 3: 1}
+    # The largest side of the join's left input: one row for each point and size of interval.
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(sequence") == 1
+    long = asof.in_interval(points, intervals.filter("j = 1"), ["k"], "at", "lo", "hi")
+    assert long.count() == 50 * 8 - 1
+
+
+def test_rows_within_blocks(spark):
+    df = spark.createDataFrame([("a", 1.0, 1), ("a", 1.0, 2), ("a", 3.0, 3), ("a", 9.0, 4), ("b", 2.0, 5), ("c", 5.0, 6)], "k string, s double, i int")
+    blocks = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, 8.0), ("b", 2.5, 3.0), ("c", 5.0, 5.0)], "k string, block_start double, block_end double")
+    got = {r.i: (r.block_start, r.block_end) for r in islands.with_block(df, "s", blocks, ["k"]).collect()}
+    assert got == {1: (1.0, 2.0), 2: (1.0, 2.0), 3: (3.0, 8.0), 6: (5.0, 5.0)}
+
+
+def test_payload_parts(spark):
+    stats = spark.createDataFrame([("A_B", 3, 2, 1), ("B_C", 1, 1, 0)], "route string, manifest_rows long, done long, accepted long")
+    flights = spark.createDataFrame([("A_B", "F1", "A320", "x", 1.0), ("A_B", "F2", None, "x", 1.0), ("Z_Z", "F3", "A320", "x", 1.0)], "route string, flight_id string, typecode string, family string, gc_nm double")
+    airports = spark.createDataFrame([("A", "Alpha", 1.0, 2.0), ("C", "Gamma", 3.0, 4.0)], "icao string, name string, latitude double, longitude double")
+    d = reports.payload(stats, flights, airports).collect()
+    of = lambda p: [r for r in d if r.part == p]
+    assert {r.route: r.flights_n for r in of("routes")} == {"A_B": 2, "B_C": 0} and {r.flight_id for r in of("flights")} == {"F1", "F2"}
+    assert {r.icao: r.name for r in of("airports")} == {"A": "Alpha", "B": None, "C": "Gamma"}
+    (total,) = of("summary")
+    assert (total.total_routes, total.total_airports, total.total_accepted, total.total_done) == (2, 3, 1, 3)
+
+
 def test_plateaus_of_more_starts_than_a_chunk(spark):
     n = 2 * series.CHUNK + 40
     values = [None if i % 97 == 5 else 100.0 * (i // 2 % 7) for i in range(2 * n)]
