@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from contrail.sources.shared import settle
+
 KEYS = ("route", "flight_id")
 ORDER = ("timestamp",)
 
@@ -305,24 +307,27 @@ def empirical_cdf(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     return d.select(*keys, value, ((F.col("_n") + F.sum("_k").over(run)) / F.col("_n_all")).alias("cdf"))
 
 
-#: Ranges of a doubling of the value, and a number above those of the smallest double's distance from 1.
-OCTAVE, SHIFT = 4096, 5_000_000
-
-
-def magnitude(value: Column) -> Column:
-    """An int that rises with a double: its sign, and its logarithm in steps of 0.02 %. It needs no look at the data, and few distinct
-    values share one unless all of them lie within such a step."""
-    size = F.floor(F.log2(F.abs(value)) * OCTAVE) + SHIFT
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
+def group_ranges(counted: DataFrame, keys: Sequence[str], ranges: int = RANGES) -> DataFrame:
+    """counted(keys, _v, ...), of distinct values, with _r: the range of the value, of about `ranges` in each group, cut where a
+    sketch of the group's values says; it rises with the value."""
+    at = [i / ranges for i in range(1, ranges)]
+    cuts = counted.groupBy(*keys).agg(F.percentile_approx("_v", at, 10 * ranges).alias("_cuts")).alias("c")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"v.{k}").eqNullSafe(F.col(f"c.{k}"))
+    d = counted.alias("v").join(cuts, on) if keys else counted.alias("v").join(F.broadcast(cuts))
+    return d.select("v.*", F.size(F.filter(F.array_distinct("c._cuts"), lambda c: F.col("v._v") >= c)).alias("_r"))
 
 
 def quantiles(df: DataFrame, value: str, keys: Sequence[str], probabilities: Sequence[float], name: str = "q") -> DataFrame:
     """(keys, name, count): the exact quantiles of the non-null values of each group, an array in the order of probabilities,
-    interpolated linearly between ranks; groups without values are left out (without keys, one row of nulls). Values are counted first and ranked in ranges, so a
-    few large groups spread over all tasks; for many small groups F.percentile is the shorter way."""
+    interpolated linearly between ranks; groups without values are left out (without keys, one row of nulls).
+
+    Values are counted, which is the one scan of df, and the counts written to the shared folder. A sketch of each group's values
+    cuts it into ranges, and of these only the ones that hold an asked rank are put in order; so a few large groups spread over
+    all tasks, whatever the span of their values. For many small groups F.percentile is the shorter way."""
     d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    counted = d.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_k"))
-    counted = counted.withColumn("_r", magnitude(F.col("_v")))
+    counted = group_ranges(settle(d.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_k"))), keys)
     asked, last = F.array(*[F.lit(float(x)) for x in probabilities]), F.col("_n_all") - 1
     # Ranks count from 0. First the ranges that hold a rank that is asked for, two for each probability at most, then the values there.
     holds = lambda start, stop: F.exists(asked, lambda x: ((F.floor(x * last) >= start) & (F.floor(x * last) < stop)) | ((F.ceil(x * last) >= start) & (F.ceil(x * last) < stop)))

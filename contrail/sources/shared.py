@@ -1,0 +1,20 @@
+"""The folder that the driver and all executors share, and tables written there once to be read by several plans."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or where it is not set the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder, so that several readers neither compute it again nor depend on
+    any executor."""
+    path = f"{shared_folder(df.sparkSession)}/t-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 from contrail.functions.keys import minute
 from contrail.operators.asof import in_interval
 from contrail.operators.series import KEYS
+from contrail.sources.shared import settle, shared_folder  # noqa: F401
 
 
 def read(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -41,19 +41,6 @@ def write(df: DataFrame, path: str, partition: str | None = "route") -> None:
     (w.partitionBy(partition) if partition else w).parquet(path)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or where it is not set the warehouse."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder, so that several readers neither compute it again nor depend on
-    any executor."""
-    path = f"{shared_folder(df.sparkSession)}/t-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def replace_partitions(df: DataFrame, path: str, partition: str, values: DataFrame) -> None:
     """The partitions of a Parquet table that values lists become the rows of df, which are all of those: partitions with rows
     are overwritten as the job commits, and those without are removed after it. Others stay."""

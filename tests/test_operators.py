@@ -8,6 +8,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contrail.functions import aero, bins, keys
@@ -442,7 +443,15 @@ def test_plateaus_of_more_starts_than_a_chunk(spark):
     assert got == want
 
 
-def test_magnitude_rises_with_the_value(spark):
-    values = sorted({s * v for s in (-1, 1) for v in (0.0, 5e-324, 1e-300, 1e-9, 0.5, 0.9999999, 1.0, 1.0000001, 2.0, 3.5e4, 3.5001e4, 1.7e9, 1e300, 1.7e308)})
-    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(series.magnitude(F.col("v"))).collect()]
-    assert got == sorted(got) and len(set(got)) > 20
+def test_ranges_follow_each_group(spark):
+    """Epoch seconds of a day, small shares and one value: each group is cut by itself, in the order of its values."""
+    epoch, share = F.lit(1.7e9) + F.col("id") % 86_400, F.lit(1e-9) * F.col("id")
+    d = spark.range(40_000).select(F.explode(F.array(*[F.struct(F.lit(g).alias("g"), v.cast("double").alias("_v")) for g, v in (("epoch", epoch), ("share", share), (None, F.lit(5)))])).alias("x")).select("x.*").distinct()
+    out = series.group_ranges(d, ["g"]).cache()
+    n = {r.g: (r.n, r.most) for r in out.groupBy("g", "_r").count().groupBy("g").agg(F.count("*").alias("n"), F.max("count").alias("most")).collect()}
+    assert all(n[g][0] >= 60 and n[g][1] < 1500 for g in ("epoch", "share")) and n[None] == (1, 1)
+    assert out.groupBy("g", "_r").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")).withColumn("before", F.lag("hi").over(Window.partitionBy("g").orderBy("_r"))).filter("before >= lo").count() == 0
+    at = [0.0, 0.25, 0.5, 0.999, 1.0]
+    want = {g: np.quantile(v, at) for g, v in (("epoch", 1.7e9 + np.arange(40_000) % 86_400), ("share", 1e-9 * np.arange(40_000)))}
+    got = {r.g: r.q for r in series.quantiles(d, "_v", ["g"], at).collect()}
+    assert all(np.allclose(got[g], want[g], rtol=1e-12) for g in want) and got[None] == [5.0] * 5
