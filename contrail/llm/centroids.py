@@ -19,7 +19,8 @@ the tasks first, so a vector that fills a third of the table costs no more than
 of writing it; the assignments are written once, to the checkpoint folder.
 
 Defined cases: vectors that are null, have another number of components, or hold a null, NaN or infinite one are left out.
-Components beyond LARGEST after scaling count as LARGEST, so that any squared distance fits in a long. With fewer vectors than
+Components beyond LARGEST after scaling count as LARGEST, so that any squared distance fits in a long; sums of
+distances that do not fit are the greatest long. With fewer vectors than
 centroids asked for, all are centroids; equal vectors give equal centroids, of which the later ones stay empty and where they
 are. Rows that repeat an id are ordered by their vector, then rows are equal; a null id has the last hash. An empty table gives
 an empty result. In cluster() other columns stay as they are; a column named like an added one is replaced.
@@ -155,8 +156,9 @@ def cluster(
         return pa.StructArray.from_arrays([pa.array(own.astype(np.int32)), pa.array(d)], ["cluster", "distance"])
 
     found = settle(rows.select("row", near("_vec").alias("_near")).select("row", "_near.*"))
-    sums = dict(found.groupBy("cluster").agg(F.sum("distance")).collect())
-    table = spark.createDataFrame([(c, s, sum(sums.values()), digest(middle[c])) for c, s in sorted(sums.items())], "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    sums = {c: int(s) for c, s in found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)"))).collect()}
+    fits = lambda s: min(s, (1 << 63) - 1)
+    table = spark.createDataFrame([(c, fits(s), fits(sum(sums.values())), digest(middle[c])) for c, s in sorted(sums.items())], "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     return found.join(F.broadcast(table), "cluster").select("row.*", *ADDED), middle
 
 
