@@ -192,36 +192,67 @@ def first_row(df: DataFrame, predicate: Column, rn: str = "rn", keys: Sequence[s
     return F.min(F.when(predicate, F.col(rn))).over(whole(keys))
 
 
-#: Plateau starts in one array of the fold over a series.
-CHUNK = 256
+#: Changes of a chunk and of a piece of a fold.
+CHUNK, PIECE = 256, 65_536
 
 
-def plateaus(df: DataFrame, value: str, tol: float, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
+def plateaus(df: DataFrame, value: str, tol: float, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, piece: int = PIECE) -> DataFrame:
     """df with rn, plateau_start (row number) and plateau_value of each non-null row. A plateau is a run of non-null rows
     within tol of its first value.
 
-    Whether a row begins a plateau depends on the first value of the plateau before it, so the starts come from a fold over
-    the changes of each series; everything else is windows.
+    Whether a row begins a plateau depends on the first value of the plateau before it. But a row after a null, or more than
+    twice tol from the row before, begins one whatever that value was, so a series falls into stretches that know nothing of
+    each other. Their changes are folded in pieces of at most `piece` changes, side by side, each as though it began a plateau.
+    Pieces that go on with a plateau of the piece before are folded again from its first value, until none is left. As two folds
+    are one from the first start they share, that is mostly one round; a stretch in which they never meet (a slow ramp) takes
+    one for each piece. The changes are written to the shared folder; df is read twice, so a costly one should be written first.
     """
+    from contrail.sources.tables import settle  # it imports this module
+
     w = series(keys, order)
     d = with_rows(df, keys, order)
-    changed = F.coalesce(~F.col(value).eqNullSafe(F.lag(value).over(w)), F.lit(True)) | (F.col("rn") == 1)
-    changes = d.filter(F.lit(True)).withColumn("_changed", changed).filter("_changed").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rn", F.col(value).cast("double").alias("v")))).alias("_runs"))
-    runs = "array<struct<rn:bigint,v:double>>"
-    none = F.array().cast(runs)
-    empty = F.struct(F.lit(None).cast("double").alias("anchor"), none.alias("open"), F.array().cast(f"array<{runs}>").alias("full"))
-
-    def step(a: Column, x: Column) -> Column:
-        begins = a["anchor"].isNull() | (F.abs(x["v"] - a["anchor"]) > tol)
-        # Starts are kept in chunks, as each one that is added copies the array it is added to.
-        over = F.size(a["open"]) >= CHUNK
-        added = F.struct(
-            x["v"].alias("anchor"), F.concat(F.when(over, none).otherwise(a["open"]), F.array(x)).alias("open"), F.when(over, F.concat(a["full"], F.array(a["open"]))).otherwise(a["full"]).alias("full")
-        )
-        return F.when(x["v"].isNull(), F.struct(F.lit(None).cast("double").alias("anchor"), a["open"].alias("open"), a["full"].alias("full"))).when(begins, added).otherwise(a)
-
-    found = F.aggregate("_runs", empty, step, lambda a: F.flatten(F.concat(a["full"], F.array(a["open"]))))
-    starts = changes.select(*keys, F.explode(found).alias("s")).select(*keys, F.col("s.rn").alias("rn"), F.struct("s.rn", "s.v").alias("_start"))
+    v, last = F.col(value).cast("double"), F.lag(F.col(value).cast("double")).over(w)
+    # A little more than twice, as differences are rounded.
+    apart = last.isNull() | v.isNull() | (F.abs(v - last) > 2.000001 * tol)
+    marked = d.select(*keys, *[c for c in order if c not in keys], "rn", v.alias("v"), (~v.eqNullSafe(last) | (F.col("rn") == 1)).alias("_changed"), apart.alias("_apart"))
+    marked = marked.withColumn("_n", F.sum(F.col("_changed").cast("long")).over(before(w))).withColumn("_head", F.last(F.when(F.col("_changed") & F.col("_apart"), F.col("_n")), ignorenulls=True).over(before(w)))
+    ids = [*keys, "_head", "_piece"]
+    changes = settle(marked.filter(F.col("_changed") & F.col("v").isNotNull()).select(*keys, "_head", F.floor((F.col("_n") - F.col("_head")) / piece).alias("_piece"), "rn", "v"))
+    blocks = changes.groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("rn", "v"))).alias("_runs"))
+
+    def folded(came: Column) -> Column:
+        """Struct of the starts of a piece and the first value of its last plateau, if it goes on with a plateau that began with came."""
+        runs = "array<struct<rn:bigint,v:double>>"
+        none = F.array().cast(runs)
+
+        def step(a: Column, x: Column) -> Column:
+            begins = a["anchor"].isNull() | (F.abs(x["v"] - a["anchor"]) > tol)
+            return F.when(begins, F.struct(x["v"].alias("anchor"), F.concat(a["starts"], F.array(x)).alias("starts"))).otherwise(a)
+
+        def part(a: Column, i: Column) -> Column:
+            # Each step copies the starts so far, so these are kept apart for a chunk of changes.
+            here = F.aggregate(F.slice("_runs", i * CHUNK + 1, CHUNK), F.struct(a["anchor"].alias("anchor"), none.alias("starts")), step)
+            return F.transform(F.array(here), lambda r: F.struct(r["anchor"].alias("anchor"), F.concat(a["starts"], r["starts"]).alias("starts")))[0]
+
+        chunks = F.sequence(F.lit(0), F.floor((F.size("_runs") - 1) / CHUNK).cast("int"))
+        return F.aggregate(chunks, F.struct(came.cast("double").alias("anchor"), none.alias("starts")), part)
+
+    several = changes.filter("_piece > 0").select(*keys, "_head").distinct()
+    if several.isEmpty():
+        blocks = blocks.withColumn("_came", F.lit(None).cast("double"))
+    else:
+        blocks = settle(blocks)
+        # One row for each piece of longer stretches: the value it was folded from and the one it leaves.
+        state = settle(blocks.join(several, [*keys, "_head"], "left_semi").select(*ids, F.lit(None).cast("double").alias("_came"), folded(F.lit(None))["anchor"].alias("_left")))
+        while True:
+            due = state.withColumn("_due", F.lag("_left").over(series([*keys, "_head"], ["_piece"]))).filter(~F.col("_came").eqNullSafe(F.col("_due")))
+            due = settle(due.select(*ids, "_due"))
+            if due.isEmpty():
+                break
+            again = blocks.join(due, ids).select(*ids, F.col("_due").alias("_came"), folded(F.col("_due"))["anchor"].alias("_left"))
+            state = settle(state.join(due, ids, "left_anti").unionByName(again))
+        blocks = blocks.join(state.drop("_left"), ids, "left")
+    starts = blocks.select(*keys, F.explode(folded(F.col("_came"))["starts"]).alias("s")).select(*keys, F.col("s.rn").alias("rn"), F.struct("s.rn", "s.v").alias("_start"))
     d = d.join(starts, [*keys, "rn"], "left")
     held = F.last("_start", ignorenulls=True).over(before(w))
     known = F.col(value).isNotNull()
