@@ -446,3 +446,13 @@ def test_magnitude_rises_with_the_value(spark):
     values = sorted({s * v for s in (-1, 1) for v in (0.0, 5e-324, 1e-300, 1e-9, 0.5, 0.9999999, 1.0, 1.0000001, 2.0, 3.5e4, 3.5001e4, 1.7e9, 1e300, 1.7e308)})
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(series.magnitude(F.col("v"))).collect()]
     assert got == sorted(got) and len(set(got)) > 20
+
+
+@pytest.mark.parametrize("values", [[800.0, 400.0, 50.0, 550.0, 400.0, 475.0, 0.0, 50.0, 50.0], [150.0, 775.0, 800.0, 450.0, 0.0, 925.0, 750.0, 175.0, 625.0]])
+def test_a_value_at_the_outlier_limit_stays_however_the_deviation_is_rounded(spark, values):
+    # The first row's frame holds all of them; it is exactly 1.5 deviations from their median, which doubles make a little less.
+    middle, n = sorted(values)[len(values) // 2], len(values)
+    assert 4 * (values[0] - middle) ** 2 * n**2 == 9 * (n * sum(v * v for v in values) - sum(values) ** 2)
+    d = spark.createDataFrame([("r", "f", i, v) for i, v in enumerate(values)], "route string, flight_id string, timestamp long, v double")
+    kept = {r.timestamp for r in trajectory.without_outliers(d, "v", factor=1.5).collect()}
+    assert 0 in kept
