@@ -4,24 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from contrail.functions.bins import to_step
-from contrail.operators.series import KEYS, ORDER, before, rolling_extremes, series, smooth, with_rows
+from contrail.operators.series import KEYS, ORDER, before, dealt, rolling_extremes, series, smooth, with_rows
 
 # Steps of the commands whose plateaus become events.
 EVENT_STEPS = {"mach_sel": 0.01, "cas_sel": 5.0, "vz_sel": 50.0, "h_sel": 100.0, "selected_mcp": 25.0}
 
 
+def _steps(value: Column, step: Column, w: WindowSpec) -> tuple[Column, Column, Column]:
+    """The value in steps, that of the row before, and the step."""
+    q = F.when(step > 0, F.rint(value / step) * step).otherwise(value.cast("double"))
+    return q, F.lag(q).over(w), step
+
+
+def _begins(q: Column, last: Column, step: Column) -> Column:
+    """1 where an island begins, else 0."""
+    jump = F.abs(q - last) > F.greatest(step, F.lit(1e-9))
+    return F.when(q.isNotNull() & F.coalesce(jump, F.lit(True)), 1).otherwise(0)
+
+
 def value_islands(df: DataFrame, value: str, step: Column | float, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
     """The non-null rows of df with `island`, counting runs in which the value, in steps, differs from the row before by one
     step at most. A null row ends a run. With step 0 values are taken as they are."""
     step = F.lit(step) if not isinstance(step, Column) else step
     w = series(keys, order)
-    d = df.withColumn("_q", F.when(step > 0, F.rint(F.col(value) / step) * step).otherwise(F.col(value).cast("double")))
-    jump = F.abs(F.col("_q") - F.lag("_q").over(w)) > F.greatest(step, F.lit(1e-9))
-    d = d.withColumn("_new", F.when(F.col("_q").isNotNull() & F.coalesce(jump, F.lit(True)), 1).otherwise(0))
+    q, last, step = _steps(F.col(value), step, w)
+    d = df.withColumn("_q", q).withColumn("_new", _begins(q, last, step))
     return d.withColumn("island", F.sum("_new").over(before(w))).filter(F.col("_q").isNotNull()).drop("_q", "_new")
 
 
@@ -33,12 +44,17 @@ def segments(df: DataFrame, value: str, by: Sequence[str], ts: str = "timestamp"
 
 
 def command_events(df: DataFrame, steps: Mapping[str, float] = EVENT_STEPS, keys: Sequence[str] = KEYS, ts: str = "timestamp") -> DataFrame:
-    """Events of all commands: (keys, command, start_timestamp, end_timestamp, duration_s, value), one per plateau. The
-    commands are unpivoted and go through one window; columns that df lacks have no events."""
+    """Events of all commands: (keys, command, start_timestamp, end_timestamp, duration_s, value), one per plateau. Islands of
+    all commands are counted side by side over the rows of df, which are unpivoted after that, so that they are shuffled once and
+    not once a command; columns that df lacks have no events."""
     have = [c for c in steps if c in df.columns]
-    long = df.select(*keys, ts, F.explode(F.array(*[F.struct(F.lit(c).alias("command"), F.lit(float(steps[c])).alias("step"), F.col(c).cast("double").alias("value")) for c in have])).alias("x")).select(*keys, ts, "x.*")
-    found = value_islands(long, "value", F.col("step"), [*keys, "command"], [ts])
-    return segments(found, "value", [*keys, "command"], ts).drop("island")
+    w = series(keys, [ts])
+    d = df.select(*keys, ts, *[F.col(c).cast("double").alias(c) for c in have])
+    new = {f"_new_{c}": _begins(*_steps(F.col(c), F.lit(float(steps[c])), w)) for c in have}
+    d = d.withColumns(new).withColumns({f"_island_{c}": F.sum(f"_new_{c}").over(before(w)) for c in have})
+    each = [F.struct(F.lit(c).alias("command"), F.col(c).alias("value"), F.col(f"_island_{c}").alias("island")) for c in have]
+    long = d.select(*keys, ts, F.explode(F.array(*each)).alias("x")).select(*keys, ts, "x.*").filter("value is not null")
+    return segments(long, "value", [*keys, "command"], ts).drop("island")
 
 
 def stable_segments(
@@ -83,12 +99,12 @@ def with_block(df: DataFrame, at: str, blocks: DataFrame, keys: Sequence[str] =
     return held.select("_row.*", "_block.block_start", "_block.block_end")
 
 
-def paint(df: DataFrame, found: DataFrame, name: str, value: str = "var_mean", rn: str = "rn", keys: Sequence[str] = KEYS) -> DataFrame:
+def paint(df: DataFrame, found: DataFrame, name: str, value: str = "var_mean", rn: str = "rn", keys: Sequence[str] = KEYS, rows: int = 0) -> DataFrame:
     """df with `name`, the value of the segment that holds the row, else null. Segments of a series do not overlap, so each
-    is laid on its first row and carried to its last."""
+    is laid on its first row and carried to its last. rows is the number that df is dealt() by, if it is."""
     w = series(keys, [rn])
     starts = found.select(*keys, F.col("start_row").alias(rn), F.struct(F.col("end_row").alias("to"), F.col(value).alias("v")).alias("_seg"))
-    d = df.join(starts, [*keys, rn], "left").withColumn("_seg", F.last("_seg", ignorenulls=True).over(before(w)))
+    d = dealt(df.join(starts.hint("merge"), [*keys, rn], "left"), rows, keys).withColumn("_seg", F.last("_seg", ignorenulls=True).over(before(w)))
     return d.withColumn(name, F.when(F.col("_seg.to") >= F.col(rn), F.col("_seg.v"))).drop("_seg")
 
 
