@@ -21,10 +21,11 @@ without tokens are dropped and the rest scaled up. If zero cells keep the target
 sweep is used.
 
 The topic of a text is the nearest of TOPICS centres of hashed words of its language: words are counted in FEATURES buckets,
-damped and weighted by rarity, and the centres are fitted by spherical k-means on a sample of at most TOPIC_ROWS rows, by the
-hash of their id. Each language has centres of its own, as words of different languages are further apart than those of any
-two topics, and topics that were languages in disguise could not have targets beside them. Languages with fewer than
-LANGUAGE_ROWS rows in the sample, and texts without one, share centres. Topics are numbered by size within the language; a
+damped and weighted by rarity, and the centres are fitted by spherical k-means on all rows with words: each round is a pass of
+tasks over their bags of words, and only sums by centre reach the driver. Vectors are whole numbers, so that the sums, and with
+them the topics, do not depend on how rows are dealt. Each language has centres of its own, as words of different languages are
+further apart than those of any two topics, and topics that were languages in disguise could not have targets beside them.
+Languages with fewer than LANGUAGE_ROWS rows, or a share of the rows below LANGUAGE_SHARE, and texts without one, share centres. Topics are numbered by size within the language; a
 text without words has topic `other`. A column with topics may be given instead. The text is read once for its words and
 topic; what is found is written to the checkpoint folder.
 
@@ -40,7 +41,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contrail.llm._spark import BROADCAST_ROWS, documents, in_arrow, packed, settle
@@ -60,11 +61,13 @@ PLACES = 9
 Targets = Mapping[str, Mapping[str, float]]
 
 
-#: Topics, buckets of words, and rows that topics are learnt from at most.
-TOPICS, FEATURES, TOPIC_ROWS = 6, 1024, 4000
+#: Topics, and buckets of words.
+TOPICS, FEATURES = 6, 1024
 ROUNDS, STARTS = 30, 4
-#: Rows of the sample from which on a language has centres of its own.
-LANGUAGE_ROWS = 30
+#: A round that brings rows closer to their centres by a smaller share than this is the last of a start.
+CLOSER = 1e-3
+#: Rows, and share of all rows, from which on a language has centres of its own.
+LANGUAGE_ROWS, LANGUAGE_SHARE = 30, 0.0075
 
 
 def bags(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -78,71 +81,262 @@ def bags(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.bincount(d, minlength=hi - lo), np.bincount(d * FEATURES + bucket, minlength=(hi - lo) * FEATURES).reshape(hi - lo, FEATURES)
 
 
+#: A text's words: its buckets in order, with their counts.
+BAG = np.dtype([("bucket", "<u2"), ("n", "<u4")])
+#: The same as a vector.
+VECTOR = np.dtype([("bucket", "<u2"), ("v", "<u2")])
+#: Unit vectors and centres are whole multiples of 1 / SCALE. Products of two, and sums of BLOCK_ROWS, stay below 2 ** 24, so they are
+#: exact as floats in any order.
+SCALE = 4000.0
+#: Rows that are made vectors at once.
+BLOCK_ROWS = 512
+
+
+def _bag_array(counts: np.ndarray) -> pa.Array:
+    d, bucket = np.nonzero(counts)
+    bag = np.empty(len(d), BAG)
+    bag["bucket"], bag["n"] = bucket, counts[d, bucket]
+    off = (np.searchsorted(d, np.arange(len(counts) + 1)) * BAG.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(bag.tobytes())])
+
+
+def _scaled(row: np.ndarray, bucket: np.ndarray, n: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+    """Components of unit vectors, times SCALE and rounded, of counts n of buckets in rows."""
+    v = np.log1p(n) * weight[bucket]
+    norm = np.maximum(np.sqrt(np.bincount(row, v * v, rows)), 1e-12)
+    return np.rint(v / norm[row] * SCALE)
+
+
+def _dense(row: np.ndarray, bucket: np.ndarray, v: np.ndarray, rows: int) -> np.ndarray:
+    x = np.zeros(rows * FEATURES, np.float32)
+    x[row * FEATURES + bucket] = v
+    return x.reshape(rows, FEATURES)
+
+
+def _records(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(records of all rows of a column of bytes, offsets of the rows)."""
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // kind.itemsize
+    return np.frombuffer(column.buffers()[2], kind, int(off[-1])), off
+
+
 class Topics:
-    """Weights of the buckets, and unit centres by language (None: of the rest); no centres where nothing could be learnt."""
-
-    def __init__(self, counts: np.ndarray, langs: list[str | None] | None = None):
-        self.weight = np.log((len(counts) + 1) / ((counts > 0).sum(axis=0) + 1)) + 1e-3
-        x = self._unit(counts)
-        rows: dict[str | None, list[int]] = {}
-        for i, lang in enumerate(langs or [None] * len(x)):
-            rows.setdefault(lang, []).append(i)
-        own = {k: v for k, v in rows.items() if k is not None and len(v) >= LANGUAGE_ROWS}
-        rest = sorted(i for k, v in rows.items() if k not in own for i in v) or list(range(len(x)))
-        self.centres = {k: self._fit(x[v]) for k, v in (own | {None: rest}).items() if v}
+    """Weights of the buckets, and centres by language (None: of the rest); no centres where nothing could be learnt."""
 
-    @staticmethod
-    def _fit(x: np.ndarray) -> np.ndarray:
-        """The best of some starts: rows that are far apart, which noise can be too, and neighbours in the order of hashes."""
-        k = min(TOPICS, len(x))
-        # The first is the row furthest from the sample's mean direction, each further one the furthest from those before.
-        apart, near = [], x @ x.mean(axis=0)
-        for _ in range(k):
-            apart.append(int(near.argmin()))
-            near = np.maximum(near if len(apart) > 1 else -np.inf, x @ x[apart[-1]])
-        best = None
-        for start in [apart, *(list(range(at, at + k)) for at in range(0, min(len(x) - k + 1, STARTS * k), k))]:
-            centres = x[start]
-            for _ in range(ROUNDS):
-                own = (x @ centres.T).argmax(axis=1)
-                sums = np.array([x[own == j].sum(axis=0) if (own == j).any() else c for j, c in enumerate(centres)])
-                centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
-            fit = float((x @ centres.T).max(axis=1).sum())
-            if best is None or fit > best[0] * (1 + 1e-9):
-                best = fit, centres
-        size = np.bincount((x @ best[1].T).argmax(axis=1), minlength=k)
-        return best[1][np.argsort(-size, kind="stable")]
-
-    def _unit(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.weight
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    def __init__(self, weight: np.ndarray, centres: dict[str | None, np.ndarray]):
+        self.weight, self.centres = weight, centres
 
     def of(self, counts: np.ndarray, langs: list[str | None]) -> np.ndarray:
         out = np.zeros(len(counts), np.int64)
         if self.centres:
-            x, rows = self._unit(counts), {}
+            rows: dict[str | None, list[int]] = {}
             for i, lang in enumerate(langs):
                 rows.setdefault(lang if lang in self.centres else None, []).append(i)
             for lang, at in rows.items():
-                out[at] = (x[at] @ self.centres[lang].T).argmax(axis=1)
+                d, bucket = np.nonzero(counts[at])
+                x = _dense(d, bucket, _scaled(d, bucket, counts[at][d, bucket], self.weight, len(at)), len(at))
+                out[at] = (x @ self.centres[lang].T.astype(np.float32)).argmax(axis=1)
         return out
 
 
+class _Rows:
+    """The vectors of all rows, written once, by group: a language with centres of its own, or None for the rest. Each question is
+    one pass of tasks over all rows, and what they find is added up by group and centre."""
+
+    def __init__(self, bags_: DataFrame, weight: np.ndarray, groups: dict[str | None, int]):
+        rest = groups.get(None)
+
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    bag, off = _records(batch.column(1), BAG)
+                    bag, row = bag[off[0] :], np.repeat(np.arange(len(batch)), np.diff(off))
+                    made = np.empty(len(bag), VECTOR)
+                    made["bucket"], made["v"] = bag["bucket"], _scaled(row, bag["bucket"].astype(np.int64), bag["n"], weight, len(batch))
+                    at = ((off - off[0]) * VECTOR.itemsize).astype(np.int32)
+                    vectors = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(made.tobytes())])
+                    own = pa.array([groups.get(x, rest) for x in batch.column(2).to_pylist()], pa.int32())
+                    yield pa.RecordBatch.from_arrays([batch.column(0), vectors, own], ["u", "vector", "g"])
+
+        self.vectors = settle(in_arrow(bags_, over, "u long, vector binary, g int"))
+
+    def _pass(self, asked: dict[int, np.ndarray], function, schema: str) -> DataFrame:
+        """function takes what it found of a group so far, asked[group], and hashes, bytes and dense vectors of more of its rows."""
+        known = self.vectors.sparkSession.sparkContext.broadcast(asked)
+
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state, given = {}, known.value
+            for batch in batches:
+                if not len(batch):
+                    continue
+                every, off = _records(batch.column(1), VECTOR)
+                u, own = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+                for g in given:
+                    # Centres of the rest are those of all rows where no row is left.
+                    mine = np.flatnonzero(own == g) if g >= 0 else np.arange(len(batch))
+                    for lo in range(0, len(mine), BLOCK_ROWS):
+                        at = mine[lo : lo + BLOCK_ROWS]
+                        many = off[at + 1] - off[at]
+                        row = np.repeat(np.arange(len(at)), many)
+                        held = every[np.arange(len(row)) + np.repeat(off[at] - np.cumsum(many) + many, many)]
+                        x = _dense(row, held["bucket"].astype(np.int64), held["v"], len(at))
+                        state[g] = function(state.get(g), given[g], u[at], lambda i, at=at: every[off[at[i]] : off[at[i] + 1]].tobytes(), x)
+            out = [r for g in sorted(state) for r in function.rows(g, state[g])]
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=function.schema)
+
+        return in_arrow(self.vectors, over, schema)
+
+    def sums(self, asked: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """{group: (rows of each centre, their sum, and the sum of their closeness by start)} of groups with centres [start, centre,
+        bucket]."""
+        found: dict[int, tuple] = {g: (np.zeros(c.shape[:2], np.int64), np.zeros(c.shape), np.zeros(c.shape[0], np.int64)) for g, c in asked.items()}
+        for r in _summed(self._pass(asked, _Nearest(), "g int, s int, j int, n long, fit long, total binary"), ["g", "s", "j"]).collect():
+            found[r.g][0][r.s, r.j], found[r.g][1][r.s, r.j] = r.n, np.frombuffer(r.total, np.int64)
+            found[r.g][2][r.s] += r.fit
+        return found
+
+    def furthest(self, asked: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """{group: vector of the row furthest from all its centres [centre, bucket]}."""
+        rows = self._pass(asked, _Furthest(), "g int, near double, u long, vector binary").groupBy("g").agg(F.min(F.struct("near", "u", "vector")).alias("r")).collect()
+        return {r.g: self._of(r.r.vector) for r in rows}
+
+    def least(self, groups: list[int], count: int) -> dict[int, np.ndarray]:
+        """{group: vectors of the rows with the least hashes}, where k-means starts."""
+        w = Window.partitionBy("g").orderBy("u", "vector")
+        rows = self._pass({g: np.array([count]) for g in groups}, _Least(), "g int, u long, vector binary").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= count).collect()
+        return {g: np.array([self._of(r.vector) for r in sorted((r for r in rows if r.g == g), key=lambda r: r.k)]) for g in groups}
+
+    @staticmethod
+    def _of(blob: bytes) -> np.ndarray:
+        vector = np.frombuffer(blob, VECTOR)
+        return _dense(np.zeros(len(vector), np.int64), vector["bucket"].astype(np.int64), vector["v"], 1)[0].astype(float)
+
+
+class _Nearest:
+    schema = pa.schema([("g", pa.int32()), ("s", pa.int32()), ("j", pa.int32()), ("n", pa.int64()), ("fit", pa.int64()), ("total", pa.binary())])
+
+    def __call__(self, state, centres, u, blob, x):
+        starts, k, _ = centres.shape
+        n, total, fit = state or (np.zeros((starts, k), np.int64), np.zeros((starts * k, FEATURES)), np.zeros((starts, k), np.int64))
+        near = (x @ centres.reshape(starts * k, -1).T.astype(np.float32)).reshape(len(x), starts, k)
+        own, row = near.argmax(axis=2), np.arange(len(x))
+        one = np.zeros((len(x), starts * k), np.float32)
+        for s in range(starts):
+            one[row, s * k + own[:, s]] = 1.0
+            n[s] += np.bincount(own[:, s], minlength=k)
+            fit[s] += np.bincount(own[:, s], near[row, s, own[:, s]], k).astype(np.int64)
+        total += one.T @ x
+        return n, total, fit
+
+    @staticmethod
+    def rows(g, state):
+        n, total, fit = state
+        return [{"g": g, "s": s, "j": j, "n": int(n[s, j]), "fit": int(fit[s, j]), "total": total[s * n.shape[1] + j].astype(np.int64).tobytes()} for s in range(n.shape[0]) for j in range(n.shape[1])]
+
+
+class _Furthest:
+    schema = pa.schema([("g", pa.int32()), ("near", pa.float64()), ("u", pa.int64()), ("vector", pa.binary())])
+
+    def __call__(self, state, centres, u, blob, x):
+        near = (x @ centres.T.astype(np.float32)).max(axis=1)
+        return min(([state] if state else []) + [(float(near[i]), int(u[i]), blob(i)) for i in np.flatnonzero(near == near.min())])
+
+    @staticmethod
+    def rows(g, state):
+        return [dict(zip(("g", "near", "u", "vector"), (g, *state), strict=True))]
+
+
+class _Least:
+    schema = pa.schema([("g", pa.int32()), ("u", pa.int64()), ("vector", pa.binary())])
+
+    def __call__(self, state, count, u, blob, x):
+        order = np.argsort(u, kind="stable")
+        last = u[order[min(len(u), int(count[0])) - 1]]
+        return sorted((state or []) + [(int(u[i]), blob(i)) for i in np.flatnonzero(u <= last)])[: int(count[0])]
+
+    @staticmethod
+    def rows(g, state):
+        return [{"g": g, "u": u, "vector": v} for u, v in state]
+
+
+def _summed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the same keys added up; those of a key are one for each task at most."""
+    names, schema = df.columns, df.schema
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table.column("total").to_pylist())
+        made = {c: table.column(c)[0].as_py() if c in keys else total.tobytes() if c == "total" else sum(table.column(c).to_pylist()) for c in names}
+        return pa.Table.from_pylist([made], schema=table.schema)
+
+    return df.groupBy(*keys).applyInArrow(add, schema)
+
+
+def _rounded(sums: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Directions of sums as centres; one without rows stays as it was."""
+    norm = np.sqrt((sums * sums).sum(axis=-1, keepdims=True))
+    return np.where(norm > 0, np.rint(sums / np.maximum(norm, 1e-12) * SCALE), before)
+
+
 def learn_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Topics:
-    """Topics of a sample of at most TOPIC_ROWS rows with words, those of the least hashes of their ids."""
-    rows = docs.count()
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    chosen = docs.filter(F.pmod(key, F.lit(1 << 30)) < min(1.0, 2.0 * TOPIC_ROWS / max(1, rows) + 1e-6) * (1 << 30)).select(key.alias("u"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    """Topics of all rows with words. Their bags are written once; each round of k-means is a pass over them. Rows where k-means
+    starts are those of the least hashes of their ids, and rows that are far apart, which noise can be too."""
+    schema = pa.schema([("u", pa.int64()), ("bag", pa.binary()), ("lang", pa.string())])
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(n, c) for n, c in bags(batch.column(1))]
-            keep = np.concatenate([n for n, _ in found] or [np.zeros(0, int)]) > 0
-            blobs = [row.astype(np.int32).tobytes() for _, c in found for row in c]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), batch.column(2)], ["u", "counts", "lang"]).filter(pa.array(keep))
-
-    least = in_arrow(chosen, vectors, "u long, counts binary, lang string").orderBy("u", "counts", "lang").limit(TOPIC_ROWS).collect()
-    return Topics(np.array([np.frombuffer(r.counts, np.int32) for r in least]).reshape(len(least), FEATURES), [r.lang for r in least])
+            at = 0
+            for n, counts in bags(batch.column(1)):
+                part = batch.slice(at, len(n))
+                at += len(n)
+                yield pa.RecordBatch.from_arrays([part.column(0), _bag_array(counts), part.column(2)], schema=schema).filter(pa.array(n > 0))
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FEATURES, np.int64)
+        for batch in batches:
+            for blob in batch.column(0):
+                total[np.frombuffer(blob.as_buffer(), BAG)["bucket"]] += 1
+        yield pa.RecordBatch.from_pylist([{"k": 0, "total": total.tobytes()}], schema=pa.schema([("k", pa.int32()), ("total", pa.binary())]))
+
+    key = F.coalesce(F.xxhash64(F.col(id_col).cast("string")), F.lit(0))
+    every = settle(in_arrow(docs.select(key.alias("u"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")), packed_bags, "u long, bag binary, lang string"))
+    rows = every.count()
+    if not rows:
+        return Topics(np.zeros(FEATURES), {})
+    held = np.frombuffer(_summed(in_arrow(every.select("bag"), frequencies, "k int, total binary"), ["k"]).first().total, np.int64)
+    weight = np.log((rows + 1) / (held + 1)) + 1e-3
+    least = max(LANGUAGE_ROWS, LANGUAGE_SHARE * rows)
+    own = {r.lang: r["count"] for r in every.filter(F.col("lang").isNotNull()).groupBy("lang").count().filter(F.col("count") >= least).collect()}
+    rest = rows - sum(own.values())
+    groups = {lang: i for i, lang in enumerate(sorted(own))}
+    # Where no row is left for the rest, its centres are those of all rows.
+    last = len(groups) if rest else -1
+    table, count = _Rows(every, weight, groups | ({None: last} if rest else {})), {groups[k]: v for k, v in own.items()} | {last: rest or rows}
+    size = {g: min(TOPICS, n) for g, n in count.items()}
+
+    near = table.sums({g: np.zeros((1, 1, FEATURES)) for g in count})
+    apart = {g: _rounded(near[g][1][0], np.zeros((1, FEATURES))) for g in count}
+    for i in range(TOPICS):
+        found = table.furthest({g: a for g, a in apart.items() if i < size[g]})
+        apart = {g: a if g not in found else found[g][None] if i == 0 else np.concatenate([a, found[g][None]]) for g, a in apart.items()}
+    hashed = table.least(sorted(count), STARTS * TOPICS)
+    centres = {g: np.array([apart[g], *(hashed[g][at : at + k] for at in range(0, min(len(hashed[g]) - k + 1, STARTS * k), k))]) for g, k in size.items()}
+
+    # All starts of all groups go on together; those that gain no more are left out of further rounds.
+    live = {g: list(range(len(c))) for g, c in centres.items()}
+    fit = {g: np.zeros(len(c), np.int64) for g, c in centres.items()}
+    sizes = {g: np.zeros(c.shape[:2], np.int64) for g, c in centres.items()}
+    for step in range(ROUNDS + 1):
+        for g, (n, total, close) in table.sums({g: centres[g][s] for g, s in live.items() if s}).items():
+            s = np.array(live[g])
+            going = (close > fit[g][s] * (1 + CLOSER)) & (step < ROUNDS)
+            sizes[g][s], fit[g][s] = n, close
+            centres[g][s[going]] = _rounded(total[going], centres[g][s[going]])
+            live[g] = s[going].tolist()
+        if not any(live.values()):
+            break
+    best = {g: int(fit[g].argmax()) for g in centres}
+    chosen = {g: centres[g][b][np.argsort(-sizes[g][b], kind="stable")] for g, b in best.items()}
+    return Topics(weight, {lang: chosen[g] for lang, g in groups.items()} | {None: chosen[last]})
 
 
 def form(topics, text: str = "text", lang: str = "lang") -> Column:

@@ -3,6 +3,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -298,6 +299,28 @@ def test_topics_follow_the_words(spark):
     assert got == {x.doc_id: x.topic_cell for x in mixing.mix(d.repartition(7)).collect()}
 
 
+def test_topics_are_learnt_from_all_rows(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(f"{'abcdefgh'[i % 8]}{r.randrange(30)}" for _ in range(8)), "s", ["en", "fr", None][i % 3]) for i in range(6000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    topics = mixing.learn_topics(d)
+    counts = np.concatenate([c for _, c in mixing.bags(pa.array([x[1] for x in rows]))])
+    assert np.array_equal(topics.weight, np.log(6001 / ((counts > 0).sum(axis=0) + 1)) + 1e-3)
+    # Each centre is the direction of all rows that are nearest to it.
+    unit = np.log1p(counts) * topics.weight
+    unit = np.rint(unit / np.linalg.norm(unit, axis=1, keepdims=True) * mixing.SCALE)
+    langs = [x[3] for x in rows]
+    own = topics.of(counts, langs)
+    assert set(topics.centres) == {"en", "fr", None}
+    for lang, centres in topics.centres.items():
+        here = np.array([x == lang for x in langs])
+        sums = np.array([unit[here & (own == k)].sum(axis=0) for k in range(mixing.TOPICS)])
+        cosine = (sums * centres).sum(axis=1) / np.linalg.norm(sums, axis=1) / np.linalg.norm(centres, axis=1)
+        assert cosine.min() > 0.98
+    again = mixing.learn_topics(d.repartition(9))
+    assert all(np.array_equal(again.centres[k], c) for k, c in topics.centres.items())
+
+
 def test_every_category_keeps_its_own_target(spark):
     rows = [(i, "some words stand here", f"s{i % 450}", "en") for i in range(1800)]
     out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"))
