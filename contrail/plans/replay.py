@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contrail.functions import aero
 from contrail.operators.asof import asof_nearest
-from contrail.operators.series import KEYS, backward_fill, backwards, before, fill_both, first_row, forward_fill, series, whole, with_rows
+from contrail.operators.series import KEYS, backward_fill, backwards, before, dealt, fill_both, first_row, forward_fill, series, whole, with_rows
 
 RATE_LIMIT_FPM, START_PHASE = 4000.0, "CLIMB"
 LEAST_SPEED_KT, LEAST_TAS_VALUES = 30.0, 10
@@ -83,12 +83,12 @@ def replay(df: DataFrame, start_phase: str | None = START_PHASE, limit_fpm: floa
     )
 
 
-def with_observed(played: DataFrame, adsb: DataFrame, modes: DataFrame | None = None, keys=KEYS, tolerance_s: float = 2.0) -> DataFrame:
-    """Replay rows with the nearest observed ground speed and true airspeed."""
+def with_observed(played: DataFrame, adsb: DataFrame, modes: DataFrame | None = None, keys=KEYS, tolerance_s: float = 2.0, rows: int = 0) -> DataFrame:
+    """Replay rows with the nearest observed ground speed and true airspeed. rows as for asof_nearest."""
     have = lambda df, c: F.col(c) if df is not None and c in df.columns else F.lit(None).cast("double")
-    out = asof_nearest(played, adsb, {"_a": (F.struct(have(adsb, "groundspeed_kt").alias("gs")), tolerance_s)}, keys)
+    out = asof_nearest(played, adsb, {"_a": (F.struct(have(adsb, "groundspeed_kt").alias("gs")), tolerance_s)}, keys, rows=rows)
     if modes is not None:
-        out = asof_nearest(out, modes, {"_m": (F.struct(have(modes, "TAS").alias("tas")), tolerance_s)}, keys).withColumn("TAS", F.col("_m.tas")).drop("_m")
+        out = asof_nearest(out, modes, {"_m": (F.struct(have(modes, "TAS").alias("tas")), tolerance_s)}, keys, rows=rows).withColumn("TAS", F.col("_m.tas")).drop("_m")
     else:
         out = out.withColumn("TAS", F.lit(None).cast("double"))
     return out.withColumn("groundspeed_kt", F.col("_a.gs")).drop("_a")
@@ -99,10 +99,11 @@ def _errors(name: str, unit: str, err: Column, bias: bool = False) -> list[Colum
     return [*out, F.avg(err).alias(f"bias_{unit}")] if bias else out
 
 
-def replay_metrics(played: DataFrame, adsb: DataFrame | None = None, modes: DataFrame | None = None, keys=KEYS) -> DataFrame:
+def replay_metrics(played: DataFrame, adsb: DataFrame | None = None, modes: DataFrame | None = None, keys=KEYS, rows: int = 0) -> DataFrame:
     """Errors of altitude, flight path angle and airspeed by flight. The observed airspeed is the ground speed for flights
     with fewer than ten airspeeds; angles and airspeeds count where both speeds exceed 30 kt."""
-    d = with_observed(played, adsb, modes, keys) if adsb is not None else played.withColumn("TAS", F.lit(None).cast("double")).withColumn("groundspeed_kt", F.lit(None).cast("double"))
+    d = with_observed(played, adsb, modes, keys, rows=rows) if adsb is not None else played.withColumn("TAS", F.lit(None).cast("double")).withColumn("groundspeed_kt", F.lit(None).cast("double"))
+    d = dealt(d, rows, keys)
     few = F.count("TAS").over(Window.partitionBy(*keys)) < LEAST_TAS_VALUES
     d = d.withColumn("_tas", F.when(few, F.col("groundspeed_kt")).otherwise(F.col("TAS")))
     fast = (F.col("_tas") > LEAST_SPEED_KT) & (F.col("gen_tas_kt") > LEAST_SPEED_KT)

@@ -63,3 +63,13 @@ def test_a_task_has_about_as_many_rows_as_it_is_dealt(spark, tiny, everything_de
 def test_windows_take_dealt_series_as_they_are(spark, tiny, everything_dealt, name):
     text = plan(QUERIES[name](spark, tiny))
     assert "REPARTITION_BY_NUM" in text and not re.search(r"hashpartitioning\(route.*ENSURE_REQUIREMENTS", text)
+
+
+@pytest.mark.parametrize("name", ["j1_asof_nearest", "j2_asof_grid", "j6_asof_forward", "c3_resample", "c15_replay_metrics"])
+def test_slices_of_joins_by_time_are_dealt_by_rows(spark, tiny, name, monkeypatch):
+    want = sorted(map(repr, QUERIES[name](spark, tiny).collect()))
+    monkeypatch.setattr(series, "DEALT_FROM", 1)
+    monkeypatch.setattr(series, "ROWS_A_TASK", 500)
+    df = QUERIES[name](spark, tiny)
+    assert re.search(r"hashpartitioning\(route[^)]*_part[^)]*\), REPARTITION_BY_NUM", plan(df))
+    assert sorted(map(repr, df.collect())) == want
