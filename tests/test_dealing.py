@@ -75,7 +75,7 @@ def test_slices_of_joins_by_time_are_dealt_by_rows(spark, tiny, name, monkeypatc
     assert sorted(map(repr, df.collect())) == want
 
 
-@pytest.mark.parametrize("name", ["w16_merge_blocks"])
+@pytest.mark.parametrize("name", ["w16_merge_blocks", "c14_replay"])
 def test_no_window_shuffles_series_that_are_dealt(spark, tiny, everything_dealt, name):
     text = plan(QUERIES[name](spark, tiny))
     assert "REPARTITION_BY_NUM" in text and not re.search(r"hashpartitioning\(route.*ENSURE_REQUIREMENTS", text)
