@@ -79,3 +79,13 @@ def test_slices_of_joins_by_time_are_dealt_by_rows(spark, tiny, name, monkeypatc
 def test_no_window_shuffles_series_that_are_dealt(spark, tiny, everything_dealt, name):
     text = plan(QUERIES[name](spark, tiny))
     assert "REPARTITION_BY_NUM" in text and not re.search(r"hashpartitioning\(route.*ENSURE_REQUIREMENTS", text)
+
+
+@pytest.mark.parametrize("name", ["c7_paint", "c5_cas_segments", "c6_selected_altitude"])
+def test_painting_dealt_series_shuffles_and_joins_no_rows(spark, tiny, name, monkeypatch):
+    want = sorted(map(repr, QUERIES[name](spark, tiny).collect()))
+    monkeypatch.setattr(series, "DEALT_FROM", 1)
+    monkeypatch.setattr(series, "ROWS_A_TASK", 500)
+    df = QUERIES[name](spark, tiny)
+    assert "Join" not in plan(df) and not re.search(r"hashpartitioning\(route.*ENSURE_REQUIREMENTS", plan(df))
+    assert sorted(map(repr, df.collect())) == want
