@@ -89,3 +89,22 @@ def test_painting_dealt_series_shuffles_and_joins_no_rows(spark, tiny, name, mon
     df = QUERIES[name](spark, tiny)
     assert "Join" not in plan(df) and not re.search(r"hashpartitioning\(route.*ENSURE_REQUIREMENTS", plan(df))
     assert sorted(map(repr, df.collect())) == want
+
+
+def test_what_is_dealt_is_read_by_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(series, "DEALT_FROM", 1)
+    monkeypatch.setattr(series, "SCANNED_BYTES", 1 << 20)
+    name, path = "spark.sql.files.maxPartitionBytes", "/root/testdata/sf0.1/lineitem.parquet"
+    was = spark.conf.get(name)
+    tasks = lambda: spark.read.parquet(path).rdd.getNumPartitions()
+    try:
+        for own in ("128MB", "134217728b", "1g"):
+            spark.conf.set(name, own)
+            assert tasks() < 10
+            series.dealt(spark.read.parquet(path), 600_000, ["l_suppkey"])
+            assert tasks() >= 10
+        spark.conf.set(name, "512k")  # a bound of the session's own
+        series.dealt(spark.read.parquet(path), 600_000, ["l_suppkey"])
+        assert spark.conf.get(name) == "512k"
+    finally:
+        spark.conf.set(name, was)
