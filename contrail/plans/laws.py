@@ -16,6 +16,7 @@ from contrail.functions.bins import CAS_STEP_KT, HEIGHT_STEP_FT, LEAST_SEGMENT_S
 from contrail.operators.asof import asof_forward, asof_nearest, plateau_of
 from contrail.operators.series import KEYS, forward_fill, quantiles, series, value_range, with_totals_before
 from contrail.plans.descent import to_destination
+from contrail.sources.tables import settle
 
 LEAST_PHASE_S, MOST_DWELL_S, FIRST_DWELL_S, LEAST_SLAB_ROWS = 30.0, 900.0, 90.0, 50
 NEAR_END_PHI, NEAR_END_FT = 0.85, 3000.0
@@ -89,9 +90,13 @@ def transition_library(events: DataFrame, df: DataFrame, flights: DataFrame, pha
     w = series(keys)
     slab = df.filter(F.upper("phase") == phase).join(f.select(*keys), list(keys), "left_semi")
     slab = slab.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter(F.col("_n") >= LEAST_SLAB_ROWS).withColumn("_h", forward_fill("h_sel", w))
+    # Both sides are read several times, and written first. Besides, events are found by a union of dealt rows: where Spark merges the
+    # ends to it without a shuffle (spark.sql.unionOutputPartitioning) and joins by time above that, it takes the number of its partitions for another.
+    slab = settle(slab.select(*keys, "timestamp", "_h", "vz_sel"))
+    rows = slab.count()
     ends = slab.groupBy(*keys).agg(F.min("timestamp").alias("_t0"), F.max("timestamp").alias("_t1"), F.max_by("_h", "timestamp").alias("_h_end"))
-    e = events.filter((F.col("command") == "cas_sel") & (F.upper("phase") == phase) & F.col("value").isNotNull()).select(*keys, "start_timestamp", "duration_s", "value")
-    d = asof_forward(e.join(ends, list(keys)), slab, {"_h_now": F.col("_h"), "_vz": F.col("vz_sel")}, keys, "start_timestamp")
+    e = settle(events.filter((F.col("command") == "cas_sel") & (F.upper("phase") == phase) & F.col("value").isNotNull()).select(*keys, "start_timestamp", "duration_s", "value"))
+    d = asof_forward(settle(e.join(ends, list(keys))), slab, {"_h_now": F.col("_h"), "_vz": F.col("vz_sel")}, keys, "start_timestamp", rows=rows)
     ew = Window.partitionBy(*keys).orderBy("start_timestamp")
     span = F.greatest(_s("_t1") - _s("_t0"), F.lit(1.0))
     d = d.withColumn("_prev", F.lag("value").over(ew)).withColumn("_dwell", _s("start_timestamp") - F.lag(_s("start_timestamp")).over(ew))

@@ -108,3 +108,16 @@ def test_what_is_dealt_is_read_by_tasks_of_bounded_size(spark, monkeypatch):
         assert spark.conf.get(name) == "512k"
     finally:
         spark.conf.set(name, was)
+
+
+def test_transitions_of_dealt_series_without_broadcasts(spark, tiny, monkeypatch):
+    want = sorted(map(repr, QUERIES["l5_transitions"](spark, tiny).collect()))
+    monkeypatch.setattr(series, "DEALT_FROM", 1)
+    monkeypatch.setattr(series, "ROWS_A_TASK", 500)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "-1")  # no side is small enough in large tables
+    try:
+        assert want and sorted(map(repr, QUERIES["l5_transitions"](spark, tiny).collect())) == want
+    finally:
+        spark.conf.set(name, was)
