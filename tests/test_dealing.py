@@ -2,11 +2,13 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from contrail.operators import islands, series
+from contrail.sources import tables
 from contrail.plans.views import Tables
 from contrail.queries import QUERIES
 
@@ -121,3 +123,26 @@ def test_transitions_of_dealt_series_without_broadcasts(spark, tiny, monkeypatch
         assert want and sorted(map(repr, QUERIES["l5_transitions"](spark, tiny).collect())) == want
     finally:
         spark.conf.set(name, was)
+
+
+@pytest.mark.parametrize("name", ["w15_plateaus", "w21_fill_rate", "c8_extract_commands"])
+def test_plateaus_of_dealt_series_join_no_rows_by_place(spark, tiny, name, monkeypatch):
+    want = sorted(map(repr, QUERIES[name](spark, tiny).collect()))
+    monkeypatch.setattr(series, "DEALT_FROM", 1)
+    monkeypatch.setattr(series, "ROWS_A_TASK", 500)
+    df = QUERIES[name](spark, tiny)
+    assert "Join" not in plan(df) and not re.search(r"hashpartitioning\(route[^)]*rn", plan(df))
+    assert sorted(map(repr, df.collect())) == want
+
+
+def test_what_is_written_leaves_no_shuffle_files(spark):
+    name = tables.CLEANUP
+    was, env = spark.conf.get(name), spark._jvm.org.apache.spark.SparkEnv.get()
+    shuffled = lambda: {str(b) for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(env.blockManager().diskBlockManager().getAllBlocks()) if str(b).startswith("shuffle")}
+    before = shuffled()
+    d = tables.settle(spark.range(5000).repartition(7, "id"))
+    for _ in range(50):  # they are deleted in the background
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before and d.count() == 5000 and spark.conf.get(name) == was
