@@ -80,3 +80,14 @@ def test_a_grid_in_slices_is_that_of_one_slice(spark):
     d = spark.createDataFrame(made, "route string, flight_id string, timestamp timestamp, altitude_ft double, IAS double, Mach double, selected_mcp double, vertical_rate_fpm double")
     want = sorted(map(str, trajectory.resample(d, slice_s=1_000_000_000).collect()))
     assert len(want) > 1000 and sorted(map(str, trajectory.resample(d, slice_s=700).collect())) == want
+
+
+def test_columns_are_dealt_once_and_slices_written(spark):
+    """Values given by name are not copied beside their columns, and the rows of slices are not found again beside the scan."""
+    d = spark.createDataFrame(rows(3, 120), PLAIN)
+    part = scan.slice_of(F.unix_micros("timestamp"), 10.0)
+    got = scan.scanned(d, {"last": ("last", "v"), "next": ("next", "v"), "top": ("max", "v")}, part)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "_v_" not in text and "_rows" not in text
+    want = scan.scanned(d, {"last": ("last", F.col("v")), "next": ("next", F.col("v")), "top": ("max", F.col("v"))}, part)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
