@@ -91,3 +91,24 @@ def test_columns_are_dealt_once_and_slices_written(spark):
     assert "_v_" not in text and "_rows" not in text
     want = scan.scanned(d, {"last": ("last", F.col("v")), "next": ("next", F.col("v")), "top": ("max", F.col("v"))}, part)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.parametrize("limit", [1, 3, 60])
+def test_held_values_are_those_of_a_frame(spark, limit):
+    d = series.with_rows(spark.createDataFrame(rows(400, 5), PLAIN), name="n")
+    w = series.series()
+    got = d.select(series.held("v", "n", w, limit).alias("held"), series.forward_fill("v", w, limit).alias("want")).collect()
+    assert [r.held for r in got] == [r.want for r in got]
+
+
+def test_rows_that_come_in_slices_stay_in_them(spark, monkeypatch):
+    monkeypatch.setattr(series, "DEALT_FROM", 1)
+    monkeypatch.setattr(series, "ROWS_A_TASK", 50)
+    d = spark.createDataFrame(rows(300, 6), PLAIN)
+    left = d.withColumn("s", scan.slice_of(F.unix_micros("timestamp"), 600.0))
+    got = asof.asof_nearest(left, d.select(*K, "timestamp", "v"), {"near": (F.col("v"), 30.0)}, slice_s=600.0, part="s", rows=600)
+    w = series.series([*K, "s"], ["timestamp", "i"])
+    text = got.withColumn("k", F.row_number().over(w))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1
+    want = asof.asof_nearest(left, d.select(*K, "timestamp", "v"), {"near": (F.col("v"), 30.0)}, slice_s=None)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
