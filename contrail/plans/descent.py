@@ -24,10 +24,11 @@ def top_of_descent(df: DataFrame, least_step_ft: float = 500.0, least_prior_ft:
     return d.groupBy(*keys).agg(F.min_by(row, F.struct((~low).alias("other"), F.col("timestamp"))).alias("e")).select(*keys, "e.*")
 
 
-def with_position(events: DataFrame, track: DataFrame, tolerance_s: float = 30.0, ts: str = "timestamp", keys=KEYS) -> DataFrame:
-    """events with latitude and longitude of the nearest row of the track, null if that is too far in time or has none."""
+def with_position(events: DataFrame, track: DataFrame, tolerance_s: float = 30.0, ts: str = "timestamp", keys=KEYS, rows: int = 0) -> DataFrame:
+    """events with latitude and longitude of the nearest row of the track, null if that is too far in time or has none. rows is
+    about how many the track has, if they are many: slices are dealt() by it."""
     row = F.struct("latitude", "longitude")
-    out = asof_nearest(events, track, {"_p": (row, tolerance_s)}, keys, ts)
+    out = asof_nearest(events, track, {"_p": (row, tolerance_s)}, keys, ts, rows=rows)
     known = F.col("_p.latitude").isNotNull() & F.col("_p.longitude").isNotNull()
     return out.withColumn("latitude", F.when(known, F.col("_p.latitude"))).withColumn("longitude", F.when(known, F.col("_p.longitude"))).drop("_p")
 
@@ -42,26 +43,27 @@ def along_track(track: DataFrame, keys=KEYS) -> DataFrame:
     return d.withColumn("km_total", F.max("km").over(whole)).withColumn("points", F.count(F.lit(1)).over(whole)).drop("_leg")
 
 
-def progress(events: DataFrame, track: DataFrame, ts: str = "timestamp", keys=KEYS) -> DataFrame:
+def progress(events: DataFrame, track: DataFrame, ts: str = "timestamp", keys=KEYS, rows: int = 0) -> DataFrame:
     """events with flight_progress, the share of the track flown at the nearest row with a position; null if the track has
-    fewer than two positions or no length, or if the event's own latitude is null (where it has one)."""
+    fewer than two positions or no length, or if the event's own latitude is null (where it has one). rows as for with_position."""
     row = F.struct("km", "km_total", "points")
-    out = asof_nearest(events, along_track(track, keys), {"_p": (row, None)}, keys, ts)
+    out = asof_nearest(events, along_track(track, keys), {"_p": (row, None)}, keys, ts, rows=rows)
     share = F.when((F.col("_p.points") >= 2) & (F.col("_p.km_total") > 0), F.col("_p.km") / F.col("_p.km_total"))
     if "latitude" in events.columns:
         share = F.when(F.col("latitude").isNotNull(), share)
     return out.withColumn("flight_progress", share).drop("_p")
 
 
-def to_destination(events: DataFrame, track: DataFrame, ends: DataFrame, ts: str = "timestamp", keys=KEYS, name: str = "phi_d") -> DataFrame:
+def to_destination(events: DataFrame, track: DataFrame, ends: DataFrame, ts: str = "timestamp", keys=KEYS, name: str = "phi_d", rows: int = 0) -> DataFrame:
     """events with phi_d = 1 - distance to the destination now over that at the first position, within 0..1. ends has, by
-    route, the latitude and longitude of the destination. Null with fewer than two positions or 1 km or less to go."""
+    route, the latitude and longitude of the destination. Null with fewer than two positions or 1 km or less to go. rows as for
+    with_position."""
     e = ends.select("route", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
     d = track.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).join(e, "route", "left")
     whole = Window.partitionBy(*keys)
     d = d.withColumn("_d", aero.haversine_km("latitude", "longitude", "_lat", "_lon"))
     d = d.withColumn("_d0", F.first("_d").over(whole.orderBy("timestamp").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("_n", F.count(F.lit(1)).over(whole))
-    out = asof_nearest(events, d, {"_p": (F.struct("_d", "_d0", "_n"), None)}, keys, ts)
+    out = asof_nearest(events, d, {"_p": (F.struct("_d", "_d0", "_n"), None)}, keys, ts, rows=rows)
     phi = F.when((F.col("_p._n") >= 2) & (F.col("_p._d0") > 1.0), aero.clip(1 - F.col("_p._d") / F.col("_p._d0"), 0.0, 1.0))
     return out.withColumn(name, phi).drop("_p")
 

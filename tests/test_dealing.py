@@ -146,3 +146,12 @@ def test_what_is_written_leaves_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert shuffled() <= before and d.count() == 5000 and spark.conf.get(name) == was
+
+
+def test_positions_of_tops_of_descent_are_dealt_by_rows(spark, tiny, monkeypatch):
+    want = sorted(map(repr, QUERIES["l8_descent_phi"](spark, tiny).collect()))
+    monkeypatch.setattr(series, "DEALT_FROM", 1)
+    monkeypatch.setattr(series, "ROWS_A_TASK", 500)
+    df = QUERIES["l8_descent_phi"](spark, tiny)
+    assert re.search(r"hashpartitioning\(route[^)]*_part[^)]*\), REPARTITION_BY_NUM", plan(df))
+    assert sorted(map(repr, df.collect())) == want
